@@ -25,7 +25,9 @@ from paroxys.operators import (
     splits,
     windows,
 )
-from paroxys.sources import records
+from paroxys.plans import experiment, models
+from paroxys.sources import datasets, records
+from paroxys.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -633,3 +635,153 @@ def knn(spark, sf_dir):
     """Vote of the three nearest windows of other subjects, for every window."""
     rows = fx.vectors(spark, sf_dir)
     return rounded(neighbours.knn_vote(rows, rows, k=3, apart="subject"))
+
+
+# --- models --------------------------------------------------------------------------------------
+
+
+def _feature_table(spark, sf_dir):
+    """Stored wavelet features of all windows."""
+    vectors = features.feature_vector(fx.channel_vectors(spark, sf_dir), 1)
+    return models.materialise(vectors, "features")
+
+
+def _loso(spark, sf_dir, name, **overrides):
+    scores = models.loso_scores(_feature_table(spark, sf_dir), [name], {name: overrides})
+    return rounded(models.fold_metrics(scores))
+
+
+@query
+def random_forest_loso(spark, sf_dir):
+    return _loso(spark, sf_dir, "random_forest", numTrees=20, maxDepth=5)
+
+
+@query
+def gbt_loso(spark, sf_dir):
+    return _loso(spark, sf_dir, "xgboost", maxIter=5, maxDepth=3)
+
+
+@query
+def linear_svc_loso(spark, sf_dir):
+    return _loso(spark, sf_dir, "svm_linear", maxIter=20)
+
+
+@query
+def rbf_svc_loso(spark, sf_dir):
+    return _loso(spark, sf_dir, "svm_rbf", maxIter=20)
+
+
+@query
+def knn_loso(spark, sf_dir):
+    """Fold metrics of the neighbour vote; folds come from excluding the own subject."""
+    rows = fx.vectors(spark, sf_dir)
+    votes = neighbours.knn_vote(rows, rows, keep=["subject", "y"], k=3, apart="subject")
+    return rounded(models.fold_metrics(votes.withColumnRenamed("subject", "fold"), ["fold"]))
+
+
+@query
+def loso_leaderboard(spark, sf_dir):
+    """A small grid of runs with an unknown model name among them."""
+    results = experiment.run_experiment(
+        {"embeddings": _feature_table(spark, sf_dir)},
+        ["svm_linear", "svm"],
+        overrides={"svm_linear": {"maxIter": 5}},
+    )
+    return experiment.leaderboard(results)
+
+
+@query
+def param_search(spark, sf_dir):
+    rows = splits.stratified_kfold(_feature_table(spark, sf_dir), 3)
+    space = {
+        "numTrees": {"type": "categorical", "choices": [5, 10]},
+        "maxDepth": {"type": "int", "low": 2, "high": 4},
+    }
+    return rounded(models.search(rows, "random_forest", space, trials=3))
+
+
+@query
+def experiment_grid(spark, sf_dir):
+    """Runs planned for each label variant, with its number of windows."""
+    names = [f"y_sop{m}" for m in (5, 10, 15)]
+    variants = audit.label_table(labelled(spark, sf_dir), names)
+    table = variants.select(F.col("variant").alias("dataset"), "total", "preictal")
+    return experiment.grid(table, models.model_names(), reps=2)
+
+
+@query
+def ablation_grid(spark, sf_dir):
+    raw = F.create_map(*[F.lit(x) for p in fx.RAW_CHANNELS.items() for x in p])
+    rows = fx.table(spark, sf_dir, "events").select(
+        "user_id", channels.normal_name(raw[F.col("event_type")]).alias("channel")
+    )
+    recordings = rows.groupBy("user_id").agg(F.collect_set("channel").alias("channels"))
+    grid = experiment.ablation_grid(
+        recordings,
+        {"two": ["T7", "T8"], "four": ["F7", "F8", "T7", "T8"], "six": list(channels.WEARABLE)},
+        [2, 4, 8, 16],
+        ["zscore+bandpass", "bandpass", "zscore"],
+    )
+    return grid.groupBy("channel_set", "window_sec", "preprocessing").agg(
+        F.count(F.lit(1)).alias("recordings"), F.count_if("usable").alias("usable")
+    )
+
+
+# --- stored datasets --------------------------------------------------------------------------------
+
+
+@query
+def dataset_roundtrip(spark, sf_dir):
+    """Labelled windows written, read back under one label and counted per subject."""
+    from paroxys.session import shared_folder
+
+    path = shared_folder(spark, "windows")
+    rows = labelled(spark, sf_dir).withColumn("subject", F.col("user_id") % 10)
+    datasets.write_windows(rows, path)
+    stored = datasets.read_windows(spark, path, label="y_sop10")
+    return stored.groupBy("subject").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").cast("bigint").alias("positives")
+    )
+
+
+@query
+def dataset_validation(spark, sf_dir):
+    rows = labelled(spark, sf_dir).withColumn("subject", F.col("user_id") % 10)
+    names = ["y_sop5", "y_sop10", "y_sop15"]
+    return rounded(datasets.validate(rows, names, ["subject", "x_dwt", *names], 2))
+
+
+# --- streams ---------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, sf_dir):
+    schema = fx.table(spark, sf_dir, "events").schema
+    return online.read_events(spark, sf_dir, "events.parquet", schema)
+
+
+def _score_stream(spark, sf_dir):
+    prob = F.col("value") / (F.col("value") + 50)
+    return _event_stream(spark, sf_dir).select(
+        "user_id", "ts", "event_id", prob.alias("prob"), (prob >= 0.5).cast("int").alias("pred")
+    )
+
+
+@query
+def stream_windows(spark, sf_dir):
+    closed = online.window_stats(_event_stream(spark, sf_dir))
+    return rounded(online.run_available(closed, "stream-windows"))
+
+
+@query
+def stream_ema(spark, sf_dir):
+    return rounded(online.run_available(online.online_ema(_score_stream(spark, sf_dir)), "stream-ema"))
+
+
+@query
+def stream_vote(spark, sf_dir):
+    return online.run_available(online.online_vote(_score_stream(spark, sf_dir)), "stream-vote")
+
+
+@query
+def stream_alarm(spark, sf_dir):
+    return online.run_available(online.online_alarm(_score_stream(spark, sf_dir)), "stream-alarm")

@@ -709,6 +709,47 @@ ORACLES: dict[str, str] = {
         e as (select draw, y, floor(u * n) as pos from d join c using (ci))
         select draw, window_id, y from e join placed using (y, pos)""",
     "knn": knn(),
+    "knn_loso": f"""with v as ({knn().replace('round(', '(').replace(', 6)', ')')}),
+        {VECTORS}, s as (select subject as fold, vectors.y, v.prob, v.pred from v join vectors using (window_id)),
+        c as (select fold, {COUNTS} from s group by 1), a as (select * from {auc('s', 'fold')})
+        select fold, tp, tn, fp, fn, {rates()}, n_pos as n_pos_test, n_neg as n_neg_test,
+          round(auc_roc, 6) as auc_roc from c join a using (fold)""",
+    "experiment_grid": f"""with {LABELS}, v as (
+          select 'y_sop5' as dataset, count(*) as total, sum(y_sop5) as preictal from labelled
+          union all select 'y_sop10', count(*), sum(y_sop10) from labelled
+          union all select 'y_sop15', count(*), sum(y_sop15) from labelled)
+        select dataset, total, preictal, rep, model, rep + 42 as seed from v, range(2) as r(rep),
+          unnest(['svm_rbf', 'svm_linear', 'random_forest', 'xgboost', 'lightgbm', 'knn']) as m(model)""",
+    "ablation_grid": f"""with c as (select user_id, list(distinct {NAME}) as has from events group by 1),
+        g as (select * from (values ('two', ['T7', 'T8']), ('four', ['F7', 'F8', 'T7', 'T8']),
+            ('six', ['T7', 'T8', 'F7', 'F8', 'P7', 'P8'])) as s(channel_set, needs),
+          unnest([2.0::double, 4, 8, 16]) as w(window_sec),
+          unnest(['zscore+bandpass', 'bandpass', 'zscore']) as p(preprocessing))
+        select channel_set, window_sec, preprocessing, count(*) as recordings,
+          count(*) filter (where list_has_all(has, needs)) as usable from c, g group by all""",
+    "dataset_roundtrip": f"""with {LABELS} select user_id % 10 as subject, count(*) as n,
+        sum(y_sop10) as positives from labelled group by 1""",
+    "dataset_validation": f"""with {LABELS} select count(*) as samples, count(distinct user_id % 10) as subjects,
+          sum(y_sop5) as y_sop5_positive, sum(y_sop10) as y_sop10_positive, sum(y_sop15) as y_sop15_positive,
+          round(avg(y_sop5), 6) as y_sop5_ratio, round(avg(y_sop10), 6) as y_sop10_ratio,
+          round(avg(y_sop15), 6) as y_sop15_ratio, 'x_dwt' as missing, false as valid from labelled""",
+    "stream_windows": """with w as (
+          select user_id, date_trunc('second', ts) - to_seconds(s) as w_start, value
+          from events, range(4) as r(s)),
+        g as (select user_id, w_start, w_start + interval 4 seconds as w_end, count(*) as n,
+          round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std,
+          round(min(value), 6) as low, round(max(value), 6) as high from w group by all)
+        select * from g where w_end <= (select date_trunc('millisecond', max(ts)) from events) - interval 10 seconds""",
+    "stream_ema": f"""with {SCORED},
+        l as (select user_id, list(prob order by k) as ps from scored group by 1),
+        s as (select user_id, k, list_reduce(ps[1 : k + 1], lambda a, p: 0.3::double * p + 0.7::double * a) as ema
+          from scored join l using (user_id))
+        select user_id, k, round(ema, 6) as ema, cast(ema >= 0.5 as int) as ema_pred from s""",
+    "stream_vote": f"""with {SCORED}, {vote('scored', 3, 2, 'v')},
+        n as (select user_id, max(k) as last from v group by 1)
+        select user_id, k, pred from v join n using (user_id) where k <= last - 1 and last >= 2""",
+    "stream_alarm": f"""with {SCORED} select user_id, k, cast(count(*) over w = 3 and sum(pred) over w = 3 as int) as alarm
+        from scored window w as (partition by user_id order by k rows between 2 preceding and current row)""",
     "feature_vector": feature_vector(),
     "dwt_filter": dwt_filter(),
     "iir_filter": iir_filter(),
