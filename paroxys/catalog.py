@@ -260,7 +260,7 @@ def label_multi_sop(spark, sf_dir):
 @query
 def label_merge(spark, sf_dir):
     """Label sets stored apart, brought together by window key."""
-    rows = labelled(spark, sf_dir)
+    rows = models.materialise(labelled(spark, sf_dir), "labels")
     variants = {f"y_sop{m}": rows.withColumnRenamed(f"y_sop{m}", "y") for m in fx.SOP_SEC}
     return labels.merge_labels(variants, ["user_id", "window_id"])
 
@@ -472,9 +472,9 @@ def _dwt(spark, sf_dir, level):
     rows = fx.vectors(spark, sf_dir).select("window_id", "x")
     for _ in range(level - 1):
         rows = features.dwt_level(rows).select("window_id", F.col("approx").alias("x"))
-    cut = features.dwt_level(rows)
-    parts = [cut.select("window_id", F.lit(b).alias("band"), *array_digest(b)) for b in ("approx", "detail")]
-    return parts[0].unionByName(parts[1])
+    bands = [F.struct(F.lit(b).alias("band"), F.col(b).alias("x")) for b in ("approx", "detail")]
+    cut = features.dwt_level(rows).select("window_id", F.explode(F.array(*bands)).alias("b"))
+    return cut.select("window_id", "b.*").select("window_id", "band", *array_digest("x"))
 
 
 @query
@@ -648,7 +648,7 @@ def _feature_table(spark, sf_dir):
 
 def _loso(spark, sf_dir, name, **overrides):
     scores = models.loso_scores(_feature_table(spark, sf_dir), [name], {name: overrides})
-    return rounded(models.fold_metrics(scores))
+    return rounded(models.fold_metrics(models.materialise(scores, "scores")))
 
 
 @query

@@ -10,13 +10,17 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from paroxys.operators.ordered import CHUNK_ROWS, index_chunk, running, with_halo
+from paroxys.operators.ordered import (
+    CHUNK_ROWS,
+    index_chunk,
+    map_halo_chunks,
+    running,
+    with_halo,
+)
 
 GROUP = ("user_id",)
 
@@ -181,17 +185,8 @@ def ema_smooth(
     if not 0 < alpha <= 1:
         raise ValueError("alpha must lie in (0, 1]")
     warm = 0 if alpha == 1 else math.ceil(-60 * math.log(2) / math.log(1 - alpha))
-    schema = StructType([*df.schema.fields, StructField("ema", DoubleType())])
-
-    def smooth(batch: pa.Table) -> pa.Table:
-        batch = batch.sort_by(index)
-        probs = batch[prob].to_numpy().astype(np.float64)
-        ema = pa.array(_smooth(probs, alpha))
-        done = batch.append_column("ema", ema).filter(batch["own"])
-        return done.drop_columns(["chunk", "own"])
-
     rows = with_halo(df, index, warm, 0, max(size, warm))
-    smoothed = rows.groupBy(*group, "chunk").applyInArrow(smooth, schema)
+    smoothed = map_halo_chunks(rows, group, index, prob, lambda p: _smooth(p, alpha), "ema")
     return smoothed.withColumn("ema_pred", (F.col("ema") >= threshold).cast("int"))
 
 

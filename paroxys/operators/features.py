@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from paroxys.functions import bandstats, wavelet
 from paroxys.functions.scores import scrub
-from paroxys.operators.ordered import CHUNK_ROWS, with_halo
+from paroxys.operators.ordered import CHUNK_ROWS, map_halo_chunks, with_halo
 
 BATCH_CELLS = 1 << 18
 
@@ -146,16 +146,11 @@ def dwt_filter(
     step = 2**level
     size = -(-max(size, halo) // step) * step
 
-    def rebuild(table: pa.Table) -> pa.Table:
-        table = table.sort_by(index)
-        values = table[value].to_numpy().astype(np.float64)
-        filtered = pa.array(wavelet.keep_bands(values[None, :], level, kept)[0])
-        at = table.column_names.index(value)
-        return table.set_column(at, value, filtered).filter(table["own"]).drop_columns(["chunk", "own"])
+    def rebuild(values: np.ndarray) -> np.ndarray:
+        return wavelet.keep_bands(values[None, :], level, kept)[0]
 
-    typed = df.withColumn(value, F.col(value).cast("double"))
-    rows = with_halo(typed, index, halo, halo, size)
-    return rows.groupBy(*group, "chunk").applyInArrow(rebuild, typed.schema)
+    rows = with_halo(df, index, halo, halo, size)
+    return map_halo_chunks(rows, group, index, value, rebuild, value).select(*df.columns)
 
 
 def band_stats(df: DataFrame, x: str = "x") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Rows of a block, and distances held at once while two blocks meet.
+BLOCK_ROWS = 4096
 CELLS = 1 << 22
 
 
@@ -33,16 +35,17 @@ def nearest(
     x: str = "x",
     label: str = "y",
     apart: str | None = None,
-    blocks: tuple[int, int] = (8, 8),
+    blocks: tuple[int, int] | None = None,
 ) -> DataFrame:
     """``(key, neighbour, label, distance)`` of the k nearest training rows.
 
     Both sides are hashed into blocks and every pair of blocks meets in one task, which
-    hands on only its k best per test row; pairs of rows never become records. ``blocks``
-    scales with the tables so that a block fits a task. ``apart`` names a column whose
-    equal values must not be neighbours (the held-out subject).
+    hands on only its k best per test row; pairs of rows never become records. Without
+    given ``blocks`` both tables are counted and a block holds about ``BLOCK_ROWS`` rows,
+    whatever their number. Exactness makes the comparisons quadratic. ``apart`` names a
+    column whose equal values must not be neighbours (the held-out subject).
     """
-    n_test, n_train = blocks
+    n_test, n_train = blocks or tuple(-(-max(t.count(), 1) // BLOCK_ROWS) for t in (test, train))
     extra = [apart] if apart else []
     left = test.select(key, *extra, F.col(x).alias("x")).withColumns(
         {

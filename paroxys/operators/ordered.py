@@ -12,11 +12,15 @@ bounded stretch of the index or of time. Two patterns cover every ordered operat
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 CHUNK_ROWS = 1 << 16
 
@@ -141,3 +145,67 @@ def hashed_bucket(order_key: str | Column, span: int, buckets: int = 1024) -> Co
     """Ordered range of a key that is spread evenly over ``[0, span)``."""
     col = F.col(order_key) if isinstance(order_key, str) else order_key
     return F.floor(col / F.lit(max(span // buckets, 1))).cast("bigint")
+
+
+def map_halo_chunks(
+    df: DataFrame,
+    group: Sequence[str],
+    index: str,
+    value: str,
+    kernel: Callable[[np.ndarray], np.ndarray],
+    out: str,
+    chunk: str = "chunk",
+    own: str = "own",
+) -> DataFrame:
+    """Run a whole-array kernel over every chunk of ``with_halo`` and keep the own rows.
+
+    Chunks arrive sorted in Arrow batches and are cut where their key changes. Many short
+    recordings share a batch; a chunk that crosses batches is held until it is complete,
+    and chunks are bounded.
+    """
+    keys = [*group, chunk]
+    fields = [f for f in df.schema.fields if f.name not in (chunk, own, out)]
+    schema = StructType([*fields, StructField(out, DoubleType())])
+    names = [f.name for f in fields]
+
+    def starts(table: pa.Table) -> list[int]:
+        n = table.num_rows
+        moved = np.zeros(n - 1, dtype=bool)
+        for key in keys:
+            column = table[key]
+            unequal = pc.not_equal(column.slice(1), column.slice(0, n - 1))
+            moved |= pc.fill_null(unequal, True).to_numpy()
+        return [0, *(np.flatnonzero(moved) + 1).tolist()]
+
+    def finish(table: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        values = table[value].to_numpy().astype(np.float64)
+        ends = [*cuts[1:], len(values)]
+        done = np.concatenate([kernel(values[a:b]) for a, b in zip(cuts, ends)])
+        result = table.select(names).append_column(out, pa.array(done))
+        if value == out:
+            result = table.select([n for n in names if n != out]).append_column(out, pa.array(done))
+        yield from result.filter(table[own]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch]) if len(held) < 2 else None
+            if table is None:
+                edge = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch])
+                if len(starts(edge)) == 1:
+                    held.append(batch)
+                    continue
+                table = pa.Table.from_batches([*held, batch])
+            cuts = starts(table) if table.num_rows > 1 else [0]
+            if len(cuts) > 1:
+                yield from finish(table.slice(0, cuts[-1]), cuts[:-1])
+                held = table.slice(cuts[-1]).combine_chunks().to_batches()
+            else:
+                held.append(batch)
+        if held:
+            yield from finish(pa.Table.from_batches(held), [0])
+
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, index)
+    return rows.mapInArrow(run, schema)

@@ -6,11 +6,9 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from paroxys.operators.ordered import CHUNK_ROWS, with_halo
+from paroxys.operators.ordered import CHUNK_ROWS, map_halo_chunks, with_halo
 
 
 def _padded(b: Sequence[float], a: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,13 +81,7 @@ def iir_filter(
     response = impulse_response(num, den, memory)
     gain = float(num.sum() / den.sum())
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(index)
-        values = table[value].to_numpy().astype(np.float64)
-        done = pa.array(both_ways(response, gain, values, pad))
-        at = table.column_names.index(value)
-        return table.set_column(at, value, done).filter(table["own"]).drop_columns(["chunk", "own"])
-
-    typed = df.withColumn(value, F.col(value).cast("double"))
-    rows = with_halo(typed, index, memory, memory, size)
-    return rows.groupBy(*group, "chunk").applyInArrow(run, typed.schema)
+    rows = with_halo(df, index, memory, memory, size)
+    return map_halo_chunks(
+        rows, group, index, value, lambda x: both_ways(response, gain, x, pad), value
+    ).select(*df.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paroxys.operators.metrics import METRICS, fold_summary
 from paroxys.operators.splits import first_subjects, random_rows
-from paroxys.plans.models import fold_metrics, loso_scores
+from paroxys.plans.models import fold_metrics, loso_scores, materialise
 
 SEED = 42
 RESULT = (
@@ -85,8 +85,8 @@ def run_experiment(
 
 def _run(table: DataFrame, model: str, overrides: Mapping[str, Mapping] | None) -> tuple:
     try:
-        folds = fold_metrics(loso_scores(table, [model], overrides))
-        row = fold_summary(folds, (*METRICS, "auc_roc")).first()
+        scores = materialise(loso_scores(table, [model], overrides), "scores")
+        row = fold_summary(fold_metrics(scores), (*METRICS, "auc_roc")).first()
     except Exception as error:  # a run must not stop the grid
         return ("error", f"{type(error).__name__}: {error}"[:500], 0, None, None, None, None)
     shown = ("recall", "specificity", "f1", "auc_roc")

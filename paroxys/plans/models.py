@@ -30,7 +30,7 @@ DEFAULTS: dict[str, dict] = {
     "random_forest": {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2},
     "xgboost": {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1, "subsamplingRate": 0.8},
     "lightgbm": {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8},
-    "knn": {"k": 3, "blocks": (8, 8)},
+    "knn": {"k": 3},
 }
 SEED = 42
 COLUMNS = {"featuresCol": "vec", "labelCol": "y", "weightCol": "w"}
@@ -90,15 +90,14 @@ def fit_score(
     n_neg: int,
     overrides: Mapping | None = None,
 ) -> DataFrame:
-    """Fit on ``train`` and return ``test`` with ``prob`` and ``pred`` (fitting runs now)."""
+    """Fit on ``train`` and return ``test`` with ``prob`` and ``pred`` (fitting runs now).
+
+    ``svm_rbf`` expects both sides mapped by ``model_inputs``.
+    """
     if name == "knn":
         p = parameters(name, overrides)
         columns = [c for c in test.columns if c not in ("window_id", "features")]
         return knn_vote(test, train, keep=columns, x="features", **p)
-    if name == "svm_rbf":
-        p = parameters(name, overrides)
-        train = fourier_features(train, p["gamma"], p["components"])
-        test = fourier_features(test, p["gamma"], p["components"])
     vector = array_to_vector(F.col("features").cast("array<double>"))
     rows = train.withColumns({"vec": vector, "w": weight(name, n_pos, n_neg)})
     model = build_estimator(name, n_pos + n_neg, overrides).fit(rows.select("vec", "y", "w"))
@@ -113,6 +112,14 @@ def fit_score(
     )
 
 
+def model_inputs(features: DataFrame, name: str, overrides: Mapping | None = None) -> DataFrame:
+    """The feature table a model is fitted on; the kernel map is stored once for all folds."""
+    if name != "svm_rbf":
+        return features
+    p = parameters(name, overrides)
+    return materialise(fourier_features(features, p["gamma"], p["components"]), "fourier")
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: computed once, survives lost executors."""
     path = shared_folder(df.sparkSession, purpose)
@@ -132,12 +139,15 @@ def loso_scores(
     table. The driver sees one row of counts per subject; fits of different folds run
     side by side; scoring stays one lazy union.
     """
+    for name in models:
+        parameters(name)
     folds = trainable(loso_folds(features)).orderBy("fold").collect()
     jobs = [(name, fold) for name in models for fold in folds]
+    inputs = {n: model_inputs(features, n, (overrides or {}).get(n)) for n in models if folds}
 
     def run(job) -> DataFrame:
         name, fold = job
-        train, test = loso_split(features, fold["fold"])
+        train, test = loso_split(inputs[name], fold["fold"])
         n_pos = fold["pos_train"]
         scored = fit_score(
             name, train, test, n_pos, fold["n_train"] - n_pos, (overrides or {}).get(name)
@@ -151,8 +161,6 @@ def loso_scores(
             "pred",
         )
 
-    for name in models:
-        parameters(name)
     if not jobs:
         return features.sparkSession.createDataFrame(
             [], "model string, fold int, window_id bigint, y int, prob double, pred int"
