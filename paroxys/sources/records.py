@@ -15,7 +15,8 @@ from paroxys.operators.ordered import dense_index, ordered_bucket
 def discover_records(spark: SparkSession, root: str, pattern: str = "*.edf") -> DataFrame:
     """``(path, length)`` of the recordings below ``root``; empty if it does not exist.
 
-    Only the listing is read: the content column is pruned.
+    Only the listing is read: the content column is pruned. Spark leaves out files of
+    zero bytes.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     try:
