@@ -187,7 +187,7 @@ def _seizure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _texts(rows: DataFrame) -> DataFrame:
     day = F.date_format("ts", "yyyyMMdd")
-    blocks = F.array_sort(F.collect_list(F.struct("event_id", "block")))
+    blocks = F.sort_array(F.collect_list(F.struct("event_id", "block")))
     return (
         rows.groupBy("user_id", day.alias("day"))
         .agg(blocks.alias("b"))

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paroxys.functions.arrays import let
+
 # Daubechies-4 analysis low-pass filter.
 DB4_LOW = (
     -0.010597401784997278,
@@ -23,11 +25,16 @@ DB4_HIGH = tuple((-1) ** (j + 1) * DB4_LOW[TAPS - 1 - j] for j in range(TAPS))
 
 def analyse_expr(x: Column, taps: tuple[float, ...]) -> Column:
     """One analysis step with half-sample symmetric edges, as an array expression."""
-    n = F.size(x)
+    return let(x, lambda values: let(F.size(values), lambda n: _convolve(values, n, taps)))
+
+
+def _convolve(x: Column, n: Column, taps: tuple[float, ...]) -> Column:
 
     def reflected(i: Column) -> Column:
-        inside = F.pmod(i, 2 * n)
-        return F.get(x, F.when(inside < n, inside).otherwise(2 * n - 1 - inside))
+        return let(
+            F.pmod(i, 2 * n),
+            lambda at: F.get(x, F.when(at < n, at).otherwise(2 * n - 1 - at)),
+        )
 
     def output(k: Column) -> Column:
         total = F.lit(0.0)

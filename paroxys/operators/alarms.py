@@ -23,29 +23,59 @@ from paroxys.operators.ordered import (
 )
 
 GROUP = ("user_id",)
+# Up to this many rows on either side single shifts beat a sliding frame.
+NEAR = 16
+WHOLE = (W.unboundedPreceding, W.unboundedFollowing)
 
 
 def _frame(group: Sequence[str], index: str, first: int, last: int):
     return W.partitionBy(*group, "chunk").orderBy(index).rowsBetween(first, last)
 
 
+def _shifts(
+    group: Sequence[str], index: str, value: str, reach: int
+) -> tuple[list[Column], list[Column]]:
+    """Values 1, 2, … ``reach`` rows before and after; null beyond the ends."""
+    order = W.partitionBy(*group, "chunk").orderBy(index)
+    steps = range(1, reach + 1)
+    return (
+        [F.lag(value, j).over(order) for j in steps],
+        [F.lead(value, j).over(order) for j in steps],
+    )
+
+
 def _too_short(group: Sequence[str], index: str, n: int) -> Column:
     """True in recordings of fewer than ``n`` windows (only their first chunk can say so)."""
-    return F.max(index).over(W.partitionBy(*group, "chunk")) < n - 1
+    return F.max(index).over(_frame(group, index, *WHOLE)) < n - 1
 
 
 def _vote(group: Sequence[str], index: str, value: str, n: int, k: int) -> Column:
-    votes = F.sum(value).over(_frame(group, index, -(n // 2), n // 2))
+    half = n // 2
+    if half <= NEAR:
+        back, ahead = _shifts(group, index, value, half)
+        votes = F.col(value)
+        for neighbour in (*back, *ahead):
+            votes = votes + F.coalesce(neighbour, F.lit(0))
+    else:
+        votes = F.sum(value).over(_frame(group, index, -half, half))
     return F.when(_too_short(group, index, n), F.col(value)).otherwise(
         (votes >= k).cast("int")
     )
 
 
 def _bridge(group: Sequence[str], index: str, value: str, collar: int) -> Column:
-    alarm_at = F.when(F.col(value) == 1, F.col(index))
-    previous = F.max(alarm_at).over(_frame(group, index, -collar, -1))
-    following = F.min(alarm_at).over(_frame(group, index, 1, collar))
-    bridged = F.coalesce(following - previous - 1 <= collar, F.lit(False))
+    if collar <= NEAR:
+        back, ahead = _shifts(group, index, value, collar)
+        steps = [
+            F.coalesce(*[F.when(v == 1, F.lit(j)) for j, v in enumerate(side, 1)])
+            for side in (back, ahead)
+        ]
+        gap = steps[0] + steps[1] - 1
+    else:
+        alarm_at = F.when(F.col(value) == 1, F.col(index))
+        previous = F.max(alarm_at).over(_frame(group, index, -collar, -1))
+        gap = F.min(alarm_at).over(_frame(group, index, 1, collar)) - previous - 1
+    bridged = F.coalesce(gap <= collar, F.lit(False))
     return ((F.col(value) == 1) | bridged).cast("int")
 
 
@@ -134,19 +164,20 @@ def vote_level(
     reach = n // 2 + collar
     floor = F.lit(float("-inf"))
     rows = with_halo(df, index, reach, reach, max(size, n))
-    in_frame = F.collect_list(prob).over(_frame(group, index, -(n // 2), n // 2))
-    ranked = F.coalesce(F.get(F.sort_array(in_frame, asc=False), F.lit(k - 1)), floor)
+    back, ahead = _shifts(group, index, prob, n // 2)
+    in_frame = F.sort_array(F.array(F.col(prob), *back, *ahead), asc=False)
+    ranked = F.coalesce(F.get(in_frame, F.lit(k - 1)), floor)
     rows = rows.withColumn(
         out, F.when(_too_short(group, index, n), F.col(prob)).otherwise(ranked)
     )
     if collar:
-        gaps = []
-        for back in range(1, collar + 1):
-            left = F.max(out).over(_frame(group, index, -back, -1))
-            right = F.max(out).over(_frame(group, index, 1, collar + 1 - back))
-            gaps.append(F.when(left.isNotNull() & right.isNotNull(), F.least(left, right)))
-        rows = rows.withColumn("_gap", F.greatest(*gaps) if len(gaps) > 1 else gaps[0])
-        rows = rows.withColumn(out, F.greatest(out, "_gap")).drop("_gap")
+        back, ahead = _shifts(group, index, out, collar)
+        ends = [
+            F.least(F.coalesce(left, floor), F.coalesce(right, floor))
+            for i, left in enumerate(back, 1)
+            for right in ahead[: collar + 1 - i]
+        ]
+        rows = rows.withColumn(out, F.greatest(out, *ends))
     return _settle(rows)
 
 

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paroxys.functions import arrays
+from paroxys.functions.arrays import let
 from paroxys.operators.metrics import ratio
-from paroxys.operators.windows import array_mean, array_std
+from paroxys.operators.ordered import dense_index, ordered_bucket
 
 
 def dataset_summary(
@@ -28,8 +30,6 @@ def dataset_summary(
 
 def subject_map(windows: DataFrame, subject: str = "subject") -> DataFrame:
     """Dense subject ids in name order, as rows ``(subject_id, subject)``."""
-    from paroxys.operators.ordered import dense_index, ordered_bucket
-
     names = windows.select(subject).distinct()
     return dense_index(
         ordered_bucket(names, subject, "chunk", 64), [], "chunk", [subject], "subject_id"
@@ -118,35 +118,39 @@ def channel_correlation(
     and multiplied pairwise there; pairs of samples never become rows.
     """
     gathered = windows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(channel).alias("ch"), F.col(x).alias("x")))).alias("c")
+        F.sort_array(F.collect_list(F.struct(F.col(channel).alias("ch"), F.col(x).alias("x")))).alias("c")
     )
+
+    def standardise(values: Column) -> Column:
+        return let(
+            arrays.mean(values),
+            lambda m: let(
+                arrays.std(values, m),
+                lambda s: F.transform(values, lambda v: F.try_divide(v - m, s)),
+            ),
+        )
+
     standard = F.transform(
-        "c",
-        lambda c: F.struct(
-            c["ch"].alias("ch"),
-            c["x"].alias("x"),
-            array_mean(c["x"]).alias("m"),
-            array_std(c["x"], array_mean(c["x"])).alias("s"),
-        ),
+        "c", lambda c: F.struct(c["ch"].alias("ch"), let(c["x"], standardise).alias("z"))
     )
 
     def correlate(a: Column, b: Column) -> Column:
-        products = F.zip_with(a["x"], b["x"], lambda u, v: (u - a["m"]) * (v - b["m"]))
-        cov = array_mean(products)
-        return F.try_divide(cov, a["s"] * b["s"])
-
-    pairs = F.flatten(
-        F.transform(
-            "c",
-            lambda a: F.transform(
-                F.filter("c", lambda b: b["ch"] > a["ch"]),
-                lambda b: F.struct(
-                    a["ch"].alias("ch_a"), b["ch"].alias("ch_b"), correlate(a, b).alias("r")
+        return arrays.mean(F.zip_with(a["z"], b["z"], lambda u, v: u * v))
+
+    def all_pairs(channels: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                channels,
+                lambda a: F.transform(
+                    F.filter(channels, lambda b: b["ch"] > a["ch"]),
+                    lambda b: F.struct(
+                        a["ch"].alias("ch_a"), b["ch"].alias("ch_b"), correlate(a, b).alias("r")
+                    ),
                 ),
-            ),
+            )
         )
-    )
-    rows = gathered.withColumn("c", standard).select(label, F.explode(pairs).alias("p"))
+
+    rows = gathered.select(label, F.explode(let(standard, all_pairs)).alias("p"))
     return (
         rows.groupBy(F.col("p.ch_a").alias("ch_a"), F.col("p.ch_b").alias("ch_b"))
         .agg(
@@ -159,8 +163,15 @@ def channel_correlation(
 
 def norm_audit(windows: DataFrame, by: Sequence[str] = (), x: str = "x") -> DataFrame:
     """Mean of the window means and deviations."""
-    mean = array_mean(F.col(x))
-    rows = windows.withColumn("_m", mean).withColumn("_s", array_std(F.col(x), F.col("_m")))
+    def moments(values: Column) -> Column:
+        return let(
+            arrays.mean(values),
+            lambda m: F.struct(m.alias("m"), arrays.std(values, m).alias("s")),
+        )
+
+    rows = windows.select(*by, let(F.col(x), moments).alias("_w")).select(
+        *by, F.col("_w.m").alias("_m"), F.col("_w.s").alias("_s")
+    )
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("_m").alias("mean_of_means"),

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paroxys.functions.arrays import let
 from paroxys.functions.hashing import uniform
 
 
@@ -48,7 +49,7 @@ def amplitude_scale(
 ) -> DataFrame:
     """Multiply by one factor in ``[low, high)``."""
     factor = low + (high - low) * uniform(key, seed + 1)
-    scaled = F.transform(x, lambda v: v * factor)
+    scaled = let(factor, lambda f: F.transform(x, lambda v: v * f))
     return df.withColumn(x, F.when(_chosen(key, p, seed), scaled).otherwise(F.col(x)))
 
 

@@ -190,7 +190,7 @@ def feature_vector(
     return per_channel.groupBy(*keys).agg(
         F.flatten(
             F.transform(
-                F.array_sort(F.collect_list(F.struct(channel, "features"))), lambda c: c["features"]
+                F.sort_array(F.collect_list(F.struct(channel, "features"))), lambda c: c["features"]
             )
         ).alias("features")
     )

@@ -52,12 +52,13 @@ def with_halo(
         raise ValueError(f"halo ({before}, {after}) exceeds the chunk size {size}")
     home = index_chunk(index, size)
     offset = F.col(index) - home * size
-    copies = F.array_compact(
-        F.array(
-            home,
-            F.when((offset < after) & (home > 0), home - 1),
-            F.when(offset >= size - before, home + 1),
-        )
+    early = (offset < after) & (home > 0)
+    late = offset >= size - before
+    copies = (
+        F.when(early & late, F.array(home, home - 1, home + 1))
+        .when(early, F.array(home, home - 1))
+        .when(late, F.array(home, home + 1))
+        .otherwise(F.array(home))
     )
     return (
         df.withColumn("_home", home)

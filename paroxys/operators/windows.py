@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paroxys.functions import arrays
+from paroxys.functions.arrays import let
 from paroxys.operators.ordered import CHUNK_ROWS, index_chunk, with_halo
 
 GROUP = ("user_id",)
@@ -44,17 +46,20 @@ def sliding_windows(
     span = per_chunk * stride
     rows = with_halo(df, index, 0, max(window - stride, 0), span)
     packed = rows.groupBy(*group, "chunk").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v")))).alias("s")
-    )
-    steps = F.sequence(F.lit(0), F.lit(per_chunk - 1))
-    fits = F.filter(steps, lambda j: j * stride + window <= F.size("s"))
-    cut = F.transform(
-        fits,
-        lambda j: F.struct(
-            (F.col("chunk") * per_chunk + j).cast("bigint").alias("k"),
-            F.slice(F.col("s.v"), j * stride + 1, F.lit(window)).alias("x"),
-        ),
-    )
+        F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v")))).alias("s")
+    ).where(F.size("s") >= window)
+    last = F.least(F.lit(per_chunk - 1), F.floor((F.size("s") - window) / F.lit(stride)).cast("int"))
+
+    def cut_all(v: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda j: F.struct(
+                (F.col("chunk") * per_chunk + j).cast("bigint").alias("k"),
+                F.slice(v, j * stride + 1, F.lit(window)).alias("x"),
+            ),
+        )
+
+    cut = let(F.col("s.v"), cut_all)
     return packed.select(*group, F.explode(cut).alias("w")).select(
         *group, "w.k", (F.col("w.k") * stride).alias("start"), "w.x"
     )
@@ -81,7 +86,7 @@ def sliding_windows_by_copy(
     item = F.struct(i.alias("i"), F.col(value).alias("v"))
     return (
         members.groupBy(*group, "k")
-        .agg(F.array_sort(F.collect_list(item)).alias("s"))
+        .agg(F.sort_array(F.collect_list(item)).alias("s"))
         .where(F.size("s") == window)
         .select(*group, "k", (F.col("k") * stride).alias("start"), F.col("s.v").alias("x"))
     )
@@ -156,26 +161,18 @@ def normalise(df: DataFrame, mode: str | None, **options) -> DataFrame:
     return df
 
 
-def array_mean(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / F.size(x)
-
-
-def array_std(x: Column, mean: Column) -> Column:
-    """Population standard deviation of an array."""
-    squares = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-    return F.sqrt(squares / F.size(x))
-
-
 def zscore_window(df: DataFrame, x: str = "x", eps: float = 1e-6, out: str = "x") -> DataFrame:
     """Z-score of each window by its own mean and deviation; no shuffle."""
-    return (
-        df.withColumn("_mean", array_mean(F.col(x)))
-        .withColumn("_std", array_std(F.col(x), F.col("_mean")))
-        .withColumn(
-            out, F.transform(F.col(x), lambda v: (v - F.col("_mean")) / (F.col("_std") + eps))
+
+    def scale(values: Column) -> Column:
+        return let(
+            arrays.mean(values),
+            lambda m: let(
+                arrays.std(values, m) + eps, lambda s: F.transform(values, lambda v: (v - m) / s)
+            ),
         )
-        .drop("_mean", "_std")
-    )
+
+    return df.withColumn(out, let(F.col(x), scale))
 
 
 def downsample(

@@ -56,7 +56,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 def write_loso(folds: DataFrame, summary: DataFrame, path: str, by: str = "model") -> None:
     """Folds nested under their model beside mean and deviation, as JSON."""
     nested = folds.groupBy(by).agg(
-        F.array_sort(F.collect_list(F.struct(*[c for c in folds.columns if c != by]))).alias("folds")
+        F.sort_array(F.collect_list(F.struct(*[c for c in folds.columns if c != by]))).alias("folds")
     )
     means = [c for c in summary.columns if c.startswith("mean_")]
     stds = [c for c in summary.columns if c.startswith("std_")]

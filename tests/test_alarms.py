@@ -51,6 +51,23 @@ def test_collar_merge(spark, preds, collar, want, size):
     assert column(alarms.collar_merge(frame(spark, preds), collar, size=size)) == want
 
 
+@pytest.mark.parametrize("n,k,collar", [(41, 20, 20), (7, 4, 5)])
+@pytest.mark.parametrize("size", [64, 1 << 16])
+def test_wide_vote_and_collar(spark, sequences, n, k, collar, size):
+    preds = per_user(sequences, "pred")
+    voted = per_user(alarms.majority_vote(sequences, n, k, size=size), "pred")
+    merged = per_user(alarms.collar_merge(sequences, collar, size=size), "pred")
+    for user, p in preds.items():
+        half = n // 2
+        want = [int(sum(p[max(i - half, 0) : i + half + 1]) >= k) for i in range(len(p))]
+        assert voted[user] == (want if len(p) >= n else p)
+        runs, filled = naive_runs(p), list(p)
+        for (_, a), (b, _) in zip(runs, runs[1:]):
+            if b - a - 1 <= collar:
+                filled[a:b] = [1] * (b - a)
+        assert merged[user] == filled
+
+
 def test_collar_zero_changes_nothing(spark):
     assert column(alarms.collar_merge(frame(spark, [1, 0, 1]), 0)) == [1, 0, 1]
 
