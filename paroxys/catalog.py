@@ -70,7 +70,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         {f"y_sop{m}": s for m, s in fx.SOP_SEC.items()},
         fx.SPH_SEC,
         fx.POSTICTAL_SEC,
-        chunk_sec=fx.HOUR,
+        chunk_sec=fx.MINUTE,
     )
     return labels.drop_excluded(rows, "y_sop15")
 
@@ -235,7 +235,7 @@ def seizure_counts(spark, sf_dir):
 @query
 def label_detection(spark, sf_dir):
     return labels.label_detection(
-        fx.windows(spark, sf_dir), fx.seizures(spark, sf_dir), fx.WINDOW_SEC, 0.2, chunk_sec=fx.HOUR
+        fx.windows(spark, sf_dir), fx.seizures(spark, sf_dir), fx.WINDOW_SEC, 0.2, chunk_sec=fx.MINUTE
     ).select("user_id", "window_id", "y")
 
 
@@ -248,7 +248,7 @@ def label_prediction(spark, sf_dir):
         fx.SOP_SEC[15],
         fx.SPH_SEC,
         fx.POSTICTAL_SEC,
-        chunk_sec=fx.HOUR,
+        chunk_sec=fx.MINUTE,
     ).select("user_id", "window_id", "y")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paroxys.operators.ordered import dense_index, time_chunk
 
-HOUR = 3600.0
+MINUTE = 60.0
 
 # Seizure zones scaled to the event spacing of the driver tables.
 WINDOW_SEC = 4.0
@@ -42,9 +42,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One recording per user, indexed by time; the channel follows the event type."""
     raw = F.create_map(*[F.lit(x) for pair in RAW_CHANNELS.items() for x in pair])
-    rows = events(spark, sf_dir).withColumn("hour", time_chunk("t_sec", HOUR))
+    rows = events(spark, sf_dir).withColumn("minute", time_chunk("t_sec", MINUTE))
     return (
-        dense_index(rows, ["user_id"], "hour", ["t_sec", "event_id"])
+        dense_index(rows, ["user_id"], "minute", ["t_sec", "event_id"])
         .withColumn("ch_raw", raw[F.col("event_type")])
         .select("user_id", "event_id", "event_type", "i", "t_sec", "ch_raw", "value")
     )
@@ -135,7 +135,7 @@ def channel_vectors(spark: SparkSession, sf_dir: str, channels: int = 4) -> Data
 
 
 def siena_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seizure lists in wall-clock form, one file per user and day."""
+    """Seizure lists in wall-clock form, one file per user and minute."""
     rows = _seizure_rows(spark, sf_dir)
     clock_end = F.expr("ts + make_dt_interval(0, 0, 0, cast(floor(value) as decimal(18,6)))")
     block = F.concat_ws(
@@ -186,13 +186,13 @@ def _seizure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(rows: DataFrame) -> DataFrame:
-    day = F.date_format("ts", "yyyyMMdd")
+    minute = F.date_format("ts", "yyyyMMddHHmm")
     blocks = F.sort_array(F.collect_list(F.struct("event_id", "block")))
     return (
-        rows.groupBy("user_id", day.alias("day"))
+        rows.groupBy("user_id", minute.alias("minute"))
         .agg(blocks.alias("b"))
         .select(
-            F.format_string("user%d/%s.txt", "user_id", "day").alias("path"),
+            F.format_string("user%d/%s.txt", "user_id", "minute").alias("path"),
             F.format_string("user%d", "user_id").alias("subject"),
             F.concat_ws("\n", F.transform("b", lambda b: b["block"])).alias("txt"),
         )

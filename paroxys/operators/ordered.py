@@ -120,7 +120,7 @@ def dense_index(
     return ranked.withColumn(out, (F.col(out) - 1).cast("bigint"))
 
 
-def ordered_bucket(df: DataFrame, key: str, out: str = "chunk", buckets: int = 256) -> DataFrame:
+def ordered_bucket(df: DataFrame, key: str, out: str = "chunk", buckets: int = 1024) -> DataFrame:
     """Cut a sort key into nearly equal ordered ranges; ``df`` comes from a grouping by it.
 
     The cut points are the ``buckets - 1`` keys with the smallest hashes: a bounded,
@@ -132,7 +132,7 @@ def ordered_bucket(df: DataFrame, key: str, out: str = "chunk", buckets: int = 2
         .distinct()
         .orderBy(F.xxhash64("_cut"), "_cut")
         .limit(buckets - 1)
-        .agg(F.array_sort(F.collect_list("_cut")))
+        .agg(F.sort_array(F.collect_list("_cut")))
         .scalar()
     )
     return (

@@ -175,7 +175,7 @@ def fold_metrics(scores: DataFrame, by: Sequence[str] = ("model", "fold")) -> Da
     """Segment metrics, area and class counts per fold."""
     keys = list(by)
     segment = segment_metrics(scores, keys)
-    area = auc_roc(scores, keys, buckets=64).withColumnsRenamed(
+    area = auc_roc(scores, keys).withColumnsRenamed(
         {"n_pos": "n_pos_test", "n_neg": "n_neg_test"}
     )
     return segment.join(area, keys)
