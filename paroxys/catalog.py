@@ -26,6 +26,9 @@ from paroxys.operators import (
     windows,
 )
 from paroxys.plans import experiment, models
+from paroxys.plans.evaluate import evaluate
+from paroxys.plans.prepare import Preparation, prepare
+from paroxys.session import shared_folder
 from paroxys.sources import datasets, records
 from paroxys.streaming import online
 
@@ -386,8 +389,6 @@ def loso_summary(spark, sf_dir):
 @query
 def full_evaluation(spark, sf_dir):
     """Segment, area and event metrics per fold of subjects, from logits."""
-    from paroxys.plans.evaluate import evaluate
-
     rows = decide(fx.scored(spark, sf_dir).drop("prob", "pred"))
     rows = rows.withColumn("fold", (F.col("user_id") % 10).cast("int"))
     return rounded(evaluate(rows, by=["fold"], group=["fold", "user_id"]))
@@ -727,14 +728,55 @@ def ablation_grid(spark, sf_dir):
     )
 
 
+@query
+def knn_loso_summary(spark, sf_dir):
+    """Mean and deviation over the folds of the neighbour vote."""
+    rows = fx.vectors(spark, sf_dir)
+    votes = neighbours.knn_vote(rows, rows, keep=["subject", "y"], k=3, apart="subject")
+    folds = models.fold_metrics(votes.withColumnRenamed("subject", "fold"), ["fold"])
+    return rounded(metrics.fold_summary(folds, (*metrics.METRICS, "auc_roc")))
+
+
 # --- stored datasets --------------------------------------------------------------------------------
 
 
+@query
+def prepare_dataset(spark, sf_dir):
+    """From samples and seizures to labelled, normalised windows, at one sample a second."""
+    rows = fx.samples(spark, sf_dir).withColumns(
+        {
+            "subject": (F.col("user_id") % 10).cast("string"),
+            "recording": F.col("user_id").cast("string"),
+            "channel": F.lit("EEG T3"),
+        }
+    )
+    onsets = rows.where("event_type = 'purchase' and value > 150")
+    seizures = onsets.select(
+        "subject",
+        "recording",
+        F.col("i").cast("double").alias("onset_sec"),
+        (F.col("i") + 2).cast("double").alias("offset_sec"),
+    )
+    cfg = Preparation(
+        channels=("T7",),
+        source_rate=1,
+        rate=1,
+        window_sec=8.0,
+        stride_sec=4.0,
+        sop_sec={"y_near": 8.0, "y_far": 16.0},
+        sph_sec=4.0,
+        postictal_sec=8.0,
+    )
+    signal = rows.select("subject", "recording", "channel", "i", "value")
+    done = prepare(signal, seizures, cfg)
+    return done.select(
+        "recording", "channel", "k", r6("start_sec").alias("start_sec"), "y_near", "y_far", *array_digest("x")
+    )
+
+
 @query
 def dataset_roundtrip(spark, sf_dir):
     """Labelled windows written, read back under one label and counted per subject."""
-    from paroxys.session import shared_folder
-
     path = shared_folder(spark, "windows")
     rows = labelled(spark, sf_dir).withColumn("subject", F.col("user_id") % 10)
     datasets.write_windows(rows, path)

@@ -13,6 +13,8 @@ from paroxys.functions.arrays import let
 from paroxys.operators.ordered import CHUNK_ROWS, index_chunk, with_halo
 
 GROUP = ("user_id",)
+# Samples whose windows are sliced from one array.
+SLICE_ROWS = CHUNK_ROWS // 4
 
 
 def n_windows(length: Column, window: int, stride: int) -> Column:
@@ -25,6 +27,31 @@ def _check(window: int, stride: int) -> None:
         raise ValueError("window and stride must be positive")
 
 
+def windows_per_chunk(window: int, stride: int, size: int = SLICE_ROWS) -> int:
+    """Windows that start in one chunk: a whole number of strides near ``size`` samples."""
+    return max(-(-size // stride), -(-window // stride))
+
+
+def _packed(
+    df: DataFrame,
+    window: int,
+    stride: int,
+    group: Sequence[str],
+    index: str,
+    value: str,
+    size: int,
+    together: Sequence[str] | None = None,
+) -> DataFrame:
+    """One sorted array ``s`` per chunk, with the samples its windows need from the next."""
+    span = windows_per_chunk(window, stride, size) * stride
+    rows = with_halo(df, index, 0, max(window - stride, 0), span)
+    if together:
+        rows = rows.repartition(*together, "chunk")
+    item = F.struct(F.col(index).alias("i"), F.col(value).alias("v"))
+    packed = rows.groupBy(*group, "chunk").agg(F.sort_array(F.collect_list(item)).alias("s"))
+    return packed.where(F.size("s") >= window)
+
+
 def sliding_windows(
     df: DataFrame,
     window: int,
@@ -32,7 +59,7 @@ def sliding_windows(
     group: Sequence[str] = GROUP,
     index: str = "i",
     value: str = "value",
-    size: int = CHUNK_ROWS // 4,
+    size: int = SLICE_ROWS,
 ) -> DataFrame:
     """Whole windows ``(k, start, x)`` at 0, stride, 2*stride, …; the tail is dropped.
 
@@ -42,12 +69,8 @@ def sliding_windows(
     once per window.
     """
     _check(window, stride)
-    per_chunk = max(-(-size // stride), -(-window // stride))
-    span = per_chunk * stride
-    rows = with_halo(df, index, 0, max(window - stride, 0), span)
-    packed = rows.groupBy(*group, "chunk").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v")))).alias("s")
-    ).where(F.size("s") >= window)
+    per_chunk = windows_per_chunk(window, stride, size)
+    packed = _packed(df, window, stride, group, index, value, size)
     last = F.least(F.lit(per_chunk - 1), F.floor((F.size("s") - window) / F.lit(stride)).cast("int"))
 
     def cut_all(v: Column) -> Column:
@@ -65,6 +88,57 @@ def sliding_windows(
     )
 
 
+def window_positions(
+    lengths: DataFrame, window: int, stride: int, length: str = "n_samples"
+) -> DataFrame:
+    """A row per whole window of every recording, from the recordings' lengths alone."""
+    _check(window, stride)
+    last = n_windows(F.col(length), window, stride) - 1
+    return lengths.where(last >= 0).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+
+
+def cut_chosen(
+    df: DataFrame,
+    chosen: DataFrame,
+    window: int,
+    stride: int,
+    recording: Sequence[str],
+    channel: str = "channel",
+    index: str = "i",
+    value: str = "value",
+    size: int = SLICE_ROWS,
+) -> DataFrame:
+    """Cut only the windows listed in ``chosen`` (``recording…, k`` and more columns).
+
+    Samples are placed by ``(recording, chunk)`` once, for all channels. The chosen
+    windows arrive as one array per chunk on the same key, so signals are not shuffled
+    again to meet their labels, and windows that were not chosen are never built.
+    """
+    _check(window, stride)
+    per_chunk = windows_per_chunk(window, stride, size)
+    packed = _packed(df, window, stride, [*recording, channel], index, value, size, recording)
+    columns = [c for c in chosen.columns if c not in recording]
+    wanted = (
+        chosen.withColumn("chunk", F.floor(F.col("k") / F.lit(per_chunk)).cast("bigint"))
+        .groupBy(*recording, "chunk")
+        .agg(F.collect_list(F.struct(*columns)).alias("wanted"))
+    )
+
+    def cut_all(v: Column) -> Column:
+        first = F.col("chunk") * per_chunk
+        return F.transform(
+            "wanted",
+            lambda w: F.struct(
+                *[w[c].alias(c) for c in columns],
+                F.slice(v, ((w["k"] - first) * stride + 1).cast("int"), F.lit(window)).alias("x"),
+            ),
+        )
+
+    joined = packed.join(wanted, [*recording, "chunk"])
+    cut = joined.select(*recording, channel, F.explode(let(F.col("s.v"), cut_all)).alias("w"))
+    return cut.select(*recording, channel, "w.*").where(F.size("x") == window)
+
+
 def sliding_windows_by_copy(
     df: DataFrame,
     window: int,

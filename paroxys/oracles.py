@@ -714,6 +714,28 @@ ORACLES: dict[str, str] = {
         c as (select fold, {COUNTS} from s group by 1), a as (select * from {auc('s', 'fold')})
         select fold, tp, tn, fp, fn, {rates()}, n_pos as n_pos_test, n_neg as n_neg_test,
           round(auc_roc, 6) as auc_roc from c join a using (fold)""",
+    "knn_loso_summary": f"""with v as ({knn().replace('round(', '(').replace(', 6)', ')')}),
+        {VECTORS}, s as (select subject as fold, vectors.y, v.prob, v.pred from v join vectors using (window_id)),
+        c as (select fold, {COUNTS} from s group by 1), a as (select * from {auc('s', 'fold')}),
+        m as (select {rates(wrap='{}')}, auc_roc from c join a using (fold))
+        select count(*) as n_folds, {means((*METRICS, 'auc_roc'))} from m""",
+    "prepare_dataset": f"""with {SAMPLES},
+        z as (select user_id, i, (value - avg(value) over w) / (stddev_pop(value) over w + 1e-6) as v
+          from samples window w as (partition by user_id)),
+        n as (select user_id, count(*) as t from samples group by 1),
+        k as (select user_id, unnest(generate_series(0, (t - 8) // 4)) as k from n where t >= 8),
+        q as (select user_id, i::double as a, i + 2.0::double as b from samples
+          where event_type = 'purchase' and value > 150),
+        l as (select k.user_id, k.k,
+            max(case when 4 * k < b and 4 * k + 8 > a then 1 when 4 * k < a and 4 * k + 8 > a - 4 then 1
+              when 4 * k < b + 8 and 4 * k + 8 > b then 1 else 0 end) as bad,
+            max(case when 4 * k >= a - 12 and 4 * k + 8 <= a - 4 then 1 else 0 end) as y_near,
+            max(case when 4 * k >= a - 20 and 4 * k + 8 <= a - 4 then 1 else 0 end) as y_far
+          from k left join q on q.user_id = k.user_id group by all),
+        m as (select l.user_id, l.k, y_near, y_far, list(v order by i) as x
+          from l join z on z.user_id = l.user_id and i >= 4 * l.k and i < 4 * l.k + 8 where bad = 0 group by all)
+        select cast(user_id as varchar) as recording, 'T7' as channel, k, k * 4.0::double as start_sec,
+          y_near, y_far, {digest('x')} from m""",
     "experiment_grid": f"""with {LABELS}, v as (
           select 'y_sop5' as dataset, count(*) as total, sum(y_sop5) as preictal from labelled
           union all select 'y_sop10', count(*), sum(y_sop10) from labelled

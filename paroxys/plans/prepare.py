@@ -60,46 +60,51 @@ def skipped(samples: DataFrame, cfg: Preparation) -> DataFrame:
     return channel_coverage(named, cfg.channels, KEYS).where("skipped")
 
 
-def cut(signal: DataFrame, cfg: Preparation) -> DataFrame:
-    """Windows per channel with their start in seconds."""
+def positions(samples: DataFrame, cfg: Preparation) -> DataFrame:
+    """Start of every window, from the length of the raw recordings alone."""
+    named = samples.withColumn("channel", normal_name("channel"))
+    last = F.max("i")
+    if cfg.rate != cfg.source_rate:
+        last = F.floor(last * cfg.rate / F.lit(cfg.source_rate))
+    lengths = (
+        configured_channels(named, cfg.channels)
+        .groupBy(*KEYS)
+        .agg((last + 1).cast("bigint").alias("n_samples"))
+    )
     stride = int(cfg.stride_sec * cfg.rate)
-    group = [*KEYS, "channel"]
-    pieces = windows.sliding_windows(signal, int(cfg.window_sec * cfg.rate), stride, group)
-    return windows.start_seconds(pieces, stride, cfg.rate).drop("start")
+    spots = windows.window_positions(lengths, int(cfg.window_sec * cfg.rate), stride)
+    return windows.start_seconds(spots, stride, cfg.rate).drop("n_samples")
 
 
-def label(pieces: DataFrame, seizures: DataFrame, cfg: Preparation) -> DataFrame:
-    """Labels once per window, not per channel, then joined to the channels' arrays."""
-    spots = pieces.select(*KEYS, "k", "start_sec").distinct()
+def label(spots: DataFrame, seizures: DataFrame, cfg: Preparation) -> DataFrame:
+    """Labels of the kept windows, once per window and not per channel."""
     stems = spots.select("subject", F.col("recording").alias("stem"))
     matched = seizures_of_recordings(stems, seizures, cfg.match)
     matched = matched.select(
         "subject", F.col("stem").alias("recording"), "onset_sec", "offset_sec"
     )
     if cfg.mode == "detection":
-        options = {"overlap_fraction": cfg.overlap_fraction}
-    else:
-        options = {
-            "sop_sec": cfg.sop_sec,
-            "sph_sec": cfg.sph_sec,
-            "postictal_sec": cfg.postictal_sec,
-        }
-    labelled = labelled_spots(spots, matched, cfg, options)
-    return pieces.join(labelled.drop("start_sec"), [*KEYS, "k"])
-
-
-def labelled_spots(
-    spots: DataFrame, matched: DataFrame, cfg: Preparation, options: Mapping
-) -> DataFrame:
-    if cfg.mode == "detection":
-        return labels.label_detection(spots, matched, cfg.window_sec, group=KEYS, **options)
+        return labels.label_detection(
+            spots, matched, cfg.window_sec, cfg.overlap_fraction, group=KEYS
+        )
     if cfg.mode == "prediction":
-        rows = labels.label_prediction(spots, matched, cfg.window_sec, group=KEYS, **options)
+        rows = labels.label_prediction(
+            spots, matched, cfg.window_sec, cfg.sop_sec, cfg.sph_sec, cfg.postictal_sec, group=KEYS
+        )
         # Exclusion does not depend on the occurrence period, so any label column tells.
         return labels.drop_excluded(rows, next(iter(cfg.sop_sec)))
     raise ValueError(f"unknown labeling mode {cfg.mode!r}")
 
 
 def prepare(samples: DataFrame, seizures: DataFrame, cfg: Preparation) -> DataFrame:
-    """Labelled windows, one row per window and channel."""
-    return label(cut(clean_signal(samples, cfg), cfg), seizures, cfg)
+    """Labelled windows, one row per window and channel.
+
+    Windows are labelled before they are cut, so excluded ones are never built.
+    """
+    return windows.cut_chosen(
+        clean_signal(samples, cfg),
+        label(positions(samples, cfg), seizures, cfg),
+        int(cfg.window_sec * cfg.rate),
+        int(cfg.stride_sec * cfg.rate),
+        KEYS,
+    )

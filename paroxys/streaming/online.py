@@ -16,7 +16,7 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def read_events(
-    spark: SparkSession, folder: str, pattern: str, schema: str, max_bytes: int = 1 << 30
+    spark: SparkSession, folder: str, pattern: str, schema: str, max_bytes: int = 1 << 28
 ) -> DataFrame:
     """Stream of the Parquet files matching ``pattern``.
 

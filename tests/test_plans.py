@@ -180,6 +180,24 @@ def test_preparation_modes(corpus):
         prepare(samples, seizures, dataclasses.replace(CFG, mode="other"))
 
 
+def test_cutting_does_not_shuffle_signals_twice(spark, corpus):
+    samples, seizures = corpus
+    import dataclasses
+
+    plain = dataclasses.replace(CFG, rate=8, filters=(), wavelet_filter=False, normalise=None)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = prepare(samples, seizures, plain)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("REPARTITION_BY_COL") == 1
+    above = plan.split("REPARTITION_BY_COL")[0].splitlines()
+    trunk = [line for line in above if line.lstrip("+- :*()0123456789").startswith("Exchange")]
+    assert len(trunk) == 1
+
+
 def test_stored_features_are_used(spark):
     rows = spark.createDataFrame(
         [(1, 0, 1, c, [1.0, 2.0, 3.0, 5.0] * 8) for c in (0, 1)],

@@ -40,6 +40,20 @@ def test_windows_hold_the_right_samples(signal, window, stride, size):
     assert {(r["user_id"], r["k"]): r["x"] for r in copied} == want
 
 
+@pytest.mark.parametrize("size", [100, 1 << 14])
+def test_cutting_chosen_windows(signal, size):
+    df = signal.withColumn("channel", F.lit("T7"))
+    lengths = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    spots = windows.window_positions(lengths, 64, 16)
+    every = windows.cut_chosen(df, spots.drop("n_samples"), 64, 16, ["user_id"], size=size)
+    whole = windows.sliding_windows(signal, 64, 16)
+    key = lambda rows: {(r["user_id"], r["k"]): r["x"] for r in rows}
+    assert key(every.collect()) == key(whole.collect())
+    some = spots.where("k % 3 = 1").select("user_id", "k", F.lit(7).alias("y"))
+    cut = windows.cut_chosen(df, some, 64, 16, ["user_id"], size=size).collect()
+    assert {r["k"] % 3 for r in cut} == {1} and {r["y"] for r in cut} == {7}
+
+
 def test_window_arguments(signal):
     with pytest.raises(ValueError):
         windows.sliding_windows(signal, 0, 1)
