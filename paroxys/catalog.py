@@ -374,6 +374,18 @@ def threshold_sweep_voted(spark, sf_dir):
     return rounded(metrics.threshold_sweep(level, level="level", n_thresholds=21))
 
 
+@query
+def threshold_sweep_callable(spark, sf_dir):
+    """The same sweep with the post-processing given as a function of the decisions."""
+
+    def post(rows, group):
+        return alarms.vote_and_merge(rows, 3, 2, 3, group=group)
+
+    scores = fx.scored(spark, sf_dir).select("user_id", "k", "y", "prob")
+    cut = alarms.per_threshold(scores, metrics.even_thresholds(21), post)
+    return rounded(metrics.segment_metrics(cut, ["threshold"]))
+
+
 @query
 def operating_point(spark, sf_dir):
     sweep = metrics.threshold_sweep(fx.flat_scores(spark, sf_dir))

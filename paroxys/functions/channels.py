@@ -18,10 +18,13 @@ WEARABLE = ("T7", "T8", "F7", "F8", "P7", "P8")
 def normal_name(raw: str | Column) -> Column:
     """Trimmed upper-case electrode name without signal prefix, in current naming."""
     col = F.col(raw) if isinstance(raw, str) else raw
-    bare = F.regexp_replace(F.trim(col), f"(?i)^({'|'.join(PREFIXES)}) ", "")
-    name = F.upper(F.trim(bare))
-    renamed = F.create_map(*[F.lit(x) for pair in RENAMED.items() for x in pair])
-    return F.coalesce(renamed[name], name)
+    tidy = F.upper(F.trim(col))
+    typed = F.substring(tidy, 1, 4).isin(*[f"{p} " for p in PREFIXES])
+    name = F.when(typed, F.trim(F.substr(tidy, F.lit(5)))).otherwise(tidy)
+    renamed = name
+    for old, new in RENAMED.items():
+        renamed = F.when(name == old, F.lit(new)).otherwise(renamed)
+    return renamed
 
 
 def wearable_channels(

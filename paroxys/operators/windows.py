@@ -106,13 +106,15 @@ def cut_chosen(
     channel: str = "channel",
     index: str = "i",
     value: str = "value",
+    norms: DataFrame | None = None,
     size: int = SLICE_ROWS,
 ) -> DataFrame:
     """Cut only the windows listed in ``chosen`` (``recording…, k`` and more columns).
 
     Samples are placed by ``(recording, chunk)`` once, for all channels. The chosen
     windows arrive as one array per chunk on the same key, so signals are not shuffled
-    again to meet their labels, and windows that were not chosen are never built.
+    again to meet their labels, and windows that were not chosen are never built. The
+    same join brings ``norms`` (``channel_scaling``), applied before slicing.
     """
     _check(window, stride)
     per_chunk = windows_per_chunk(window, stride, size)
@@ -123,6 +125,14 @@ def cut_chosen(
         .groupBy(*recording, "chunk")
         .agg(F.collect_list(F.struct(*columns)).alias("wanted"))
     )
+    if norms is not None:
+        wanted = wanted.join(norms, list(recording))
+
+    def scaled(v: Column) -> Column:
+        if norms is None:
+            return v
+        norm = F.col("norms")[F.col(channel)]
+        return let(norm, lambda n: F.transform(v, lambda x: (x - n["shift"]) / n["scale"]))
 
     def cut_all(v: Column) -> Column:
         first = F.col("chunk") * per_chunk
@@ -135,7 +145,7 @@ def cut_chosen(
         )
 
     joined = packed.join(wanted, [*recording, "chunk"])
-    cut = joined.select(*recording, channel, F.explode(let(F.col("s.v"), cut_all)).alias("w"))
+    cut = joined.select(*recording, channel, F.explode(let(scaled(F.col("s.v")), cut_all)).alias("w"))
     return cut.select(*recording, channel, "w.*").where(F.size("x") == window)
 
 
@@ -170,12 +180,32 @@ def start_seconds(windows: DataFrame, stride: int, rate: float) -> DataFrame:
     return windows.withColumn("start_sec", F.col("k") * stride / F.lit(float(rate)))
 
 
+def scaling(value: str, mode: str, eps: float | None = None) -> tuple[Column, Column]:
+    """Aggregates ``(shift, scale)`` of a normalisation, ``(x - shift) / scale``."""
+    if mode == "zscore":
+        return F.avg(value), F.stddev_pop(value) + (1e-6 if eps is None else eps)
+    if mode == "minmax":
+        return F.min(value), F.max(value) - F.min(value) + (1e-8 if eps is None else eps)
+    raise ValueError(f"unknown normalisation {mode!r}")
+
+
+def channel_scaling(
+    df: DataFrame, mode: str, recording: Sequence[str], channel: str = "channel", value: str = "value"
+) -> DataFrame:
+    """``norms`` per recording: a map from channel to shift and scale (a montage is small)."""
+    shift, scale = scaling(value, mode)
+    figures = df.groupBy(*recording, channel).agg(shift.alias("shift"), scale.alias("scale"))
+    entry = F.struct(F.col(channel), F.struct("shift", "scale"))
+    return figures.groupBy(*recording).agg(F.map_from_entries(F.collect_list(entry)).alias("norms"))
+
+
 def _scale(
     df: DataFrame,
-    stats: dict[str, Column],
-    scaled: Column,
+    mode: str,
+    eps: float,
     group: Sequence[str],
     index: str,
+    value: str,
     out: str,
     size: int,
 ) -> DataFrame:
@@ -186,14 +216,21 @@ def _scale(
     Spark broadcasts them when they are small.
     """
     home = index_chunk(index, size)
+    shift, scale = scaling(value, mode, eps)
     summary = (
         df.groupBy(*group)
-        .agg(*[c.alias(n) for n, c in stats.items()], F.min(home).alias("_c0"), F.max(home).alias("_c1"))
+        .agg(
+            shift.alias("_shift"),
+            scale.alias("_scale"),
+            F.min(home).alias("_c0"),
+            F.max(home).alias("_c1"),
+        )
         .withColumn("_chunk", F.explode(F.sequence("_c0", "_c1")))
         .drop("_c0", "_c1")
     )
     joined = df.withColumn("_chunk", home).join(summary, [*group, "_chunk"])
-    return joined.withColumn(out, scaled).drop("_chunk", *stats)
+    scaled = (F.col(value) - F.col("_shift")) / F.col("_scale")
+    return joined.withColumn(out, scaled).drop("_chunk", "_shift", "_scale")
 
 
 def zscore(
@@ -206,9 +243,7 @@ def zscore(
     size: int = CHUNK_ROWS,
 ) -> DataFrame:
     """``(x - mean) / (population std + eps)`` over each channel of a recording."""
-    stats = {"_mean": F.avg(value), "_std": F.stddev_pop(value)}
-    scaled = (F.col(value) - F.col("_mean")) / (F.col("_std") + eps)
-    return _scale(df, stats, scaled, group, index, out, size)
+    return _scale(df, "zscore", eps, group, index, value, out, size)
 
 
 def minmax(
@@ -221,9 +256,7 @@ def minmax(
     size: int = CHUNK_ROWS,
 ) -> DataFrame:
     """``(x - min) / (max - min + eps)`` over each channel of a recording."""
-    stats = {"_min": F.min(value), "_max": F.max(value)}
-    scaled = (F.col(value) - F.col("_min")) / (F.col("_max") - F.col("_min") + eps)
-    return _scale(df, stats, scaled, group, index, out, size)
+    return _scale(df, "minmax", eps, group, index, value, out, size)
 
 
 def normalise(df: DataFrame, mode: str | None, **options) -> DataFrame:

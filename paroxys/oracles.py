@@ -602,6 +602,7 @@ ORACLES: dict[str, str] = {
     "threshold_sweep": f"""with {SWEEP} select round(threshold, 6) as threshold, tp, tn, fp, fn, {rates()},
         (select round(auc_roc, 6) from {auc('flat', '')}) as auc_roc from c""",
     "threshold_sweep_voted": VOTED_SWEEP,
+    "threshold_sweep_callable": VOTED_SWEEP,
     "operating_point": f"""with {SWEEP}, h as (select *, fp / ((tp + tn + fp + fn) * 4.0::double / 3600.0) as fp_h,
           {div('tp', '(tp + fn)')} as rec from c)
         select round(threshold, 6) as threshold, tp, tn, fp, fn, {rates()}, round(fp_h, 6) as fp_h

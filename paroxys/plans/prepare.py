@@ -38,7 +38,7 @@ class Preparation:
 
 
 def clean_signal(samples: DataFrame, cfg: Preparation) -> DataFrame:
-    """Configured channels, resampled, filtered and normalised.
+    """Configured channels, resampled and filtered.
 
     Recordings without any configured channel drop out here; ``skipped`` counts them.
     """
@@ -51,7 +51,7 @@ def clean_signal(samples: DataFrame, cfg: Preparation) -> DataFrame:
         kept = recursive.iir_filter(kept, b, a, group)
     if cfg.wavelet_filter:
         kept = features.dwt_filter(kept, group=group)
-    return windows.normalise(kept, cfg.normalise, group=group)
+    return kept
 
 
 def skipped(samples: DataFrame, cfg: Preparation) -> DataFrame:
@@ -99,12 +99,18 @@ def label(spots: DataFrame, seizures: DataFrame, cfg: Preparation) -> DataFrame:
 def prepare(samples: DataFrame, seizures: DataFrame, cfg: Preparation) -> DataFrame:
     """Labelled windows, one row per window and channel.
 
-    Windows are labelled before they are cut, so excluded ones are never built.
+    Windows are labelled before they are cut, so excluded ones are never built. Signals
+    are normalised by their whole recording while they are cut.
     """
+    signal = clean_signal(samples, cfg)
+    norms = None
+    if cfg.normalise in ("zscore", "minmax"):
+        norms = windows.channel_scaling(signal, cfg.normalise, KEYS)
     return windows.cut_chosen(
-        clean_signal(samples, cfg),
+        signal,
         label(positions(samples, cfg), seizures, cfg),
         int(cfg.window_sec * cfg.rate),
         int(cfg.stride_sec * cfg.rate),
         KEYS,
+        norms=norms,
     )
