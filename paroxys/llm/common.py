@@ -66,3 +66,13 @@ def spans_of(mask_starts, mask_ends) -> list[tuple[int, int]]:
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
+
+
+#: Rows up to which a stored helper table is sent to every executor.
+SMALL_ROWS = 400_000
+
+
+def small(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
+    """A stored table with few narrow columns, broadcast if it has at most ``bound`` rows;
+    beyond that Spark joins by shuffle."""
+    return F.broadcast(df) if df.count() <= bound else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paroxys.llm import chat, decontaminate, exact_dedup, language, mixing, warc
+from paroxys.llm import chat, decontaminate, exact_dedup, language, mixing, simhash, warc
 from paroxys.llm.common import crc32_of, table
 
 #: Production weights of the mixture; names that are not listed weigh 1.
@@ -44,6 +44,10 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_warc_revisits": op4_warc_revisits,
+    "op7_simhash": op7_simhash,
     "op8_chat_rotation": op8_chat_rotation,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
