@@ -138,10 +138,11 @@ def mark_duplicates(
     n_blocks = bits // BLOCK_BITS
     filter_blocks = written(repeated_filter(slim.select(F.xxhash64(sha).alias("h")), n_blocks), "bloom")
     noted, flag = _possible(slim, sha, filter_blocks, n_blocks)
-    groups = (
-        noted.where(flag).groupBy(sha).agg(F.count("*").alias(size), F.min(doc_id).alias(keep))
+    # Stored, so that the join below has two plain sides and Spark can split hot digests.
+    groups = written(
+        noted.where(flag).groupBy(sha).agg(F.count("*").alias(size), F.min(doc_id).alias(keep)), "groups"
     )
-    rows, flag = noted, flag
+    rows = noted
     if whole_rows:
         rows, flag = _possible(docs.withColumn(sha, digest(text)), sha, filter_blocks, n_blocks)
     columns = docs.columns if whole_rows else [doc_id]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paroxys.llm import chat, decontaminate, exact_dedup, language, mixing, simhash, warc
+from paroxys.llm import chat, decontaminate, exact_dedup, language, mixing, simhash, suffix, surrogates, warc
 from paroxys.llm.common import crc32_of, table
 
 #: Production weights of the mixture; names that are not listed weigh 1.
@@ -27,6 +27,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows, names = mixing.mix(docs, domain_of(), MIX_WEIGHTS)
@@ -44,6 +48,15 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is public here; a real run passes its own."""
+    rows = surrogates.replace(table(spark, sf_dir, "documents"), b"example key")
+    kinds = F.transform(
+        F.array_sort(F.map_entries("kinds")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
+    )
+    return rows.select("doc_id", "text", "n_entities", F.array_join(kinds, ",").alias("kinds"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf_dir, "documents"))
 
@@ -74,8 +87,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_repeated_passages": op2_repeated_passages,
     "op3_source_mix": op3_source_mix,
     "op4_warc_revisits": op4_warc_revisits,
+    "op6_surrogates": op6_surrogates,
     "op7_simhash": op7_simhash,
     "op8_chat_rotation": op8_chat_rotation,
     "op9_language": op9_language,

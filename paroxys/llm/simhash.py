@@ -245,7 +245,7 @@ def near_classes(
         "rooted",
     )
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
+    named = written(rooted.join(lowest, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

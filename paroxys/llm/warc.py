@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paroxys.llm.common import fresh
+from paroxys.llm.common import fresh, written
 from paroxys.session import shared_folder
 
 MIN_REVISIT_BYTES = 100
@@ -46,7 +46,10 @@ def resolve(
     size, digest, origin = fresh(pages, "size", "digest", "origin")
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
     rows = pages.withColumns({size: F.length(body).cast("bigint"), digest: F.sha2(body, 256)})
-    first = rows.where(F.col(size) >= min_bytes).groupBy(digest).agg(F.min(page_id).alias(origin))
+    headers = rows.where(F.col(size) >= min_bytes).select(digest, page_id)
+    first = headers.groupBy(digest).agg(F.min(page_id).alias(origin), F.count("*").alias(size))
+    # Only digests held more than once; stored, so that Spark can split hot ones in the join.
+    first = written(first.where(F.col(size) > 1).drop(size), "origins")
     joined = rows.join(first, digest, "left")
     small = (F.col(size) < min_bytes) | F.col(page_id).eqNullSafe(F.col(origin))
     part = F.when(small, F.lit(None)).otherwise(F.col(origin))
