@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paroxys.llm import chat, decontaminate, exact_dedup, language, mixing, simhash, suffix, surrogates, warc
+from paroxys.llm import chat, decontaminate, exact_dedup, katz, language, mixing, simhash, suffix, surrogates, warc
 from paroxys.llm.common import crc32_of, table
 
 #: Production weights of the mixture; names that are not listed weigh 1.
@@ -48,6 +48,20 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(crc32_of("doc_id"), F.lit(7)) == 2
+    rows, model = katz.fit_and_score(table(spark, sf_dir, "documents"), ~held_out)
+    return rows.select(
+        "doc_id",
+        (~F.col("trained")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model["n"]).cast("bigint").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
+    )
+
+
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key is public here; a real run passes its own."""
     rows = surrogates.replace(table(spark, sf_dir, "documents"), b"example key")
@@ -90,6 +104,7 @@ QUERIES = {
     "op2_repeated_passages": op2_repeated_passages,
     "op3_source_mix": op3_source_mix,
     "op4_warc_revisits": op4_warc_revisits,
+    "op5_katz": op5_katz,
     "op6_surrogates": op6_surrogates,
     "op7_simhash": op7_simhash,
     "op8_chat_rotation": op8_chat_rotation,
