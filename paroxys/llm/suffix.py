@@ -155,10 +155,11 @@ def _bucket_of(lead: np.ndarray, doc: np.ndarray, splitters: tuple[np.ndarray, n
     s_lead, s_doc = splitters
     low, high = np.searchsorted(s_lead, lead, "left"), np.searchsorted(s_lead, lead, "right")
     shared = np.flatnonzero(low != high)
+    bucket = low.copy()
     for value in np.unique(low[shared]):
         own = shared[low[shared] == value]
-        low[own] += np.searchsorted(s_doc[value : high[own[0]]], doc[own], "right")
-    return low
+        bucket[own] += np.searchsorted(s_doc[value : high[own[0]]], doc[own], "right")
+    return bucket
 
 
 def _gather(buffer: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
