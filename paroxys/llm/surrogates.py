@@ -75,7 +75,7 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
         for part in ("last", "sur"):
             if m[part]:
                 found.append((*m.span(part), "surname", m[part].lower()))
-    found.sort()
+    found.sort(key=lambda e: (e[0], -e[1]))
     out: list[tuple[int, int, str, str]] = []
     for entity in found:
         if not out or entity[0] >= out[-1][1]:

@@ -75,4 +75,5 @@ def test_pipeline_against_plain_steps(spark):
     assert {r.doc_id for r in result.select("doc_id").collect()} <= kept
     tokens = sum(len(brute.words(rows[i].text)) for i in kept)
     used = result.agg(F.sum("_tokens")).first()[0]
-    assert 0.85 * 0.5 * tokens < used <= 0.5 * tokens
+    # Each leaf may leave less than its next document; the leaves are small here.
+    assert 0.6 * 0.5 * tokens < used <= 0.5 * tokens
