@@ -28,9 +28,11 @@ from paroxys.llm.common import binary, small, written
 LENGTH = 50
 GRAM = 16
 #: Bytes of stretches in a bucket, about; bounds what a task holds.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 #: Bytes of stretches a task gathers before it sends them on.
 FLUSH_BYTES = 48 << 20
+#: Suffixes of repeated stretches judged at a time.
+STEP = 1 << 19
 #: Texts are cut into pieces of this many suffixes, short texts gathered up to it.
 PIECE = 1 << 20
 #: Sampled stretches per bucket, and bytes of sampled texts per bucket.
@@ -322,10 +324,10 @@ def _solve(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     lowest = np.empty(len(holder), np.int64)
     least = np.minimum.reduceat(holder[sorted_], heads)
     lowest[sorted_] = np.repeat(least, np.diff(np.append(heads, len(sorted_))))
+    del inside, sorted_, heads, holder, least
     # All occurrences, a bounded number of suffixes at a time.
     ends = np.cumsum(count[own])
-    step = 1 << 22
-    cut = np.searchsorted(ends, np.arange(step, int(ends[-1]) + step, step), "left") + 1
+    cut = np.searchsorted(ends, np.arange(STEP, int(ends[-1]) + STEP, STEP), "left") + 1
     last = 0
     for stop in np.unique(np.minimum(cut, len(own))).tolist():
         o, s = own[last:stop], seen[last:stop]
