@@ -32,6 +32,8 @@ from paroxys.llm.common import LOWER_BYTES, binary, written
 #: Tokens of a block, and triples of a bucket, about; they bound what a task holds.
 BLOCK_TOKENS = 1 << 21
 BUCKET_TRIPLES = 5 << 19
+#: Documents whose parts of the score are added up together.
+SHARD_ROWS = 1 << 14
 #: Counts up to this are discounted by Good-Turing; larger ones keep this share, so that
 #: no context is without mass for the words it has not seen.
 DISCOUNTED, KEPT = 5, 0.999
@@ -432,17 +434,27 @@ def backoff_weights(total: np.ndarray, mass: np.ndarray, sums: np.ndarray, d: np
     return (1.0 - (sums @ d[1:]) / total) / (1.0 - mass)
 
 
-def document_scores(tables: DataFrame, d2: np.ndarray, hot: dict[int, float]) -> DataFrame:
-    """``(row, n_tokens, n_known, base, score)`` parts, to be added up by row."""
+def document_scores(tables: DataFrame, d2: np.ndarray, hot: dict[int, float], shards: int) -> DataFrame:
+    """``(row, n_tokens, n_known, base, score)``; each bucket packs its parts by shard."""
     shared = tables.sparkSession.sparkContext.broadcast((d2, hot))
 
+    def deal(row, n, known, base, score) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            mixed = row.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        shard = ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            if len(own):
+                blob = pack(row[own], n[own], known[own], base[own], score[own])
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard[own[0]]], pa.int64()), "blob": [blob]})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, spread = shared.value
         for batch in batches:
             for item in batch.to_pylist():
                 if item["figures"]:
                     row, n, known, base = unpack(item["figures"])
-                    yield _scored(row, n, known, base, np.zeros(len(row)))
+                    yield from deal(row, n, known, base, np.zeros(len(row)))
                 if item["known"]:
                     row, score, *classes = unpack(item["known"])
                     for r, number in enumerate(classes, 1):
@@ -457,16 +469,31 @@ def document_scores(tables: DataFrame, d2: np.ndarray, hot: dict[int, float]) ->
                     doc, context, number = unpack(item["unseen"])
                     off = np.bincount(doc, number * np.log10(weight[context]), len(row)) if len(doc) else 0.0
                     zero = np.zeros(len(row), np.int64)
-                    yield _scored(row, zero, zero, np.zeros(len(row)), score + off)
+                    yield from deal(row, zero, zero, np.zeros(len(row)), score + off)
 
-    return tables.select("known", "unseen", "contexts", "figures").mapInArrow(
-        run, "row bigint, n_tokens bigint, n_known bigint, base double, score double"
-    )
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def total() -> list[np.ndarray]:
+            parts = [np.concatenate([h[k] for h in held]) for k in range(5)]
+            row, place = np.unique(parts[0], return_inverse=True)
+            sums = [np.bincount(place, p, len(row)) for p in parts[1:]]
+            return [row, *(s.astype(np.int64) for s in sums[:2]), *sums[2:]]
 
+        for batch in batches:
+            held += [unpack(b.as_py()) for b in batch.column("blob")]
+            if sum(len(h[0]) for h in held) > 1 << 20:
+                held = [total()]
+        if held:
+            row, n, known, base, score = total()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (row, n, known, base, score)], names=["row", "n_tokens", "n_known", "base", "score"]
+            )
 
-def _scored(row, n, known, base, score) -> pa.RecordBatch:
-    columns = [pa.array(c.astype(np.int64)) for c in (row, n, known)] + [pa.array(c.astype(float)) for c in (base, score)]
-    return pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "n_known", "base", "score"])
+    dealt = tables.select("known", "unseen", "contexts", "figures").mapInArrow(run, "shard bigint, blob binary")
+    return dealt.repartition(shards, "shard").mapInArrow(
+        add, "row bigint, n_tokens bigint, n_known bigint, base double, score double"
+    )
 
 
 def fit_and_score(
@@ -538,8 +565,6 @@ def fit_and_score(
         r[0]: float(backoff_weights(np.array([r[1]]), np.array([r[2]]), np.array([r[3:]], float), d2)[0])
         for r in pieces.collect()
     }
-    parts = document_scores(tables, d2, hot).groupBy("row").agg(
-        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")]
-    )
+    parts = document_scores(tables, d2, hot, max(8, facts.n // SHARD_ROWS))
     scored = rows.select("doc_id", "trained", "row").join(parts, "row").drop("row")
     return scored, model | {"d2": d2, "hot_weights": hot, "tables": tables, "words": gathered, "blocks": stored}
