@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from paroxys.llm.common import LOWER_BYTES, binary, written
 
 #: Tokens of a block, and triples of a bucket, about; they bound what a task holds.
-BLOCK_TOKENS = 1 << 21
-BUCKET_TRIPLES = 5 << 19
+BLOCK_TOKENS = 3 << 19
+BUCKET_TRIPLES = 1 << 21
 #: Documents whose parts of the score are added up together.
 SHARD_ROWS = 1 << 14
 #: Counts up to this are discounted by Good-Turing; larger ones keep this share, so that
