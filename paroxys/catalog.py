@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from paroxys import fixtures as fx
 from paroxys.functions import channels
-from paroxys.functions.hashing import replayable_key
 from paroxys.functions.scores import decide, scrub
 from paroxys.operators import (
     alarms,

@@ -23,8 +23,6 @@ from paroxys.operators.ordered import (
 )
 
 GROUP = ("user_id",)
-# Up to this many rows on either side single shifts beat a sliding frame.
-NEAR = 16
 WHOLE = (W.unboundedPreceding, W.unboundedFollowing)
 
 
@@ -51,32 +49,18 @@ def _too_short(group: Sequence[str], index: str, n: int) -> Column:
 
 def _vote(group: Sequence[str], index: str, value: str, n: int, k: int) -> Column:
     half = n // 2
-    if half <= NEAR:
-        back, ahead = _shifts(group, index, value, half)
-        votes = F.col(value)
-        for neighbour in (*back, *ahead):
-            votes = votes + F.coalesce(neighbour, F.lit(0))
-    else:
-        votes = F.sum(value).over(_frame(group, index, -half, half))
+    votes = F.coalesce(F.sum(value).over(_frame(group, index, -half, half)), F.lit(0))
     return F.when(_too_short(group, index, n), F.col(value)).otherwise(
         (votes >= k).cast("int")
     )
 
 
 def _bridge(group: Sequence[str], index: str, value: str, collar: int) -> Column:
-    if collar <= NEAR:
-        back, ahead = _shifts(group, index, value, collar)
-        steps = [
-            F.coalesce(*[F.when(v == 1, F.lit(j)) for j, v in enumerate(side, 1)])
-            for side in (back, ahead)
-        ]
-        gap = steps[0] + steps[1] - 1
-    else:
-        alarm_at = F.when(F.col(value) == 1, F.col(index))
-        previous = F.max(alarm_at).over(_frame(group, index, -collar, -1))
-        gap = F.min(alarm_at).over(_frame(group, index, 1, collar)) - previous - 1
-    bridged = F.coalesce(gap <= collar, F.lit(False))
-    return ((F.col(value) == 1) | bridged).cast("int")
+    alarm_at = F.when(F.col(value) == 1, F.col(index))
+    previous = F.max(alarm_at).over(_frame(group, index, -collar, -1))
+    gap = F.min(alarm_at).over(_frame(group, index, 1, collar)) - previous - 1
+    raised = F.coalesce(F.col(value) == 1, F.lit(False))
+    return (raised | F.coalesce(gap <= collar, F.lit(False))).cast("int")
 
 
 def _settle(df: DataFrame) -> DataFrame:
@@ -96,7 +80,7 @@ def majority_vote(
     """1 where at least ``k`` of the windows within ``n // 2`` are 1.
 
     The frame is cut at the recording's ends; a recording shorter than ``n`` keeps its
-    decisions. Even ``n`` therefore counts ``n + 1`` windows.
+    decisions. Even ``n`` therefore counts ``n + 1`` windows. A null decision counts as 0.
     """
     half = n // 2
     rows = with_halo(df, index, half, half, max(size, n))

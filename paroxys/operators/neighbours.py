@@ -27,6 +27,14 @@ def _numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
 
 
+def _finite(x: str) -> Column:
+    """The vector as doubles; the job fails on NaN or infinite coordinates."""
+    values = F.col(x).cast("array<double>")
+    sound = F.forall(values, lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
+    broken = F.raise_error(F.lit("a vector has a coordinate that is no finite number"))
+    return F.when(sound, values).otherwise(broken.cast("array<double>"))
+
+
 def nearest(
     test: DataFrame,
     train: DataFrame,
@@ -46,39 +54,41 @@ def nearest(
     column whose equal values must not be neighbours (the held-out subject).
     """
     n_test, n_train = blocks or tuple(-(-max(t.count(), 1) // BLOCK_ROWS) for t in (test, train))
-    extra = [apart] if apart else []
-    left = test.select(key, *extra, F.col(x).alias("x")).withColumns(
-        {
-            "bt": F.pmod(F.xxhash64(key), F.lit(n_test)),
-            "br": F.explode(_numbers(n_train)),
-        }
+    # Every column is renamed: test and training rows may come from the same table.
+    own = {"id": F.col(key), "part": F.col(apart) if apart else F.lit(None).cast("int")}
+    left = test.select(
+        *[c.alias(n) for n, c in own.items()],
+        _finite(x).alias("x"),
+        F.pmod(F.xxhash64(key), F.lit(n_test)).alias("bt"),
+        F.explode(_numbers(n_train)).alias("br"),
     )
-    right = train.select(key, *extra, F.col(label).alias("label"), F.col(x).alias("x")).withColumns(
-        {
-            "br": F.pmod(F.xxhash64(key), F.lit(n_train)),
-            "bt": F.explode(_numbers(n_test)),
-        }
+    right = train.select(
+        *[c.alias(f"t_{n}") for n, c in own.items()],
+        F.col(label).alias("t_label"),
+        _finite(x).alias("t_x"),
+        F.pmod(F.xxhash64(key), F.lit(n_train)).alias("t_br"),
+        F.explode(_numbers(n_test)).alias("t_bt"),
     )
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(a) and len(b):
-            b = b.sort_values(key, ignore_index=True)
-            vectors = np.stack(b["x"].to_numpy())
-            keys, labels = b[key].to_numpy(), b["label"].to_numpy()
+            b = b.sort_values("t_id", ignore_index=True)
+            vectors = np.stack(b["t_x"].to_numpy())
+            keys, labels = b["t_id"].to_numpy(), b["t_label"].to_numpy()
             step = max(1, CELLS // len(b))
             for at in range(0, len(a), step):
                 part = a.iloc[at : at + step]
                 dist = _squared(np.stack(part["x"].to_numpy()), vectors)
                 if apart:
-                    same = part[apart].to_numpy()[:, None] == b[apart].to_numpy()[None, :]
+                    same = part["part"].to_numpy()[:, None] == b["t_part"].to_numpy()[None, :]
                     dist[same] = np.inf
                 best = np.argsort(dist, axis=1, kind="stable")[:, :k]
                 d2 = np.take_along_axis(dist, best, axis=1)
                 found.append(
                     pd.DataFrame(
                         {
-                            key: np.repeat(part[key].to_numpy(), best.shape[1]),
+                            key: np.repeat(part["id"].to_numpy(), best.shape[1]),
                             "neighbour": keys[best].ravel(),
                             "label": labels[best].ravel(),
                             "d2": d2.ravel(),
@@ -87,12 +97,13 @@ def nearest(
                 )
         empty = pd.DataFrame({key: [], "neighbour": [], "label": [], "d2": []})
         out = pd.concat(found) if found else empty
+        # Infinite are only the rows that must stay apart; inputs are finite.
         return out[np.isfinite(out["d2"].astype(float))]
 
     kind = dict(test.dtypes)[key]
     met = (
         left.groupBy("bt", "br")
-        .cogroup(right.groupBy("bt", "br"))
+        .cogroup(right.groupBy("t_bt", "t_br"))
         .applyInPandas(meet, f"{key} {kind}, neighbour {kind}, label int, d2 double")
     )
     order = W.partitionBy(key).orderBy("d2", "neighbour")
@@ -126,6 +137,10 @@ def distance_vote(neighbours: DataFrame, key: str = "window_id") -> DataFrame:
 
 
 def knn_vote(test: DataFrame, train: DataFrame, keep: Sequence[str] = (), **options) -> DataFrame:
+    """Every test row with ``prob`` and ``pred``, null where it has no neighbour."""
     key = options.get("key", "window_id")
     votes = distance_vote(nearest(test, train, **options), key)
-    return test.select(key, *keep).join(votes, key)
+    # Renamed, so that test and training rows of one table do not clash in the join.
+    votes = votes.select(F.col(key).alias("_key"), "prob", "pred")
+    rows = test.select(F.col(key).alias(key), *[F.col(c).alias(c) for c in keep])
+    return rows.join(votes, F.col(key) == F.col("_key"), "left").drop("_key")

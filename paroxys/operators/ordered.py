@@ -135,17 +135,25 @@ def ordered_bucket(df: DataFrame, key: str, out: str = "chunk", buckets: int = 1
         .agg(F.sort_array(F.collect_list("_cut")))
         .scalar()
     )
-    return (
-        df.withColumn("_cuts", cuts)
-        .withColumn(out, F.size(F.filter("_cuts", lambda cut: cut <= F.col(key))).cast("bigint"))
-        .drop("_cuts")
-    )
+    # Binary search for the number of cuts at or below the key.
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(buckets - 1, 1).bit_length()))])
+
+    def further(place: Column, step: Column) -> Column:
+        return F.when(F.get("_cuts", place + step - 1) <= F.col(key), place + step).otherwise(place)
+
+    found = F.aggregate(steps, F.lit(0), further).cast("bigint")
+    return df.withColumn("_cuts", cuts).withColumn(out, found).drop("_cuts")
+
+
+def chunk_count(df: DataFrame, rows: int = CHUNK_ROWS) -> Column:
+    """How many chunks of about ``rows`` rows a table needs, as a scalar subquery."""
+    return df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(rows)), F.lit(1)).cast("int")).scalar()
 
 
-def hashed_bucket(order_key: str | Column, span: int, buckets: int = 1024) -> Column:
+def hashed_bucket(order_key: str | Column, span: int, buckets: int | Column = 1024) -> Column:
     """Ordered range of a key that is spread evenly over ``[0, span)``."""
     col = F.col(order_key) if isinstance(order_key, str) else order_key
-    return F.floor(col / F.lit(max(span // buckets, 1))).cast("bigint")
+    return F.floor(col / F.lit(float(span)) * buckets).cast("bigint")
 
 
 def map_halo_chunks(

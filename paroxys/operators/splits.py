@@ -14,10 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paroxys.functions.hashing import MODULUS, replayable_key, uniform
-from paroxys.operators.ordered import dense_index, hashed_bucket
-
-# Most label values a broadcast of per-class figures may hold.
-MAX_CLASSES = 1000
+from paroxys.operators.ordered import chunk_count, dense_index, hashed_bucket
 
 
 def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
@@ -33,16 +30,8 @@ def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
 
 
 def _per_class(df: DataFrame, figures: DataFrame, label: str) -> DataFrame:
-    """Attach one row per class. Labels are class codes, so the table is tiny; should a
-    mistaken label column hold more values than that, the job stops instead of
-    broadcasting it."""
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    checked = figures.withColumn("_labels", n).where(
-        F.when(F.col("_labels") <= MAX_CLASSES, F.lit(True)).otherwise(
-            F.raise_error(F.lit("too many label values")).cast("boolean")
-        )
-    )
-    return df.join(F.broadcast(checked.drop("_labels")), label)
+    """Attach one row per class; Spark broadcasts the figures if they are small."""
+    return df.join(figures, label)
 
 
 def sample_weights(df: DataFrame, label: str = "y") -> DataFrame:
@@ -67,11 +56,11 @@ def binary_weights(df: DataFrame, label: str = "y", by: Sequence[str] = ()) -> D
 
 
 def class_position(
-    df: DataFrame, key: str = "window_id", label: str = "y", seed: int = 42, buckets: int = 1024
+    df: DataFrame, key: str = "window_id", label: str = "y", seed: int = 42
 ) -> DataFrame:
     """Add ``pos``, the row's place in the hash order of its class, from 0."""
     hashed = df.withColumn("_hash", replayable_key(key, seed)).withColumn(
-        "_chunk", hashed_bucket("_hash", MODULUS, buckets)
+        "_chunk", hashed_bucket("_hash", MODULUS, chunk_count(df))
     )
     return dense_index(hashed, [label], "_chunk", ["_hash", key], "pos").drop("_hash", "_chunk")
 
@@ -145,10 +134,13 @@ def stratified_split(
 
 
 def inner_split(
-    train: DataFrame, n_train: int, val_size: float = 0.1, **options
+    train: DataFrame, n_train: int, val_size: float = 0.1, min_rows: int = 20, **options
 ) -> tuple[DataFrame, DataFrame]:
-    """Training and validation rows inside a fold; small folds validate on themselves."""
-    if n_train <= 20:
+    """Training and validation rows inside a fold.
+
+    Folds of at most ``min_rows`` rows validate on themselves; 0 always splits.
+    """
+    if n_train <= min_rows:
         return train, train
     cut = stratified_split(train, 0.0, val_size, **options)
     return cut.where("role = 'train'").drop("role"), cut.where("role = 'val'").drop("role")
@@ -203,7 +195,7 @@ def weighted_sample(
     draws = (
         dense_index(
             df.select(key).withColumn("_h", replayable_key(key, seed)).withColumn(
-                "_chunk", hashed_bucket("_h", MODULUS)
+                "_chunk", hashed_bucket("_h", MODULUS, chunk_count(df))
             ),
             [],
             "_chunk",

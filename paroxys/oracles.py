@@ -220,13 +220,11 @@ def levels(source: str, depth: int, keys: str = "window_id") -> str:
 
 
 def key(col: str, seed: int) -> str:
-    m = 2147483647
-    mixed = f"(((({col} + {seed}) % {m}) * 48271) % {m})"
-    return f"((({mixed} * {mixed}) % {m} * 48271 + {mixed}) % {m})"
+    return f"cast('0x' || substr(md5('{seed}:' || cast({col} as varchar)), 1, 13) as bigint)"
 
 
 def uniform(col: str, seed: int) -> str:
-    return f"({key(col, seed)} / 2147483647.0::double)"
+    return f"({key(col, seed)} / 4503599627370496.0::double)"
 
 
 PLACED = f"""placed as (
@@ -687,6 +685,13 @@ ORACLES: dict[str, str] = {
     "channel_dropout": f"""with {CHANNELS}, s as (select window_id, ch, case when {uniform('window_id', 3)} < 0.5
           and ch = floor({uniform('window_id', 4)} * 4) then [0.0::double for v in x] else x end as x from chans)
         select window_id, ch, {digest('x')} from s""",
+    "gaussian_noise": f"""with {VECTORS}, e as (
+          select window_id, i, x[i] as v, cast(window_id as varchar) || ':' || cast(i as varchar) as place
+          from (select window_id, x, unnest(range(1, len(x) + 1)) as i from vectors)),
+        s as (select window_id, i, case when {uniform('window_id', 4)} < 0.5 then
+          v + 0.01::double * sqrt(-2 * ln(1 - {uniform('place', 5)})) * cos(2 * pi() * {uniform('place', 6)}) else v end as v from e)
+        select window_id, count(*) as n, round(sum(v), 6) as total, round(sum(v * i), 6) as weighted
+        from s group by window_id""",
     "loso_folds": f"""with {VECTORS}, c as (select subject as fold, count(*) as n_test, sum(y) as pos_test
           from vectors group by 1), t as (select count(*) as n, sum(y) as p from vectors)
         select fold, n - n_test as n_train, n_test, p - pos_test as pos_train, pos_test

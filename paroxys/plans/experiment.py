@@ -88,7 +88,7 @@ def _run(table: DataFrame, model: str, overrides: Mapping[str, Mapping] | None)
         scores = materialise(loso_scores(table, [model], overrides), "scores")
         row = fold_summary(fold_metrics(scores), (*METRICS, "auc_roc")).first()
     except Exception as error:  # a run must not stop the grid
-        return ("error", f"{type(error).__name__}: {error}"[:500], 0, None, None, None, None)
+        return ("error", f"{type(error).__name__}: {error}", 0, None, None, None, None)
     shown = ("recall", "specificity", "f1", "auc_roc")
     return ("ok", None, row["n_folds"], *[row[f"mean_{m}"] for m in shown])
 

@@ -50,8 +50,10 @@ def build_estimator(name: str, n_train: int, overrides: Mapping | None = None) -
     """Spark estimator of a model that is fitted (all but the neighbour vote)."""
     p = parameters(name, overrides)
     if name in ("svm_linear", "svm_rbf"):
-        # The penalty C of a sum of losses is 1 / (C * rows) on their mean.
-        return LinearSVC(regParam=1.0 / (p["C"] * max(n_train, 1)), maxIter=p["maxIter"], **COLUMNS)
+        # The penalty C of a sum of losses is 1 / (C * rows) on their mean. Inputs are
+        # taken as they are: scaling would change the kernel the Fourier columns stand for.
+        penalty = 1.0 / (p["C"] * max(n_train, 1))
+        return LinearSVC(regParam=penalty, maxIter=p["maxIter"], standardization=False, **COLUMNS)
     if name == "random_forest":
         return RandomForestClassifier(seed=SEED, **p, **COLUMNS)
     if name in ("xgboost", "lightgbm"):

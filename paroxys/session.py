@@ -29,11 +29,13 @@ def local_session(cpus: int | str = "*", app: str = "paroxys", **conf: str) -> S
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name under the checkpoint directory all executors can reach.
 
-    The cluster names that directory in ``spark.checkpoint.dir``. Only a session
-    without one (a single-machine test) gets a temporary folder instead.
+    The cluster names that directory in ``spark.checkpoint.dir``. Only a session on a
+    local master (a single-machine test) gets a temporary folder instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="paroxys-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
