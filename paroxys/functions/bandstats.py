@@ -29,33 +29,34 @@ def moments(x: np.ndarray) -> list[np.ndarray]:
     return [x.min(axis=1), x.max(axis=1), mean, m2, np.sqrt(m2), skew, kurt]
 
 
-def sample_entropy(x: np.ndarray, m: int = 2, tolerance: float = 0.2, max_n: int = 64) -> np.ndarray:
+def sample_entropy(
+    x: np.ndarray, m: int = 2, tolerance: float = 0.2, max_n: int | None = None
+) -> np.ndarray:
     """-log of how often m-point matches stay matches with one more point.
 
-    Defined on the first ``max_n`` points. 0 without spread or without matches of
-    length m, infinite without longer ones.
+    Taken over the whole row, or over its first ``max_n`` points. 0 without spread or
+    without matches of length m, infinite without longer ones. Rows are compared with
+    themselves lag by lag, so memory stays that of the rows.
     """
     x = x[:, :max_n]
     n = x.shape[1]
     if n < 2:
         return np.zeros(len(x))
     radius = tolerance * x.std(axis=1, ddof=1)
-    apart = np.abs(x[:, :, None] - x[:, None, :])
-
-    def matches(length: int) -> np.ndarray:
-        size = n - length
-        if size < 2:
-            return np.zeros(len(x))
-        worst = apart[:, :size, :size]
-        for lag in range(1, length):
-            worst = np.maximum(worst, apart[:, lag : lag + size, lag : lag + size])
-        close = worst <= radius[:, None, None]
-        return (close.sum(axis=(1, 2)) - size) / 2
-
-    b, a = matches(m), matches(m + 1)
+    short, long = np.zeros(len(x)), np.zeros(len(x))
+    for lag in range(1, n):
+        close = np.abs(x[:, lag:] - x[:, :-lag]) <= radius[:, None]
+        for length, total in ((m, short), (m + 1, long)):
+            starts = n - length - lag
+            if starts < 1:
+                continue
+            run = close[:, :starts].copy()
+            for step in range(1, length):
+                run &= close[:, step : step + starts]
+            total += run.sum(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        entropy = -np.log(a / b)
-    return np.where((radius == 0) | (b == 0), 0.0, entropy)
+        entropy = -np.log(long / short)
+    return np.where((radius == 0) | (short == 0), 0.0, entropy)
 
 
 def permutation_entropy(x: np.ndarray) -> np.ndarray:
@@ -78,7 +79,12 @@ def shannon_entropy(x: np.ndarray, bins: int = 32) -> np.ndarray:
     return -(share * logs).sum(axis=1)
 
 
-def band_stats(x: np.ndarray) -> np.ndarray:
-    """``(rows, 10)`` statistics in the order of ``STATS``."""
-    columns = [*moments(x), sample_entropy(x), permutation_entropy(x), shannon_entropy(x)]
+def band_stats(x: np.ndarray, entropy_points: int | None = None) -> np.ndarray:
+    """``(rows, 10)`` statistics in the order of ``STATS``.
+
+    ``entropy_points`` limits the sample entropy to that many first points (64 is the
+    usual shortcut); by default it covers the whole row.
+    """
+    entropy = sample_entropy(x, max_n=entropy_points)
+    columns = [*moments(x), entropy, permutation_entropy(x), shannon_entropy(x)]
     return np.stack(columns, axis=1)

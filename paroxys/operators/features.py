@@ -38,6 +38,16 @@ def _rows_of_equal_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.nda
             yield block, flat[starts[block][:, None] + np.arange(length)[None, :]]
 
 
+def _column(parts: list[np.ndarray]) -> pa.Array:
+    """One value, or one array, per row of blocks that were computed together."""
+    if parts[0].ndim == 1:
+        return pa.array(np.concatenate(parts))
+    sizes = np.concatenate([np.full(len(p), p.shape[1]) for p in parts])
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    inner = _column([p.reshape(-1, *p.shape[2:]) for p in parts])
+    return pa.ListArray.from_arrays(pa.array(offsets), inner)
+
+
 def map_windows(
     df: DataFrame,
     kernel: Callable[[np.ndarray], list[np.ndarray]],
@@ -60,12 +70,14 @@ def map_windows(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            cells: list[list] = [[None] * batch.num_rows for _ in names]
+            places: list[np.ndarray] = []
+            parts: list[list] = [[] for _ in names]
             for rows, values in _rows_of_equal_length(batch.column(x)):
-                for column, result in zip(cells, kernel(values)):
-                    for row, cell in zip(rows, result):
-                        column[row] = cell
-            columns = [batch.column(n) for n in kept] + [pa.array(c) for c in cells]
+                places.append(rows)
+                for column, result in zip(parts, kernel(values)):
+                    column.append(np.asarray(result))
+            order = pa.array(np.argsort(np.concatenate(places)))
+            columns = [batch.column(n) for n in kept] + [_column(p).take(order) for p in parts]
             yield pa.RecordBatch.from_arrays(columns, names=kept + names)
 
     return df.mapInArrow(run, schema)
@@ -153,21 +165,23 @@ def dwt_filter(
     return map_halo_chunks(rows, group, index, value, rebuild, value).select(*df.columns)
 
 
-def band_stats(df: DataFrame, x: str = "x") -> DataFrame:
-    """The ten statistics as columns."""
+def band_stats(df: DataFrame, x: str = "x", entropy_points: int | None = None) -> DataFrame:
+    """The ten statistics as columns; see ``bandstats.band_stats`` for ``entropy_points``."""
 
     def kernel(values: np.ndarray) -> list[np.ndarray]:
-        return list(bandstats.band_stats(values).T)
+        return list(bandstats.band_stats(values, entropy_points).T)
 
     types = ",".join(["double"] * len(bandstats.STATS))
     return map_windows(df, kernel, ",".join(bandstats.STATS), types, x).drop(x)
 
 
-def channel_features(df: DataFrame, level: int = 4, x: str = "x") -> DataFrame:
+def channel_features(
+    df: DataFrame, level: int = 4, x: str = "x", entropy_points: int | None = None
+) -> DataFrame:
     """``features``: ten statistics for every band of one channel, approximation first."""
 
     def kernel(values: np.ndarray) -> list[np.ndarray]:
-        parts = [bandstats.band_stats(b) for b in wavelet.decompose(values, level)]
+        parts = [bandstats.band_stats(b, entropy_points) for b in wavelet.decompose(values, level)]
         return [np.concatenate(parts, axis=1).astype(np.float32)]
 
     made = map_windows(df, kernel, "features", "array<float>", x).drop(x)
@@ -181,12 +195,13 @@ def feature_vector(
     keys: Sequence[str] = ("window_id", "subject", "y"),
     channel: str = "ch",
     x: str = "x",
+    entropy_points: int | None = None,
 ) -> DataFrame:
     """One vector per window: channel, then band, then statistic.
 
     Only the short per-channel vectors are shuffled, not the signals.
     """
-    per_channel = channel_features(df.select(*keys, channel, x), level, x)
+    per_channel = channel_features(df.select(*keys, channel, x), level, x, entropy_points)
     return per_channel.groupBy(*keys).agg(
         F.flatten(
             F.transform(

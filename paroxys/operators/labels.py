@@ -73,9 +73,18 @@ def label_detection(
     start: str = "start_sec",
     chunk_sec: float = DAY,
 ) -> DataFrame:
-    """``y`` = 1 where one seizure covers at least the given fraction of the window."""
-    if not 0 < overlap_fraction <= 1:
-        raise ValueError("overlap_fraction must lie in (0, 1]")
+    """``y`` = 1 where one seizure covers at least the given fraction of the window.
+
+    At fraction 0 any seizure of the recording makes all its windows 1.
+    """
+    if not 0 <= overlap_fraction <= 1:
+        raise ValueError("overlap_fraction must lie in [0, 1]")
+    if overlap_fraction == 0:
+        known = F.col("onset_sec").isNotNull() & F.col("offset_sec").isNotNull()
+        marked = seizures.where(known).select(*group).distinct().withColumn("_any", F.lit(1))
+        return windows.join(marked, list(group), "left").withColumn(
+            "y", F.coalesce("_any", F.lit(0))
+        ).drop("_any")
     need = overlap_fraction * win_sec
     onset, offset = F.col("onset_sec"), F.col("offset_sec")
     zones = _zones(

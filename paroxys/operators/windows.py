@@ -15,6 +15,7 @@ from paroxys.operators.ordered import CHUNK_ROWS, index_chunk, with_halo
 GROUP = ("user_id",)
 # Samples whose windows are sliced from one array.
 SLICE_ROWS = CHUNK_ROWS // 4
+_SAMPLES = "array<struct<i:bigint,v:double>>"
 
 
 def n_windows(length: Column, window: int, stride: int) -> Column:
@@ -47,9 +48,27 @@ def _packed(
     rows = with_halo(df, index, 0, max(window - stride, 0), span)
     if together:
         rows = rows.repartition(*together, "chunk")
-    item = F.struct(F.col(index).alias("i"), F.col(value).alias("v"))
+    item = F.struct(F.col(index).cast("bigint").alias("i"), F.col(value).cast("double").alias("v"))
     packed = rows.groupBy(*group, "chunk").agg(F.sort_array(F.collect_list(item)).alias("s"))
-    return packed.where(F.size("s") >= window)
+    begin = F.col("chunk") * span
+    return packed.withColumn("s", _whole(F.col("s"), begin)).where(F.size("s") >= window)
+
+
+def _whole(s: Column, begin: Column) -> Column:
+    """The sorted samples, if they count up from ``begin`` one by one; else the job fails.
+
+    Windows are slices by position, so a missing or doubled sample would shift them.
+    """
+    last = F.element_at(s, -1)["i"]
+    sound = (last >= begin) & (s["i"] == F.sequence(begin.cast("bigint"), F.greatest(last, begin).cast("bigint")))
+    broken = F.raise_error(F.lit("samples of a recording are missing or given twice"))
+    return F.when(sound, s).otherwise(broken.cast(_SAMPLES))
+
+
+def _gaps(df: DataFrame, group: Sequence[str], index: str) -> Column:
+    """How many recordings do not count their samples from 0 without holes; a scalar."""
+    found = df.groupBy(*group).agg((F.max(index) + 1 != F.count(F.lit(1))).alias("_bad"))
+    return found.agg(F.count_if("_bad")).scalar()
 
 
 def sliding_windows(
@@ -166,11 +185,14 @@ def sliding_windows_by_copy(
     i = F.col(index)
     first = F.greatest(F.lit(0), F.ceil((i - window + 1) / F.lit(stride))).cast("bigint")
     last = F.floor(i / F.lit(stride)).cast("bigint")
-    members = df.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
-    item = F.struct(i.alias("i"), F.col(value).alias("v"))
+    broken = F.raise_error(F.lit("samples of a recording are missing or given twice"))
+    sound = F.when(_gaps(df, group, index) == 0, F.lit(True)).otherwise(broken.cast("boolean"))
+    members = df.where(sound & (first <= last)).withColumn("k", F.explode(F.sequence(first, last)))
+    item = F.struct(i.cast("bigint").alias("i"), F.col(value).cast("double").alias("v"))
     return (
         members.groupBy(*group, "k")
         .agg(F.sort_array(F.collect_list(item)).alias("s"))
+        .withColumn("s", _whole(F.col("s"), F.col("k") * stride))
         .where(F.size("s") == window)
         .select(*group, "k", (F.col("k") * stride).alias("start"), F.col("s.v").alias("x"))
     )

@@ -34,6 +34,7 @@ class Preparation:
     )
     sph_sec: float = 300.0
     postictal_sec: float = 900.0
+    # "exact" names, or "fuzzy" ones: part of each other, as loosely kept lists need.
     match: str = "exact"
 
 

@@ -110,7 +110,7 @@ def test_modes(spark):
 
 def test_detection_needs_a_share(spark):
     with pytest.raises(ValueError):
-        labels.label_detection(windows(spark, [0]), seizures(spark, []), 4.0, 0.0)
+        labels.label_detection(windows(spark, [0]), seizures(spark, []), 4.0, -0.1)
 
 
 def test_merge_labels(spark):
@@ -125,3 +125,10 @@ def test_merge_labels_refuses_other_windows(spark):
     b = spark.createDataFrame([(1, 1)], "w int, y int")
     with pytest.raises(Exception, match="different windows"):
         labels.merge_labels({"y5": a, "y10": b}, ["w"]).collect()
+
+
+def test_detection_at_fraction_zero_marks_the_recording(spark):
+    spots = spark.createDataFrame([(1, 0.0), (1, 4.0), (2, 0.0)], "user_id bigint, start_sec double")
+    seizures = spark.createDataFrame([(1, 100.0, 110.0), (1, 200.0, 201.0)], "user_id bigint, onset_sec double, offset_sec double")
+    got = labels.label_detection(spots, seizures, 4.0, 0.0).collect()
+    assert sorted((r["user_id"], r["y"]) for r in got) == [(1, 1), (1, 1), (2, 0)]

@@ -157,3 +157,12 @@ def test_dense_index_and_buckets(spark):
 def test_halo_must_fit(signal):
     with pytest.raises(ValueError):
         with_halo(signal, "i", 10, 0, 5)
+
+
+@pytest.mark.parametrize("cut", [windows.sliding_windows, windows.sliding_windows_by_copy])
+@pytest.mark.parametrize("spoil", ["gap", "double", "both"])
+def test_missing_or_doubled_samples_fail(spark, cut, spoil):
+    places = {"gap": [0, 1, 2, 4, 5, 6, 7], "double": [0, 1, 2, 2, 3, 4, 5], "both": [0, 1, 1, 3, 4, 5, 6]}[spoil]
+    rows = spark.createDataFrame([(1, i, float(i)) for i in places], "user_id bigint, i bigint, value double")
+    with pytest.raises(Exception, match="missing or given twice"):
+        cut(rows, 4, 4).collect()
