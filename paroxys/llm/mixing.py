@@ -26,8 +26,8 @@ SEED = 42
 MAX_EPOCHS = 4
 BUDGET_SHARE = 0.5
 LEVELS = ("domain", "lang", "source")
-#: Hash ranges a leaf's documents are counted in before the cut range is sorted.
-CHUNK_BITS = 16
+#: Documents of a hash range, about; ranges are counted before any of them is sorted.
+CHUNK_DOCS = 4096
 
 
 def token_count(text: Column) -> Column:
@@ -132,6 +132,7 @@ def mix(
         named.select(*[F.col(a).alias(b) for a, b in own.items()], token_count(F.col(text)).alias("n")),
         "tokens",
     )
+    chunks = max(1, slim.count() // CHUNK_DOCS)
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
     total = slim.agg(F.floor(F.coalesce(F.sum("n"), F.lit(0)) * F.lit(budget_share)).alias("total")).scalar()
     given = leaf_budgets(leaves, total, weights, max_epochs)
@@ -148,7 +149,7 @@ def mix(
         .groupBy(*LEVELS, "uid", "whole", "rest")
         .agg(F.sum("n").alias("n"))
         .withColumn("h", seeded_order(F.col("uid"), F.col("whole"), seed))
-        .withColumn("chunk", F.conv(F.substring("h", 1, CHUNK_BITS // 4), 16, 10).cast("bigint"))
+        .withColumn("chunk", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32 * chunks))
     )
     summed = running(units, list(LEVELS), "chunk", ["h", "uid"], sums={"upto": F.col("n")})
     cuts = (
