@@ -382,8 +382,10 @@ def drop_near(
     union = F.size("ga") + F.size("gb") - common
     alike = (union == 0) | (common >= F.lit(similarity) * union)
     roots = components(both.where(alike).select("a", "b"))
-    grouped = nodes.select("node", "sha", "id").join(roots, "node")
+    # Both sides of the join by group are stored, so that Spark can split large groups.
+    grouped = written(nodes.select("node", "sha", "id").join(roots, "node"), "grouped")
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("sha"))).alias("best"))
+    best = written(best, "best")
     losers = written(
         grouped.join(best, "root").where(F.col("sha") != F.col("best.sha")).select(F.col("sha").alias(sha)), "losers"
     )
