@@ -67,16 +67,32 @@ def window_stats(
     )
 
 
+def _naive(moment) -> pd.Timestamp:
+    stamp = pd.Timestamp(moment)
+    return stamp.tz_convert("UTC").tz_localize(None) if stamp.tzinfo else stamp
+
+
 class _Sequence(StatefulProcessor):
-    """Feeds one recording's rows of a micro-batch, in time order, to ``step``."""
+    """Feeds one recording's rows of a micro-batch, in time order, to ``step``.
+
+    Values depend on the order of rows, so micro-batches must follow each other in time
+    within a recording: a row before the last one already answered stops the stream.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("kept", self.state_schema)
+        self.last = handle.getValueState("last", "ts timestamp, event_id bigint")
 
     def handleInputRows(
         self, key, rows: Iterator[pd.DataFrame], timerValues
     ) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        first, last = batch.iloc[0], batch.iloc[-1]
+        if self.last.exists():
+            ts, event = self.last.get()
+            if (_naive(first["ts"]), first["event_id"]) < (_naive(ts), event):
+                raise ValueError(f"recording {key[0]}: a row at {first['ts']} came after one at {ts}")
+        self.last.update((pd.Timestamp(last["ts"]).to_pydatetime(), int(last["event_id"])))
         state = self.kept.get() if self.kept.exists() else None
         out, state = self.step(batch, state)
         self.kept.update(state)
@@ -181,14 +197,22 @@ def online_alarm(scored: DataFrame, need: int = 3, by: str = "user_id") -> DataF
     return _stateful(scored, by, OnlineAlarm(need, by), "alarm int")
 
 
-def run_available(stream: DataFrame, purpose: str) -> DataFrame:
-    """Process what is there now into a Parquet table of the shared folder, and read it.
+class LateRows(RuntimeError):
+    """Rows behind the watermark were left out of the result."""
 
-    Offsets, state and rows all live in that folder, so a restarted run continues.
+
+def run_available(stream: DataFrame, purpose: str, folder: str | None = None, late: str = "fail") -> DataFrame:
+    """Process what is there now into a Parquet table, and read it.
+
+    Offsets, state and rows live in ``folder``; a later call with the same folder goes on
+    where the last one ended. Without it a fresh one is taken under the shared folder.
+    Rows behind the watermark cannot enter closed windows; if there are any, the call
+    fails and tells their number. ``late="drop"`` accepts the loss.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark, purpose)
-    before = spark.conf.get(PROVIDER, None)
+    folder = folder or shared_folder(spark, purpose)
+    # The provider has to be set while the query starts; it is a setting of this session.
+    own = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
         run = (
@@ -200,8 +224,15 @@ def run_available(stream: DataFrame, purpose: str) -> DataFrame:
         )
         run.awaitTermination()
     finally:
-        if before is None:
+        if own is None:
             spark.conf.unset(PROVIDER)
         else:
-            spark.conf.set(PROVIDER, before)
+            spark.conf.set(PROVIDER, own)
+    dropped = sum(
+        int(operator.get("numRowsDroppedByWatermark", 0))
+        for progress in run.recentProgress
+        for operator in progress["stateOperators"]
+    )
+    if dropped and late == "fail":
+        raise LateRows(f"{dropped} rows were behind the watermark; allow more lateness")
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -76,3 +76,36 @@ def test_closed_windows_equal_batch(spark, stream, folder):
     limit = batch.agg(F.max("ts") - F.expr("interval 10 seconds")).first()[0]
     want = {(r["user_id"], r["w_start"]): r["n"] for r in whole.where(F.col("e") <= F.lit(limit)).collect()}
     assert {(r["user_id"], r["w_start"]): r["n"] for r in got.collect()} == want
+
+
+@pytest.fixture(scope="module")
+def backwards(spark, folder, tmp_path_factory):
+    """The same files, newest first."""
+    import os
+    import shutil
+
+    path = str(tmp_path_factory.mktemp("backwards"))
+    for n in range(3):
+        shutil.copy(f"{folder}/batch{n}.parquet", path)
+        os.utime(f"{path}/batch{n}.parquet", (1_700_000_000 - n, 1_700_000_000 - n))
+    return online.read_events(spark, path, "batch*.parquet", SCHEMA, 1)
+
+
+def test_out_of_order_files_stop_ordered_operators(backwards):
+    with pytest.raises(Exception, match="came after one"):
+        online.run_available(online.online_ema(backwards), "ema-backwards")
+
+
+def test_late_rows_are_not_lost_silently(backwards):
+    windows = online.window_stats(backwards)
+    with pytest.raises(online.LateRows):
+        online.run_available(windows, "windows-backwards")
+    patient = online.window_stats(backwards, late="1 day")
+    assert online.run_available(patient, "windows-patient").count() == 0
+
+
+def test_a_second_run_in_the_same_folder_goes_on(stream, sequences, tmp_path):
+    folder = str(tmp_path / "run")
+    first = online.run_available(online.online_ema(stream), "ema", folder).count()
+    again = online.run_available(online.online_ema(stream), "ema", folder).count()
+    assert first == again == sequences.count()
