@@ -35,7 +35,7 @@ MAX_BITS = 3
 RUN_LIMIT = 2048
 SEED = 42
 #: For near texts: shingle length, similarity, and 32-bit segments of the signature.
-SHINGLE, SIMILARITY, SEGMENTS = 5, 0.8, 10
+SHINGLE, SIMILARITY, SEGMENTS = 5, 0.8, 16
 #: Share of differing signature bits up to which a tree edge is verified on the texts.
 SLACK = 0.16
 _SLICE = 1 << 16
