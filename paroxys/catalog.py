@@ -838,3 +838,167 @@ def stream_vote(spark, sf_dir):
 @query
 def stream_alarm(spark, sf_dir):
     return online.run_available(online.online_alarm(_score_stream(spark, sf_dir)), "stream-alarm")
+
+
+# --- the same results across chunk borders ----------------------------------------------------------------
+
+
+@query
+def windows_small_chunks(spark, sf_dir):
+    cut = windows.sliding_windows(fx.samples(spark, sf_dir), 16, 4, size=16)
+    return windows.start_seconds(cut, 4, 256.0).select(
+        "user_id", "k", "start", r6("start_sec").alias("start_sec"), *array_digest("x")
+    )
+
+
+@query
+def iir_small_chunks(spark, sf_dir):
+    low = (0.2928932188134524, 0.5857864376269049, 0.2928932188134524)
+    rows = recursive.iir_filter(fx.samples(spark, sf_dir), low, (1.0, 0.0, 0.1715728752538099), size=16)
+    return rounded(rows.select("user_id", "i", "value"))
+
+
+@query
+def dwt_filter_small_chunks(spark, sf_dir):
+    rows = features.dwt_filter(fx.samples(spark, sf_dir), size=16)
+    return rounded(rows.select("user_id", "i", "value"))
+
+
+@query
+def vote_small_chunks(spark, sf_dir):
+    return alarms.majority_vote(fx.scored(spark, sf_dir), size=16).select("user_id", "k", "pred")
+
+
+@query
+def collar_small_chunks(spark, sf_dir):
+    return alarms.collar_merge(fx.scored(spark, sf_dir), size=16).select("user_id", "k", "pred")
+
+
+@query
+def ema_small_chunks(spark, sf_dir):
+    rows = alarms.ema_smooth(fx.scored(spark, sf_dir), 0.3, 0.5, size=16)
+    return rounded(rows.select("user_id", "k", "ema", "ema_pred"))
+
+
+@query
+def runs_small_chunks(spark, sf_dir):
+    return alarms.alarm_runs(fx.scored(spark, sf_dir), size=16)
+
+
+@query
+def knn_stored(spark, sf_dir):
+    """The neighbour vote of a stored table with itself, over several blocks."""
+    rows = models.materialise(fx.vectors(spark, sf_dir), "vectors")
+    return rounded(neighbours.knn_vote(rows, rows, k=3, apart="subject", blocks=(3, 4)))
+
+
+# --- files written and read back ------------------------------------------------------------------------------
+
+
+@query
+def discovered_records(spark, sf_dir):
+    """Folders of a stored dataset that the listing finds, one per subject."""
+    path = shared_folder(spark, "discovery")
+    datasets.write_windows(fx.vectors(spark, sf_dir).select("subject", "window_id"), path)
+    found = records.discover_records(spark, path, "*.parquet")
+    subject = F.regexp_extract("path", "subject=([^/]*)/", 1).cast("bigint")
+    return found.groupBy(subject.alias("subject")).agg((F.min("length") > 0).alias("found"))
+
+
+@query
+def stored_samples(spark, sf_dir):
+    """Samples as files, read for two channels."""
+    path = shared_folder(spark, "samples")
+    named = channel_samples(spark, sf_dir)
+    named.select(
+        (F.col("user_id") % 10).cast("string").alias("subject"),
+        F.col("user_id").cast("string").alias("recording"),
+        "channel",
+        "i",
+        "value",
+    ).write.parquet(path)
+    rows = records.read_samples(spark, path, ["F7", "T7"])
+    return rounded(rows.groupBy("subject", "channel").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+
+
+@query
+def stored_annotations(spark, sf_dir):
+    """Seizure lists as text files with several blocks each, found by folder."""
+    path = shared_folder(spark, "annotations")
+    texts = fx.siena_texts(spark, sf_dir)
+    texts.repartition("subject").sortWithinPartitions("subject", "path").select(
+        "subject", "txt"
+    ).write.partitionBy("subject").text(path)
+    found = records.read_texts(spark, path, "*.txt")
+    named = found.withColumn("subject", F.replace("subject", F.lit("subject="), F.lit("")))
+    return rounded(annotations.siena_intervals(named))
+
+
+@query
+def stored_features(spark, sf_dir):
+    """Vectors taken from a stored feature table instead of being computed."""
+    vectors = fx.channel_vectors(spark, sf_dir)
+    rows = features.features_or_stored(vectors, _feature_table(spark, sf_dir))
+    rows = rows.withColumn("features", F.col("features").cast("array<double>"))
+    return rows.select("window_id", "subject", "y", *array_digest("features"))
+
+
+@query
+def results_table(spark, sf_dir):
+    """Two experiments appended to one results table, the second with one more column."""
+    path = shared_folder(spark, "results")
+    names = [f"y_sop{m}" for m in (5, 10, 15)]
+    table = audit.label_table(labelled(spark, sf_dir), names)
+    datasets.append_results(table.select("variant", "total"), path, "first")
+    datasets.append_results(table.select("variant", "total", "preictal"), path, "second")
+    return datasets.read_results(spark, path).select("experiment", "variant", "total", "preictal")
+
+
+@query
+def loso_json(spark, sf_dir):
+    """Fold metrics nested in a JSON file beside their mean and deviation."""
+    path = shared_folder(spark, "loso")
+    folds = metrics.segment_metrics(fx.flat_scores(spark, sf_dir), ["fold"]).withColumn("model", F.lit("scores"))
+    summary = metrics.fold_summary(folds, ["recall", "f1"], ["model"])
+    datasets.write_loso(folds.select("model", "fold", "recall"), summary, path)
+    back = spark.read.json(path)
+    best = F.aggregate("folds", F.lit(0.0), lambda a, f: F.greatest(a, f["recall"]))
+    return rounded(
+        back.select("model", "n_folds", "mean.recall", F.col("std.f1").alias("f1_spread"), best.alias("best_recall"))
+    )
+
+
+@query
+def metadata_json(spark, sf_dir):
+    """A dataset's description written as JSON and read back."""
+    path = shared_folder(spark, "metadata")
+    rows = labelled(spark, sf_dir).withColumnRenamed("y_sop15", "y")
+    rows = rows.withColumn("subject", F.col("user_id") % 10)
+    settings = {"fs": 256, "labels": {"sph": fx.SPH_SEC, "sop": fx.SOP_SEC[15]}}
+    datasets.write_metadata(audit.metadata(rows, settings, subject="subject", recording="user_id"), path)
+    back = spark.read.json(path)
+    return rounded(
+        back.select("samples", "positive", "num_subjects", "record_count", "fs", F.col("labels.sph").cast("double").alias("sph"))
+    )
+
+
+@query
+def inner_split(spark, sf_dir):
+    """Training and validation windows inside each fold of a split by subject."""
+    rows = fx.vectors(spark, sf_dir)
+    train, _ = splits.loso_split(rows, 0)
+    cut = splits.inner_split(train, 1_000, 0.1)
+    parts = [p.groupBy("y").agg(F.count("*").alias("n")).withColumn("role", F.lit(r)) for p, r in zip(cut, ("train", "val"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def stream_parity(spark, sf_dir):
+    """Windows at which the online and the batch average agree."""
+    online_rows = online.run_available(online.online_ema(_score_stream(spark, sf_dir)), "stream-parity")
+    batch = alarms.ema_smooth(fx.scored(spark, sf_dir), 0.3, 0.5).select(
+        "user_id", "k", F.col("ema").alias("batch"), F.col("ema_pred").alias("batch_pred")
+    )
+    both = batch.join(online_rows, ["user_id", "k"], "left")
+    same = (F.abs(F.col("ema") - F.col("batch")) < 1e-9) & (F.col("ema_pred") == F.col("batch_pred"))
+    return both.select("user_id", "k", F.coalesce(same, F.lit(False)).alias("same"))

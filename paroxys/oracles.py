@@ -791,3 +791,39 @@ def _full_evaluation() -> str:
 
 
 ORACLES["full_evaluation"] = _full_evaluation()
+
+
+for twin, name in {
+    "windows_small_chunks": "sliding_windows_chunked",
+    "iir_small_chunks": "iir_filter",
+    "dwt_filter_small_chunks": "dwt_filter",
+    "vote_small_chunks": "majority_vote",
+    "collar_small_chunks": "collar_merge",
+    "ema_small_chunks": "ema",
+    "runs_small_chunks": "alarm_runs",
+    "knn_stored": "knn",
+    "stored_annotations": "siena_intervals",
+    "stored_features": "feature_vector",
+}.items():
+    ORACLES[twin] = ORACLES[name]
+
+ORACLES |= {
+    "discovered_records": f"with {VECTORS} select distinct cast(subject as bigint) as subject, true as found from vectors",
+    "stored_samples": f"""with {SAMPLES} select cast(user_id % 10 as varchar) as subject, channel, count(*) as n,
+        round(sum(value), 6) as total from samples where channel in ('F7', 'T7') group by all""",
+    "results_table": f"""with v as ({ORACLES["sop_table"]})
+        select 'first' as experiment, variant, total, null as preictal from v
+        union all select 'second', variant, total, preictal from v""",
+    "loso_json": f"""with {FLAT}, c as (select fold, {COUNTS} from flat group by 1),
+        m as (select {rates(wrap='{}')} from c)
+        select 'scores' as model, count(*) as n_folds, round(avg(recall), 6) as recall,
+          round(stddev_pop(f1), 6) as f1_spread, round(max(recall), 6) as best_recall from m""",
+    "metadata_json": f"""{_summary()} select samples, positive, num_subjects, record_count, 256 as fs,
+        18000.0::double as sph from summary""",
+    "inner_split": f"""with {VECTORS}, train as (select * from vectors where subject <> 0),
+        p as (select y, row_number() over (partition by y order by {key('window_id', 42)}, window_id) - 1 as pos,
+          count(*) over (partition by y) as n from train)
+        select y, case when pos < floor(n * 0.1::double + 0.5) then 'val' else 'train' end as role, count(*) as n
+        from p group by all""",
+    "stream_parity": f"with {SCORED} select user_id, k, true as same from scored",
+}
