@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,6 +59,13 @@ def binary(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system; workers live for many tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def spans_of(mask_starts, mask_ends) -> list[tuple[int, int]]:
     """Merge sorted half-open spans that touch or overlap."""
     out: list[list[int]] = []

@@ -23,18 +23,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paroxys.llm.common import binary, small, written
+from paroxys.llm.common import binary, give_back, small, written
 
 LENGTH = 50
 GRAM = 16
 #: Bytes of stretches in a bucket, about; bounds what a task holds.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes of stretches a task gathers before it sends them on.
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 32 << 20
 #: Suffixes of repeated stretches judged at a time.
 STEP = 1 << 19
 #: Texts are cut into pieces of this many suffixes, short texts gathered up to it.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Sampled stretches per bucket, and bytes of sampled texts per bucket.
 SAMPLES, SAMPLE_BYTES = 64, 32 << 10
 #: Stretch bytes per text byte, as measured; used to choose the number of buckets.
@@ -241,7 +241,10 @@ def deal(rows: DataFrame, splitters: tuple[np.ndarray, np.ndarray]) -> DataFrame
             if size >= FLUSH_BYTES:
                 yield from flush()
                 held, size = {}, 0
+                give_back()
         yield from flush()
+        held = {}
+        give_back()
 
     return rows.mapInArrow(run, "bucket bigint, blob binary")
 
@@ -379,10 +382,13 @@ def repeated_spans(rows: DataFrame, buckets: int, splitters: tuple[np.ndarray, n
                 if bucket != at and held:
                     yield from _solve(held)
                     held = []
+                    give_back()
                 at = bucket
                 held.append(blob.as_py())
         if held:
             yield from _solve(held)
+            held = []
+            give_back()
 
     dealt = deal(rows, splitters).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = written(
