@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paroxys.llm.common import LOWER_BYTES, binary, written
+from paroxys.llm.common import LOWER_BYTES, binary, give_back, written
 
 #: Tokens of a block, and triples of a bucket, about; they bound what a task holds.
 BLOCK_TOKENS = 3 << 19
@@ -153,8 +153,10 @@ def blocks(rows: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
                     context = part[-1]
                     if block.size >= block_tokens:
                         yield out()
+                        give_back()
         if block.size:
             yield out()
+            give_back()
 
     return rows.mapInArrow(run, "block bigint, vocabulary binary, body binary")
 
@@ -198,6 +200,7 @@ def word_counts(stored: DataFrame, buckets: int) -> DataFrame:
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held in _by_bucket(batches, "block"):
             yield from total(bucket, held)
+            give_back()
 
     dealt = stored.select("block", "vocabulary").mapInArrow(deal, "bucket bigint, block bigint, blob binary")
     return (
@@ -272,6 +275,7 @@ def triples(stored: DataFrame, gathered: DataFrame, model: dict, buckets: int, w
         at = np.flatnonzero(new)
         times = np.diff(np.append(at, len(pair))).astype(np.uint32)
         pair, segment = pair[at], segment[at].astype(np.int64)
+        del before, order_, new
         u, v = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         begins = ids[u] == own["begin"]
         cu = np.where(begins, own["texts"], counts[u])
@@ -304,6 +308,7 @@ def triples(stored: DataFrame, gathered: DataFrame, model: dict, buckets: int, w
                 if block != at:
                     if body is not None:
                         yield from solve(body, answers, order, at)
+                        give_back()
                     at, body, answers, order = block, None, [], []
                 if bucket < 0:
                     body = blob.as_py()
@@ -312,6 +317,7 @@ def triples(stored: DataFrame, gathered: DataFrame, model: dict, buckets: int, w
                     order.append(bucket)
         if body is not None:
             yield from solve(body, answers, order, at)
+            give_back()
 
     both = stored.select("block", F.lit(-1).cast("bigint").alias("bucket"), F.col("body").alias("blob")).unionAll(
         gathered.where("block is not null").select("block", "bucket", "blob")
@@ -350,6 +356,7 @@ def _context_bucket(blobs: list[bytes], model: dict) -> tuple[bytes, bytes, byte
     pair = np.empty(len(u), np.int64)
     pair[order] = np.cumsum(new) - 1
     first = order[new]
+    del order, new
     each = np.repeat(pair, docs)
     count = np.bincount(each, times * (trained > 0), len(first)).astype(np.int64)
     u, cu, cv = u[first], cu[first], cv[first]
@@ -407,6 +414,7 @@ def context_buckets(dealt: DataFrame, model: dict, buckets: int, keep_bigrams: b
                     for i in hot
                 ]
             yield pa.RecordBatch.from_pylist([result], schema=_BUCKET)
+            give_back()
 
     return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
 
