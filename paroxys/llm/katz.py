@@ -350,6 +350,7 @@ def _context_bucket(blobs: list[bytes], model: dict) -> tuple[bytes, bytes, byte
     parts = [unpack(b) for b in blobs]
     u, v, cu, cv, docs = (np.concatenate([p[k] for p in parts]) for k in range(5))
     row, trained, times = (np.concatenate([p[k] for p in parts]) for k in range(5, 8))
+    del parts
     order = np.lexsort((v, u))
     new = np.ones(len(u), bool)
     new[1:] = (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])

@@ -289,6 +289,7 @@ def _solve(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     parts = [_unpack(b) for b in blobs]
     doc, row, start, count, place = (np.concatenate([p[k] for p in parts]) for k in range(5))
     buffer = np.concatenate([p[5] for p in parts])
+    del parts
     size = count + LENGTH - 1
     first = np.cumsum(size) - size
     words = _words(buffer)
