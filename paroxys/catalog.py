@@ -652,9 +652,9 @@ def knn(spark, sf_dir):
 # --- models --------------------------------------------------------------------------------------
 
 
-def _feature_table(spark, sf_dir):
+def _feature_table(spark, sf_dir, level=4):
     """Stored wavelet features of all windows."""
-    vectors = features.feature_vector(fx.channel_vectors(spark, sf_dir), 1)
+    vectors = features.feature_vector(fx.channel_vectors(spark, sf_dir), level)
     return models.materialise(vectors, "features")
 
 
@@ -665,22 +665,24 @@ def _loso(spark, sf_dir, name, **overrides):
 
 @query
 def random_forest_loso(spark, sf_dir):
-    return _loso(spark, sf_dir, "random_forest", numTrees=20, maxDepth=5)
+    return _loso(spark, sf_dir, "random_forest")
 
 
 @query
 def gbt_loso(spark, sf_dir):
+    """Five rounds of depth three: Spark runs a job per tree level, so the usual 200 rounds
+    of depth eight are about 18 000 jobs for ten folds, whatever the number of rows."""
     return _loso(spark, sf_dir, "xgboost", maxIter=5, maxDepth=3)
 
 
 @query
 def linear_svc_loso(spark, sf_dir):
-    return _loso(spark, sf_dir, "svm_linear", maxIter=20)
+    return _loso(spark, sf_dir, "svm_linear")
 
 
 @query
 def rbf_svc_loso(spark, sf_dir):
-    return _loso(spark, sf_dir, "svm_rbf", maxIter=20)
+    return _loso(spark, sf_dir, "svm_rbf")
 
 
 @query
@@ -697,7 +699,6 @@ def loso_leaderboard(spark, sf_dir):
     results = experiment.run_experiment(
         {"embeddings": _feature_table(spark, sf_dir)},
         ["svm_linear", "svm"],
-        overrides={"svm_linear": {"maxIter": 5}},
     )
     return experiment.leaderboard(results)
 
@@ -706,8 +707,8 @@ def loso_leaderboard(spark, sf_dir):
 def param_search(spark, sf_dir):
     rows = splits.stratified_kfold(_feature_table(spark, sf_dir), 3)
     space = {
-        "numTrees": {"type": "categorical", "choices": [5, 10]},
-        "maxDepth": {"type": "int", "low": 2, "high": 4},
+        "numTrees": {"type": "categorical", "choices": [50, 100]},
+        "maxDepth": {"type": "int", "low": 5, "high": 10},
     }
     return rounded(models.search(rows, "random_forest", space, trials=3))
 
@@ -938,7 +939,7 @@ def stored_annotations(spark, sf_dir):
 def stored_features(spark, sf_dir):
     """Vectors taken from a stored feature table instead of being computed."""
     vectors = fx.channel_vectors(spark, sf_dir)
-    rows = features.features_or_stored(vectors, _feature_table(spark, sf_dir))
+    rows = features.features_or_stored(vectors, _feature_table(spark, sf_dir, 1))
     rows = rows.withColumn("features", F.col("features").cast("array<double>"))
     return rows.select("window_id", "subject", "y", *array_digest("features"))
 

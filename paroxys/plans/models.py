@@ -33,6 +33,8 @@ DEFAULTS: dict[str, dict] = {
     "knn": {"k": 3},
 }
 SEED = 42
+#: Training rows a task of a fit has at least, if there are that many.
+TASK_ROWS = 20_000
 COLUMNS = {"featuresCol": "vec", "labelCol": "y", "weightCol": "w"}
 
 
@@ -102,7 +104,9 @@ def fit_score(
         return knn_vote(test, train, keep=columns, x="features", **p)
     vector = array_to_vector(F.col("features").cast("array<double>"))
     rows = train.withColumns({"vec": vector, "w": weight(name, n_pos, n_neg)})
-    model = build_estimator(name, n_pos + n_neg, overrides).fit(rows.select("vec", "y", "w"))
+    # Iterative fits run many small jobs: no more tasks than there are rows for.
+    fitted = rows.select("vec", "y", "w").coalesce(-(-(n_pos + n_neg) // TASK_ROWS) or 1)
+    model = build_estimator(name, n_pos + n_neg, overrides).fit(fitted)
     scored = model.transform(test.withColumn("vec", vector))
     if name.startswith("svm"):
         margin = vector_to_array("rawPrediction")[1]
