@@ -44,6 +44,10 @@ HEADLINE = (
     "stratified_split",
     "weighted_sample",
     "knn",
+    "knn_loso",
+    "prepare_dataset",
+    "stream_ema",
+    "stream_windows",
 )
 
 

@@ -223,8 +223,3 @@ def conformance(summary: DataFrame) -> DataFrame:
 
 def status_counts(checks: DataFrame) -> DataFrame:
     return checks.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-def validate_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
-    """Required columns the dataset lacks."""
-    return [c for c in required if c not in df.columns]

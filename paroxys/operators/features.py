@@ -40,6 +40,9 @@ def _rows_of_equal_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.nda
 
 def _column(parts: list[np.ndarray]) -> pa.Array:
     """One value, or one array, per row of blocks that were computed together."""
+    if not all(isinstance(p, np.ndarray) for p in parts):
+        # Arrays of unequal lengths within a row.
+        return pa.array([cell for part in parts for cell in part])
     if parts[0].ndim == 1:
         return pa.array(np.concatenate(parts))
     sizes = np.concatenate([np.full(len(p), p.shape[1]) for p in parts])
@@ -75,7 +78,7 @@ def map_windows(
             for rows, values in _rows_of_equal_length(batch.column(x)):
                 places.append(rows)
                 for column, result in zip(parts, kernel(values)):
-                    column.append(np.asarray(result))
+                    column.append(result)
             order = pa.array(np.argsort(np.concatenate(places)))
             columns = [batch.column(n) for n in kept] + [_column(p).take(order) for p in parts]
             yield pa.RecordBatch.from_arrays(columns, names=kept + names)
