@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paroxys.llm.common import LOWER_BYTES, binary, fresh, spans_of, written
+from paroxys.llm.common import LOWER_BYTES, binary, fresh, give_back, spans_of, written
 
 WINDOW = 10
 BLOCK_WINDOWS = 1_000_000
@@ -152,6 +152,7 @@ def find_hits(
                 columns[spans] = pa.array(all_spans, batch.schema.field(spans).type)
                 columns[items] = pa.array(all_items, batch.schema.field(items).type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            give_back()
 
         out = out.mapInArrow(scan, out.schema)
         if number + 1 < blocks:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paroxys.llm.common import LOWER_BYTES, binary, fresh
+from paroxys.llm.common import LOWER_BYTES, binary, fresh, give_back
 
 DIMS = 1 << 14
 #: Labelled rows the classifiers are fitted on, at most about this many.
@@ -212,5 +212,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFram
             columns[score] = pa.array([f[1] for f in found], pa.float64())
             columns[doubt] = pa.array([f[2] for f in found], pa.bool_())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        give_back()
 
     return base.mapInArrow(run, base.schema), {"lang": lang, "score": score, "ambiguous": doubt}

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paroxys.llm.common import LOWER_BYTES, binary, fresh, small, written
+from paroxys.llm.common import LOWER_BYTES, binary, fresh, give_back, small, written
 from paroxys.llm.components import components
 
 MAX_BITS = 3
@@ -320,6 +320,7 @@ def near_pairs(signatures: DataFrame, segments: int = SEGMENTS, slack: float = S
             a, b = np.concatenate(a), np.concatenate(b)
             pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+        give_back()
 
     parts = signatures.select("node", *[F.col("sig")[k].alias(f"s{k}") for k in range(words)])
     sides = met.join(parts, "node").repartition("key").sortWithinPartitions("key", "node")
@@ -352,6 +353,7 @@ def drop_near(
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("sha"), pa.array(sig, pa.list_(pa.int64()))], names=["id", "sha", "sig"]
             )
+        give_back()
 
     slim = hashed.select(F.col(doc_id).alias("id"), F.col(sha).alias("sha"), F.col(text).cast("string").alias("text"))
     kind = dict(slim.dtypes)["id"]
@@ -366,6 +368,7 @@ def drop_near(
             yield pa.RecordBatch.from_arrays(
                 [batch.column("sha"), pa.array(found, pa.list_(pa.int64()))], names=["sha", "grams"]
             )
+        give_back()
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     asked = written(nodes.join(ends, "node").select("node", "sha"), "asked")
