@@ -12,10 +12,12 @@ still free, in halves with one deleted bit, which loses no near pair: of three d
 bits one half has at most one. At the third level a key fixes all but eleven bits, so no
 task ever holds more than 2048 fingerprints of one key.
 
-``drop_near`` finds near texts (word shingles, Jaccard similarity) with the same index
-over several independent fingerprints of a document's words. Members of a key are linked
-along their tree of smallest fingerprint distances and every tree edge is verified on
-the shingles themselves.
+``drop_near`` finds near texts (word shingles, Jaccard similarity) exactly, by a prefix
+filter: in one order of all shingles, rare ones first, similar sets share one of their
+first shingles. These are the keys. Members of a key are compared by size and by a bitmap
+of shingle parities, which never rule out a similar pair, and what is left is verified on
+the shingles. Verified groups are joined before the next round, so that only members of
+different groups are compared, until none is left; large keys are compared in blocks.
 """
 
 from __future__ import annotations
@@ -34,10 +36,13 @@ from paroxys.llm.components import components
 MAX_BITS = 3
 RUN_LIMIT = 2048
 SEED = 42
-#: For near texts: shingle length, similarity, and 32-bit segments of the signature.
-SHINGLE, SIMILARITY, SEGMENTS = 5, 0.8, 16
-#: Share of differing signature bits up to which a tree edge is verified on the texts.
-SLACK = 0.16
+#: For near texts: shingle length, similarity, and members of a key compared in one block.
+SHINGLE, SIMILARITY, NEAR_LIMIT = 5, 0.8, 1024
+#: Bits of the bitmap that rules out pairs; keys of a node that link it to their ends;
+#: candidates per member in the round before the complete one.
+PARITY_BITS, HUB_KEYS, NEAREST = 1024, 4, 8
+#: Texts of the sample that orders shingles by frequency, and shingles counted there.
+SAMPLE_TEXTS, COMMON = 20_000, 1 << 18
 _SLICE = 1 << 16
 
 
@@ -65,15 +70,6 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _mixed(hashes: np.ndarray, stream: int) -> np.ndarray:
-    """Independent hashes from hashes (the finaliser of SplitMix64)."""
-    # The constants of SplitMix64.
-    x = hashes + np.uint64((stream * 0x9E3779B97F4A7C15) % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _signed(value: int) -> int:
     return value - 2**64 if value >= 2**63 else value
 
@@ -254,77 +250,142 @@ def near_classes(
 # Near texts ---------------------------------------------------------------------------
 
 
-def _word_signature(text: bytes, words: int) -> list[int]:
-    hashes = np.unique(shingle_hashes(text, 1))
-    return [_signed(majority(_mixed(hashes, k))) for k in range(words)]
-
-
-def _tree(sig: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of the tree of smallest distances (Prim), those above ``slack`` left out."""
-    n = len(sig)
-    if n == 2:
-        near = int(np.bitwise_count(sig[0] ^ sig[1]).sum()) <= slack
-        return (np.array([1]), np.array([0])) if near else (np.empty(0, int), np.empty(0, int))
-    best = np.bitwise_count(sig ^ sig[0]).sum(axis=1, dtype=np.int64)
-    source = np.zeros(n, int)
-    best[0] = 1 << 30
-    inside = np.zeros(n, bool)
-    inside[0] = True
-    a, b = [], []
-    for _ in range(n - 1):
-        at = int(np.argmin(best))
-        if best[at] <= slack:
-            a.append(at)
-            b.append(source[at])
-        inside[at] = True
-        away = np.bitwise_count(sig ^ sig[at]).sum(axis=1, dtype=np.int64)
-        closer = (away < best) & ~inside
-        best[closer] = away[closer]
-        source[closer] = at
-        best[at] = 1 << 30
-    return np.array(a, int), np.array(b, int)
-
-
-def near_pairs(signatures: DataFrame, segments: int = SEGMENTS, slack: float = SLACK) -> DataFrame:
-    """Distinct candidate edges ``(a, b)`` of nodes whose signatures share a key.
-
-    ``signatures`` has ``node`` (unique) and ``sig``, one 64-bit word per two segments.
+def _needed(size: int, similarity: float) -> int:
+    """Shingles a set must share with any similar one."""
+    return int(np.ceil(similarity * size - 1e-9))
+
+
+def _prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set in the global order (count in the sample, hash): so
+    many that any two similar sets have one of them in common."""
+    known, times = common
+    weight = np.zeros(len(grams), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        weight = np.where(known[at] == grams, times[at], 0)
+    return grams[np.lexsort((grams, weight))][: len(grams) - _needed(len(grams), similarity) + 1]
+
+
+def _parity(grams: np.ndarray) -> np.ndarray:
+    """Bitmap with the parity of the shingles of each bit. Two bitmaps never differ in
+    more bits than their sets differ in shingles."""
+    bits = np.bincount((grams % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _meetings(
+    key: np.ndarray, size: np.ndarray, root: np.ndarray, sig: np.ndarray, similarity: float, most: int | None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs under one key, of different roots, whose sizes and bitmaps allow
+    the similarity; rows are sorted by key and size. At most ``most`` per row."""
+    ratio = (1 - similarity) / (1 + similarity)
+    at, given = np.arange(len(key)), np.zeros(len(key), np.int64)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for step in range(1, len(key)):
+        at = at[at + step < len(key)]
+        # Later rows of the key are larger still.
+        at = at[(key[at + step] == key[at]) & (similarity * size[at + step] <= size[at] + 1e-9)]
+        if most is not None:
+            at = at[given[at] < most]
+        if not len(at):
+            break
+        own = at[root[at] != root[at + step]]
+        for part in np.split(own, range(_SLICE, len(own), _SLICE)):
+            apart = np.bitwise_count(sig[part] ^ sig[part + step]).sum(axis=1, dtype=np.int64)
+            hit = part[apart <= ratio * (size[part] + size[part + step]) + 1e-9]
+            given[hit] += 1
+            a.append(hit)
+            b.append(hit + step)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _spread(live: DataFrame, run_limit: int) -> DataFrame:
+    """Rows ``(part, node, size, root)`` of the keys that hold several roots.
+
+    A part has about twice ``run_limit`` rows at most and any two members of a key that
+    have different roots meet in one. Large keys are cut into blocks by hash; members of
+    the key's most frequent root have blocks of their own, which never meet each other.
     """
-    words = segments // 2
-    j = F.explode(F.sequence(F.lit(0), F.lit(32 * segments - 1))).alias("j")
-    segment = "(shiftright(sig[cast(j div 64 as int)], if(j % 64 < 32, 0, 32)) & 4294967295L)"
-    key = F.expr(f"shiftleft(cast(j as bigint), 32) | ({segment} & ~shiftleft(1L, j % 32))").alias("key")
-    index = signatures.select("node", "sig", j).select(key, "node")
+    counts = live.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mixed = written(counts.where("lo < hi").select("key", "c"), "mixed")
+    heavy = mixed.where(F.col("c") > run_limit)
+    light = live.join(mixed.where(F.col("c") <= run_limit).select("key"), "key", "left_semi")
+    light = light.select(F.col("key").alias("part"), "node", "size", "root")
+    if heavy.isEmpty():
+        return light
+    per_root = live.join(heavy, "key").groupBy("key", "c", "root").agg(F.count("*").alias("n"))
+    tops = per_root.groupBy("key", "c").agg(F.max(F.struct("n", "root")).alias("top"))
+    blocks = written(
+        tops.select(
+            "key",
+            F.col("top.root").alias("top"),
+            F.ceil(F.col("top.n") / run_limit).alias("n_top"),
+            F.ceil((F.col("c") - F.col("top.n")) / run_limit).alias("n_rest"),
+        ),
+        "blocks",
+    )
+    # Blocks of the rest are 0 to n_rest - 1, those of the most frequent root follow.
+    in_top = F.col("root") == F.col("top")
+    home = F.when(in_top, F.col("n_rest") + F.pmod(F.xxhash64("node"), F.col("n_top"))).otherwise(
+        F.pmod(F.xxhash64("node"), F.col("n_rest"))
+    )
+    last = F.when(in_top, F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_top") - 1)
+    met = live.join(blocks, "key").select(
+        "key", "node", "size", "root", home.alias("home"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("other")
+    )
+    part = F.xxhash64("key", F.least("home", "other"), F.greatest("home", "other"))
+    return light.unionByName(met.select(part.alias("part"), "node", "size", "root"))
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, _ in sorted_runs(batches):
-            twin = cols["key"][1:] == cols["key"][:-1]
-            keep = np.concatenate([twin, [False]]) | np.concatenate([[False], twin])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols["key"][keep]), pa.array(cols["node"][keep])], names=["key", "node"]
-            )
 
-    met = written(
-        index.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key bigint, node bigint"), "met"
-    )
-    most = int(slack * 64 * words)
+def near_candidates(
+    live: DataFrame, sigs: DataFrame, similarity: float, run_limit: int, most: int | None = None
+) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of nodes of different roots that share a key and may be
+    similar; ``live`` has ``(key, node, size, root)``, ``sigs`` each node's bitmap.
+    ``most`` bounds the pairs of a member of a part."""
+    words = PARITY_BITS // 64
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, _ in sorted_runs(batches):
             sig = np.stack([cols[f"s{k}"] for k in range(words)], axis=1).view(np.uint64)
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for begin, end in _runs_of_two(cols["key"]):
-                x, y = _tree(sig[begin:end], most)
-                a.append(cols["node"][begin + x])
-                b.append(cols["node"][begin + y])
-            a, b = np.concatenate(a), np.concatenate(b)
-            pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+            x, y = _meetings(cols["key"], cols["size"], cols["root"], sig, similarity, most)
+            if len(x):
+                x, y = cols["node"][x], cols["node"][y]
+                pair = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
         give_back()
 
-    parts = signatures.select("node", *[F.col("sig")[k].alias(f"s{k}") for k in range(words)])
-    sides = met.join(parts, "node").repartition("key").sortWithinPartitions("key", "node")
-    return sides.mapInArrow(edges, "a bigint, b bigint").distinct()
+    parts = written(_spread(live, run_limit).withColumnRenamed("part", "key"), "parts")
+    sides = parts.join(sigs.select("node", *[F.col("sig")[k].alias(f"s{k}") for k in range(words)]), "node")
+    sides = sides.repartition("key").sortWithinPartitions("key", "size")
+    return sides.mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _grams(batch: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
+    for body in binary(batch, "text"):
+        yield np.unique(shingle_hashes(body, shingle))
+
+
+def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a hash sample have, and in how many; sorted.
+
+    They only order the shingles of a set. Any order gives the same result, this one
+    keeps frequent shingles from becoming keys.
+    """
+    share = min(1.0, SAMPLE_TEXTS / max(texts.count(), 1))
+    ranges = 1 << 30
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(ranges)) < int(share * ranges)).select("text").distinct()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grams in _grams(batch, shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], names=["gram"])
+
+    counts = sample.mapInArrow(cut, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where("n > 2")
+    got = counts.orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()
+    grams, n = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], n[order]
 
 
 def drop_near(
@@ -333,7 +394,7 @@ def drop_near(
     text: str = "text",
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
-    segments: int = SEGMENTS,
+    run_limit: int = NEAR_LIMIT,
 ) -> DataFrame:
     """One document of each group of near texts, in the columns of ``docs``.
 
@@ -342,49 +403,104 @@ def drop_near(
     than any other). Equal texts are near; rows that repeat the id and text of the
     document that stays, stay too. Texts without words, null or empty, form one group.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity is above 0 and at most 1")
     sha, = fresh(docs, "sha")
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     hashed = docs.withColumn(sha, F.sha2(body, 256))
-    words = segments // 2
+    slim = hashed.select(F.col(doc_id).alias("id"), F.col(sha).alias("sha"), F.col(text).cast("string").alias("text"))
+    shared_order = docs.sparkSession.sparkContext.broadcast(common_shingles(slim, shingle))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = [_word_signature(b, words) for b in binary(batch, "text")]
+            size, sig, keys = [], [], []
+            for grams in _grams(batch, shingle):
+                size.append(len(grams))
+                sig.append(_parity(grams))
+                # Texts without words have one key of their own.
+                keys.append(_prefix(grams, shared_order.value, similarity).view(np.int64) if len(grams) else np.zeros(1, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("sha"), pa.array(sig, pa.list_(pa.int64()))], names=["id", "sha", "sig"]
+                [
+                    batch.column("id"),
+                    batch.column("sha"),
+                    pa.array(size, pa.int64()),
+                    pa.array(sig, pa.list_(pa.int64())),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ],
+                names=["id", "sha", "size", "sig", "keys"],
             )
         give_back()
 
-    slim = hashed.select(F.col(doc_id).alias("id"), F.col(sha).alias("sha"), F.col(text).cast("string").alias("text"))
     kind = dict(slim.dtypes)["id"]
-    signed = slim.mapInArrow(sign, f"id {kind}, sha string, sig array<bigint>")
-    texts = signed.groupBy("sha").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
+    signed = slim.mapInArrow(sign, f"id {kind}, sha string, size bigint, sig array<bigint>, keys array<bigint>")
+    texts = signed.groupBy("sha").agg(
+        F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "sig", "keys")]
+    )
     nodes = written(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs = written(near_pairs(nodes, segments), "pairs")
+    sigs = nodes.select("node", "size", "sig")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(b, shingle)).view(np.int64) for b in binary(batch, "text")]
+            found = [g.view(np.int64) for g in _grams(batch, shingle)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("sha"), pa.array(found, pa.list_(pa.int64()))], names=["sha", "grams"]
             )
         give_back()
 
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = written(nodes.join(ends, "node").select("node", "sha"), "asked")
-    grams = (
-        slim.join(small(asked.select("sha")), "sha", "left_semi")
-        .select("sha", "text")
-        .mapInArrow(sets, "sha string, grams array<bigint>")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The stored pairs whose shingle sets are similar."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        asked = written(nodes.select("node", "sha").join(ends, "node"), "asked")
+        grams = (
+            slim.join(small(asked.select("sha")), "sha", "left_semi")
+            .select("sha", "text")
+            .mapInArrow(sets, "sha string, grams array<bigint>")
+        )
+        grams = written(grams.join(small(asked), "sha").dropDuplicates(["node"]).select("node", "grams"), "grams")
+        both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(
+            grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b"
+        )
+        both = both.withColumn("common", F.size(F.array_intersect("ga", "gb")))
+        union = F.size("ga") + F.size("gb") - F.col("common")
+        alike = (union == 0) | (F.col("common") >= F.lit(similarity) * union)
+        return written(both.where(alike).select("a", "b"), "alike")
+
+    # Keys that several nodes have, with the two nodes at their ends.
+    index = written(nodes.select("node", "size", F.posexplode("keys").alias("place", "key")), "index")
+    ends = index.groupBy("key").agg(
+        F.count("*").alias("c"),
+        F.min(F.struct("node", "size")).alias("low"),
+        F.max(F.struct("node", "size")).alias("high"),
+    )
+    ends = written(ends.where("c > 1").select("key", "low", "high"), "ends")
+    shared = written(index.join(ends, "key"), "shared")
+    # First one link of each node per key to either end, which gathers large groups by
+    # a linear number of comparisons.
+    hub = F.explode(F.array("low", "high")).alias("hub")
+    hubs = shared.where(F.col("place") < HUB_KEYS).select("node", "size", hub).where(
+        (F.col("node") != F.col("hub.node"))
+        & (F.least("size", "hub.size") >= F.lit(similarity) * F.greatest("size", "hub.size") - 1e-9)
     )
-    grams = written(grams.join(small(asked), "sha").dropDuplicates(["node"]).select("node", "grams"), "grams")
-    both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(
-        grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b"
+    hubs = hubs.select(
+        F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")
+    ).distinct()
+    side = lambda end: sigs.select(F.col("node").alias(end), F.col("size").alias(f"n{end}"), F.col("sig").alias(f"s{end}"))
+    apart = F.aggregate(
+        F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
     )
-    common = F.size(F.array_intersect("ga", "gb"))
-    union = F.size("ga") + F.size("gb") - common
-    alike = (union == 0) | (common >= F.lit(similarity) * union)
-    roots = components(both.where(alike).select("a", "b"))
+    ratio = (1 - similarity) / (1 + similarity)
+    hubs = written(hubs, "hubs").join(side("a"), "a").join(side("b"), "b")
+    links = verified(written(hubs.where(apart <= ratio * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b"), "pairs"))
+    roots = written(components(links), "roots")
+    # Then what is still apart: the nearest in size first, at last every pair.
+    for most in (NEAREST, None):
+        live = shared.select("key", "node", "size").join(roots, "node", "left")
+        live = written(live.withColumn("root", F.coalesce("root", "node")), "live")
+        pairs = written(near_candidates(live, sigs, similarity, run_limit, most), "pairs")
+        if pairs.isEmpty():
+            break
+        links = links.unionAll(verified(pairs))
+        roots = written(components(links), "roots")
     # Both sides of the join by group are stored, so that Spark can split large groups.
     grouped = written(nodes.select("node", "sha", "id").join(roots, "node"), "grouped")
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("sha"))).alias("best"))

@@ -347,6 +347,23 @@ def test_tree_links_a_large_group(spark):
     assert {r.doc_id for r in simhash.drop_near(docs).collect()} == {0, 100, 101, 102, 103, 104}
 
 
+def test_near_texts_with_one_contiguous_difference(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        n = int(rng.choice([40, 200, 1000]))
+        base = [f"w{min(int(x), 30000)}" for x in rng.zipf(1.3, n)]
+        block = [f"w{min(int(x), 30000)}" for x in rng.zipf(1.3, n // 5)]
+        cut = int(rng.integers(0, n))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:cut], *block, *base[cut:]]))]
+        if i % 3 == 0:
+            rows[-1] = (2 * i + 1, " ".join(base + block))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [r.doc_id for r in simhash.drop_near(docs).select("doc_id").collect()]
+    want = brute.near_kept(rows)
+    assert len(want) < len(rows) and set(got) == want and len(got) == len(want)
+
+
 # --- chat -------------------------------------------------------------------------------
 
 
