@@ -364,6 +364,22 @@ def test_near_texts_with_one_contiguous_difference(spark):
     assert len(want) < len(rows) and set(got) == want and len(got) == len(want)
 
 
+def test_copies_of_one_text_that_are_not_near_each_other(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1000, " ".join(base))]
+    for i in range(200):
+        ws = list(base)
+        for at in rng.choice(200, 4, replace=False):
+            ws[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(ws)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute.near_kept(rows)
+    assert len(want) < 50
+    for limit in (16, 1024):
+        assert {r.doc_id for r in simhash.drop_near(docs, run_limit=limit).collect()} == want
+
+
 # --- chat -------------------------------------------------------------------------------
 
 
