@@ -273,6 +273,21 @@ def _parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _wide_parity(grams: np.ndarray) -> bytes:
+    """The same bitmap with about as many bits as there are shingles, a power of two."""
+    bits = max(PARITY_BITS, 1 << max(len(grams) - 1, 0).bit_length())
+    odd = np.bincount((grams % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _wide_apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two bitmaps; the larger one is folded to the size of the other."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _meetings(
     key: np.ndarray, size: np.ndarray, root: np.ndarray, sig: np.ndarray, similarity: float, most: int | None
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +315,7 @@ def _meetings(
 
 
 def _spread(live: DataFrame, run_limit: int) -> DataFrame:
-    """Rows ``(part, node, size, root)`` of the keys that hold several roots.
+    """Rows ``(part, node, root)`` of the keys that hold several roots.
 
     A part has about twice ``run_limit`` rows at most and any two members of a key that
     have different roots meet in one. Large keys are cut into blocks by hash; members of
@@ -310,7 +325,7 @@ def _spread(live: DataFrame, run_limit: int) -> DataFrame:
     mixed = written(counts.where("lo < hi").select("key", "c"), "mixed")
     heavy = mixed.where(F.col("c") > run_limit)
     light = live.join(mixed.where(F.col("c") <= run_limit).select("key"), "key", "left_semi")
-    light = light.select(F.col("key").alias("part"), "node", "size", "root")
+    light = light.select(F.col("key").alias("part"), "node", "root")
     if heavy.isEmpty():
         return light
     per_root = live.join(heavy, "key").groupBy("key", "c", "root").agg(F.count("*").alias("n"))
@@ -331,17 +346,17 @@ def _spread(live: DataFrame, run_limit: int) -> DataFrame:
     )
     last = F.when(in_top, F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_top") - 1)
     met = live.join(blocks, "key").select(
-        "key", "node", "size", "root", home.alias("home"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("other")
+        "key", "node", "root", home.alias("home"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("other")
     )
     part = F.xxhash64("key", F.least("home", "other"), F.greatest("home", "other"))
-    return light.unionByName(met.select(part.alias("part"), "node", "size", "root"))
+    return light.unionByName(met.select(part.alias("part"), "node", "root"))
 
 
 def near_candidates(
     live: DataFrame, sigs: DataFrame, similarity: float, run_limit: int, most: int | None = None
 ) -> DataFrame:
     """Distinct pairs ``(a, b)`` of nodes of different roots that share a key and may be
-    similar; ``live`` has ``(key, node, size, root)``, ``sigs`` each node's bitmap.
+    similar; ``live`` has ``(key, node, root)``, ``sigs`` each node's size and bitmap.
     ``most`` bounds the pairs of a member of a part."""
     words = PARITY_BITS // 64
 
@@ -356,7 +371,7 @@ def near_candidates(
         give_back()
 
     parts = written(_spread(live, run_limit).withColumnRenamed("part", "key"), "parts")
-    sides = parts.join(sigs.select("node", *[F.col("sig")[k].alias(f"s{k}") for k in range(words)]), "node")
+    sides = parts.join(sigs.select("node", "size", *[F.col("sig")[k].alias(f"s{k}") for k in range(words)]), "node")
     sides = sides.repartition("key").sortWithinPartitions("key", "size")
     return sides.mapInArrow(meet, "a bigint, b bigint").distinct()
 
@@ -413,10 +428,11 @@ def drop_near(
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sig, keys = [], [], []
+            size, sig, wide, keys = [], [], [], []
             for grams in _grams(batch, shingle):
                 size.append(len(grams))
                 sig.append(_parity(grams))
+                wide.append(_wide_parity(grams))
                 # Texts without words have one key of their own.
                 keys.append(_prefix(grams, shared_order.value, similarity).view(np.int64) if len(grams) else np.zeros(1, np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -425,16 +441,17 @@ def drop_near(
                     batch.column("sha"),
                     pa.array(size, pa.int64()),
                     pa.array(sig, pa.list_(pa.int64())),
+                    pa.array(wide, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["id", "sha", "size", "sig", "keys"],
+                names=["id", "sha", "size", "sig", "wide", "keys"],
             )
         give_back()
 
     kind = dict(slim.dtypes)["id"]
-    signed = slim.mapInArrow(sign, f"id {kind}, sha string, size bigint, sig array<bigint>, keys array<bigint>")
+    signed = slim.mapInArrow(sign, f"id {kind}, sha string, size bigint, sig array<bigint>, wide binary, keys array<bigint>")
     texts = signed.groupBy("sha").agg(
-        F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "sig", "keys")]
+        F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "sig", "wide", "keys")]
     )
     nodes = written(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
     sigs = nodes.select("node", "size", "sig")
@@ -447,8 +464,22 @@ def drop_near(
             )
         give_back()
 
+    ratio = (1 - similarity) / (1 + similarity)
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = ratio * (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) + 1e-9
+            apart = [_wide_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column("wa"), batch.column("wb"))]
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(apart, float) <= most))
+        give_back()
+
+    wide = lambda end: nodes.select(F.col("node").alias(end), F.col("size").alias(f"n{end}"), F.col("wide").alias(f"w{end}"))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """The stored pairs whose shingle sets are similar."""
+        """The stored pairs whose shingle sets are similar. The wide bitmaps come first:
+        they spare most sets of long texts."""
+        pairs = pairs.join(wide("a"), "a").join(wide("b"), "b").select("a", "b", "na", "nb", "wa", "wb")
+        pairs = written(pairs.mapInArrow(possible, "a bigint, b bigint"), "possible")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         asked = written(nodes.select("node", "sha").join(ends, "node"), "asked")
         grams = (
@@ -466,35 +497,28 @@ def drop_near(
         return written(both.where(alike).select("a", "b"), "alike")
 
     # Keys that several nodes have, with the two nodes at their ends.
-    index = written(nodes.select("node", "size", F.posexplode("keys").alias("place", "key")), "index")
-    ends = index.groupBy("key").agg(
-        F.count("*").alias("c"),
-        F.min(F.struct("node", "size")).alias("low"),
-        F.max(F.struct("node", "size")).alias("high"),
-    )
-    ends = written(ends.where("c > 1").select("key", "low", "high"), "ends")
+    index = written(nodes.select("node", F.posexplode("keys").alias("place", "key")), "index")
+    ends = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    ends = written(ends.where("low < high"), "ends")
     shared = written(index.join(ends, "key"), "shared")
     # First one link of each node per key to either end, which gathers large groups by
     # a linear number of comparisons.
-    hub = F.explode(F.array("low", "high")).alias("hub")
-    hubs = shared.where(F.col("place") < HUB_KEYS).select("node", "size", hub).where(
-        (F.col("node") != F.col("hub.node"))
-        & (F.least("size", "hub.size") >= F.lit(similarity) * F.greatest("size", "hub.size") - 1e-9)
-    )
-    hubs = hubs.select(
-        F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")
-    ).distinct()
+    hubs = shared.where(F.col("place") < HUB_KEYS).select("node", F.explode(F.array("low", "high")).alias("hub"))
+    hubs = hubs.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
     side = lambda end: sigs.select(F.col("node").alias(end), F.col("size").alias(f"n{end}"), F.col("sig").alias(f"s{end}"))
+    hubs = written(hubs.distinct(), "hubs").join(side("a"), "a").join(side("b"), "b")
     apart = F.aggregate(
         F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
     )
-    ratio = (1 - similarity) / (1 + similarity)
-    hubs = written(hubs, "hubs").join(side("a"), "a").join(side("b"), "b")
-    links = verified(written(hubs.where(apart <= ratio * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b"), "pairs"))
+    hubs = hubs.where(
+        (F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9)
+        & (apart <= F.lit(ratio) * (F.col("na") + F.col("nb")) + 1e-9)
+    )
+    links = verified(written(hubs.select("a", "b"), "pairs"))
     roots = written(components(links), "roots")
     # Then what is still apart: the nearest in size first, at last every pair.
     for most in (NEAREST, None):
-        live = shared.select("key", "node", "size").join(roots, "node", "left")
+        live = shared.select("key", "node").join(roots, "node", "left")
         live = written(live.withColumn("root", F.coalesce("root", "node")), "live")
         pairs = written(near_candidates(live, sigs, similarity, run_limit, most), "pairs")
         if pairs.isEmpty():

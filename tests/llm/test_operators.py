@@ -380,6 +380,28 @@ def test_copies_of_one_text_that_are_not_near_each_other(spark):
         assert {r.doc_id for r in simhash.drop_near(docs, run_limit=limit).collect()} == want
 
 
+def test_blocks_of_a_large_key_are_bounded_and_meet(spark):
+    rows = [(k, i, 7 if i < 300 else i) for k in (1, 2) for i in range(400)] + [(3, 1, 7), (3, 2, 7)]
+    live = spark.createDataFrame(rows, "key bigint, node bigint, root bigint")
+    parts = {}
+    for r in simhash._spread(live, 20).collect():
+        parts.setdefault(r.part, []).append((r.node, r.root))
+    assert max(map(len, parts.values())) <= 100
+    met = {(a, b) for p in parts.values() for a, x in p for b, y in p if x != y}
+    assert met == {(a, b) for a in range(400) for b in range(400) if a != b and max(a, b) >= 300}
+
+
+@pytest.mark.parametrize("n", [3000, 6000])
+def test_bitmaps_never_rule_out_a_near_text(n):
+    rng = np.random.default_rng(n)
+    x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    y = np.unique(np.concatenate([x[: n * 9 // 10], rng.integers(0, 2**63, n // 5).astype(np.uint64)]))
+    apart = len(np.setxor1d(x, y))
+    assert simhash._wide_apart(simhash._wide_parity(x), simhash._wide_parity(y)) <= apart
+    other = rng.integers(0, 2**63, n).astype(np.uint64)
+    assert simhash._wide_apart(simhash._wide_parity(x), simhash._wide_parity(other)) > 2 * n / 9
+
+
 # --- chat -------------------------------------------------------------------------------
 
 
