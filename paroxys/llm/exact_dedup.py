@@ -87,7 +87,8 @@ def repeated_filter(hashes: DataFrame, blocks: int) -> DataFrame:
         return pd.DataFrame(
             {
                 "block": full + key[0] * GROUP_BLOCKS,
-                "words": [grid[i].view("<i8").tolist() for i in full],
+                # Objects, also where no bit was asked for twice.
+                "words": pd.Series([grid[i].view("<i8").tolist() for i in full], dtype=object),
             }
         )
 

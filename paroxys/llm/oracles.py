@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express; views carry the table names."""
 
+from paroxys.llm.common import LOWER, UPPER
+
 _W = r"[^\x20\x09-\x0D]+"
 
 EXACT_DEDUP = r"""
@@ -160,6 +162,59 @@ from (select *, unnest(range(0, cast(times as bigint))) as epoch from times)
 """
 
 
+_A = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+# CRC-32 with bit operations, eight bits at a time from a table that SQL builds itself.
+IMPORTANCE = rf"""
+with recursive bits as (
+  select range::bigint as b, range::bigint as c, 0 as k from range(256)
+  union all
+  select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8
+), crc_table as materialized (select list(c order by b) as tab from bits where k = 8
+), d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_A}') as w
+  from documents
+), b as (
+  select regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_A}') as w from benchmark
+), df as (
+  select r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from d
+), bf as (
+  select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from b
+), named as materialized (
+  select f, list_reduce(
+           list_concat([4294967295::bigint],
+                       list_transform(range(1, strlen(f) + 1),
+                                      lambda i: ('0x' || substr(hex(encode(f)), 2 * i - 1, 2))::bigint)),
+           lambda a, x: xor(tab[(xor(a, x) & 255) + 1], a >> 8)) as state
+  from (select f from df union select f from bf), crc_table
+), hashed as (select f, xor(state, 4294967295) % 10000 as bucket from named),
+dc as (select bucket, count(*) as s from df join hashed using (f) group by bucket),
+bc as (select bucket, count(*) as t from bf join hashed using (f) group by bucket),
+total as (select coalesce((select sum(s) from dc), 0)::double as alls, coalesce((select sum(t) from bc), 0)::double as allt),
+gain as (
+  select bucket, floor(1000 * ln((coalesce(t, 0)::double + 1) * (alls + 10000)
+                                 / ((coalesce(s, 0)::double + 1) * (allt + 10000))))::bigint as gain
+  from (select range as bucket from range(10000)) left join dc using (bucket) left join bc using (bucket), total
+), weights as (
+  select r, count(*) as n_features, floor(sum(gain)::double / count(*))::bigint as weight
+  from df join hashed using (f) join gain using (bucket) group by r
+), scored as (
+  select d.r, doc_id, len(w) as n, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln(
+           (('0x' || sha256('7:' || coalesce(doc_id::varchar, ''))[1:8])::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+  from d left join weights using (r)
+), ranked as (
+  select *, row_number() over (partition by n >= 20 order by score desc, doc_id nulls last) as place,
+         count(*) filter (n >= 20) over () as able
+  from scored
+)
+select doc_id, n_features::bigint as n_features, weight, score,
+       case when n >= 20 and place <= able * 25 // 100 then place end as rank
+from ranked
+"""
+
+
 def oracles() -> dict[str, str]:
     from paroxys.llm import mixing
     from paroxys.llm.queries import MIX_WEIGHTS
@@ -170,4 +225,5 @@ def oracles() -> dict[str, str]:
         "op4_warc_revisits": WARC,
         "op8_chat_rotation": CHAT,
         "op10_decontamination": DECONTAMINATION,
+        "op12_importance": IMPORTANCE,
     }

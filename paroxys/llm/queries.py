@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paroxys.llm import chat, decontaminate, exact_dedup, katz, language, mixing, simhash, suffix, surrogates, warc
+from paroxys.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    importance,
+    katz,
+    language,
+    mixing,
+    simhash,
+    suffix,
+    surrogates,
+    warc,
+)
 from paroxys.llm.common import crc32_of, table
 
 #: Production weights of the mixture; names that are not listed weigh 1.
@@ -99,6 +111,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("word_spans")
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_repeated_passages": op2_repeated_passages,
@@ -110,4 +126,5 @@ QUERIES = {
     "op8_chat_rotation": op8_chat_rotation,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "op12_importance": op12_importance,
 }
