@@ -215,6 +215,83 @@ from ranked
 """
 
 
+def _field(value: str) -> str:
+    return f"case when {value} is null then '-' else strlen({value}::varchar) || ':' || {value}::varchar end"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+MANIFEST = rf"""
+with recursive bits as (
+  select range::bigint as b, range::bigint as c, 0 as k from range(256)
+  union all
+  select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8
+), crc_table as materialized (select list(c order by b) as tab from bits where k = 8
+), d as (
+  select coalesce('+' || source, '') as key, doc_id,
+         xor(list_reduce(list_concat([4294967295::bigint],
+               list_transform(range(1, length(coalesce(doc_id::varchar, '')) + 1),
+                              lambda i: ascii(substr(coalesce(doc_id::varchar, ''), i, 1))::bigint)),
+             lambda a, x: xor(tab[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) % 5 = 0 as touched,
+         {_leaf("text")} as leaf,
+         {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} as changed
+  from documents, crc_table
+), leaves as materialized (
+  select row_number() over () as r, *,
+         row_number() over (partition by key order by doc_id nulls first, leaf) - 1 as pos,
+         count(*) over (partition by key) as size
+  from d
+), tree as (
+  select 0 as level, key, pos, size, leaf as digest from leaves
+  union all
+  select level + 1, key, pos // 16, any_value((size + 15) // 16), sha256(string_agg(digest, '' order by pos))
+  from tree where size > 1 group by level, key, pos // 16
+), subroots as materialized (
+  select key, digest, row_number() over (order by key) - 1 as pos, count(*) over () as size from tree where size = 1
+), top as (
+  select 0 as level, pos, size, digest from subroots
+  union all
+  select level + 1, pos // 16, any_value((size + 15) // 16), sha256(string_agg(digest, '' order by pos))
+  from top where size > 1 group by level, pos // 16
+), inner_sides as (
+  select level, key, pos,
+         coalesce(string_agg(digest, '') over (partition by level, key, pos // 16 order by pos
+                  rows between unbounded preceding and 1 preceding), '') as left_,
+         coalesce(string_agg(digest, '') over (partition by level, key, pos // 16 order by pos
+                  rows between 1 following and unbounded following), '') as right_
+  from tree where size > 1
+), top_sides as (
+  select level, pos,
+         coalesce(string_agg(digest, '') over (partition by level, pos // 16 order by pos
+                  rows between unbounded preceding and 1 preceding), '') as left_,
+         coalesce(string_agg(digest, '') over (partition by level, pos // 16 order by pos
+                  rows between 1 following and unbounded following), '') as right_
+  from top where size > 1
+), steps as materialized (
+  select r, row_number() over (partition by r order by part, level) as step, left_, right_
+  from (
+    select r, 0 as part, s.level, left_, right_
+    from leaves l join inner_sides s on l.key = s.key and s.pos = l.pos // (16 ** s.level)::bigint
+    union all
+    select r, 1, s.level, left_, right_
+    from leaves l join subroots u on l.key = u.key join top_sides s on s.pos = u.pos // (16 ** s.level)::bigint
+  )
+), fold as (
+  select r, 0 as step, case when touched then changed else leaf end as digest from leaves
+  union all
+  select f.r, f.step + 1, sha256(left_ || f.digest || right_)
+  from fold f join steps s on f.r = s.r and s.step = f.step + 1
+), folded as (select r, arg_max(digest, step) as folded_root from fold group by r
+), proofs as (select r, sha256(string_agg(left_ || right_, '' order by step)) as proof_sha256 from steps group by r
+), root as (select digest as root from top where size = 1)
+select doc_id, leaf, u.digest as subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256,
+       folded_root, folded_root = root as verified
+from leaves l join subroots u on l.key = u.key join folded using (r) left join proofs using (r), root
+"""
+
+
 def oracles() -> dict[str, str]:
     from paroxys.llm import mixing
     from paroxys.llm.queries import MIX_WEIGHTS
@@ -226,4 +303,5 @@ def oracles() -> dict[str, str]:
         "op8_chat_rotation": CHAT,
         "op10_decontamination": DECONTAMINATION,
         "op12_importance": IMPORTANCE,
+        "op13_manifest": MANIFEST,
     }

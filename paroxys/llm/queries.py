@@ -12,6 +12,7 @@ from paroxys.llm import (
     importance,
     katz,
     language,
+    manifest,
     mixing,
     simhash,
     suffix,
@@ -115,6 +116,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_repeated_passages": op2_repeated_passages,
@@ -127,4 +132,5 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
     "op12_importance": op12_importance,
+    "op13_manifest": op13_manifest,
 }
