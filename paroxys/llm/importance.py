@@ -25,6 +25,7 @@ order. An empty table gives an empty result, an empty target counts as no featur
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -338,19 +339,14 @@ def take_apart(
     return Parts(own, uses, written(counted, "lines"), buckets)
 
 
-def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``(bucket, gain)`` for every bucket, from two ``(bucket, n)`` tables."""
-    spark = corpus.sparkSession
-    rows = (
-        spark.range(buckets)
-        .withColumnRenamed("id", "bucket")
-        .join(corpus.select("bucket", F.col("n").alias("s")), "bucket", "left")
-        .join(target.select("bucket", F.col("n").alias("t")), "bucket", "left")
-        .select("bucket", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in "st"])
-    )
-    all_s, all_t = rows.agg(F.sum("s"), F.sum("t")).first()
-    ratio = (F.col("t") + 1) * F.lit(all_s + buckets) / ((F.col("s") + 1) * F.lit(all_t + buckets))
-    return rows.select("bucket", F.floor(1000 * F.ln(ratio)).alias("gain"))
+def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """The gain of every bucket, from two ``(bucket, n)`` tables of at most ``buckets`` rows."""
+    s, t = np.zeros(buckets), np.zeros(buckets)
+    for counts, rows in ((s, corpus), (t, target)):
+        for bucket, n in rows.select("bucket", "n").collect():
+            counts[bucket] = n
+    top, bottom = (t + 1) * (s.sum() + buckets), (s + 1) * (t.sum() + buckets)
+    return np.array([math.floor(1000 * math.log(r)) for r in top / bottom], np.int64)
 
 
 def _gain_sums(rows: DataFrame, keep: list[str], gain: np.ndarray, buckets: int) -> DataFrame:
@@ -399,10 +395,7 @@ def weigh(
     """
     own = take_apart(docs, doc_id, text, **options)
     aim = take_apart(target, target_id, target_text, **options)
-    table = gains(written(own.counts(), "counts"), written(aim.counts(), "target-counts"), own.buckets)
-    gain = np.zeros(own.buckets, np.int64)
-    for bucket, value in table.collect():  # one row per bucket, whatever the corpus
-        gain[bucket] = value
+    gain = gains(own.counts(), aim.counts(), own.buckets)
     # Both sides are plain stored tables, so that Spark can split a line of many documents.
     lines = written(_gain_sums(own.lines, ["digest", "n_features"], gain, own.buckets), "line-gains")
     shared = (
