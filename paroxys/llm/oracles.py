@@ -215,6 +215,71 @@ from ranked
 """
 
 
+def quality_rules(rules: dict[str, tuple[str, str]], base_failed: str, rounds: int, hits: float, misses: float) -> str:
+    """Figures, votes, and the estimation as a recursion over one row of parameters."""
+    n = range(len(rules))
+    ballots = ", ".join(
+        f"case when {bad} then -1 when {good} then 1 else 0 end as v{j}" for j, (bad, good) in enumerate(rules.values())
+    )
+    names = ", ".join(f"v{j}" for j in n)
+    good = ", ".join(
+        f"(coalesce(sum(n * q) filter (v{j} = 1), 0) + {hits}) / (coalesce(sum(n * q) filter (v{j} <> 0), 0) + {hits + misses})"
+        for j in n
+    )
+    bad = ", ".join(
+        f"(coalesce(sum(n * (1 - q)) filter (v{j} = -1), 0) + {hits}) / (coalesce(sum(n * (1 - q)) filter (v{j} <> 0), 0) + {hits + misses})"
+        for j in n
+    )
+    odds = " + ".join(
+        f"case v{j} when 1 then ln(g[{j + 1}] / (1 - b[{j + 1}])) when -1 then ln((1 - g[{j + 1}]) / b[{j + 1}]) else 0 end"
+        for j in n
+    )
+    quality = f"1 / (1 + exp(-(ln(p / (1 - p)) + {odds})))"
+    update = f"(sum(n * q) + 1) / (sum(n) + 2) as p, [{good}] as g, [{bad}] as b"
+    ups = " + ".join(f"(v{j} = 1)::int" for j in n)
+    said = " + ".join(f"(v{j} <> 0)::int" for j in n)
+    return rf"""
+with recursive d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '{_W}') as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{_W}')) as lines
+  from documents
+), places as (select r, w, unnest(range(1, len(w) + 1)) as i from d
+), windows as (
+  select r, i, count(*) over (partition by r, g) as c
+  from (select r, i, list_aggregate(w[i:i + 7], 'string_agg', ' ') as g from places where i + 7 <= len(w))
+), repeated as (
+  select r, count(distinct p) as n from (select r, unnest(range(i, i + 8)) as p from windows where c > 1) group by r
+), tops as (
+  select r, max(c) as n from (select r, w[i] as x, count(*) as c from places group by r, x) group by r
+), f as materialized (
+  select d.r, doc_id, len(w) as n_words,
+         length(array_to_string(w, '')) as word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+         len(lines) - len(list_distinct(lines)) as n_dup_lines,
+         coalesce(repeated.n, 0) as n_repeat_words,
+         len(lines) as n_lines,
+         length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) as n_letters,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) as n_capitals,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_echoes,
+         coalesce(tops.n, 0) as n_top
+  from d left join repeated using (r) left join tops using (r)
+), v as materialized (select *, {base_failed} as base_failed, {ballots} from f
+), patterns as materialized (
+  select {names}, count(*)::double as n from v group by all
+), start as (select *, ({ups} + 0.5::double) / ({said} + 1) as q from patterns
+), model as (
+  select 1 as round_, {update} from start
+  union all
+  select round_ + 1, {update}
+  from (select round_, n, {names}, {quality} as q from patterns, model where round_ < {rounds}) group by round_
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and {quality} >= 0.5 as kept, round({quality}, 6) as quality
+from v, model where round_ = {rounds}
+"""
+
+
 def _field(value: str) -> str:
     return f"case when {value} is null then '-' else strlen({value}::varchar) || ':' || {value}::varchar end"
 
@@ -293,7 +358,7 @@ from leaves l join subroots u on l.key = u.key join folded using (r) left join p
 
 
 def oracles() -> dict[str, str]:
-    from paroxys.llm import mixing
+    from paroxys.llm import mixing, quality
     from paroxys.llm.queries import MIX_WEIGHTS
 
     return {
@@ -302,6 +367,9 @@ def oracles() -> dict[str, str]:
         "op4_warc_revisits": WARC,
         "op8_chat_rotation": CHAT,
         "op10_decontamination": DECONTAMINATION,
+        "op11_quality_rules": quality_rules(
+            quality.RULES, quality.BASE_FAILED, quality.ROUNDS, quality.HITS, quality.MISSES
+        ),
         "op12_importance": IMPORTANCE,
         "op13_manifest": MANIFEST,
     }

@@ -14,6 +14,7 @@ from paroxys.llm import (
     language,
     manifest,
     mixing,
+    quality,
     simhash,
     suffix,
     surrogates,
@@ -112,6 +113,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("word_spans")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -131,6 +136,7 @@ QUERIES = {
     "op8_chat_rotation": op8_chat_rotation,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "op11_quality_rules": op11_quality_rules,
     "op12_importance": op12_importance,
     "op13_manifest": op13_manifest,
 }
