@@ -60,7 +60,7 @@ RULES: Mapping[str, tuple[str, str]] = {
     "symbols": ("100 * n_symbols > 10 * n_words", "n_words > 0 and 100 * n_symbols <= n_words"),
     "letters": ("100 * n_letters < 70 * word_chars", "n_words > 0 and 100 * n_letters >= 90 * word_chars"),
     "capitals": ("100 * n_capitals > 30 * n_letters", "n_letters > 0 and 100 * n_capitals <= 10 * n_letters"),
-    "lines": ("100 * n_dup_lines > 30 * n_lines", "n_lines >= 3 and n_dup_lines = 0"),
+    "lines": ("n_dup_lines >= 2 and 100 * n_dup_lines > 30 * n_lines", "n_lines >= 3 and n_dup_lines = 0"),
     "passages": ("100 * n_repeat_words > 20 * n_words", "n_words >= 20 and n_repeat_words = 0"),
     "echoes": ("100 * n_echoes > 20 * n_words", "n_words >= 20 and 100 * n_echoes <= 2 * n_words"),
     "top_word": ("n_words >= 20 and 100 * n_top > 30 * n_words", "n_words >= 20 and 100 * n_top <= 12 * n_words"),

@@ -1,7 +1,9 @@
 """Plain restatements of the operators for small tables."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -167,3 +169,153 @@ def katz(rows, trained, discounts):
     vocabulary = [*uni, "\0unknown"]
     sums = {a: sum(p(a, b) for b in vocabulary) for a in [*list(total)[:30], "\0unseen context"]}
     return out, n, v, sums
+
+
+def ascii_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+def figures(text):
+    """words, characters in words, symbols, repeated lines, repeated words."""
+    text = text or ""
+    tokens = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    windows = Counter(tuple(tokens[i : i + 8]) for i in range(len(tokens) - 7))
+    hit = {p for i in range(len(tokens) - 7) if windows[tuple(tokens[i : i + 8])] > 1 for p in range(i, i + 8)}
+    return (
+        len(tokens),
+        sum(map(len, tokens)),
+        sum(c in "#*$%&|<>" for c in text),
+        len(lines) - len(set(lines)),
+        len(hit),
+    )
+
+
+def ballots(text):
+    """The votes of the eight rules, in their order."""
+    n, chars, symbols, dup, rep = figures(text)
+    tokens = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [line for line in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    letters = sum(ord(c) > 127 or c.isalpha() for c in "".join(tokens))
+    capitals = len(re.findall("[A-Z]", text or ""))
+    echoes = sum(a == b for a, b in zip(tokens, tokens[1:]))
+    top = max(Counter(tokens).values(), default=0)
+    rules = [
+        (symbols > 0.1 * n, n and symbols <= 0.01 * n),
+        (letters * 10 < chars * 7, n and letters * 10 >= chars * 9),
+        (capitals * 10 > letters * 3, letters and capitals * 10 <= letters),
+        (dup >= 2 and dup * 10 > len(lines) * 3, len(lines) >= 3 and not dup),
+        (rep * 5 > n, n >= 20 and not rep),
+        (echoes * 5 > n, n >= 20 and echoes * 50 <= n),
+        (n >= 20 and top * 10 > n * 3, n >= 20 and top * 25 <= n * 3),
+        (chars < 2 * n or chars > 12 * n, n and 3 * n <= chars <= 8 * n),
+    ]
+    return [-1 if bad else 1 if good else 0 for bad, good in rules]
+
+
+def posteriors(cast, rounds):
+    """Expectation-maximisation document by document."""
+    q = [(v.count(1) + 0.5) / (v.count(1) + v.count(-1) + 1) for v in cast]
+    for _ in range(rounds):
+        prior = (sum(q) + 1) / (len(q) + 2)
+        good, bad = [], []
+        for j in range(8):
+            good.append(
+                (sum(p for p, v in zip(q, cast) if v[j] == 1) + 4) / (sum(p for p, v in zip(q, cast) if v[j]) + 5)
+            )
+            bad.append(
+                (sum(1 - p for p, v in zip(q, cast) if v[j] == -1) + 4) / (sum(1 - p for p, v in zip(q, cast) if v[j]) + 5)
+            )
+        new = []
+        for v in cast:
+            yes, no = prior, 1 - prior
+            for j, vote in enumerate(v):
+                if vote:
+                    yes *= good[j] if vote == 1 else 1 - good[j]
+                    no *= bad[j] if vote == -1 else 1 - bad[j]
+            new.append(yes / (yes + no))
+        q = new
+    return q
+
+
+def quality(rows, rounds):
+    cast = [ballots(text) for _, text in rows]
+    out = []
+    for (doc_id, text), p in zip(rows, posteriors(cast, rounds)):
+        own = figures(text)
+        failed = own[0] < 20 or 100 * own[4] > 30 * own[0]
+        out.append((doc_id, *own, failed, not failed and p >= 0.5, p))
+    return out
+
+
+def importance(rows, items, buckets=10_000, percent=25, min_words=20, seed=7):
+    """(id, features, weight, score, rank) of each row; rank None where not drawn."""
+
+    def features(text):
+        tokens = ascii_words(text)
+        both = tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]
+        return tokens, [zlib.crc32(f.encode()) % buckets for f in both]
+
+    cut = [features(text) for _, text in rows]
+    s = Counter(b for _, fs in cut for b in fs)
+    t = Counter(b for text in items for b in features(text)[1])
+    all_s, all_t = sum(s.values()), sum(t.values())
+    out = []
+    for (doc_id, _), (tokens, fs) in zip(rows, cut):
+        gains = [math.floor(1000 * math.log((t[b] + 1) * (all_s + buckets) / ((s[b] + 1) * (all_t + buckets)))) for b in fs]
+        weight = sum(gains) // len(gains) if gains else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        out.append([doc_id, len(fs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), None, len(tokens)])
+    able = sorted((r for r in out if r[5] >= min_words), key=lambda r: (-r[3], order(r[0])))
+    for place, row in enumerate(able[: len(able) * percent // 100]):
+        row[4] = place + 1
+    return [tuple(r[:5]) for r in out]
+
+
+def _hash(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _tree(nodes):
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([_hash(levels[-1][i : i + 16]) for i in range(0, len(levels[-1]), 16)])
+    return levels
+
+
+def _sides(levels, place):
+    for nodes in levels[:-1]:
+        begin = place // 16 * 16
+        yield nodes[begin:place], nodes[place + 1 : begin + 16]
+        place //= 16
+
+
+def manifest(rows):
+    """rows: (doc_id, source, lang, n_chars, text); the report's tuples."""
+
+    def leaf(values):
+        return _hash("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values)
+
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row[1]].append((row, leaf(row)))
+    keys = sorted(groups, key=lambda k: (k is not None, (k or "").encode()))
+    trees = {}
+    for key in keys:
+        groups[key].sort(key=lambda r: (r[0][0] is not None, r[0][0] or 0, r[1]))
+        trees[key] = _tree([own for _, own in groups[key]])
+    upper = _tree([trees[key][-1][0] for key in keys])
+    out = []
+    for at, key in enumerate(keys):
+        for place, (row, own) in enumerate(groups[key]):
+            sides = [*_sides(trees[key], place), *_sides(upper, at)]
+            proof = _hash(x for left, right in sides for x in (*left, *right))
+            doc_id, text = row[0], row[4]
+            folded = own
+            if zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 0:
+                folded = leaf((*row[:4], None if text is None else lower(text)))
+            for left, right in sides:
+                folded = _hash([*left, folded, *right])
+            root = upper[-1][0]
+            out.append((doc_id, own, trees[key][-1][0], root, proof, folded, folded == root))
+    return out
