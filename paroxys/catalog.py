@@ -24,7 +24,7 @@ from paroxys.operators import (
     splits,
     windows,
 )
-from paroxys.plans import experiment, models
+from paroxys.plans import boosting, experiment, models
 from paroxys.plans.evaluate import evaluate
 from paroxys.plans.prepare import Preparation, prepare
 from paroxys.session import shared_folder
@@ -670,9 +670,23 @@ def random_forest_loso(spark, sf_dir):
 
 @query
 def gbt_loso(spark, sf_dir):
-    """Five rounds of depth three: Spark runs a job per tree level, so the usual 200 rounds
-    of depth eight are about 18 000 jobs for ten folds, whatever the number of rows."""
-    return _loso(spark, sf_dir, "xgboost", maxIter=5, maxDepth=3)
+    """Two hundred rounds of depth eight, all folds in the same jobs."""
+    return _loso(spark, sf_dir, "xgboost")
+
+
+@query
+def leafwise_gbt_loso(spark, sf_dir):
+    """Two hundred rounds of 63 leaves, the best leaf first."""
+    return _loso(spark, sf_dir, "lightgbm")
+
+
+@query
+def gbt_first_tree(spark, sf_dir):
+    """Splits of each fold's first tree over the raw samples, on equal class weights."""
+    rows = models.materialise(fx.vectors(spark, sf_dir), "vectors")
+    folds = [f["fold"] for f in splits.trainable(splits.loso_folds(rows)).orderBy("fold").collect()]
+    params = boosting.Boosting(depth=3, bins=16)
+    return rounded(boosting.first_splits(rows, folds, [(1.0, 1.0)] * len(folds), params, x="x"))
 
 
 @query
@@ -698,7 +712,7 @@ def loso_leaderboard(spark, sf_dir):
     """A small grid of runs with an unknown model name among them."""
     results = experiment.run_experiment(
         {"embeddings": _feature_table(spark, sf_dir)},
-        ["svm_linear", "svm"],
+        ["knn", "random_forest", "xgboost", "svm"],
     )
     return experiment.leaderboard(results)
 
@@ -710,7 +724,7 @@ def param_search(spark, sf_dir):
         "numTrees": {"type": "categorical", "choices": [50, 100]},
         "maxDepth": {"type": "int", "low": 5, "high": 10},
     }
-    return rounded(models.search(rows, "random_forest", space, trials=3))
+    return rounded(models.search(rows, "random_forest", space, trials=10))
 
 
 @query

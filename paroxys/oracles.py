@@ -478,6 +478,38 @@ AUG_SHIFT = f"""case when {uniform('window_id', 1)} < 0.5 then
 AUG_SCALE = f"""case when {uniform('window_id', 2)} < 0.5 then
   [v * (0.8::double + 0.4::double * {uniform('window_id', 3)}) for v in x] else x end"""
 
+def first_tree(depth: int, bins: int) -> str:
+    """Splits of one tree per fold by plain sums over (fold, node, feature, bin)."""
+    cuts = ", ".join(f"{k / bins}" for k in range(1, bins))
+    levels = []
+    for d in range(depth):
+        levels.append(f"""
+s{d} as (
+  select fold, node, j, b, sum(sum(0.5::double - y)) over w as gl, sum(sum(0.25::double)) over w as hl, sum(count(*)) over w as nl,
+    sum(sum(0.5::double - y)) over t as g, sum(sum(0.25::double)) over t as h, sum(count(*)) over t as n
+  from a{d} join binned using (window_id) group by fold, node, j, b
+  window w as (partition by fold, node, j order by b), t as (partition by fold, node, j)),
+b{d} as materialized (
+  select *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) as gain from s{d}
+  where b < {bins - 1} and hl >= 1 and h - hl >= 1
+  qualify row_number() over (partition by fold, node order by gain desc, j, b) = 1 and gain > 1e-6),
+a{d + 1} as (
+  select a.fold, a.window_id, a.y, 2 * a.node + cast(p.b > s.b as int) as node
+  from a{d} a join b{d} s on a.fold = s.fold and a.node = s.node
+    join binned p on p.window_id = a.window_id and p.j = s.j)""")
+    found = " union all ".join(f"select * from b{d}" for d in range(depth))
+    return f"""with {VECTORS},
+points as (select window_id, unnest(x) as v, unnest(range(len(x))) as j from vectors),
+cuts as (select j, quantile_disc(v, [{cuts}]) as c from points group by j),
+binned as materialized (select window_id, j, len(list_filter(c, lambda u: u < v)) as b from points join cuts using (j)),
+folds as (select distinct subject as fold from vectors where y = 1),
+a0 as (select fold, window_id, y, 1 as node from folds join vectors on subject <> fold),
+{",".join(levels)}
+select fold, cast(node as bigint) as node, cast(j as int) as feature, round(c[b + 1], 6) as cut, round(gain, 6) as gain,
+  cast(nl as bigint) as n_left, cast(n - nl as bigint) as n_right
+from ({found}) join cuts using (j)"""
+
+
 ORACLES: dict[str, str] = {
     "record_index": """select 'pages_' || lpad(cast(row_number() over (order by url) - 1 as varchar), 6, '0')
         as record_id, url as path from (select distinct url from pages)""",
@@ -826,4 +858,5 @@ ORACLES |= {
         select y, case when pos < floor(n * 0.1::double + 0.5) then 'val' else 'train' end as role, count(*) as n
         from p group by all""",
     "stream_parity": f"with {SCORED} select user_id, k, true as same from scored",
+    "gbt_first_tree": first_tree(3, 16),
 }

@@ -10,29 +10,36 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paroxys.operators.features import map_windows
 from paroxys.operators.metrics import auc_roc, segment_metrics
 from paroxys.operators.neighbours import knn_vote
 from paroxys.operators.splits import loso_folds, loso_split, trainable
+from paroxys.plans import boosting
 from paroxys.session import shared_folder
 
 # Default parameters per model.
 DEFAULTS: dict[str, dict] = {
     "svm_rbf": {"C": 100.0, "gamma": 0.001, "components": 256, "maxIter": 100},
-    "svm_linear": {"C": 1.0, "maxIter": 100},
+    "svm_linear": {"C": 1.0, "maxIter": 5000},
     "random_forest": {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2},
-    "xgboost": {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1, "subsamplingRate": 0.8},
-    "lightgbm": {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8},
+    "xgboost": {"rounds": 200, "depth": 8, "rate": 0.1, "rows": 0.8, "columns": 0.8},
+    # Grown by leaf without a depth; all rows are used, its share of rows needs a frequency to act.
+    "lightgbm": {
+        "rounds": 200, "leaves": 63, "depth": None, "rate": 0.05, "columns": 0.8,
+        "l2": 0.0, "min_weight": 1e-3, "min_rows": 20,
+    },
     "knn": {"k": 3},
 }
 SEED = 42
+#: Models whose folds are fitted together.
+BOOSTED = ("xgboost", "lightgbm")
 #: Training rows a task of a fit has at least, if there are that many.
 TASK_ROWS = 20_000
 COLUMNS = {"featuresCol": "vec", "labelCol": "y", "weightCol": "w"}
@@ -49,7 +56,7 @@ def parameters(name: str, overrides: Mapping | None = None) -> dict:
 
 
 def build_estimator(name: str, n_train: int, overrides: Mapping | None = None) -> Estimator:
-    """Spark estimator of a model that is fitted (all but the neighbour vote)."""
+    """Spark estimator of a model that Spark fits: all but boosted trees and the neighbour vote."""
     p = parameters(name, overrides)
     if name in ("svm_linear", "svm_rbf"):
         # The penalty C of a sum of losses is 1 / (C * rows) on their mean. Inputs are
@@ -58,8 +65,6 @@ def build_estimator(name: str, n_train: int, overrides: Mapping | None = None) -
         return LinearSVC(regParam=penalty, maxIter=p["maxIter"], standardization=False, **COLUMNS)
     if name == "random_forest":
         return RandomForestClassifier(seed=SEED, **p, **COLUMNS)
-    if name in ("xgboost", "lightgbm"):
-        return GBTClassifier(seed=SEED, featureSubsetStrategy="0.8", **p, **COLUMNS)
     raise ValueError(f"{name!r} has no estimator")
 
 
@@ -76,16 +81,33 @@ def fourier_features(df: DataFrame, gamma: float, components: int, x: str = "fea
     return map_windows(wide, kernel, x, "array<double>", x)
 
 
-def weight(name: str, n_pos: int, n_neg: int, label: str = "y") -> Column:
-    """Balanced class weights, or the negative share on positives for ``xgboost``."""
-    total = n_pos + n_neg
+def class_weights(name: str, n_pos: int, n_neg: int) -> tuple[float, float]:
+    """Weights of class 0 and 1: balanced, or the negative share on positives for ``xgboost``."""
     if name == "xgboost":
-        w_pos, w_neg = n_neg / max(n_pos, 1), 1.0
-    else:
-        w_pos, w_neg = total / (2 * max(n_pos, 1)), total / (2 * max(n_neg, 1))
+        return 1.0, n_neg / max(n_pos, 1)
+    total = n_pos + n_neg
+    return total / (2 * max(n_neg, 1)), total / (2 * max(n_pos, 1))
+
+
+def weight(name: str, n_pos: int, n_neg: int, label: str = "y") -> Column:
+    w_neg, w_pos = class_weights(name, n_pos, n_neg)
     return F.when(F.col(label) == 1, F.lit(float(w_pos))).otherwise(F.lit(float(w_neg)))
 
 
+def boosted_scores(
+    features: DataFrame, name: str, folds: Sequence, overrides: Mapping | None = None, subject: str = "subject"
+) -> DataFrame:
+    """Held-out scores of boosted trees, all folds at once.
+
+    ``folds`` are rows with ``fold`` (a value of ``subject``), ``n_train`` and ``pos_train``.
+    """
+    params = boosting.Boosting(**{"seed": SEED, **parameters(name, overrides)})
+    names = [f["fold"] for f in folds]
+    weights = [class_weights(name, f["pos_train"], f["n_train"] - f["pos_train"]) for f in folds]
+    margins, _, _ = boosting.boost(features, names, weights, params, subject=subject)
+    return boosting.held_out_scores(margins, names, features.schema[subject].dataType.simpleString())
+
+
 def fit_score(
     name: str,
     train: DataFrame,
@@ -102,6 +124,14 @@ def fit_score(
         p = parameters(name, overrides)
         columns = [c for c in test.columns if c not in ("window_id", "features")]
         return knn_vote(test, train, keep=columns, x="features", **p)
+    if name in BOOSTED:
+        sides = [
+            t.select("window_id", "y", "features", F.lit(side).alias("_side")) for t, side in ((train, "train"), (test, "test"))
+        ]
+        fold = {"fold": "test", "pos_train": n_pos, "n_train": n_pos + n_neg}
+        scores = boosted_scores(sides[0].unionAll(sides[1]), name, [fold], overrides, "_side")
+        scores = scores.select(F.col("window_id").alias("_key"), "prob", "pred")
+        return test.drop("features").join(scores, F.col("window_id").eqNullSafe(F.col("_key"))).drop("_key")
     vector = array_to_vector(F.col("features").cast("array<double>"))
     rows = train.withColumns({"vec": vector, "w": weight(name, n_pos, n_neg)})
     # Iterative fits run many small jobs: no more tasks than there are rows for.
@@ -143,16 +173,20 @@ def loso_scores(
 
     ``features`` holds ``(window_id, subject, y, features)`` and should be a stored
     table. The driver sees one row of counts per subject; fits of different folds run
-    side by side; scoring stays one lazy union.
+    side by side, those of boosted trees in the same jobs; scoring stays one lazy union.
     """
     for name in models:
         parameters(name)
     folds = trainable(loso_folds(features)).orderBy("fold").collect()
-    jobs = [(name, fold) for name in models for fold in folds]
+    jobs = [(n, f) for n in models if n not in BOOSTED for f in folds]
+    jobs += [(n, None) for n in models if n in BOOSTED and folds]
     inputs = {n: model_inputs(features, n, (overrides or {}).get(n)) for n in models if folds}
 
     def run(job) -> DataFrame:
         name, fold = job
+        if fold is None:
+            scored = boosted_scores(inputs[name], name, folds, (overrides or {}).get(name))
+            return scored.select(F.lit(name).alias("model"), "fold", "window_id", "y", "prob", "pred")
         train, test = loso_split(inputs[name], fold["fold"])
         n_pos = fold["pos_train"]
         scored = fit_score(
@@ -232,8 +266,10 @@ def search(
         weight(name, n_pos, n_neg).alias("w"),
     )
     n_folds = int(rows.agg(F.max(fold)).first()[0]) + 1
-    estimator = build_estimator(name, n_pos + n_neg)
     drawn = draw_parameters(space, trials, seed)
+    if name in BOOSTED:
+        return _ranked(features.sparkSession, drawn, _boosted_recalls(features, name, drawn, fold))
+    estimator = build_estimator(name, n_pos + n_neg)
     grid = [{estimator.getParam(k): v for k, v in setting.items()} for setting in drawn]
     recall = MulticlassClassificationEvaluator(
         labelCol="y", metricName="recallByLabel", metricLabel=1.0
@@ -247,7 +283,20 @@ def search(
         parallelism=parallel,
         seed=seed,
     )
-    means = validator.fit(rows).avgMetrics
+    return _ranked(features.sparkSession, drawn, validator.fit(rows).avgMetrics)
+
+
+def _boosted_recalls(features: DataFrame, name: str, drawn: Sequence[Mapping], fold: str) -> list[float]:
+    """Mean recall over the folds of each setting."""
+    counts = loso_folds(features.withColumn(fold, F.col(fold).cast("int")), fold).orderBy("fold").collect()
+    means = []
+    for setting in drawn:
+        scores = boosted_scores(features.withColumn(fold, F.col(fold).cast("int")), name, counts, setting, fold)
+        means.append(segment_metrics(scores, ["fold"]).agg(F.avg("recall")).first()[0])
+    return means
+
+
+def _ranked(spark: SparkSession, drawn: Sequence[Mapping], means: Sequence[float]) -> DataFrame:
     table = [(i, json.dumps(s, sort_keys=True), float(m)) for i, (s, m) in enumerate(zip(drawn, means))]
-    found = features.sparkSession.createDataFrame(table, "trial int, params string, recall double")
+    found = spark.createDataFrame(table, "trial int, params string, recall double")
     return found.orderBy(F.desc("recall"), "trial")

@@ -12,12 +12,13 @@ QUERIES = CATALOG
 FITTED = {
     "random_forest_loso",
     "gbt_loso",
+    "leafwise_gbt_loso",
     "linear_svc_loso",
     "rbf_svc_loso",
     "loso_leaderboard",
     "param_search",
 }
-RUN_WHEN_BUILT = FITTED | {n for n in QUERIES if n.startswith("stream_")}
+RUN_WHEN_BUILT = FITTED | {"gbt_first_tree"} | {n for n in QUERIES if n.startswith("stream_")}
 
 
 @pytest.fixture(scope="module")

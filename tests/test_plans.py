@@ -26,8 +26,8 @@ def table(spark):
 def test_models_separate_the_classes(table, name):
     small = {
         "random_forest": {"numTrees": 5, "maxDepth": 3},
-        "xgboost": {"maxIter": 10, "maxDepth": 2},
-        "lightgbm": {"maxIter": 10, "maxDepth": 2},
+        "xgboost": {"rounds": 10, "depth": 2},
+        "lightgbm": {"rounds": 10, "leaves": 4, "min_rows": 5},
         "svm_rbf": {"gamma": 0.05, "components": 64, "maxIter": 20},
         "svm_linear": {"maxIter": 20},
     }
@@ -88,6 +88,12 @@ def test_search_orders_by_recall(table):
     assert set(json.loads(found[0]["params"])) == set(space)
 
 
+def test_search_of_boosted_trees(table):
+    space = {"depth": {"type": "int", "low": 1, "high": 2}, "rounds": {"type": "categorical", "choices": [2, 4]}}
+    found = models.search(splits.stratified_kfold(table, 2), "xgboost", space, trials=2).collect()
+    assert len(found) == 2 and found[0]["recall"] >= found[1]["recall"] > 0.8
+
+
 def test_drawn_parameters_stay_in_their_space():
     space = {
         "a": {"type": "log_float", "low": 1e-5, "high": 1e-2},
