@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paroxys import fixtures as fx
@@ -840,19 +841,77 @@ def stream_windows(spark, sf_dir):
     return rounded(online.run_available(closed, "stream-windows"))
 
 
+#: Events of a user are hours apart, their files may be weeks late.
+STREAM_ORDER = online.Ordering(late=60.0, slot=86_400.0, idle=30 * 86_400.0)
+PATIENT_ORDER = online.Ordering(late=400 * 86_400.0, slot=86_400.0, idle=30 * 86_400.0)
+
+
+def _ordered(rows, operator, purpose, order=STREAM_ORDER):
+    """Results of an ordered operator over all that is there; late rows fail the query."""
+    results, late = online.run_ordered(rows, lambda r: operator(r, order=order), purpose, order=order)
+    lost = late.count()
+    if lost:
+        raise online.LateRows(f"{lost} rows came too late")
+    return results
+
+
 @query
 def stream_ema(spark, sf_dir):
-    return rounded(online.run_available(online.online_ema(_score_stream(spark, sf_dir)), "stream-ema"))
+    return rounded(_ordered(_score_stream(spark, sf_dir), online.online_ema, "stream-ema"))
 
 
 @query
 def stream_vote(spark, sf_dir):
-    return online.run_available(online.online_vote(_score_stream(spark, sf_dir)), "stream-vote")
+    return _ordered(_score_stream(spark, sf_dir), online.online_vote, "stream-vote")
 
 
 @query
 def stream_alarm(spark, sf_dir):
-    return online.run_available(online.online_alarm(_score_stream(spark, sf_dir)), "stream-alarm")
+    return _ordered(_score_stream(spark, sf_dir), online.online_alarm, "stream-alarm")
+
+
+def _reversed_files(spark, sf_dir, parts=3):
+    """The events as files of following stretches of time, the newest written first."""
+    path = shared_folder(spark, "reversed")
+    events = fx.table(spark, sf_dir, "events")
+    place = F.ntile(parts).over(W.orderBy("_day"))
+    days = events.groupBy(F.to_date("ts").alias("_day")).agg(F.count("*").alias("_n")).withColumn("_part", place)
+    dealt = models.materialise(
+        events.withColumn("_day", F.to_date("ts")).join(F.broadcast(days.drop("_n")), "_day").drop("_day"), "dealt"
+    )
+    for part in range(parts, 0, -1):
+        dealt.where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return path, events.schema
+
+
+@query
+def stream_parity(spark, sf_dir):
+    """The online average over three files in reverse order, one per micro-batch."""
+    path, schema = _reversed_files(spark, sf_dir)
+    stream = online.read_events(spark, path, "*.parquet", schema, 1)
+    prob = F.col("value") / (F.col("value") + 50)
+    scored = stream.select("user_id", "ts", "event_id", prob.alias("prob"))
+    return rounded(_ordered(scored, online.online_ema, "stream-parity", PATIENT_ORDER))
+
+
+@query
+def stream_vote_reversed(spark, sf_dir):
+    """The online vote over three files in reverse order."""
+    path, schema = _reversed_files(spark, sf_dir)
+    stream = online.read_events(spark, path, "*.parquet", schema, 1)
+    pred = (F.col("value") / (F.col("value") + 50) >= 0.5).cast("int")
+    scored = stream.select("user_id", "ts", "event_id", pred.alias("pred"))
+    return _ordered(scored, online.online_vote, "vote-reversed", PATIENT_ORDER)
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Windows over three files in reverse order without patience: rows windowed, rows late, rows in."""
+    path, schema = _reversed_files(spark, sf_dir)
+    stream = online.read_events(spark, path, "*.parquet", schema, 1).select("user_id", "ts", "event_id", "value")
+    _, rows, late = online.run_windows(stream, "late-rows", order=STREAM_ORDER)
+    kept = rows.select("user_id", "event_id", F.lit(False).alias("late"))
+    return kept.unionByName(late.select("user_id", "event_id", F.lit(True).alias("late")))
 
 
 # --- the same results across chunk borders ----------------------------------------------------------------
@@ -1005,15 +1064,3 @@ def inner_split(spark, sf_dir):
     cut = splits.inner_split(train, 1_000, 0.1)
     parts = [p.groupBy("y").agg(F.count("*").alias("n")).withColumn("role", F.lit(r)) for p, r in zip(cut, ("train", "val"))]
     return parts[0].unionByName(parts[1])
-
-
-@query
-def stream_parity(spark, sf_dir):
-    """Windows at which the online and the batch average agree."""
-    online_rows = online.run_available(online.online_ema(_score_stream(spark, sf_dir)), "stream-parity")
-    batch = alarms.ema_smooth(fx.scored(spark, sf_dir), 0.3, 0.5).select(
-        "user_id", "k", F.col("ema").alias("batch"), F.col("ema_pred").alias("batch_pred")
-    )
-    both = batch.join(online_rows, ["user_id", "k"], "left")
-    same = (F.abs(F.col("ema") - F.col("batch")) < 1e-9) & (F.col("ema_pred") == F.col("batch_pred"))
-    return both.select("user_id", "k", F.coalesce(same, F.lit(False)).alias("same"))

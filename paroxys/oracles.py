@@ -805,9 +805,6 @@ ORACLES: dict[str, str] = {
         s as (select user_id, k, list_reduce(ps[1 : k + 1], lambda a, p: 0.3::double * p + 0.7::double * a) as ema
           from scored join l using (user_id))
         select user_id, k, round(ema, 6) as ema, cast(ema >= 0.5 as int) as ema_pred from s""",
-    "stream_vote": f"""with {SCORED}, {vote('scored', 3, 2, 'v')},
-        n as (select user_id, max(k) as last from v group by 1)
-        select user_id, k, pred from v join n using (user_id) where k <= last - 1 and last >= 2""",
     "stream_alarm": f"""with {SCORED} select user_id, k, cast(count(*) over w = 3 and sum(pred) over w = 3 as int) as alarm
         from scored window w as (partition by user_id order by k rows between 2 preceding and current row)""",
     "feature_vector": feature_vector(),
@@ -857,6 +854,14 @@ ORACLES |= {
           count(*) over (partition by y) as n from train)
         select y, case when pos < floor(n * 0.1::double + 0.5) then 'val' else 'train' end as role, count(*) as n
         from p group by all""",
-    "stream_parity": f"with {SCORED} select user_id, k, true as same from scored",
+    "stream_vote": ORACLES["majority_vote"],
+    "stream_vote_reversed": ORACLES["majority_vote"],
+    "stream_parity": ORACLES["stream_ema"],
+    "stream_late_rows": """with days as (select distinct cast(ts as date) as d from events),
+        parts as (select d, ntile(3) over (order by d) as part from days),
+        e as (select user_id, event_id, d, part from events join parts on cast(ts as date) = d),
+        a as (select user_id, max(d) as answered from e
+          where part >= 2 and d + interval 1 day <= (select max(ts) from events) - interval 60 seconds group by user_id)
+        select user_id, event_id, coalesce(part = 1 and d <= answered, false) as late from e left join a using (user_id)""",
     "gbt_first_tree": first_tree(3, 16),
 }
