@@ -963,7 +963,7 @@ def runs_small_chunks(spark, sf_dir):
 def knn_stored(spark, sf_dir):
     """The neighbour vote of a stored table with itself, over several blocks."""
     rows = models.materialise(fx.vectors(spark, sf_dir), "vectors")
-    return rounded(neighbours.knn_vote(rows, rows, k=3, apart="subject", blocks=(3, 4)))
+    return rounded(neighbours.knn_vote(rows, rows, k=3, apart="subject", pivots=5, block_rows=40))
 
 
 # --- files written and read back ------------------------------------------------------------------------------

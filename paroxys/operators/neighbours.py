@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paroxys.session import shared_folder
+
 # Rows of a block, and distances held at once while two blocks meet.
 BLOCK_ROWS = 4096
 CELLS = 1 << 22
+MAX_PIVOTS = 1024
+#: Test rows that meet one block in one task.
+VISITORS = 16_384
 
 
 def _squared(test: np.ndarray, train: np.ndarray) -> np.ndarray:
@@ -23,10 +30,6 @@ def _squared(test: np.ndarray, train: np.ndarray) -> np.ndarray:
     return out
 
 
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-
-
 def _finite(x: str) -> Column:
     """The vector as doubles; the job fails on NaN or infinite coordinates."""
     values = F.col(x).cast("array<double>")
@@ -35,6 +38,87 @@ def _finite(x: str) -> Column:
     return F.when(sound, values).otherwise(broken.cast("array<double>"))
 
 
+def _k_best(dist: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest values of each row, equal ones in column order."""
+    if dist.shape[1] <= k:
+        return np.argsort(dist, axis=1, kind="stable")
+    best = np.argpartition(dist, k - 1, axis=1)[:, :k]
+    found = np.take_along_axis(dist, best, axis=1)
+    order = np.lexsort((best, found), axis=1)
+    best = np.take_along_axis(best, order, axis=1)
+    # Where more than k values reach the k-th, the choice among equal ones may be wrong.
+    tied = (dist <= found.max(axis=1, keepdims=True)).sum(axis=1) > k
+    if tied.any():
+        best[tied] = np.argsort(dist[tied], axis=1, kind="stable")[:, :k]
+    return best
+
+
+def _k_nearest(a: pd.DataFrame, b: pd.DataFrame, k: int, apart: bool) -> pd.DataFrame:
+    """``(id, neighbour, label, d2)`` of the k nearest rows of ``b`` for each row of ``a``."""
+    found = []
+    if len(a) and len(b):
+        b = b.sort_values("t_id", ignore_index=True)
+        vectors = np.stack(b["t_x"].to_numpy())
+        keys, labels = b["t_id"].to_numpy(), b["t_label"].to_numpy()
+        step = max(1, CELLS // len(b))
+        for at in range(0, len(a), step):
+            part = a.iloc[at : at + step]
+            dist = _squared(np.stack(part["x"].to_numpy()), vectors)
+            if apart:
+                same = part["part"].to_numpy()[:, None] == b["t_part"].to_numpy()[None, :]
+                dist[same] = np.inf
+            best = _k_best(dist, k)
+            found.append(
+                pd.DataFrame(
+                    {
+                        "id": np.repeat(part["id"].to_numpy(), best.shape[1]),
+                        "neighbour": keys[best].ravel(),
+                        "label": labels[best].ravel(),
+                        "d2": np.take_along_axis(dist, best, axis=1).ravel(),
+                    }
+                )
+            )
+    out = pd.concat(found) if found else pd.DataFrame({"id": [], "neighbour": [], "label": [], "d2": []})
+    # Infinite are only the rows that must stay apart; inputs are finite.
+    return out[np.isfinite(out["d2"].astype(float))]
+
+
+class Cells:
+    """Training rows around pivots: how many rows a cell has and how far they lie from its pivot."""
+
+    def __init__(self, pivots: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        self.pivots, self.rows, self.low, self.high = pivots, rows, low, high
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(_squared(x, self.pivots))
+
+    def reachable(self, dist: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Cells that may hold a row within ``bound``, by the triangle inequality.
+
+        A row at distance r from the pivot is at least ``|dist - r|`` away; rounding is
+        allowed for, so no cell is missed.
+        """
+        slack = 1e-9 * (1 + dist)
+        least = np.maximum(dist - self.high, self.low - dist)
+        return (least <= bound[:, None] + slack) & (self.rows > 0)
+
+
+def _spread(cells: Cells, block_rows: int) -> np.ndarray:
+    """Blocks of each cell; a cell of any size is met block by block."""
+    return np.maximum(-(-cells.rows // block_rows), 1)
+
+
+def _arrays(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    column = batch.column(name)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _stored(df: DataFrame, purpose: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def nearest(
     test: DataFrame,
     train: DataFrame,
@@ -43,75 +127,120 @@ def nearest(
     x: str = "x",
     label: str = "y",
     apart: str | None = None,
-    blocks: tuple[int, int] | None = None,
+    pivots: int | None = None,
+    block_rows: int = BLOCK_ROWS,
+    report: dict | None = None,
 ) -> DataFrame:
     """``(key, neighbour, label, distance)`` of the k nearest training rows.
 
-    Both sides are hashed into blocks and every pair of blocks meets in one task, which
-    hands on only its k best per test row; pairs of rows never become records. Without
-    given ``blocks`` both tables are counted and a block holds about ``BLOCK_ROWS`` rows,
-    whatever their number. Exactness makes the comparisons quadratic. ``apart`` names a
-    column whose equal values must not be neighbours (the held-out subject).
+    Exact, by pivots: training rows belong to the cell of their nearest pivot. Every test
+    row first meets its own cell; the distance of its k-th neighbour there then rules out
+    all cells that the triangle inequality puts farther away, and only the others are
+    met. Pivots are the training rows with the smallest key hashes, about the root of
+    their number and at most ``MAX_PIVOTS``; they decide the work, not the result. Cells
+    are met in blocks of ``block_rows``, so copies of one vector do not gather in a task,
+    and a task hands on only its k best per test row. The first round runs now.
+
+    ``apart`` names a column whose equal values must not be neighbours (the held-out
+    subject). ``report`` receives the number of compared pairs and of all pairs.
     """
-    n_test, n_train = blocks or tuple(-(-max(t.count(), 1) // BLOCK_ROWS) for t in (test, train))
-    # Every column is renamed: test and training rows may come from the same table.
+    kind = dict(test.dtypes)[key]
     own = {"id": F.col(key), "part": F.col(apart) if apart else F.lit(None).cast("int")}
-    left = test.select(
-        *[c.alias(n) for n, c in own.items()],
-        _finite(x).alias("x"),
-        F.pmod(F.xxhash64(key), F.lit(n_test)).alias("bt"),
-        F.explode(_numbers(n_train)).alias("br"),
-    )
+    # Every column is renamed: test and training rows may come from the same table.
+    left = test.select(*[c.alias(n) for n, c in own.items()], _finite(x).alias("x"))
     right = train.select(
-        *[c.alias(f"t_{n}") for n, c in own.items()],
-        F.col(label).alias("t_label"),
-        _finite(x).alias("t_x"),
-        F.pmod(F.xxhash64(key), F.lit(n_train)).alias("t_br"),
-        F.explode(_numbers(n_test)).alias("t_bt"),
+        *[c.alias(f"t_{n}") for n, c in own.items()], F.col(label).cast("int").alias("t_label"), _finite(x).alias("t_x")
     )
+    n_train = train.count()
+    wanted = pivots or min(MAX_PIVOTS, max(1, math.isqrt(n_train)))
+    centres = right.orderBy(F.xxhash64("t_id"), "t_id").limit(wanted).select("t_x").collect()
+    if not centres:
+        schema = f"{key} {kind}, neighbour {kind}, label int, rank int, distance double"
+        return test.sparkSession.createDataFrame([], schema)
+    points = np.unique(np.array([r[0] for r in centres]), axis=0)
+    cells = Cells(points, *np.zeros((3, len(points))))
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(a) and len(b):
-            b = b.sort_values("t_id", ignore_index=True)
-            vectors = np.stack(b["t_x"].to_numpy())
-            keys, labels = b["t_id"].to_numpy(), b["t_label"].to_numpy()
-            step = max(1, CELLS // len(b))
-            for at in range(0, len(a), step):
-                part = a.iloc[at : at + step]
-                dist = _squared(np.stack(part["x"].to_numpy()), vectors)
-                if apart:
-                    same = part["part"].to_numpy()[:, None] == b["t_part"].to_numpy()[None, :]
-                    dist[same] = np.inf
-                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                d2 = np.take_along_axis(dist, best, axis=1)
-                found.append(
-                    pd.DataFrame(
-                        {
-                            key: np.repeat(part["id"].to_numpy(), best.shape[1]),
-                            "neighbour": keys[best].ravel(),
-                            "label": labels[best].ravel(),
-                            "d2": d2.ravel(),
-                        }
-                    )
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                dist = cells.distances(_arrays(batch, "t_x"))
+                cell = dist.argmin(axis=1)
+                radius = np.take_along_axis(dist, cell[:, None], axis=1)[:, 0]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(cell, pa.int32()), pa.array(radius)], [*batch.schema.names, "cell", "radius"]
                 )
-        empty = pd.DataFrame({key: [], "neighbour": [], "label": [], "d2": []})
-        out = pd.concat(found) if found else empty
-        # Infinite are only the rows that must stay apart; inputs are finite.
-        return out[np.isfinite(out["d2"].astype(float))]
 
-    kind = dict(test.dtypes)[key]
-    met = (
-        left.groupBy("bt", "br")
-        .cogroup(right.groupBy("t_bt", "t_br"))
-        .applyInPandas(meet, f"{key} {kind}, neighbour {kind}, label int, d2 double")
-    )
-    order = W.partitionBy(key).orderBy("d2", "neighbour")
+    kinds = {f.name: f.dataType.simpleString() for f in right.schema.fields}
+    columns = ", ".join(f"{n} {t}" for n, t in kinds.items())
+    settled = _stored(right.mapInArrow(settle, f"{columns}, cell int, radius double"), "cells")
+    sizes = settled.groupBy("cell").agg(F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high"))
+    counts, low, high = np.zeros(len(points), np.int64), np.zeros(len(points)), np.zeros(len(points))
+    for r in sizes.collect():  # one row per pivot
+        counts[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["low"], r["high"]
+    cells = Cells(points, counts, low, high)
+    blocks = _spread(cells, block_rows)
+    block_of = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
+    placed = settled.withColumn("block", F.pmod(F.xxhash64("t_id"), block_of))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Test rows for every block of the cells they have to meet."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dist = cells.distances(_arrays(batch, "x"))
+            home = np.where(cells.rows > 0, dist, np.inf).argmin(axis=1)
+            if "bound" in batch.schema.names:
+                bound = batch.column("bound").to_numpy(zero_copy_only=False)
+                goes = cells.reachable(dist, np.where(np.isnan(bound), np.inf, bound))
+                goes[np.arange(len(home)), home] = False
+            else:
+                goes = np.zeros(dist.shape, bool)
+                goes[np.arange(len(home)), home] = True
+            row, cell = np.nonzero(goes)
+            times = blocks[cell]
+            row, cell = np.repeat(row, times), np.repeat(cell, times)
+            first = np.repeat(np.cumsum(times) - times, times)
+            block = np.arange(len(row)) - first
+            taken = batch.select(["id", "part", "x"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, pa.array(cell, pa.int32()), pa.array(block, pa.int64())],
+                ["id", "part", "x", "cell", "block"],
+            )
+
+    test_kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+    visiting = ", ".join(f"{n} {t}" for n, t in test_kinds.items()) + ", cell int, block bigint"
+    outputs = f"id {kind}, neighbour {kind}, label int, d2 double"
+
+    def met(rows: DataFrame) -> DataFrame:
+        """The k best of every visit; a cell has as many copies as its visitors need tasks."""
+        visits = _stored(rows.mapInArrow(visit, visiting), "visits")
+        visitors = np.zeros(len(points), np.int64)
+        for r in visits.where("block = 0").groupBy("cell").agg(F.count("*").alias("m")).collect():  # one row per pivot
+            visitors[r["cell"]] = r["m"]
+        if report is not None:
+            report["pairs"] = report.get("pairs", 0) + int((visitors * counts).sum())
+        salts = F.element_at(F.array(*[F.lit(int(-(-m // VISITORS)) or 1) for m in visitors]), F.col("cell") + 1)
+        copies = F.explode(F.sequence(F.lit(0), salts - 1))
+        meet = lambda a, b: _k_nearest(a, b, k, apart is not None)
+        return (
+            visits.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
+            .groupBy("cell", "block", "salt")
+            .cogroup(placed.withColumn("salt", copies).groupBy("cell", "block", "salt"))
+            .applyInPandas(meet, outputs)
+        )
+
+    first = _stored(met(left), "own-cells")
+    order = W.partitionBy("id").orderBy("d2", "neighbour")
+    bounds = first.withColumn("place", F.row_number().over(order)).where(F.col("place") == k)
+    bounds = bounds.select(F.col("id").alias("_id"), F.sqrt("d2").alias("bound"))
+    second = met(left.join(bounds, F.col("id") == F.col("_id"), "left").drop("_id"))
+    if report is not None:
+        report["all"] = test.count() * n_train
     return (
-        met.withColumn("rank", F.row_number().over(order))
+        first.unionAll(second)
+        .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .withColumn("distance", F.sqrt("d2"))
-        .drop("d2")
+        .select(F.col("id").alias(key), "neighbour", "label", "rank", F.sqrt("d2").alias("distance"))
     )
 
 

@@ -126,14 +126,15 @@ def naive_vote(test, train, k):
     return out
 
 
-@pytest.mark.parametrize("blocks", [None, (1, 1), (3, 4)])
-def test_neighbours_equal_all_pairs(spark, blocks):
+@pytest.mark.parametrize(("pivots", "block_rows", "visitors"), [(None, 4096, 16_384), (1, 7, 5), (20, 3, 4)])
+def test_neighbours_equal_all_pairs(spark, pivots, block_rows, visitors, monkeypatch):
+    monkeypatch.setattr(neighbours, "VISITORS", visitors)
     rng = np.random.default_rng(0)
     train = [(i, rng.normal(size=4), int(i % 3 == 0)) for i in range(60)]
     test = [(100 + i, rng.normal(size=4)) for i in range(20)] + [(200, train[5][1])]
     a = spark.createDataFrame([(k, x.tolist()) for k, x in test], "window_id bigint, x array<double>")
     b = spark.createDataFrame([(k, x.tolist(), y) for k, x, y in train], "window_id bigint, x array<double>, y int")
-    got = {r["window_id"]: r["prob"] for r in neighbours.knn_vote(a, b, k=3, blocks=blocks).collect()}
+    got = {r["window_id"]: r["prob"] for r in neighbours.knn_vote(a, b, k=3, pivots=pivots, block_rows=block_rows).collect()}
     assert got == pytest.approx(naive_vote(test, train, 3))
 
 
@@ -146,6 +147,38 @@ def test_neighbours_of_other_subjects(spark):
     assert [r["neighbour"] for r in near] == [3]
 
 
+def test_ties_and_copies_are_taken_in_key_order(spark):
+    """Many copies of few vectors, more than k at one distance, in many small blocks."""
+    rows = [(i, i % 4, i % 2, [float(i % 5), 0.0]) for i in range(120)]
+    df = spark.createDataFrame(rows, "window_id bigint, subject int, y int, x array<double>")
+    got = neighbours.nearest(df, df, k=4, apart="subject", block_rows=6).collect()
+    want = set()
+    for key, part, _, x in rows:
+        near = sorted((abs(x[0] - v[0]), k) for k, p, _, v in rows if p != part)[:4]
+        want |= {(key, k, i + 1) for i, (_, k) in enumerate(near)}
+    assert {(r["window_id"], r["neighbour"], r["rank"]) for r in got} == want
+
+
+def test_far_cells_are_not_met(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(0, 100, (12, 6))
+    rows = [(i, (centre[i % 12] + rng.normal(size=6)).tolist(), i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "window_id bigint, x array<double>, y int")
+    report: dict = {}
+    got = neighbours.nearest(df, df, k=3, report=report)
+    near = {(r["window_id"], r["neighbour"]) for r in got.collect()}
+    x = np.array([r[1] for r in rows])
+    dist = ((x[:, None] - x[None]) ** 2).sum(-1)
+    assert near == {(i, int(j)) for i in range(600) for j in np.argsort(dist[i], kind="stable")[:3]}
+    assert report["all"] == 360_000 and report["pairs"] < 0.5 * report["all"]
+
+
+def test_no_training_rows(spark):
+    df = spark.createDataFrame([(1, 0, [1.0])], "window_id bigint, y int, x array<double>")
+    got = neighbours.knn_vote(df, df.limit(0), k=3).collect()
+    assert len(got) == 1 and got[0]["prob"] is None
+
+
 def test_hash_is_spread(spark):
     from paroxys.functions.hashing import uniform
 
@@ -173,7 +206,7 @@ def test_neighbours_on_stored_plain_tables(spark, tmp_path):
     path = str(tmp_path / "plain")
     spark.createDataFrame(rows, "window_id bigint, subject int, y int, x array<double>").write.parquet(path)
     stored = spark.read.parquet(path)
-    got = neighbours.knn_vote(stored, stored, keep=["y"], k=1, blocks=(3, 4)).collect()
+    got = neighbours.knn_vote(stored, stored, keep=["y"], k=1, pivots=4, block_rows=4).collect()
     assert len(got) == 30 and all(r["pred"] == r["y"] for r in got)
 
 
