@@ -842,8 +842,9 @@ def stream_windows(spark, sf_dir):
 
 
 #: Events of a user are hours apart, their files may be weeks late.
-STREAM_ORDER = online.Ordering(late=60.0, slot=86_400.0, idle=30 * 86_400.0)
-PATIENT_ORDER = online.Ordering(late=400 * 86_400.0, slot=86_400.0, idle=30 * 86_400.0)
+STREAM_ORDER = online.Ordering(late=60.0, slot=10 * 86_400.0, idle=30 * 86_400.0)
+DAILY_ORDER = online.Ordering(late=60.0, slot=86_400.0, idle=30 * 86_400.0)
+PATIENT_ORDER = online.Ordering(late=400 * 86_400.0, slot=10 * 86_400.0, idle=30 * 86_400.0)
 
 
 def _ordered(rows, operator, purpose, order=STREAM_ORDER):
@@ -909,7 +910,7 @@ def stream_late_rows(spark, sf_dir):
     """Windows over three files in reverse order without patience: rows windowed, rows late, rows in."""
     path, schema = _reversed_files(spark, sf_dir)
     stream = online.read_events(spark, path, "*.parquet", schema, 1).select("user_id", "ts", "event_id", "value")
-    _, rows, late = online.run_windows(stream, "late-rows", order=STREAM_ORDER)
+    _, rows, late = online.run_windows(stream, "late-rows", order=DAILY_ORDER)
     kept = rows.select("user_id", "event_id", F.lit(False).alias("late"))
     return kept.unionByName(late.select("user_id", "event_id", F.lit(True).alias("late")))
 

@@ -18,6 +18,7 @@ from paroxys.session import shared_folder
 BLOCK_ROWS = 4096
 CELLS = 1 << 22
 MAX_PIVOTS = 1024
+CELL_ROWS = 1024
 #: Test rows that meet one block in one task.
 VISITORS = 16_384
 
@@ -137,7 +138,7 @@ def nearest(
     row first meets its own cell; the distance of its k-th neighbour there then rules out
     all cells that the triangle inequality puts farther away, and only the others are
     met. Pivots are the training rows with the smallest key hashes, about the root of
-    their number and at most ``MAX_PIVOTS``; they decide the work, not the result. Cells
+    their number, at most ``MAX_PIVOTS`` and one per ``CELL_ROWS`` rows; they decide the work, not the result. Cells
     are met in blocks of ``block_rows``, so copies of one vector do not gather in a task,
     and a task hands on only its k best per test row. The first round runs now.
 
@@ -152,7 +153,7 @@ def nearest(
         *[c.alias(f"t_{n}") for n, c in own.items()], F.col(label).cast("int").alias("t_label"), _finite(x).alias("t_x")
     )
     n_train = train.count()
-    wanted = pivots or min(MAX_PIVOTS, max(1, math.isqrt(n_train)))
+    wanted = pivots or max(1, min(MAX_PIVOTS, math.isqrt(n_train), n_train // CELL_ROWS))
     centres = right.orderBy(F.xxhash64("t_id"), "t_id").limit(wanted).select("t_x").collect()
     if not centres:
         schema = f"{key} {kind}, neighbour {kind}, label int, rank int, distance double"
@@ -231,14 +232,15 @@ def nearest(
 
     first = _stored(met(left), "own-cells")
     order = W.partitionBy("id").orderBy("d2", "neighbour")
-    bounds = first.withColumn("place", F.row_number().over(order)).where(F.col("place") == k)
-    bounds = bounds.select(F.col("id").alias("_id"), F.sqrt("d2").alias("bound"))
-    second = met(left.join(bounds, F.col("id") == F.col("_id"), "left").drop("_id"))
+    found = first
+    if len(points) > 1:
+        bounds = first.withColumn("place", F.row_number().over(order)).where(F.col("place") == k)
+        bounds = bounds.select(F.col("id").alias("_id"), F.sqrt("d2").alias("bound"))
+        found = first.unionAll(met(left.join(bounds, F.col("id") == F.col("_id"), "left").drop("_id")))
     if report is not None:
         report["all"] = test.count() * n_train
     return (
-        first.unionAll(second)
-        .withColumn("rank", F.row_number().over(order))
+        found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select(F.col("id").alias(key), "neighbour", "label", "rank", F.sqrt("d2").alias("distance"))
     )

@@ -114,6 +114,8 @@ class _Sequence(StatefulProcessor):
             "waiting", "slot bigint", "at array<bigint>, event_id array<bigint>, value array<double>"
         )
         self.slot_us = int(self.order.slot * 1_000_000)
+        # Recordings whose due slots were answered at the present watermark.
+        self.seen_at, self.seen_keys = None, set()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
@@ -139,6 +141,11 @@ class _Sequence(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
+        if now != self.seen_at:
+            self.seen_at, self.seen_keys = now, set()
+        if key[0] in self.seen_keys:  # timers come after the rows of a micro-batch: nothing new is due
+            return
+        self.seen_keys.add(key[0])
         due = sorted(slot for (slot,) in self.waiting.keys() if (slot + 1) * self.slot_us <= now)
         if due:
             parts = [pd.DataFrame(dict(zip(("at", "event_id", "value"), self.waiting.getValue((s,))))) for s in due]

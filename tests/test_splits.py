@@ -165,7 +165,7 @@ def test_far_cells_are_not_met(spark):
     rows = [(i, (centre[i % 12] + rng.normal(size=6)).tolist(), i % 2) for i in range(600)]
     df = spark.createDataFrame(rows, "window_id bigint, x array<double>, y int")
     report: dict = {}
-    got = neighbours.nearest(df, df, k=3, report=report)
+    got = neighbours.nearest(df, df, k=3, pivots=24, report=report)
     near = {(r["window_id"], r["neighbour"]) for r in got.collect()}
     x = np.array([r[1] for r in rows])
     dist = ((x[:, None] - x[None]) ** 2).sum(-1)
