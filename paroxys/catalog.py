@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -542,7 +543,14 @@ def dwt_filter(spark, sf_dir):
 
 @query
 def dwt_subbands(spark, sf_dir):
-    """Rebuilt bands of every window; they add up to the signal."""
+    """Every band of every window rebuilt to the window's length, band by band."""
+    rows = features.dwt_subbands(fx.vectors(spark, sf_dir).select("window_id", "x"), 4)
+    return rows.select("window_id", "band", *array_digest("x"))
+
+
+@query
+def dwt_subbands_sum(spark, sf_dir):
+    """The rebuilt bands of a window add up to it."""
     rows = features.dwt_subbands(fx.vectors(spark, sf_dir).select("window_id", "x"), 4)
     points = rows.select("window_id", F.posexplode("x").alias("t", "v"))
     return rounded(points.groupBy("window_id", "t").agg(F.sum("v").alias("v")))
@@ -550,7 +558,8 @@ def dwt_subbands(spark, sf_dir):
 
 @query
 def feature_vector(spark, sf_dir):
-    rows = features.feature_vector(fx.channel_vectors(spark, sf_dir), 1)
+    """Four wavelet levels of four channels of 1024 samples: two hundred values per window."""
+    rows = features.feature_vector(fx.long_vectors(spark, sf_dir), 4)
     rows = rows.withColumn("features", F.col("features").cast("array<double>"))
     return rows.select("window_id", "subject", "y", *array_digest("features"))
 
@@ -769,7 +778,8 @@ def knn_loso_summary(spark, sf_dir):
 
 @query
 def prepare_dataset(spark, sf_dir):
-    """From samples and seizures to labelled, normalised windows, at one sample a second."""
+    """From samples and seizures to labelled windows: two samples a second averaged to one,
+    a low-pass forward and backward, the two finest wavelet bands removed, z-scores."""
     rows = fx.samples(spark, sf_dir).withColumns(
         {
             "subject": (F.col("user_id") % 10).cast("string"),
@@ -781,15 +791,18 @@ def prepare_dataset(spark, sf_dir):
     seizures = onsets.select(
         "subject",
         "recording",
-        F.col("i").cast("double").alias("onset_sec"),
-        (F.col("i") + 2).cast("double").alias("offset_sec"),
+        (F.col("i") / 2).alias("onset_sec"),
+        (F.col("i") / 2 + 2).alias("offset_sec"),
     )
+    low = (0.2928932188134524, 0.5857864376269049, 0.2928932188134524)
     cfg = Preparation(
         channels=("T7",),
-        source_rate=1,
+        source_rate=2,
         rate=1,
         window_sec=8.0,
         stride_sec=4.0,
+        filters=((low, (1.0, 0.0, 0.1715728752538099)),),
+        wavelet_filter=True,
         sop_sec={"y_near": 8.0, "y_far": 16.0},
         sph_sec=4.0,
         postictal_sec=8.0,
@@ -1059,9 +1072,12 @@ def metadata_json(spark, sf_dir):
 
 @query
 def inner_split(spark, sf_dir):
-    """Training and validation windows inside each fold of a split by subject."""
+    """Training and validation windows inside every fold of a split by subject."""
     rows = fx.vectors(spark, sf_dir)
-    train, _ = splits.loso_split(rows, 0)
-    cut = splits.inner_split(train, 1_000, 0.1)
-    parts = [p.groupBy("y").agg(F.count("*").alias("n")).withColumn("role", F.lit(r)) for p, r in zip(cut, ("train", "val"))]
-    return parts[0].unionByName(parts[1])
+    parts = []
+    for fold in splits.trainable(splits.loso_folds(rows)).orderBy("fold").collect():
+        train, _ = splits.loso_split(rows, fold["fold"])
+        for role, part in zip(("train", "val"), splits.inner_split(train, fold["n_train"], 0.1)):
+            counts = part.groupBy("y").agg(F.count("*").alias("n"))
+            parts.append(counts.withColumns({"role": F.lit(role), "fold": F.lit(fold["fold"])}))
+    return reduce(DataFrame.unionByName, parts)
\ No newline at end of file

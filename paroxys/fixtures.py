@@ -134,6 +134,26 @@ def channel_vectors(spark: SparkSession, sf_dir: str, channels: int = 4) -> Data
     )
 
 
+def long_vectors(spark: SparkSession, sf_dir: str, channels: int = 4, parts: int = 16) -> DataFrame:
+    """Windows of ``parts`` embeddings per channel: four channels of 1024 samples."""
+    per = channels * parts
+    group, place = F.floor(F.col("vec_id") / per).cast("bigint"), F.pmod("vec_id", F.lit(per))
+    rows = table(spark, sf_dir, "embeddings").select(
+        group.alias("window_id"),
+        F.floor(place / parts).cast("int").alias("ch"),
+        "vec_id",
+        F.col("embedding").cast("array<double>").alias("part"),
+    )
+    joined = rows.groupBy("window_id", "ch").agg(F.sort_array(F.collect_list(F.struct("vec_id", "part"))).alias("_p"))
+    return joined.where(F.size("_p") == parts).select(
+        "window_id",
+        (F.col("window_id") % 10).cast("int").alias("subject"),
+        (F.col("window_id") % 3 == 0).cast("int").alias("y"),
+        "ch",
+        F.flatten(F.transform("_p", lambda p: p["part"])).alias("x"),
+    )
+
+
 def siena_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seizure lists in wall-clock form, one file per user and minute."""
     rows = _seizure_rows(spark, sf_dir)

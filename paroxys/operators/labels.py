@@ -162,24 +162,25 @@ def merge_labels(
 ) -> DataFrame:
     """One row per window with a label column per variant.
 
-    Every variant must label the same windows; a window missing from one makes the job
-    fail. Windows meet by key, with one shuffle for all variants.
+    Every variant must label the same windows once; a window missing from one, or listed
+    twice in one, makes the job fail. Windows meet by key, with one shuffle for all variants.
     """
     tagged = None
     for name, df in variants.items():
         part = df.select(*keys, F.lit(name).alias("_variant"), F.col(label).alias("_label"))
         tagged = part if tagged is None else tagged.unionByName(part)
     merged = tagged.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_variant") == name, F.col("_label"))).alias(name) for name in variants]
+        *[F.max(F.when(F.col("_variant") == name, F.col("_label"))).alias(name) for name in variants],
+        *[F.count_if(F.col("_variant") == name).alias(f"_times_{name}") for name in variants],
     )
     complete = F.lit(True)
     for name in variants:
-        complete = complete & F.col(name).isNotNull()
+        complete = complete & (F.col(f"_times_{name}") == 1)
     first = next(iter(variants))
     checked = F.when(complete, F.col(first)).otherwise(
-        F.raise_error(F.lit("label variants cover different windows")).cast("int")
+        F.raise_error(F.lit("label variants cover different windows or list one twice")).cast("int")
     )
-    return merged.withColumn(first, checked)
+    return merged.withColumn(first, checked).drop(*[f"_times_{name}" for name in variants])
 
 
 def lookup_subjects(df: DataFrame, subjects: DataFrame, key: str = "subject") -> DataFrame:

@@ -244,14 +244,14 @@ def stats(source: str, keys: str = "window_id") -> str:
     return STATS.replace("{keys}", keys).replace("{source}", source)
 
 
-def entropies(source: str, keys: str = "window_id") -> str:
+def entropies(source: str, keys: str = "window_id", limit: int = 64) -> str:
     """Sample, permutation and Shannon entropy of rows ``({keys}, x)``, from points."""
     on = " and ".join(f"a.{c} = b.{c}" for c in keys.replace(" ", "").split(","))
     return f"""points as (
   select {keys}, p as i, x[p + 1] as v, len(x) as n
   from {source}, range(0, len(x)) as r(p)),
 firsts as (
-  select *, least(n, 64) as m from points where i < 64),
+  select *, least(n, {limit}) as m from points where i < {limit}),
 radii as (select {keys}, 0.2 * stddev_samp(v) as r from firsts group by all),
 leads as (
   select f.*, r.r, lead(v, 1) over w as v1, lead(v, 2) over w as v2
@@ -385,21 +385,28 @@ spectrum as (
     stddev_pop(power) as std_power from pw group by all)"""
 
 
-def feature_vector() -> str:
-    """One wavelet level, ten statistics per band and channel, concatenated in order."""
-    return f"""with {CHANNELS}, {levels('chans', 1, 'window_id, ch')},
-bands as (
-  select window_id, ch, 0 as band, a1 as x from lev1
-  union all select window_id, ch, 1, d1 from lev1),
+LONG = """chans as (
+  select vec_id // 64 as window_id, cast(vec_id // 64 % 10 as int) as subject, cast(vec_id // 64 % 3 = 0 as int) as y,
+    cast(vec_id % 64 // 16 as int) as ch, flatten(list(cast(embedding as double[]) order by vec_id)) as x
+  from embeddings group by all having count(*) = 16)"""
+
+
+def feature_vector(source: str, depth: int, limit: int = 64) -> str:
+    """Ten statistics per band and channel, concatenated in order, approximation first."""
+    bands = [f"select window_id, ch, 0 as band, a{depth} as x from lev{depth}"]
+    bands += [f"select window_id, ch, {depth - d + 1}, d{d} from lev{d}" for d in range(depth, 0, -1)]
+    return f"""with {source}, {levels('chans', depth, 'window_id, ch')},
+bands as ({' union all '.join(bands)}),
 {stats('bands', 'window_id, ch, band')},
-{entropies('bands', 'window_id, ch, band')},
+{entropies('bands', 'window_id, ch, band', limit)},
 f as (
   select window_id, ch, band, cast([mn, mx, mu, m2, sqrt(m2), m3 / m2 ** 1.5, m4 / m2 ** 2 - 3,
     e.entropy, p.entropy, h.entropy] as float[]) as f
   from stats join sampen e using (window_id, ch, band) join perment p using (window_id, ch, band)
     join shannon h using (window_id, ch, band)),
-v as (select window_id, cast(flatten(list(f order by ch, band)) as double[]) as x from f group by 1)
-select window_id, subject, y, {digest('v.x')} from v join vectors using (window_id)"""
+v as (select window_id, cast(flatten(list(f order by ch, band)) as double[]) as x from f group by 1),
+ids as (select distinct window_id, subject, y from chans)
+select window_id, subject, y, {digest('v.x')} from v join ids using (window_id)"""
 
 
 def synthesise(low: str, high: str) -> str:
@@ -413,46 +420,95 @@ def synthesise(low: str, high: str) -> str:
     return f"[{' + '.join(terms)} for t in range(2 * len({high}) - 6)]"
 
 
-def dwt_filter() -> str:
-    """Five levels down, the two finest details dropped, and up again."""
-    up, approx = [], "a5"
-    for level in range(5, 0, -1):
-        kept = f"d{level}" if level >= 3 else f"[0.0::double for v in d{level}]"
+def rebuilt(depth: int, kept: set[int], key: str, prefix: str = "up", keep_approx: bool = True) -> str:
+    """CTEs ``{prefix}{depth}`` to ``{prefix}1`` that go up again with some details; ``r1`` is the signal."""
+    up, approx = [], f"a{depth}" if keep_approx else f"[0.0::double for v in a{depth}]"
+    for level in range(depth, 0, -1):
+        detail = f"d{level}" if level in kept else f"[0.0::double for v in d{level}]"
+        source = f"lev{level}" if level == depth else f"{prefix}{level + 1} join lev{level} using ({key})"
         up.append(
-            f"up{level} as (select l.user_id, {synthesise('low', 'high')} as r{level} from ("
-            f"select user_id, {approx}[1 : len(d{level})] as low, {kept} as high from "
-            + (f"lev{level}" if level == 5 else f"up{level + 1} join lev{level} using (user_id)")
-            + ") l)"
+            f"{prefix}{level} as (select l.{key}, {synthesise('low', 'high')} as r{level} from ("
+            f"select {key}, ({approx})[1 : len(d{level})] as low, {detail} as high from {source}) l)"
         )
         approx = f"r{level}"
+    return ", ".join(up)
+
+
+def subbands(depth: int) -> str:
+    """Each band alone, rebuilt to the length of its window."""
+    parts, found = [], []
+    for band in range(depth + 1):
+        kept = {depth + 1 - band} if band else set()
+        parts.append(rebuilt(depth, kept, "window_id", f"b{band}_", band == 0))
+        found.append(f"select window_id, {band} as band, {digest('x')} from (select window_id, r1[1:64] as x from b{band}_1)")
+    return f"""with {VECTORS}, {levels('vectors', depth)}, {', '.join(parts)}
+{' union all '.join(found)}"""
+
+
+def dwt_filter() -> str:
+    """Five levels down, the two finest details dropped, and up again."""
     return f"""with {SAMPLES},
 recs as (select user_id, list(value order by i) as x from samples group by 1),
 {levels('recs', 5, 'user_id')},
-{", ".join(up)}
+{rebuilt(5, {3, 4, 5}, 'user_id')}
 select user_id, i, round(r1[i + 1], 6) as value from samples join up1 using (user_id)"""
 
 
-def iir_filter() -> str:
-    """The recursion step by step over the reflected recording, forward then backward."""
+def both_ways(source: str) -> str:
+    """CTEs of the recursion step by step over reflected recordings ``(user_id, x)``, forward
+    then backward; ``done`` has the padded result ``x``."""
     b0, b1, a2 = "0.2928932188134524::double", "0.5857864376269049::double", "0.1715728752538099::double"
 
     def step(name: str, source: str) -> str:
         return f"""{name} as (
-  select user_id, 1 as t, ({b0} + {b1} + {b0}) * e[1] - {a2} * e[1] as y, e[1] as y1, e from {source}
+  select user_id, 1 as t, ({b0} + {b1} + {b0}) * e[1] - {a2} * e[1] as y, e[1] as y1, e, pad from {source}
   union all
-  select user_id, t + 1, {b0} * e[t + 1] + {b1} * e[t] + {b0} * e[greatest(t - 1, 1)] - {a2} * y1, y, e
+  select user_id, t + 1, {b0} * e[t + 1] + {b1} * e[t] + {b0} * e[greatest(t - 1, 1)] - {a2} * y1, y, e, pad
   from {name} where t < len(e))"""
 
-    return f"""with recursive {SAMPLES},
-recs as (select user_id, list(value order by i) as x from samples group by 1),
-ext as (
-  select user_id, [2 * x[1] - x[10 - j] for j in range(9)] || x
-    || [2 * x[len(x)] - x[len(x) - 1 - j] for j in range(9)] as e from recs),
+    return f"""ext as (
+  select user_id, least(9, len(x) - 1) as pad,
+    [2 * x[1] - x[least(9, len(x) - 1) + 1 - j] for j in range(least(9, len(x) - 1))] || x
+    || [2 * x[len(x)] - x[len(x) - 1 - j] for j in range(least(9, len(x) - 1))] as e from {source}),
 {step('fwd', 'ext')},
-turned as (select user_id, list(y order by t desc) as e from fwd group by 1),
+turned as (select user_id, pad, list(y order by t desc) as e from fwd group by 1, 2),
 {step('bwd', 'turned')},
-done as (select user_id, list(y order by t desc) as x from bwd group by 1)
-select user_id, i, round(x[i + 10], 6) as value from samples join done using (user_id)"""
+done as (select user_id, pad, list(y order by t desc) as x from bwd group by 1, 2)"""
+
+
+def iir_filter() -> str:
+    return f"""with recursive {SAMPLES},
+recs as (select user_id, list(value order by i) as x from samples group by 1),
+{both_ways('recs')}
+select user_id, i, round(x[i + pad + 1], 6) as value from samples join done using (user_id)"""
+
+
+def prepare_dataset() -> str:
+    """Two samples averaged to one, filtered, rebuilt from the kept bands, scaled, cut and labelled."""
+    return f"""with recursive {SAMPLES},
+halved as (select user_id, i // 2 as i, avg(value) as value from samples group by all),
+recs as (select user_id, list(value order by i) as x from halved group by 1),
+{both_ways('recs')},
+smooth as (select d.user_id, d.x[pad + 1 : pad + len(r.x)] as x from done d join recs r using (user_id)),
+{levels('smooth', 5, 'user_id')},
+{rebuilt(5, {3, 4, 5}, 'user_id')},
+clean as (select user_id, i, r1[i + 1] as value from halved join up1 using (user_id)),
+z as (select user_id, i, (value - avg(value) over w) / (stddev_pop(value) over w + 1e-6) as v
+  from clean window w as (partition by user_id)),
+n as (select user_id, count(*) as t from halved group by 1),
+k as (select user_id, unnest(generate_series(0, (t - 8) // 4)) as k from n where t >= 8),
+q as (select user_id, i / 2.0::double as a, i / 2.0::double + 2 as b from samples
+  where event_type = 'purchase' and value > 150),
+l as (select k.user_id, k.k,
+    max(case when 4 * k < b and 4 * k + 8 > a then 1 when 4 * k < a and 4 * k + 8 > a - 4 then 1
+      when 4 * k < b + 8 and 4 * k + 8 > b then 1 else 0 end) as bad,
+    max(case when 4 * k >= a - 12 and 4 * k + 8 <= a - 4 then 1 else 0 end) as y_near,
+    max(case when 4 * k >= a - 20 and 4 * k + 8 <= a - 4 then 1 else 0 end) as y_far
+  from k left join q on q.user_id = k.user_id group by all),
+m as (select l.user_id, l.k, y_near, y_far, list(v order by i) as x
+  from l join z on z.user_id = l.user_id and i >= 4 * l.k and i < 4 * l.k + 8 where bad = 0 group by all)
+select cast(user_id as varchar) as recording, 'T7' as channel, k, k * 4.0::double as start_sec,
+  y_near, y_far, {digest('x')} from m"""
 
 
 def knn() -> str:
@@ -696,7 +752,7 @@ ORACLES: dict[str, str] = {
         select window_id, round(entropy, 6) as entropy from perment""",
     "shannon_entropy": f"""with {VECTORS}, {entropies('vectors')}
         select window_id, round(entropy, 6) as entropy from shannon""",
-    "dwt_subbands": f"""with {VECTORS} select window_id, p as t, round(x[p + 1], 6) as v
+    "dwt_subbands_sum": f"""with {VECTORS} select window_id, p as t, round(x[p + 1], 6) as v
         from vectors, range(64) as r(p)""",
     "psd": f"""with {psd()} select ch, y, bin, round(freq, 6) as freq,
         round(mean_power, 9) as mean_power, round(std_power, 9) as std_power from spectrum""",
@@ -757,23 +813,6 @@ ORACLES: dict[str, str] = {
         c as (select fold, {COUNTS} from s group by 1), a as (select * from {auc('s', 'fold')}),
         m as (select {rates(wrap='{}')}, auc_roc from c join a using (fold))
         select count(*) as n_folds, {means((*METRICS, 'auc_roc'))} from m""",
-    "prepare_dataset": f"""with {SAMPLES},
-        z as (select user_id, i, (value - avg(value) over w) / (stddev_pop(value) over w + 1e-6) as v
-          from samples window w as (partition by user_id)),
-        n as (select user_id, count(*) as t from samples group by 1),
-        k as (select user_id, unnest(generate_series(0, (t - 8) // 4)) as k from n where t >= 8),
-        q as (select user_id, i::double as a, i + 2.0::double as b from samples
-          where event_type = 'purchase' and value > 150),
-        l as (select k.user_id, k.k,
-            max(case when 4 * k < b and 4 * k + 8 > a then 1 when 4 * k < a and 4 * k + 8 > a - 4 then 1
-              when 4 * k < b + 8 and 4 * k + 8 > b then 1 else 0 end) as bad,
-            max(case when 4 * k >= a - 12 and 4 * k + 8 <= a - 4 then 1 else 0 end) as y_near,
-            max(case when 4 * k >= a - 20 and 4 * k + 8 <= a - 4 then 1 else 0 end) as y_far
-          from k left join q on q.user_id = k.user_id group by all),
-        m as (select l.user_id, l.k, y_near, y_far, list(v order by i) as x
-          from l join z on z.user_id = l.user_id and i >= 4 * l.k and i < 4 * l.k + 8 where bad = 0 group by all)
-        select cast(user_id as varchar) as recording, 'T7' as channel, k, k * 4.0::double as start_sec,
-          y_near, y_far, {digest('x')} from m""",
     "experiment_grid": f"""with {LABELS}, v as (
           select 'y_sop5' as dataset, count(*) as total, sum(y_sop5) as preictal from labelled
           union all select 'y_sop10', count(*), sum(y_sop10) from labelled
@@ -807,7 +846,10 @@ ORACLES: dict[str, str] = {
         select user_id, k, round(ema, 6) as ema, cast(ema >= 0.5 as int) as ema_pred from s""",
     "stream_alarm": f"""with {SCORED} select user_id, k, cast(count(*) over w = 3 and sum(pred) over w = 3 as int) as alarm
         from scored window w as (partition by user_id order by k rows between 2 preceding and current row)""",
-    "feature_vector": feature_vector(),
+    "feature_vector": feature_vector(LONG, 4, 1024),
+    "stored_features": feature_vector(CHANNELS, 1),
+    "dwt_subbands": subbands(4),
+    "prepare_dataset": prepare_dataset(),
     "dwt_filter": dwt_filter(),
     "iir_filter": iir_filter(),
 }
@@ -832,7 +874,6 @@ for twin, name in {
     "runs_small_chunks": "alarm_runs",
     "knn_stored": "knn",
     "stored_annotations": "siena_intervals",
-    "stored_features": "feature_vector",
 }.items():
     ORACLES[twin] = ORACLES[name]
 
@@ -849,10 +890,11 @@ ORACLES |= {
           round(stddev_pop(f1), 6) as f1_spread, round(max(recall), 6) as best_recall from m""",
     "metadata_json": f"""{_summary()} select samples, positive, num_subjects, record_count, 256 as fs,
         18000.0::double as sph from summary""",
-    "inner_split": f"""with {VECTORS}, train as (select * from vectors where subject <> 0),
-        p as (select y, row_number() over (partition by y order by {key('window_id', 42)}, window_id) - 1 as pos,
-          count(*) over (partition by y) as n from train)
-        select y, case when pos < floor(n * 0.1::double + 0.5) then 'val' else 'train' end as role, count(*) as n
+    "inner_split": f"""with {VECTORS}, folds as (select distinct subject as fold from vectors where y = 1),
+        train as (select fold, vectors.* from folds join vectors on subject <> fold),
+        p as (select fold, y, row_number() over (partition by fold, y order by {key('window_id', 42)}, window_id) - 1 as pos,
+          count(*) over (partition by fold, y) as n from train)
+        select fold, y, case when pos < floor(n * 0.1::double + 0.5) then 'val' else 'train' end as role, count(*) as n
         from p group by all""",
     "stream_vote": ORACLES["majority_vote"],
     "stream_vote_reversed": ORACLES["majority_vote"],

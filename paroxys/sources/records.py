@@ -31,7 +31,8 @@ def record_index(paths: DataFrame, dataset: str, path: str = "path") -> DataFram
     """``{dataset}_{number:06d}`` per path, numbered in path order."""
     ranged = ordered_bucket(paths.select(path).distinct(), path)
     numbered = dense_index(ranged, [], "chunk", [path], "n")
-    return numbered.select(F.format_string(f"{dataset}_%06d", "n").alias("record_id"), path)
+    number = F.format_string("%06d", "n")
+    return numbered.select(F.concat(F.lit(f"{dataset}_"), number).alias("record_id"), path)
 
 
 def read_samples(
