@@ -130,6 +130,29 @@ def test_recursive_filter(signal, size):
         np.testing.assert_allclose(got[u], naive_both_ways(b, a, x, 9), atol=1e-10)
 
 
+@pytest.mark.parametrize(
+    ("b", "a"),
+    [
+        ((1e-8,), np.poly([0.99] * 4)),  # a pole of multiplicity four
+        ((0.5, -0.5), (1.0, -0.98)),  # no gain at rest
+        (np.poly([-1.0] * 4) * 1e-3, np.poly([0.9 + 0.3j, 0.9 - 0.3j, 0.8, 0.7, -0.5])),
+        ((1.0, 2.0, 3.0), (2.0,)),  # no recursion
+    ],
+    ids=["fourfold", "cancelling", "mixed", "moving sum"],
+)
+def test_filters_do_not_depend_on_the_chunks(spark, b, a):
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.normal(size=40_000)) * 0.1 + 50
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "user_id int, i bigint, value double")
+    found = []
+    for size in (1, 10_000, 1 << 17):
+        rows = recursive.iir_filter(df, b, a, size=size).orderBy("i").collect()
+        found.append(np.array([r["value"] for r in rows]))
+    scale = np.abs(found[-1]).max()
+    for other in found[:-1]:
+        assert np.abs(other - found[-1]).max() <= 1e-12 * scale
+
+
 def test_unstable_filter_is_refused(signal):
     with pytest.raises(ValueError):
         recursive.iir_filter(signal, (1.0,), (1.0, -1.1))
