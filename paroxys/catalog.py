@@ -301,14 +301,29 @@ def dataset_summary(spark, sf_dir):
     return rounded(_summary(spark, sf_dir))
 
 
+@query
+def structure_checks(spark, sf_dir):
+    return rounded(audit.structure_checks(_summary(spark, sf_dir)))
+
+
+def _conformance(spark, sf_dir):
+    rows = _prepared(spark, sf_dir).withColumnRenamed("y_far", "y")
+    settings = {
+        "rate": 1, "window_sec": 8.0, "stride_sec": 4.0, "normalisation": "zscore", "mode": "prediction",
+        "sop_minutes": 16.0, "sph_minutes": 5.0,
+    }
+    return audit.conformance(audit.window_figures(rows), settings)
+
+
 @query
 def conformance(spark, sf_dir):
-    return rounded(audit.conformance(_summary(spark, sf_dir)))
+    """All checks of the prepared dataset."""
+    return rounded(_conformance(spark, sf_dir))
 
 
 @query
 def conformance_counts(spark, sf_dir):
-    return audit.status_counts(audit.conformance(_summary(spark, sf_dir)))
+    return audit.status_counts(_conformance(spark, sf_dir))
 
 
 @query
@@ -776,8 +791,7 @@ def knn_loso_summary(spark, sf_dir):
 # --- stored datasets --------------------------------------------------------------------------------
 
 
-@query
-def prepare_dataset(spark, sf_dir):
+def _prepared(spark, sf_dir):
     """From samples and seizures to labelled windows: two samples a second averaged to one,
     a low-pass forward and backward, the two finest wavelet bands removed, z-scores."""
     rows = fx.samples(spark, sf_dir).withColumns(
@@ -808,8 +822,13 @@ def prepare_dataset(spark, sf_dir):
         postictal_sec=8.0,
     )
     signal = rows.select("subject", "recording", "channel", "i", "value")
-    done = prepare(signal, seizures, cfg)
-    return done.select(
+    return prepare(signal, seizures, cfg)
+
+
+@query
+def prepare_dataset(spark, sf_dir):
+    """The prepared windows with their labels and a digest of their samples."""
+    return _prepared(spark, sf_dir).select(
         "recording", "channel", "k", r6("start_sec").alias("start_sec"), "y_near", "y_far", *array_digest("x")
     )
 
@@ -1060,16 +1079,52 @@ def loso_json(spark, sf_dir):
 def metadata_json(spark, sf_dir):
     """A dataset's description written as JSON and read back."""
     path = shared_folder(spark, "metadata")
-    rows = labelled(spark, sf_dir).withColumnRenamed("y_sop15", "y")
-    rows = rows.withColumn("subject", F.col("user_id") % 10)
-    settings = {"fs": 256, "labels": {"sph": fx.SPH_SEC, "sop": fx.SOP_SEC[15]}}
-    datasets.write_metadata(audit.metadata(rows, settings, subject="subject", recording="user_id"), path)
+    names = {f"y_sop{m}": float(m) for m in (5, 10, 15)}
+    rows = labelled(spark, sf_dir).withColumn("subject", F.col("user_id") % 10).withColumn("y", F.col("y_sop15"))
+    raw = F.create_map(*[F.lit(x) for p in fx.RAW_CHANNELS.items() for x in p])
+    named = fx.table(spark, sf_dir, "events").select("user_id", channels.normal_name(raw[F.col("event_type")]).alias("channel"))
+    settings = {
+        "dataset": "events", "sample_rate_hz": 256, "seq_len": 1024, "window_sec": 4.0, "stride_sec": 1.0,
+        "channels": 4, "selected_channels": ["F7", "F8", "T7", "T8"], "normalization": "zscore",
+        "labeling": {
+            "mode": "prediction", "overlap_fraction": 0.2, "sop_minutes": fx.SOP_SEC[15] / 60,
+            "sph_minutes": fx.SPH_SEC / 60, "postictal_gap_minutes": fx.POSTICTAL_SEC / 60,
+        },
+    }
+    written = audit.metadata(
+        rows, settings, channels.channel_coverage(named, ["F8", "P7"]), names, subject="subject", recording="user_id"
+    )
+    datasets.write_metadata(written, path)
     back = spark.read.json(path)
     return rounded(
-        back.select("samples", "positive", "num_subjects", "record_count", "fs", F.col("labels.sph").cast("double").alias("sph"))
+        back.select(
+            "dataset", "samples", "positive", "negative", "class_ratio", "num_subjects", "record_count", "sample_rate_hz",
+            "seq_len", "window_sec", "stride_sec", "channels", "normalization", "skipped_no_channels",
+            F.concat_ws(",", "selected_channels").alias("selected_channels"),
+            F.to_json("subject_map").alias("subject_map"),
+            "labeling.mode", "labeling.overlap_fraction", "labeling.sop_minutes", "labeling.sph_minutes",
+            "labeling.postictal_gap_minutes",
+            *[F.col(f"label_keys.{n}.positive").alias(f"positive_{n}") for n in names],
+            *[F.col(f"label_keys.{n}.sop_minutes").alias(f"minutes_{n}") for n in names],
+        )
     )
 
 
+@query
+def merged_dataset(spark, sf_dir):
+    """Signals, two label variants and features of the same windows, met bucket by bucket."""
+    keys = ["subject", "window_id"]
+    rows = fx.vectors(spark, sf_dir)
+    store = lambda df, name: datasets.write_bucketed(df, shared_folder(spark, name), keys, 8)
+    third = (F.col("window_id") % 3 == 0).cast("int").alias("y")
+    tables = {"y_first": store(rows.select(*keys, "y"), "first"), "y_third": store(rows.select(*keys, third), "third")}
+    vectors = store(features.feature_vector(fx.channel_vectors(spark, sf_dir), 1).select(*keys, "features"), "vectors")
+    merged = datasets.merge_dataset(spark, store(rows.select(*keys, "x"), "signals"), tables, keys, vectors)
+    doubles = merged.withColumn("features", F.col("features").cast("array<double>"))
+    digest = [c.alias(f"f_{name}") for c, name in zip(array_digest("features"), ("n", "total", "weighted"))]
+    return doubles.select(*keys, "y_first", "y_third", *array_digest("x"), *digest)
+
+
 @query
 def inner_split(spark, sf_dir):
     """Training and validation windows inside every fold of a split by subject."""

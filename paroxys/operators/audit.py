@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,15 +40,36 @@ def metadata(
     windows: DataFrame,
     settings: dict[str, object],
     skipped: DataFrame | None = None,
+    label_keys: Mapping[str, float] | None = None,
     **columns: str,
 ) -> DataFrame:
     """The dataset summary with its settings, as one JSON-ready row.
 
-    ``skipped`` counts recordings without any configured channel
-    (``channels.channel_coverage``).
+    ``settings`` are written as they are, mappings as nested documents; lists name, say,
+    the selected channels. ``skipped`` counts recordings without any configured channel
+    (``channels.channel_coverage``). ``subject_map`` lists the subjects by their dense id.
+    ``label_keys`` names the label columns of a merged dataset with their occurrence
+    periods in minutes; each is written with its number of positives.
     """
+    subjects = subject_map(windows, columns.get("subject", "subject"))
+    names = subjects.agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("subject_id").cast("string"), F.col(subjects.columns[1]).cast("string")))))
+    ).scalar()
     summary = dataset_summary(windows, **columns)
-    fixed = {name: F.lit(value) for name, value in settings.items() if not isinstance(value, dict)}
+    fixed = {
+        name: F.array(*[F.lit(v) for v in value]) if isinstance(value, (list, tuple)) else F.lit(value)
+        for name, value in settings.items()
+        if not isinstance(value, dict)
+    }
+    fixed["subject_map"] = names
+    if label_keys:
+        totals = windows.agg(*[F.sum(name).cast("bigint").alias(name) for name in label_keys])
+        fixed["label_keys"] = F.struct(
+            *[
+                F.struct(F.lit(float(minutes)).alias("sop_minutes"), totals.select(name).scalar().alias("positive")).alias(name)
+                for name, minutes in label_keys.items()
+            ]
+        )
     nested = {
         name: F.struct(*[F.lit(v).alias(k) for k, v in value.items()])
         for name, value in settings.items()
@@ -198,7 +219,118 @@ def checklist(summary: DataFrame, checks: dict[str, tuple[Column, Column, bool]]
     return summary.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
-def conformance(summary: DataFrame) -> DataFrame:
+def window_figures(
+    windows: DataFrame, x: str = "x", label: str = "y", keys: Sequence[str] = ("subject", "recording", "k")
+) -> DataFrame:
+    """One row about a window table with a row per window and channel.
+
+    Arrays shrink to their length, mean and deviation where they are; windows, then
+    subjects, are counted from those.
+    """
+    subject, recording, _ = keys
+    moments = let(
+        F.col(x).cast("array<double>"),
+        lambda v: let(arrays.mean(v), lambda m: F.struct(m.alias("m"), arrays.std(v, m).alias("s"), F.size(v).alias("n"))),
+    )
+    rows = windows.select(*keys, "channel", F.col(label).alias("y"), moments.alias("w"))
+    each = rows.groupBy(*keys).agg(
+        F.max("y").alias("y"),
+        F.count_distinct("channel").alias("channels"),
+        F.collect_set("channel").alias("names"),
+        F.min("w.n").alias("shortest"),
+        F.max("w.n").alias("longest"),
+        F.sum("w.m").alias("m"),
+        F.sum("w.s").alias("s"),
+    )
+    people = each.groupBy(subject).agg(
+        F.count("*").alias("samples"),
+        F.sum("y").alias("positive"),
+        F.count_distinct(recording).alias("recordings"),
+        F.min("channels").alias("fewest"),
+        F.max("channels").alias("most"),
+        F.array_distinct(F.flatten(F.collect_set("names"))).alias("names"),
+        F.min("shortest").alias("shortest"),
+        F.max("longest").alias("longest"),
+        F.sum("m").alias("m"),
+        F.sum("s").alias("s"),
+        F.sum("channels").alias("rows"),
+    )
+    return people.agg(
+        F.coalesce(F.sum("samples"), F.lit(0)).alias("samples"),
+        F.sum("positive").alias("positive"),
+        (F.sum("positive") / F.sum("samples")).alias("positive_share"),
+        F.count("*").alias("subjects"),
+        F.count_if(F.col("positive") > 0).alias("eligible"),
+        F.sum("recordings").alias("recordings"),
+        F.min("fewest").alias("fewest"),
+        F.max("most").alias("most"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("names"),
+        F.min("shortest").alias("shortest"),
+        F.max("longest").alias("longest"),
+        (F.sum("m") / F.sum("rows")).alias("mean_of_means"),
+        (F.sum("s") / F.sum("rows")).alias("mean_of_stds"),
+    ).withColumn("single_precision", F.lit(dict(windows.dtypes)[x] == "array<float>"))
+
+
+# What a dataset of the full corpus looks like.
+EXPECTED = {
+    "rate": 256, "window_sec": 4.0, "stride_sec": 1.0, "channels": ("F7", "F8", "T7", "T8"), "length": 1024,
+    "windows": 100_000, "subjects": 14, "eligible": 10, "recordings": 41, "sph_minutes": 5.0,
+    "normalisation": "zscore", "mode": "prediction",
+}
+
+
+def conformance(figures: DataFrame, settings: Mapping, expected: Mapping = EXPECTED) -> DataFrame:
+    """All checks of a prepared dataset: is it ready to train on, does it follow the design?
+
+    ``figures`` comes from ``window_figures``; ``settings`` has ``rate``, ``window_sec``,
+    ``stride_sec``, ``normalisation``, ``mode``, ``sop_minutes`` and ``sph_minutes``. An
+    occurrence period that fits is a warning: its choice is open to debate.
+    """
+    c, e = F.col, {**EXPECTED, **expected}
+    fixed = lambda ok: (F.lit(bool(ok)), F.lit(float(bool(ok))))
+    shape = (c("fewest") == len(e["channels"])) & (c("most") == len(e["channels"]))
+    length = (c("shortest") == e["length"]) & (c("longest") == e["length"])
+    names = c("names") == F.array_sort(F.array(*[F.lit(n) for n in e["channels"]]))
+    single = c("single_precision")
+    sop_fits = 5 <= settings["sop_minutes"] <= 20
+    checks = {
+        # Ready for training.
+        "ready_windows": (c("samples") > e["windows"], c("samples")),
+        "ready_channels": (shape, c("most")),
+        "ready_length": (length, c("longest")),
+        "ready_rate": (F.lit(settings["rate"] == e["rate"]), F.lit(settings["rate"])),
+        "ready_precision": (single, single),
+        "ready_subjects": (c("subjects") == e["subjects"], c("subjects")),
+        "ready_eligible": (c("eligible") >= e["eligible"], c("eligible")),
+        "ready_share": (c("positive_share").between(0.001, 0.05), c("positive_share")),
+        "ready_mode": fixed(settings["mode"] == e["mode"]),
+        "ready_mean": (F.abs("mean_of_means") < 0.1, c("mean_of_means")),
+        "ready_std": (c("mean_of_stds") > 0, c("mean_of_stds")),
+        # The design.
+        "rate": (F.lit(settings["rate"] == e["rate"]), F.lit(settings["rate"])),
+        "shape": (shape & length, c("longest")),
+        "window": (F.lit(abs(settings["window_sec"] - e["window_sec"]) < 0.01), F.lit(settings["window_sec"])),
+        "stride": (F.lit(abs(settings["stride_sec"] - e["stride_sec"]) < 0.01), F.lit(settings["stride_sec"])),
+        "channels": (names, F.size("names")),
+        "normalisation": fixed(settings["normalisation"] == e["normalisation"]),
+        "window_mean": (F.abs("mean_of_means") < 0.01, c("mean_of_means")),
+        "window_std": ((c("mean_of_stds") > 0.4) & (c("mean_of_stds") < 1.1), c("mean_of_stds")),
+        "sop": (F.lit(sop_fits), F.lit(settings["sop_minutes"])),
+        "sph": (F.lit(settings["sph_minutes"] == e["sph_minutes"]), F.lit(settings["sph_minutes"])),
+        "mode": fixed(settings["mode"] == e["mode"]),
+        "subjects": (c("subjects") == e["subjects"], c("subjects")),
+        "recordings": (c("recordings") == e["recordings"], c("recordings")),
+        "all_eligible": (c("eligible") == c("subjects"), c("eligible")),
+        "share": (c("positive_share").between(0.03, 0.2), c("positive_share")),
+        "precision": (single, single),
+    }
+    rows = checklist(figures, {name: (ok, value, False) for name, (ok, value) in checks.items()})
+    warned = (F.col("check") == "sop") & (F.col("status") == "PASS")
+    return rows.withColumn("status", F.when(warned, "WARN").otherwise(F.col("status")))
+
+
+def structure_checks(summary: DataFrame) -> DataFrame:
     """Structural checks of a prepared dataset, from ``dataset_summary``."""
     col = F.col
     return checklist(

@@ -7,7 +7,8 @@ ranges of the hash, never from one sorted class.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -97,6 +98,61 @@ def loso_split(df: DataFrame, held_out, subject: str = "subject") -> tuple[DataF
     return df.where(F.col(subject) != held_out), df.where(F.col(subject) == held_out)
 
 
+#: Ranges of the hash in which rows are counted before a cut is looked for in one of them.
+RANGES = 4096
+
+
+class _Cuts:
+    """Where the first ``n`` rows of each class end in hash order.
+
+    Rows are counted per class and range of the hash, then only the range that holds the
+    cut is ranked, by hash and key alone. What comes back is one hash and key per cut, so
+    the rows themselves, with their arrays, are filtered where they are. Keys are unique.
+    """
+
+    def __init__(self, df: DataFrame, key: str, label: str | None, seed: int) -> None:
+        self.key, self.label, self.seed = key, label, seed
+        own = F.col(label) if label else F.lit(0)
+        hashed = df.select(own.alias("_class"), replayable_key(key, seed).alias("_hash"), F.col(key).alias("_key"))
+        self.hashed = hashed.withColumn("_range", hashed_bucket("_hash", MODULUS, RANGES))
+        self.counts: dict = {}
+        # At most RANGES rows per class.
+        for r in self.hashed.groupBy("_class", "_range").count().collect():
+            self.counts.setdefault(r["_class"], {})[r["_range"]] = r["count"]
+        self.total = {c: sum(ranges.values()) for c, ranges in self.counts.items()}
+
+    def _class(self, value) -> Column:
+        return F.col(self.label).eqNullSafe(F.lit(value)) if self.label else F.lit(True)
+
+    def first(self, wanted: Mapping) -> Column:
+        """Condition that holds for the first ``wanted[class]`` rows of every class."""
+        kind = self.hashed.schema["_class"].dataType.simpleString()
+        places, whole = [], []
+        for value, n in wanted.items():
+            if n >= self.total.get(value, 0):
+                whole.append(value)
+                continue
+            before = 0
+            for at, count in sorted(self.counts[value].items()):
+                if before < n <= before + count:
+                    places.append((value, at, n - before))
+                before += count
+        spots = self.hashed.sparkSession.createDataFrame(places, f"_own {kind}, _at bigint, _place int")
+        met = self.hashed.join(
+            F.broadcast(spots), F.col("_class").eqNullSafe(F.col("_own")) & (F.col("_range") == F.col("_at"))
+        )
+        rank = F.row_number().over(W.partitionBy("_own", "_at").orderBy("_hash", "_key"))
+        ends = met.withColumn("_rank", rank).where("_rank = _place").select("_own", "_hash", "_key").collect() if places else []
+        found = F.lit(False)
+        for value in whole:
+            found = found | self._class(value)
+        own_hash = replayable_key(self.key, self.seed)
+        for end in ends:
+            at_end = (own_hash == end["_hash"]) & (F.col(self.key) <= F.lit(end["_key"]))
+            found = found | (self._class(end["_own"]) & ((own_hash < end["_hash"]) | at_end))
+        return found
+
+
 def stratified_kfold(
     df: DataFrame,
     n_splits: int = 5,
@@ -121,16 +177,11 @@ def stratified_split(
     seed: int = 42,
 ) -> DataFrame:
     """Add ``role``: test, val or train, cut per class at the given shares."""
-    placed = class_position(df, key, label, seed)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    n_test = F.floor(F.col("_n") * test_size + 0.5)
-    n_val = F.floor(F.col("_n") * val_size + 0.5)
-    role = (
-        F.when(F.col("pos") < n_test, "test")
-        .when(F.col("pos") < n_test + n_val, "val")
-        .otherwise("train")
-    )
-    return _per_class(placed, sizes, label).withColumn("role", role).drop("pos", "_n")
+    cuts = _Cuts(df, key, label, seed)
+    n_test = {c: math.floor(n * test_size + 0.5) for c, n in cuts.total.items()}
+    n_val = {c: n_test[c] + math.floor(n * val_size + 0.5) for c, n in cuts.total.items()}
+    role = F.when(cuts.first(n_test), "test").when(cuts.first(n_val), "val").otherwise("train")
+    return df.withColumn("role", role)
 
 
 def inner_split(
@@ -154,30 +205,24 @@ def first_subjects(df: DataFrame, n: int, subject: str = "subject") -> DataFrame
 
 def random_rows(df: DataFrame, n: int, key: str = "window_id", seed: int = 42) -> DataFrame:
     """``n`` rows without replacement."""
-    return df.orderBy(replayable_key(key, seed), key).limit(n)
+    return df.where(_Cuts(df, key, None, seed).first({0: n}))
 
 
 def per_class(
     df: DataFrame, n: int, key: str = "window_id", label: str = "y", seed: int = 42
 ) -> DataFrame:
-    """Up to ``n`` rows of every class; each task keeps its ``n`` best before the shuffle."""
-    order = W.partitionBy(label).orderBy("_hash", key)
-    return (
-        df.withColumn("_hash", replayable_key(key, seed))
-        .withColumn("_rn", F.row_number().over(order))
-        .where(F.col("_rn") <= n)
-        .drop("_rn", "_hash")
-    )
+    """Up to ``n`` rows of every class."""
+    cuts = _Cuts(df, key, label, seed)
+    return df.where(cuts.first({c: n for c in cuts.total}))
 
 
 def undersample(
     df: DataFrame, ratio: float = 3.0, key: str = "window_id", label: str = "y", seed: int = 42
 ) -> DataFrame:
     """All positives and at most ``ratio`` negatives per positive, chosen by hash order."""
-    positives = df.where(F.col(label) == 1).agg(F.count(F.lit(1))).scalar()
-    placed = class_position(df, key, label, seed)
-    keep = (F.col(label) == 1) | (F.col("pos") < F.floor(positives * F.lit(ratio)))
-    return placed.where(keep).drop("pos")
+    cuts = _Cuts(df, key, label, seed)
+    most = math.floor(cuts.total.get(1, 0) * ratio)
+    return df.where(cuts.first({c: n if c == 1 else min(n, most) for c, n in cuts.total.items()}))
 
 
 def weighted_sample(

@@ -483,8 +483,8 @@ recs as (select user_id, list(value order by i) as x from samples group by 1),
 select user_id, i, round(x[i + pad + 1], 6) as value from samples join done using (user_id)"""
 
 
-def prepare_dataset() -> str:
-    """Two samples averaged to one, filtered, rebuilt from the kept bands, scaled, cut and labelled."""
+def prepared() -> str:
+    """CTEs up to ``m``: two samples averaged to one, filtered, rebuilt from the kept bands, scaled, cut and labelled."""
     return f"""with recursive {SAMPLES},
 halved as (select user_id, i // 2 as i, avg(value) as value from samples group by all),
 recs as (select user_id, list(value order by i) as x from halved group by 1),
@@ -506,11 +506,62 @@ l as (select k.user_id, k.k,
     max(case when 4 * k >= a - 20 and 4 * k + 8 <= a - 4 then 1 else 0 end) as y_far
   from k left join q on q.user_id = k.user_id group by all),
 m as (select l.user_id, l.k, y_near, y_far, list(v order by i) as x
-  from l join z on z.user_id = l.user_id and i >= 4 * l.k and i < 4 * l.k + 8 where bad = 0 group by all)
+  from l join z on z.user_id = l.user_id and i >= 4 * l.k and i < 4 * l.k + 8 where bad = 0 group by all)"""
+
+
+def prepare_dataset() -> str:
+    return f"""{prepared()}
 select cast(user_id as varchar) as recording, 'T7' as channel, k, k * 4.0::double as start_sec,
   y_near, y_far, {digest('x')} from m"""
 
 
+def conformance() -> str:
+    """Twenty-seven checks of the prepared windows."""
+
+    def check(name: str, ok: str, value: str, good: str = "PASS") -> str:
+        return f"""select '{name}' as "check", case when {ok} then '{good}' else 'FAIL' end as status,
+  round(cast({value} as double), 6) as value from fig"""
+
+    checks = [
+        check("ready_windows", "samples > 100000", "samples"),
+        check("ready_channels", "1 = 4", "1"),
+        check("ready_length", "shortest = 1024 and longest = 1024", "longest"),
+        check("ready_rate", "1 = 256", "1"),
+        check("ready_precision", "false", "0"),
+        check("ready_subjects", "subjects = 14", "subjects"),
+        check("ready_eligible", "eligible >= 10", "eligible"),
+        check("ready_share", "share between 0.001 and 0.05", "share"),
+        check("ready_mode", "true", "1"),
+        check("ready_mean", "abs(mu) < 0.1", "mu"),
+        check("ready_std", "sd > 0", "sd"),
+        check("rate", "1 = 256", "1"),
+        check("shape", "shortest = 1024 and longest = 1024 and 1 = 4", "longest"),
+        check("window", "false", "8"),
+        check("stride", "false", "4"),
+        check("channels", "false", "1"),
+        check("normalisation", "true", "1"),
+        check("window_mean", "abs(mu) < 0.01", "mu"),
+        check("window_std", "sd > 0.4 and sd < 1.1", "sd"),
+        check("sop", "true", "16", "WARN"),
+        check("sph", "true", "5"),
+        check("mode", "true", "1"),
+        check("subjects", "subjects = 14", "subjects"),
+        check("recordings", "recordings = 41", "recordings"),
+        check("all_eligible", "eligible = subjects", "eligible"),
+        check("share", "share between 0.03 and 0.2", "share"),
+        check("precision", "false", "0"),
+    ]
+    union = " union all ".join(checks)
+    return f"""{prepared()},
+w as (select user_id % 10 as subject, user_id, y_far as y, len(x) as n, list_avg(x) as mu, list_stddev_pop(x) as sd from m),
+people as (select subject, sum(y) as positive from w group by 1),
+fig as (select count(*) as samples, avg(y) as share, (select count(*) from people) as subjects,
+  (select count(*) from people where positive > 0) as eligible, count(distinct user_id) as recordings,
+  min(n) as shortest, max(n) as longest, avg(mu) as mu, avg(sd) as sd from w),
+checks as ({union})
+select * from checks"""
+
+
 def knn() -> str:
     return f"""with {VECTORS},
 d as (
@@ -653,9 +704,8 @@ ORACLES: dict[str, str] = {
           round(100.0::double * sum(y) / count(*), 6) as preictal_pct from v group by all""",
     "dataset_summary": f"""{_summary()} select samples, positive, negative,
         round(class_ratio, 6) as class_ratio, num_subjects, record_count from summary""",
-    "conformance": f"""{_summary()}, {CHECKS}
+    "structure_checks": f"""{_summary()}, {CHECKS}
         select "check", status, round(value, 6) as value from checks""",
-    "conformance_counts": f"{_summary()}, {CHECKS} select status, count(*) as n from checks group by 1",
     "channel_correlation": f"""with {CHANNELS},
         pts as (select window_id, y, ch, p, x[p + 1] as v from chans, range(16) as r(p)),
         c as (select a.window_id, a.y, a.ch as ch_a, b.ch as ch_b, corr(a.v, b.v) as r
@@ -850,6 +900,8 @@ ORACLES: dict[str, str] = {
     "stored_features": feature_vector(CHANNELS, 1),
     "dwt_subbands": subbands(4),
     "prepare_dataset": prepare_dataset(),
+    "conformance": conformance(),
+    "conformance_counts": conformance().replace("select * from checks", "select status, count(*) as n from checks group by 1"),
     "dwt_filter": dwt_filter(),
     "iir_filter": iir_filter(),
 }
@@ -888,8 +940,24 @@ ORACLES |= {
         m as (select {rates(wrap='{}')} from c)
         select 'scores' as model, count(*) as n_folds, round(avg(recall), 6) as recall,
           round(stddev_pop(f1), 6) as f1_spread, round(max(recall), 6) as best_recall from m""",
-    "metadata_json": f"""{_summary()} select samples, positive, num_subjects, record_count, 256 as fs,
-        18000.0::double as sph from summary""",
+    "metadata_json": f"""{_summary()},
+        people as (select distinct user_id % 10 as s from labelled),
+        names as (select '{{' || string_agg('"' || id || '":"' || s || '"', ',' order by id) || '}}' as j
+          from (select s, row_number() over (order by s) - 1 as id from people)),
+        has as (select user_id, count(*) filter (where {NAME} in ('F8', 'P7')) as c from events group by 1)
+        select 'events' as dataset, samples, positive, negative, round(class_ratio, 6) as class_ratio, num_subjects,
+          record_count, 256 as sample_rate_hz, 1024 as seq_len, 4.0::double as window_sec, 1.0::double as stride_sec,
+          4 as channels, 'zscore' as normalization, (select count(*) from has where c = 0) as skipped_no_channels,
+          'F7,F8,T7,T8' as selected_channels, j as subject_map, 'prediction' as mode, 0.2::double as overlap_fraction,
+          900.0::double as sop_minutes, 300.0::double as sph_minutes, 900.0::double as postictal_gap_minutes,
+          (select sum(y_sop5) from labelled) as positive_y_sop5, (select sum(y_sop10) from labelled) as positive_y_sop10,
+          (select sum(y_sop15) from labelled) as positive_y_sop15,
+          5.0::double as minutes_y_sop5, 10.0::double as minutes_y_sop10, 15.0::double as minutes_y_sop15
+        from summary, names""",
+    "merged_dataset": f"""with feats as ({feature_vector(CHANNELS, 1)}), {VECTORS}
+        select v.subject, v.window_id, v.y as y_first, cast(v.window_id % 3 = 0 as int) as y_third, {digest('v.x')},
+          f.n as f_n, f.total as f_total, f.weighted as f_weighted
+        from vectors v join feats f using (window_id)""",
     "inner_split": f"""with {VECTORS}, folds as (select distinct subject as fold from vectors where y = 1),
         train as (select fold, vectors.* from folds join vectors on subject <> fold),
         p as (select fold, y, row_number() over (partition by fold, y order by {key('window_id', 42)}, window_id) - 1 as pos,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paroxys.operators.metrics import METRICS, fold_summary
@@ -66,10 +69,13 @@ def run_experiment(
     max_subjects: int | None = None,
     max_windows: int | None = None,
     overrides: Mapping[str, Mapping] | None = None,
+    ledger: str | None = None,
 ) -> DataFrame:
     """Leave-one-subject-out results of every run; a failing run becomes an error row.
 
-    Fits run while this is called. The result is one row per run.
+    Fits run while this is called. The result is one row per run. With a ``ledger``
+    folder every run is stored when it ends and noted as done after that; a call that
+    finds runs of the same settings there does not repeat them, those that failed aside.
     """
     rows = []
     spark = next(iter(datasets.values())).sparkSession
@@ -79,10 +85,39 @@ def run_experiment(
             capped = table if max_subjects is None else first_subjects(table, max_subjects)
             capped = capped if max_windows is None else random_rows(capped, max_windows, seed=seed)
             for model in models:
-                rows.append((dataset, rep, seed, model, "classical", *_run(capped, model, overrides)))
+                name = (dataset, rep, seed, model, "classical")
+                limits = {"subjects": max_subjects, "windows": max_windows, "overrides": (overrides or {}).get(model)}
+                run = hashlib.md5(json.dumps([name, limits], sort_keys=True).encode()).hexdigest()
+                done = _finished(spark, ledger, run)
+                if done is None:
+                    done = (*name, *_run(capped, model, overrides))
+                    _note(spark, ledger, run, done)
+                rows.append(done)
     return spark.createDataFrame(rows, RESULT)
 
 
+def _finished(spark: SparkSession, ledger: str | None, run: str) -> tuple | None:
+    """The stored row of a run that is noted as done."""
+    if ledger is None:
+        return None
+    try:
+        if spark.read.schema("status string").parquet(f"{ledger}/done/{run}").first()["status"] != "ok":
+            return None
+        return tuple(spark.read.schema(RESULT).parquet(f"{ledger}/runs/{run}").first())
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _note(spark: SparkSession, ledger: str | None, run: str, row: tuple) -> None:
+    """Store a run's row, then that it is done; a run cut off between the two is run again."""
+    if ledger is not None:
+        spark.createDataFrame([row], RESULT).coalesce(1).write.mode("overwrite").parquet(f"{ledger}/runs/{run}")
+        status = spark.createDataFrame([(row[5],)], "status string")
+        status.coalesce(1).write.mode("overwrite").parquet(f"{ledger}/done/{run}")
+
+
 def _run(table: DataFrame, model: str, overrides: Mapping[str, Mapping] | None) -> tuple:
     try:
         scores = materialise(loso_scores(table, [model], overrides), "scores")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -43,10 +45,14 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.coalesce(1).write.mode("overwrite").json(path)
 
 
-def append_results(results: DataFrame, path: str, experiment: str) -> None:
-    """Add runs to the results table; new metric columns may appear over time."""
-    tagged = results.withColumn("experiment", F.lit(experiment))
-    tagged.write.mode("append").partitionBy("experiment").parquet(path)
+def append_results(results: DataFrame, path: str, experiment: str, run: str = "all") -> None:
+    """Add a run to the results table; new metric columns may appear over time.
+
+    A run that is written again replaces its own rows, so a retry doubles nothing.
+    """
+    tagged = results.withColumns({"experiment": F.lit(experiment), "run": F.lit(run)})
+    writer = tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("experiment", "run").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -87,3 +93,51 @@ def validate(
             "valid": F.lit(not missing) & (F.col("subjects") >= min_subjects) & (F.col("samples") > 0),
         }
     )
+
+
+#: Buckets of stored tables that are to meet without a shuffle.
+BUCKETS = 64
+
+
+def write_bucketed(rows: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> str:
+    """Store rows by hash of their keys, one file per bucket; the name of the new table."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    writer = rows.repartition(buckets, *keys).write.option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return name
+
+
+def merge_dataset(
+    spark: SparkSession,
+    signals: str,
+    labels: Mapping[str, str],
+    keys: Sequence[str],
+    features: str | None = None,
+    label: str = "y",
+) -> DataFrame:
+    """One row per window from bucketed tables: signals, a label column per variant, features.
+
+    Tables bucketed alike by ``keys`` meet bucket by bucket, nothing is shuffled. A key that
+    a table lists twice, or that one of them lacks, makes the job fail.
+    """
+
+    def once(table: str, *columns: str) -> DataFrame:
+        rows = spark.table(table)
+        times = F.count(F.lit(1)).over(W.partitionBy(*keys))
+        twice = F.raise_error(F.lit("a window is listed twice")).cast("boolean")
+        return rows.select(*keys, *columns, F.when(times == 1, True).otherwise(twice).alias("_here"))
+
+    others = {**labels, **({"features": features} if features else {})}
+    # Keys are listed once and those of the signals are found everywhere: equal counts mean equal keys.
+    if len({spark.table(t).count() for t in (signals, *others.values())}) > 1:
+        raise ValueError("the tables cover different windows")
+    merged = once(signals, *[c for c in spark.table(signals).columns if c not in keys])
+    complete = F.col("_here")
+    for n, (name, table) in enumerate(others.items()):
+        column = "features" if table == features else label
+        part = once(table, column).withColumnsRenamed({column: name, "_here": f"_here_{n}"})
+        merged = merged.join(part, list(keys), "left")
+        complete = complete & F.col(f"_here_{n}").isNotNull()
+    lacking = F.raise_error(F.lit("the tables cover different windows")).cast("boolean")
+    checked = merged.where(F.when(complete, True).otherwise(lacking))
+    return checked.drop("_here", *[f"_here_{n}" for n in range(len(others))])

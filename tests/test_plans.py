@@ -218,3 +218,86 @@ def test_stored_features_are_used(spark):
 def test_evaluation_row(spark, sequences):
     row = evaluate(sequences.withColumn("fold", F.lit(0)), group=["fold", "user_id"]).first()
     assert row["n_windows"] == sequences.count() and 0 <= row["auc_roc"] <= 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merged_dataset_moves_no_signals(spark, tmp_path):
+    keys = ["recording", "k"]
+    rows = [(f"r{i % 3}", i, [float(i)] * 4, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "recording string, k bigint, x array<double>, y int")
+
+    def store(part, name):
+        return datasets.write_bucketed(part, str(tmp_path / name), keys, 4)
+
+    signals = store(df.select(*keys, "x"), "signals")
+    first, second = store(df.select(*keys, "y"), "first"), store(df.select(*keys, (1 - F.col("y")).alias("y")), "second")
+    vectors = store(df.select(*keys, F.array("k").alias("features")), "features")
+    merged = datasets.merge_dataset(spark, signals, {"y_a": first, "y_b": second}, keys, vectors)
+    got = {(r["recording"], r["k"]): (r["x"], r["y_a"], r["y_b"], r["features"]) for r in merged.collect()}
+    assert got == {(r, k): (x, y, 1 - y, [k]) for r, k, x, y in rows}
+    assert "hashpartitioning" not in _plan(merged)
+    again = df.select(*keys, "y").where("k > 0")
+    twice = store(again.unionAll(again.where("k = 1")), "twice")
+    short = store(df.select(*keys, "y").where("k > 0"), "short")
+    with pytest.raises(Exception, match="listed twice"):
+        datasets.merge_dataset(spark, signals, {"y": twice}, keys).collect()
+    other = store(df.select(*keys, "y").where("k > 0").unionAll(spark.createDataFrame([("r9", 9, 1)], "a string, b bigint, c int")), "other")
+    for wrong in (short, other):
+        with pytest.raises(Exception, match="different windows"):
+            datasets.merge_dataset(spark, signals, {"y": wrong}, keys).collect()
+
+
+def test_a_retried_run_replaces_its_rows(spark, tmp_path):
+    path = str(tmp_path / "results")
+    rows = spark.range(3).withColumnRenamed("id", "v")
+    for run in ("one", "two", "one"):
+        datasets.append_results(rows, path, "e", run)
+    assert datasets.read_results(spark, path).count() == 6
+
+
+def test_an_experiment_goes_on_where_it_was_cut_off(table, tmp_path, monkeypatch):
+    ledger = str(tmp_path / "ledger")
+    tables, names, settings = {"d": table}, ["knn", "random_forest"], {"random_forest": {"numTrees": 3}}
+    real, calls = experiment._run, []
+
+    def cut_off(part, model, overrides):
+        calls.append(model)
+        if model == "random_forest":
+            raise KeyboardInterrupt
+        return real(part, model, overrides)
+
+    monkeypatch.setattr(experiment, "_run", cut_off)
+    with pytest.raises(KeyboardInterrupt):
+        experiment.run_experiment(tables, names, overrides=settings, ledger=ledger)
+    monkeypatch.setattr(experiment, "_run", lambda *a: calls.append(a[1]) or real(*a))
+    rows = experiment.run_experiment(tables, names, overrides=settings, ledger=ledger).collect()
+    assert calls == ["knn", "random_forest", "random_forest"]
+    assert [(r["model"], r["status"]) for r in rows] == [("knn", "ok"), ("random_forest", "ok")]
+    again = experiment.run_experiment(tables, names, overrides=settings, ledger=ledger).collect()
+    assert again == rows and len(calls) == 3
+
+
+def test_all_checks_of_a_sound_dataset_pass(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for s in range(3):
+        for k in range(40):
+            for ch in ("F7", "F8"):
+                rows.append((f"s{s}", f"rec{s}", k, ch, int(k == 7), (rng.normal(size=64) * 0.7).tolist()))
+    df = spark.createDataFrame(rows, "subject string, recording string, k bigint, channel string, y int, x array<float>")
+    settings = {
+        "rate": 256, "window_sec": 4.0, "stride_sec": 1.0, "normalisation": "zscore", "mode": "prediction",
+        "sop_minutes": 15.0, "sph_minutes": 5.0,
+    }
+    expected = {"channels": ("F7", "F8"), "length": 64, "windows": 100, "subjects": 3, "eligible": 3, "recordings": 3}
+    figures = audit.window_figures(df)
+    rows = {r["check"]: r["status"] for r in audit.conformance(figures, settings, expected).collect()}
+    assert len(rows) == 27
+    # One positive of forty is a share of 2.5 %, within the first range and below the second.
+    assert {k for k, v in rows.items() if v != "PASS"} <= {"sop", "share", "window_mean"}
+    assert rows["sop"] == "WARN" and rows["share"] == "FAIL"
+    off = {r["check"]: r["status"] for r in audit.conformance(figures, {**settings, "sph_minutes": 1.0, "mode": "x"}).collect()}
+    assert off["sph"] == off["mode"] == off["ready_subjects"] == off["channels"] == "FAIL"

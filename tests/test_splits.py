@@ -218,3 +218,30 @@ def test_every_row_is_answered_and_bad_vectors_fail(spark):
     bad = spark.createDataFrame([(1, 1, 1, [float("nan")])], schema)
     with pytest.raises(Exception, match="finite"):
         neighbours.knn_vote(bad, one).collect()
+
+
+def test_selection_moves_no_arrays(spark):
+    """Only hashes and keys are exchanged to find the cuts; rows are filtered where they are."""
+    rows = spark.createDataFrame([(i, i % 3, [float(i)]) for i in range(500)], "window_id bigint, y int, x array<double>")
+    for df in (
+        splits.random_rows(rows, 100),
+        splits.per_class(rows, 30),
+        splits.undersample(rows, 0.5),
+        splits.stratified_split(rows),
+    ):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 4096])
+def test_cuts_are_exact_in_any_ranges(spark, ranges, monkeypatch):
+    from paroxys.functions.hashing import replayable_key
+
+    monkeypatch.setattr(splits, "RANGES", ranges)
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(300)], "window_id bigint, y int")
+    order = {}
+    for r in rows.withColumn("h", replayable_key("window_id")).orderBy("h", "window_id").collect():
+        order.setdefault(r["y"], []).append(r["window_id"])
+    for n in (0, 1, 17, 59, 1000):
+        got = {r["window_id"] for r in splits.per_class(rows, n).collect()}
+        assert got == {i for ids in order.values() for i in ids[:n]}
+    assert splits.random_rows(rows, 0).count() == 0 and splits.random_rows(rows.limit(0), 5).count() == 0
