@@ -12,12 +12,14 @@ still free, in halves with one deleted bit, which loses no near pair: of three d
 bits one half has at most one. At the third level a key fixes all but eleven bits, so no
 task ever holds more than 2048 fingerprints of one key.
 
-``drop_near`` finds near texts (word shingles, Jaccard similarity) exactly, by a prefix
-filter: in one order of all shingles, rare ones first, similar sets share one of their
-first shingles. These are the keys. Members of a key are compared by size and by a bitmap
-of shingle parities, which never rule out a similar pair, and what is left is verified on
-the shingles. Verified groups are joined before the next round, so that only members of
-different groups are compared, until none is left; large keys are compared in blocks.
+``drop_near`` finds near texts (word shingles, Jaccard similarity) exactly. Links between
+fingerprints come first and gather most of a group; every one is verified on the shingles.
+What they miss is found by a prefix filter: in one order of all shingles, rare ones first,
+similar sets share one of their first shingles. These are the keys. Members of a key are
+compared by size and by a bitmap of shingle parities, which never rule out a similar pair.
+Verified groups are joined before the next round, and a part of a key hands on only pairs
+that span its groups, until that finds nothing new; then all pairs of different groups are
+compared once. Large keys are compared in blocks.
 """
 
 from __future__ import annotations
@@ -38,9 +40,8 @@ RUN_LIMIT = 2048
 SEED = 42
 #: For near texts: shingle length, similarity, and members of a key compared in one block.
 SHINGLE, SIMILARITY, NEAR_LIMIT = 5, 0.8, 1024
-#: Bits of the bitmap that rules out pairs; keys of a node that link it to their ends;
-#: candidates per member in the round before the complete one.
-PARITY_BITS, HUB_KEYS, NEAREST = 1024, 4, 8
+#: Bits of the bitmap that rules out pairs; keys of a node that link it to their ends.
+PARITY_BITS, HUB_KEYS = 1024, 4
 #: Texts of the sample that orders shingles by frequency, and shingles counted there.
 SAMPLE_TEXTS, COMMON = 20_000, 1 << 18
 _SLICE = 1 << 16
@@ -289,26 +290,39 @@ def _wide_apart(x: bytes, y: bytes) -> int:
 
 
 def _meetings(
-    key: np.ndarray, size: np.ndarray, root: np.ndarray, sig: np.ndarray, similarity: float, most: int | None
+    key: np.ndarray, size: np.ndarray, root: np.ndarray, sig: np.ndarray, similarity: float, forest: bool
 ) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs under one key, of different roots, whose sizes and bitmaps allow
-    the similarity; rows are sorted by key and size. At most ``most`` per row."""
+    the similarity; rows are sorted by key and size.
+
+    With ``forest`` only pairs that join two roots not yet joined under the key: at most
+    one less than the key has members.
+    """
     ratio = (1 - similarity) / (1 + similarity)
-    at, given = np.arange(len(key)), np.zeros(len(key), np.int64)
+    at = np.arange(len(key))
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    group = root.copy()
+    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     for step in range(1, len(key)):
         at = at[at + step < len(key)]
         # Later rows of the key are larger still.
         at = at[(key[at + step] == key[at]) & (similarity * size[at + step] <= size[at] + 1e-9)]
-        if most is not None:
-            at = at[given[at] < most]
         if not len(at):
             break
-        own = at[root[at] != root[at + step]]
+        own = at[group[at] != group[at + step]]
         for part in np.split(own, range(_SLICE, len(own), _SLICE)):
             apart = np.bitwise_count(sig[part] ^ sig[part + step]).sum(axis=1, dtype=np.int64)
             hit = part[apart <= ratio * (size[part] + size[part + step]) + 1e-9]
-            given[hit] += 1
+            if forest:
+                joins = []
+                for x in hit.tolist():
+                    old, new = group[x + step], group[x]
+                    if old != new:
+                        members = group[starts[run[x]] : starts[run[x] + 1]]
+                        members[members == old] = new
+                        joins.append(x)
+                hit = np.array(joins, np.int64)
             a.append(hit)
             b.append(hit + step)
     return np.concatenate(a), np.concatenate(b)
@@ -353,17 +367,17 @@ def _spread(live: DataFrame, run_limit: int) -> DataFrame:
 
 
 def near_candidates(
-    live: DataFrame, sigs: DataFrame, similarity: float, run_limit: int, most: int | None = None
+    live: DataFrame, sigs: DataFrame, similarity: float, run_limit: int, forest: bool = False
 ) -> DataFrame:
     """Distinct pairs ``(a, b)`` of nodes of different roots that share a key and may be
     similar; ``live`` has ``(key, node, root)``, ``sigs`` each node's size and bitmap.
-    ``most`` bounds the pairs of a member of a part."""
+    With ``forest`` a part hands on only what spans its roots, less than its members."""
     words = PARITY_BITS // 64
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, _ in sorted_runs(batches):
             sig = np.stack([cols[f"s{k}"] for k in range(words)], axis=1).view(np.uint64)
-            x, y = _meetings(cols["key"], cols["size"], cols["root"], sig, similarity, most)
+            x, y = _meetings(cols["key"], cols["size"], cols["root"], sig, similarity, forest)
             if len(x):
                 x, y = cols["node"][x], cols["node"][y]
                 pair = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
@@ -428,8 +442,11 @@ def drop_near(
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sig, wide, keys = [], [], [], []
-            for grams in _grams(batch, shingle):
+            size, sig, wide, keys, prints = [], [], [], [], []
+            for body in binary(batch, "text"):
+                all_grams = shingle_hashes(body, shingle)
+                grams = np.unique(all_grams)
+                prints.append(_signed(majority(all_grams)))
                 size.append(len(grams))
                 sig.append(_parity(grams))
                 wide.append(_wide_parity(grams))
@@ -443,15 +460,16 @@ def drop_near(
                     pa.array(sig, pa.list_(pa.int64())),
                     pa.array(wide, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(prints, pa.int64()),
                 ],
-                names=["id", "sha", "size", "sig", "wide", "keys"],
+                names=["id", "sha", "size", "sig", "wide", "keys", "fp"],
             )
         give_back()
 
     kind = dict(slim.dtypes)["id"]
-    signed = slim.mapInArrow(sign, f"id {kind}, sha string, size bigint, sig array<bigint>, wide binary, keys array<bigint>")
+    signed = slim.mapInArrow(sign, f"id {kind}, sha string, size bigint, sig array<bigint>, wide binary, keys array<bigint>, fp bigint")
     texts = signed.groupBy("sha").agg(
-        F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "sig", "wide", "keys")]
+        F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "sig", "wide", "keys", "fp")]
     )
     nodes = written(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
     sigs = nodes.select("node", "size", "sig")
@@ -496,35 +514,61 @@ def drop_near(
         alike = (union == 0) | (F.col("common") >= F.lit(similarity) * union)
         return written(both.where(alike).select("a", "b"), "alike")
 
-    # Keys that several nodes have, with the two nodes at their ends.
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs ``(a, b)`` whose sizes and bitmaps allow the similarity."""
+        side = lambda end: sigs.select(F.col("node").alias(end), F.col("size").alias(f"n{end}"), F.col("sig").alias(f"s{end}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        apart = F.aggregate(
+            F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+        )
+        return both.where(
+            (F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9)
+            & (apart <= F.lit(ratio) * (F.col("na") + F.col("nb")) + 1e-9)
+        ).select("a", "b")
+
+    def pairs_of(ends: DataFrame) -> DataFrame:
+        return ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+    # First by fingerprint: texts of one fingerprint with its first text, and the first texts
+    # of fingerprints that deletion variants link. A link per fingerprint, however large a group.
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    linked = near_links(firsts.select("fp"))
+    end = lambda name, own: firsts.select(F.col("fp").alias(name), F.col("first").alias(own))
+    across = linked.join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")
+    within = nodes.join(firsts, "fp").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    links = verified(written(close(pairs_of(written(across.unionAll(within), "print-pairs"))), "pairs"))
+    # What is left, exactly, by keys that several nodes have: the nodes at the ends of each key.
     index = written(nodes.select("node", F.posexplode("keys").alias("place", "key")), "index")
     ends = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     ends = written(ends.where("low < high"), "ends")
     shared = written(index.join(ends, "key"), "shared")
     # First one link of each node per key to either end, which gathers large groups by
-    # a linear number of comparisons.
-    hubs = shared.where(F.col("place") < HUB_KEYS).select("node", F.explode(F.array("low", "high")).alias("hub"))
-    hubs = hubs.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
-    side = lambda end: sigs.select(F.col("node").alias(end), F.col("size").alias(f"n{end}"), F.col("sig").alias(f"s{end}"))
-    hubs = written(hubs.distinct(), "hubs").join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(
-        F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
-    hubs = hubs.where(
-        (F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9)
-        & (apart <= F.lit(ratio) * (F.col("na") + F.col("nb")) + 1e-9)
-    )
-    links = verified(written(hubs.select("a", "b"), "pairs"))
+    # a linear number of comparisons; of nodes that are still apart.
+    roots = written(components(links), "roots")
+    of = lambda name, own: roots.select(F.col("node").alias(name), F.col("root").alias(own))
+    hubs = shared.where(F.col("place") < HUB_KEYS).select(F.col("node").alias("x"), F.explode(F.array("low", "high")).alias("y"))
+    hubs = written(pairs_of(hubs), "hubs").join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left")
+    hubs = hubs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    links = links.unionAll(verified(written(close(hubs), "pairs")))
     roots = written(components(links), "roots")
-    # Then what is still apart: the nearest in size first, at last every pair.
-    for most in (NEAREST, None):
+    # Then what is still apart: pairs that span the roots of each part, as long as that
+    # finds links, and at last every pair, so that none is lost to one that failed.
+    forest = True
+    while True:
         live = shared.select("key", "node").join(roots, "node", "left")
         live = written(live.withColumn("root", F.coalesce("root", "node")), "live")
-        pairs = written(near_candidates(live, sigs, similarity, run_limit, most), "pairs")
+        pairs = written(near_candidates(live, sigs, similarity, run_limit, forest), "pairs")
         if pairs.isEmpty():
             break
-        links = links.unionAll(verified(pairs))
-        roots = written(components(links), "roots")
+        found = verified(pairs)
+        if not found.isEmpty():
+            links = links.unionAll(found)
+            roots = written(components(links), "roots")
+        elif forest:
+            forest = False
+            continue
+        if not forest:
+            break
     # Both sides of the join by group are stored, so that Spark can split large groups.
     grouped = written(nodes.select("node", "sha", "id").join(roots, "node"), "grouped")
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("sha"))).alias("best"))
