@@ -18,8 +18,8 @@ What they miss is found by a prefix filter: in one order of all shingles, rare o
 similar sets share one of their first shingles. These are the keys. Members of a key are
 compared by size and by a bitmap of shingle parities, which never rule out a similar pair.
 Verified groups are joined before the next round, and a part of a key hands on only pairs
-that span its groups, until that finds nothing new; then all pairs of different groups are
-compared once. Large keys are compared in blocks.
+that span its groups; then all pairs of groups that are still different are compared.
+Large keys are compared in blocks.
 """
 
 from __future__ import annotations
@@ -551,24 +551,16 @@ def drop_near(
     hubs = hubs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     links = links.unionAll(verified(written(close(hubs), "pairs")))
     roots = written(components(links), "roots")
-    # Then what is still apart: pairs that span the roots of each part, as long as that
-    # finds links, and at last every pair, so that none is lost to one that failed.
-    forest = True
-    while True:
+    # Then what is still apart: pairs that span the roots of each part, at last every pair,
+    # so that none is lost to one that failed.
+    for forest in (True, False):
         live = shared.select("key", "node").join(roots, "node", "left")
         live = written(live.withColumn("root", F.coalesce("root", "node")), "live")
         pairs = written(near_candidates(live, sigs, similarity, run_limit, forest), "pairs")
         if pairs.isEmpty():
             break
-        found = verified(pairs)
-        if not found.isEmpty():
-            links = links.unionAll(found)
-            roots = written(components(links), "roots")
-        elif forest:
-            forest = False
-            continue
-        if not forest:
-            break
+        links = links.unionAll(verified(pairs))
+        roots = written(components(links), "roots")
     # Both sides of the join by group are stored, so that Spark can split large groups.
     grouped = written(nodes.select("node", "sha", "id").join(roots, "node"), "grouped")
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("sha"))).alias("best"))
