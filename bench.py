@@ -48,6 +48,10 @@ HEADLINE = (
     "prepare_dataset",
     "stream_ema",
     "stream_windows",
+    "stream_vote",
+    "gbt_first_tree",
+    "conformance",
+    "merged_dataset",
 )
 
 
