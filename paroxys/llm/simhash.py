@@ -17,14 +17,16 @@ fingerprints come first and gather most of a group; every one is verified on the
 What they miss is found by a prefix filter: in one order of all shingles, rare ones first,
 similar sets share one of their first shingles. These are the keys. Members of a key are
 compared by size and by a bitmap of shingle parities, which never rule out a similar pair.
-Verified groups are joined before the next round, and a part of a key hands on only pairs
-that span its groups; then all pairs of groups that are still different are compared.
-Large keys are compared in blocks.
+Under the first keys of each text its members meet with their texts and are verified on the
+spot: such a part hands out only verified links that span its groups, fewer than it has
+members, and a pair that fails leaves no row. Pairs that share no first key, or have a long
+text, are then compared under all keys and verified afterwards. Large keys are compared in
+blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,11 @@ SEED = 42
 SHINGLE, SIMILARITY, NEAR_LIMIT = 5, 0.8, 1024
 #: Bits of the bitmap that rules out pairs; keys of a node that link it to their ends.
 PARITY_BITS, HUB_KEYS = 1024, 4
+#: First keys of a text under which pairs are verified on the spot, and the shingles up to
+#: which a text goes there; the other pairs are verified after the last round.
+FIRST_KEYS, FIRST_SHINGLES = 3, 4096
+#: Shingles that one task holds for verification.
+_HELD_GRAMS = 1 << 22
 #: Texts of the sample that orders shingles by frequency, and shingles counted there.
 SAMPLE_TEXTS, COMMON = 20_000, 1 << 18
 _SLICE = 1 << 16
@@ -289,14 +296,55 @@ def _wide_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of shingles, without repeats, are similar; empty sets are."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - common
+    return union == 0 or common >= similarity * union
+
+
+class _Sets:
+    """Shingle sets of the texts of a piece, made when asked for and held up to a bound."""
+
+    def __init__(self, texts: np.ndarray, shingle: int):
+        self.texts, self.shingle = texts, shingle
+        self.held: dict[int, np.ndarray] = {}
+        self.total = 0
+
+    def __getitem__(self, at: int) -> np.ndarray:
+        if at not in self.held:
+            if self.total > _HELD_GRAMS:
+                self.held, self.total = {}, 0
+            self.held[at] = np.unique(shingle_hashes(self.texts[at].encode(), self.shingle))
+            self.total += len(self.held[at])
+        return self.held[at]
+
+
+def _settled(first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows ``a`` and ``b`` have one of their first keys in common."""
+    met = np.zeros(len(a), bool)
+    for i in range(first.shape[1]):
+        for j in range(first.shape[1]):
+            met |= first[a, i] == first[b, j]
+    return met
+
+
 def _meetings(
-    key: np.ndarray, size: np.ndarray, root: np.ndarray, sig: np.ndarray, similarity: float, forest: bool
+    key: np.ndarray,
+    size: np.ndarray,
+    root: np.ndarray,
+    sig: np.ndarray,
+    similarity: float,
+    forest: bool,
+    near: Callable[[int, int], bool] | None = None,
+    settled: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs under one key, of different roots, whose sizes and bitmaps allow
     the similarity; rows are sorted by key and size.
 
     With ``forest`` only pairs that join two roots not yet joined under the key: at most
-    one less than the key has members.
+    one less than the key has members. There ``near`` decides whether a pair joins them.
+    Pairs that are ``settled`` are left out.
     """
     ratio = (1 - similarity) / (1 + similarity)
     at = np.arange(len(key))
@@ -314,11 +362,13 @@ def _meetings(
         for part in np.split(own, range(_SLICE, len(own), _SLICE)):
             apart = np.bitwise_count(sig[part] ^ sig[part + step]).sum(axis=1, dtype=np.int64)
             hit = part[apart <= ratio * (size[part] + size[part + step]) + 1e-9]
+            if settled is not None:
+                hit = hit[~settled(hit, hit + step)]
             if forest:
                 joins = []
                 for x in hit.tolist():
                     old, new = group[x + step], group[x]
-                    if old != new:
+                    if old != new and (near is None or near(x, x + step)):
                         members = group[starts[run[x]] : starts[run[x] + 1]]
                         members[members == old] = new
                         joins.append(x)
@@ -366,28 +416,76 @@ def _spread(live: DataFrame, run_limit: int) -> DataFrame:
     return light.unionByName(met.select(part.alias("part"), "node", "root"))
 
 
+_WORDS = PARITY_BITS // 64
+
+
+def _sides(parts: DataFrame, *of_nodes: DataFrame) -> DataFrame:
+    """The rows of each part together, by size, with what their nodes carry."""
+    for table in of_nodes:
+        parts = parts.join(table, "node")
+    sig = [F.col("sig")[k].alias(f"s{k}") for k in range(_WORDS)]
+    sides = parts.select(*[c for c in parts.columns if c != "sig"], *sig)
+    return sides.repartition("key").sortWithinPartitions("key", "size")
+
+
+def _bitmaps(cols: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([cols[f"s{k}"] for k in range(_WORDS)], axis=1).view(np.uint64)
+
+
+def _pairs(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    x, y = node[x], node[y]
+    pair = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+
+def verified_parts(
+    parts: DataFrame, sigs: DataFrame, texts: DataFrame, shingle: int, similarity: float
+) -> DataFrame:
+    """Links ``(a, b)`` between similar nodes of different roots that meet in a part.
+
+    ``parts`` has ``(key, node, root)``, ``texts`` each node's text. The links of a part
+    span the groups that its similar pairs make and are fewer than its members; a pair
+    that is not similar leaves no row.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, _ in sorted_runs(batches):
+            sets = _Sets(cols["text"], shingle)
+            near = lambda i, j: _alike(sets[i], sets[j], similarity)
+            x, y = _meetings(cols["key"], cols["size"], cols["root"], _bitmaps(cols), similarity, True, near)
+            if len(x):
+                yield _pairs(cols["node"], x, y)
+        give_back()
+
+    return _sides(parts, sigs, texts).mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
 def near_candidates(
-    live: DataFrame, sigs: DataFrame, similarity: float, run_limit: int, forest: bool = False
+    live: DataFrame, sigs: DataFrame, first: DataFrame, similarity: float, run_limit: int, first_shingles: int
 ) -> DataFrame:
     """Distinct pairs ``(a, b)`` of nodes of different roots that share a key and may be
     similar; ``live`` has ``(key, node, root)``, ``sigs`` each node's size and bitmap.
-    With ``forest`` a part hands on only what spans its roots, less than its members."""
-    words = PARITY_BITS // 64
+    ``first`` has each node's first keys: short texts that share one have been verified."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, _ in sorted_runs(batches):
-            sig = np.stack([cols[f"s{k}"] for k in range(words)], axis=1).view(np.uint64)
-            x, y = _meetings(cols["key"], cols["size"], cols["root"], sig, similarity, forest)
+            keys = np.stack([cols[f"k{i}"] for i in range(FIRST_KEYS)], axis=1)
+            short = cols["size"] <= first_shingles
+
+            def settled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                return short[a] & short[b] & _settled(keys, a, b)
+
+            x, y = _meetings(
+                cols["key"], cols["size"], cols["root"], _bitmaps(cols), similarity, False, settled=settled
+            )
             if len(x):
-                x, y = cols["node"][x], cols["node"][y]
-                pair = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+                yield _pairs(cols["node"], x, y)
         give_back()
 
     parts = written(_spread(live, run_limit).withColumnRenamed("part", "key"), "parts")
-    sides = parts.join(sigs.select("node", "size", *[F.col("sig")[k].alias(f"s{k}") for k in range(words)]), "node")
-    sides = sides.repartition("key").sortWithinPartitions("key", "size")
-    return sides.mapInArrow(meet, "a bigint, b bigint").distinct()
+    # A text with fewer first keys names one of them again.
+    names = [F.coalesce(F.get("first", F.lit(i)), F.col("first")[0]).alias(f"k{i}") for i in range(FIRST_KEYS)]
+    return _sides(parts, sigs, first.select("node", *names)).mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def _grams(batch: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
@@ -424,6 +522,7 @@ def drop_near(
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
     run_limit: int = NEAR_LIMIT,
+    first_shingles: int = FIRST_SHINGLES,
 ) -> DataFrame:
     """One document of each group of near texts, in the columns of ``docs``.
 
@@ -551,14 +650,25 @@ def drop_near(
     hubs = hubs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     links = links.unionAll(verified(written(close(hubs), "pairs")))
     roots = written(components(links), "roots")
-    # Then what is still apart: pairs that span the roots of each part, at last every pair,
-    # so that none is lost to one that failed.
-    for forest in (True, False):
-        live = shared.select("key", "node").join(roots, "node", "left")
-        live = written(live.withColumn("root", F.coalesce("root", "node")), "live")
-        pairs = written(near_candidates(live, sigs, similarity, run_limit, forest), "pairs")
-        if pairs.isEmpty():
-            break
+    # Then what is still apart. Short texts that share one of their first keys are verified
+    # where they meet.
+    in_order = F.slice(F.sort_array(F.collect_list(F.struct("place", "key"))), 1, FIRST_KEYS)
+    first = written(shared.groupBy("node").agg(in_order["key"].alias("first")), "first")
+    rooted = lambda rows: written(
+        rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "live"
+    )
+    brief = sigs.where(F.col("size") <= first_shingles).select("node")
+    live = rooted(first.join(brief, "node").select("node", F.explode("first").alias("key")))
+    parts = written(_spread(live, run_limit).withColumnRenamed("part", "key"), "parts")
+    asked = written(nodes.select("node", "sha").join(parts.select("node").distinct(), "node"), "asked")
+    bodies = slim.select("sha", "text").join(small(asked), "sha").groupBy("node")
+    bodies = written(bodies.agg(F.first(F.coalesce("text", F.lit(""))).alias("text")), "bodies")
+    links = links.unionAll(written(verified_parts(parts, sigs, bodies, shingle, similarity), "alike"))
+    roots = written(components(links), "roots")
+    # At last every other pair of different groups, so that none is lost.
+    live = rooted(shared.select("key", "node"))
+    pairs = written(near_candidates(live, sigs, first, similarity, run_limit, first_shingles), "pairs")
+    if not pairs.isEmpty():
         links = links.unionAll(verified(pairs))
         roots = written(components(links), "roots")
     # Both sides of the join by group are stored, so that Spark can split large groups.

@@ -378,6 +378,37 @@ def test_copies_of_one_text_that_are_not_near_each_other(spark):
     assert len(want) < 50
     for limit in (16, 1024):
         assert {r.doc_id for r in simhash.drop_near(docs, run_limit=limit).collect()} == want
+    # No text, or some, are short enough to be verified where they meet.
+    for most in (0, 196):
+        assert {r.doc_id for r in simhash.drop_near(docs, first_shingles=most).collect()} == want
+
+
+def test_parts_hand_out_verified_links_only(spark):
+    """Rows out of the kernel of one key stay below its members, and twice as many copies
+    give at most 2.2 times as many; the groups are those of all similar pairs."""
+    made = []
+    for n in (60, 120, 240):
+        rng = np.random.default_rng(3)
+        texts = []
+        for i in range(n):
+            ws = [f"w{j}" for j in range(90)]
+            for at in rng.choice(90, int(rng.integers(1, 4)), replace=False):
+                ws[at] = f"new{i}x{at}"
+            texts.append(" ".join(ws))
+        sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+        sig = [simhash._parity(g).tolist() for g in sets]
+        parts = spark.createDataFrame([(0, i, i) for i in range(n)], "key bigint, node bigint, root bigint")
+        sigs = spark.createDataFrame(
+            [(i, len(sets[i]), sig[i]) for i in range(n)], "node bigint, size bigint, sig array<bigint>"
+        )
+        bodies = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+        got = [(r.a, r.b) for r in simhash.verified_parts(parts, sigs, bodies, 5, 0.8).collect()]
+        every = [(a, b) for a in range(n) for b in range(a) if simhash._alike(sets[a], sets[b], 0.8)]
+        assert set(got) <= set(every) and len(got) < n
+        one = lambda x: len({*_roots(n, *zip(*x))})
+        assert one(got) == one(every) > 1
+        made.append(len(got))
+    assert made[1] <= 2.2 * made[0] and made[2] <= 2.2 * made[1]
 
 
 def test_pairs_that_span_grow_with_the_members():
