@@ -17,8 +17,8 @@ fingerprints come first and gather most of a group; every one is verified on the
 What they miss is found by a prefix filter: in one order of all shingles, rare ones first,
 similar sets share one of their first shingles. These are the keys. Members of a key are
 compared by size and by a bitmap of shingle parities, which never rule out a similar pair.
-Under the first keys of each text its members meet with their texts and are verified on the
-spot: such a part hands out only verified links that span its groups, fewer than it has
+Under the first keys of each text, those that most texts have, members meet with their texts
+and are verified on the spot: such a part hands out only verified links that span its groups, fewer than it has
 members, and a pair that fails leaves no row. Pairs that share no first key, or have a long
 text, are then compared under all keys and verified afterwards. Large keys are compared in
 blocks.
@@ -638,7 +638,7 @@ def drop_near(
     links = verified(written(close(pairs_of(written(across.unionAll(within), "print-pairs"))), "pairs"))
     # What is left, exactly, by keys that several nodes have: the nodes at the ends of each key.
     index = written(nodes.select("node", F.posexplode("keys").alias("place", "key")), "index")
-    ends = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    ends = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
     ends = written(ends.where("low < high"), "ends")
     shared = written(index.join(ends, "key"), "shared")
     # First one link of each node per key to either end, which gathers large groups by
@@ -651,8 +651,9 @@ def drop_near(
     links = links.unionAll(verified(written(close(hubs), "pairs")))
     roots = written(components(links), "roots")
     # Then what is still apart. Short texts that share one of their first keys are verified
-    # where they meet.
-    in_order = F.slice(F.sort_array(F.collect_list(F.struct("place", "key"))), 1, FIRST_KEYS)
+    # where they meet. First are the keys that most texts have: borderline texts of a group
+    # share those, seldom the rare ones.
+    in_order = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "key"))), 1, FIRST_KEYS)
     first = written(shared.groupBy("node").agg(in_order["key"].alias("first")), "first")
     rooted = lambda rows: written(
         rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "live"
