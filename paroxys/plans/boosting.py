@@ -12,6 +12,9 @@ below it is found in one task by the same rule. The driver sees one row per fold
 feature block, and keeps the trees. Margins of all folds stand beside the binned rows and are stored anew every
 ``STORED`` rounds; in between, tasks add the trees grown since.
 
+Up to ``WHOLE_LEAVES * LOCAL_ROWS`` rows a job per level would wait longer than it works: there
+one job grows all rounds, a task for each fold, by the rule for small leaves.
+
 Trees grow by level to ``depth``, or by the best leaf to ``leaves``. In the latter case
 the splits that might still be chosen are tried level by level too, and the order of
 gains decides afterwards, so the result is that of splitting one leaf at a time.
@@ -39,6 +42,8 @@ STORED = 16
 #: Rows of a leaf that one task splits to the end.
 LOCAL_ROWS = 4096
 _LOCAL = 0xFFFF
+#: Small leaves whose rows a table has at most for its folds to grow all trees in one task each.
+WHOLE_LEAVES = 32
 #: Bytes of sums a task holds before it sends them on.
 HELD_BYTES = 256 << 20
 #: Smallest gain that makes a split, and what two gains may differ and still count as equal:
@@ -113,6 +118,10 @@ def _tree(nodes: Sequence[Node], split: set[int], params: Boosting) -> Tree:
     return out
 
 
+#: The tree of a fold without training rows.
+_EMPTY = _tree([Node(0.0, 0.0, 0.0, 0)], set(), Boosting())
+
+
 @dataclass
 class Growing:
     """One fold's tree while it grows."""
@@ -253,6 +262,8 @@ _SPLIT = (
     "cell_key bigint, place int, child int, gain double, feature int, bin int, "
     "gl double, hl double, nl double, g double, h double, n double"
 )
+#: Columns of ``_SPLIT`` after the key.
+_SPLIT_NAMES = tuple(c.split()[0] for c in _SPLIT.split(", "))[1:]
 
 
 def best_split(total: np.ndarray, params: Boosting) -> tuple:
@@ -298,29 +309,50 @@ def grow_leaf(bins: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, column
     found: list[tuple] = []
     rows_of: list[np.ndarray] = []
     queue: list[tuple] = []
+    #: Sums of the nodes that may still be split; a node's larger side is what its smaller one leaves.
+    sums_of: dict[int, np.ndarray] = {}
 
-    def look(rows: np.ndarray, at_depth: int) -> None:
+    def sums(rows: np.ndarray) -> np.ndarray:
+        return cell_sums(cells.take(rows, axis=0), g[rows], h[rows], len(columns) * params.bins)
+
+    def look(rows: np.ndarray, total: np.ndarray | None, node: Node) -> None:
         place = len(found)
-        total = cell_sums(cells[rows], g[rows], h[rows], len(columns) * params.bins)
-        best = best_split(total.reshape(3, len(columns), params.bins), params)
-        node = Node(*best[6:], at_depth)
-        worthy = best[0] > MIN_GAIN and tree.can_split(node)
-        found.append((-1, best[0] if worthy else -np.inf, int(columns[best[1]]), *best[2:]))
         rows_of.append(rows)
         tree.nodes.append(node)
+        if total is None:
+            found.append((-1, -np.inf, -1, -1, 0.0, 0.0, 0.0, node.g, node.h, node.n))
+            return
+        best = best_split(total.reshape(3, len(columns), params.bins), params)
+        worthy = best[0] > MIN_GAIN
+        found.append((-1, best[0] if worthy else -np.inf, int(columns[best[1]]), *best[2:]))
         if worthy:
+            sums_of[place] = total
             heapq.heappush(queue, (-best[0], place, best[1]))
 
-    look(np.arange(len(bins)), depth)
+    def node_of(rows: np.ndarray, at_depth: int) -> Node:
+        return Node(float(g[rows].sum()), float(h[rows].sum()), float(len(rows)), at_depth)
+
+    every = np.arange(len(bins))
+    root = node_of(every, depth)
+    look(every, sums(every) if tree.can_split(root) else None, root)
     splits = 0
     while queue and (params.leaves is None or splits < params.leaves - 1):
         _, place, column = heapq.heappop(queue)
-        rows, cut = rows_of[place], found[place][3]
+        rows, cut, total = rows_of[place], found[place][3], sums_of.pop(place)
         right = cells[rows, column] - column * params.bins > cut
         found[place] = (len(found), *found[place][1:])
         splits += 1
-        for side in (rows[~right], rows[right]):
-            look(side, tree.nodes[place].depth + 1)
+        below = tree.nodes[place].depth + 1
+        sides = [rows[~right], rows[right]]
+        nodes = [node_of(side, below) for side in sides]
+        open_ = [tree.can_split(node) for node in nodes]
+        totals: list[np.ndarray | None] = [None, None]
+        if any(open_):
+            less = int(len(sides[1]) < len(sides[0]))
+            totals[less] = sums(sides[less])
+            totals[1 - less] = total - totals[less]
+        for side, node, own, may in zip(sides, nodes, totals, open_):
+            look(side, own if may else None, node)
     return [(place, *row) for place, row in enumerate(found)]
 
 
@@ -491,6 +523,67 @@ def _attach(tree: Growing, place: int, rows: list) -> None:
             tree.nodes += [Node(0.0, 0.0, 0.0, node.depth + 1) for _ in range(2)]
 
 
+def _drawn_columns(params: Boosting, n_features: int, n_folds: int, round_: int) -> list[np.ndarray]:
+    """The features that each fold's tree of a round may use."""
+    rng = np.random.default_rng((params.seed, round_))
+    number = max(1, round(params.columns * n_features))
+    return [np.sort(rng.permutation(n_features)[:number]) for _ in range(n_folds)]
+
+
+def grow_folds(
+    rows: DataFrame, params: Boosting, n_features: int, weights: Sequence[tuple[float, float]]
+) -> list[list[Tree]]:
+    """The trees of every round, one per fold, in one job: each fold's rows meet in one task."""
+    n_folds = len(weights)
+    parts = ("feature", "cut", "left", "right", "value")
+
+    def trees(fold: int, batches: list[pa.RecordBatch]) -> Iterator[Tree]:
+        joined = b"".join(blob for batch in batches for blob in batch.column("bins").to_pylist())
+        bins = np.frombuffer(joined, np.uint8).reshape(-1, n_features)
+        y, hashes = (np.concatenate([batch.column(c).to_numpy() for batch in batches]) for c in ("y", "hash"))
+        weight = np.where(y == 1, weights[fold][1], weights[fold][0])
+        margin = np.zeros(len(y))
+        for round_ in range(params.rounds):
+            use = np.flatnonzero(drawn(hashes, params.rows, round_ * n_folds + fold))
+            growing = Growing(params, [Node(0.0, 0.0, float(len(use)), 0)])
+            if len(use):
+                chance = 1 / (1 + np.exp(-margin[use]))
+                g, h = weight[use] * (chance - y[use]), weight[use] * chance * (1 - chance)
+                columns = _drawn_columns(params, n_features, n_folds, round_)[fold]
+                found = grow_leaf(bins[use], g, h, 0, columns, params)
+                _attach(growing, 0, [dict(zip(_SPLIT_NAMES, row)) for row in found])
+            tree = growing.final()
+            margin += tree.value[tree.leaf(bins)]
+            yield tree
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fold, own in groupby(_by_task(batches), lambda part: part[0]):
+            grown = list(trees(fold, [batch for _, batch in own]))
+            blobs = [pa.array([getattr(tree, name).tobytes() for tree in grown], pa.binary()) for name in parts]
+            place = [pa.array([fold] * len(grown), pa.int32()), pa.array(range(len(grown)), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*place, *blobs], ["task", "round", *parts])
+
+    # Ranges in plenty, so that no two folds share a task; rows in one order, so that sums repeat.
+    dealt = rows.select("fold", "y", "hash", "bins", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("task"))
+    dealt = dealt.where("fold <> task").repartitionByRange(4 * n_folds, "task").sortWithinPartitions("task", "hash", "bins", "y")
+    grown = [[_EMPTY] * n_folds for _ in range(params.rounds)]
+    kinds = "task int, round int, " + ", ".join(f"{name} binary" for name in parts)
+    for r in dealt.select("task", "y", "hash", "bins").mapInArrow(grow, kinds).collect():
+        arrays = [np.frombuffer(r[name], np.float64 if name == "value" else np.int64) for name in parts]
+        grown[r["round"]][r["task"]] = Tree(*arrays)
+    return grown
+
+
+def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches sorted by ``task``, cut where it changes."""
+    for batch in batches:
+        task = batch.column("task").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+        for begin, end in zip(cuts, cuts[1:]):
+            if end > begin:
+                yield int(task[begin]), batch.slice(begin, end - begin)
+
+
 def grow_round(
     rows: DataFrame,
     params: Boosting,
@@ -502,9 +595,7 @@ def grow_round(
 ) -> list[Growing]:
     """One tree per fold: a job per level, until no fold has a leaf left to look at."""
     n_folds = len(weights)
-    rng = np.random.default_rng((params.seed, round_))
-    number = max(1, round(params.columns * n_features))
-    columns = [np.sort(rng.permutation(n_features)[:number]) for _ in range(n_folds)]
+    columns = _drawn_columns(params, n_features, n_folds, round_)
     growing = [Growing(params, [Node(0.0, 0.0, float(n_rows), 0)]) for _ in range(n_folds)]
     todo = [[0] for _ in range(n_folds)]
     while any(todo):
@@ -549,6 +640,11 @@ def boost(
     table = binned(features, cuts, folds, key, subject, label, x)
     n_rows = features.count()
     rows = _stored(table.coalesce(-(-n_rows // TASK_ROWS) or 1), "boosting").persist()
+    if n_rows <= WHOLE_LEAVES * LOCAL_ROWS:
+        grown = grow_folds(rows, params, n_features, weights) if folds else [[] for _ in range(params.rounds)]
+        result = _stored(_with_trees(rows, grown, n_features, n_folds), "boosting")
+        rows.unpersist()
+        return result, grown, cuts
     grown: list[list[Tree]] = []
     pending: list[list[Tree]] = []
     for round_ in range(params.rounds):

@@ -1,5 +1,7 @@
 """Boosted trees against a plain restatement that grows one fold at a time."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
@@ -104,6 +106,24 @@ def test_trees_are_those_of_plain_growth(features, data, params, local, monkeypa
     assert np.allclose(got, plain_margins(data, cuts, params), atol=1e-9)
 
 
+@pytest.mark.parametrize("params", [Boosting(rounds=4, depth=3, rows=0.8, columns=0.8, bins=16), Boosting(rounds=3, depth=None, leaves=6, bins=8)])
+def test_folds_in_one_task_each_need_few_jobs(spark, features, params, monkeypatch):
+    """Trees of a table of moderate size are those of a job per level, from a fixed number of jobs."""
+
+    def boost(name, params=params):
+        spark.sparkContext.setJobGroup(name, name)
+        rows = boosting.boost(features, FOLDS, WEIGHTS, params)[0].orderBy("key").collect()
+        spark.sparkContext.setJobGroup("", "")
+        return np.array([r["margins"] for r in rows]), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    monkeypatch.setattr(boosting, "LOCAL_ROWS", 60)
+    whole, jobs = boost("whole")
+    assert boost("more", replace(params, rounds=2 * params.rounds))[1] == jobs
+    monkeypatch.setattr(boosting, "WHOLE_LEAVES", 0)
+    levels, _ = boost("levels")
+    assert np.allclose(whole, levels, atol=1e-9)
+
+
 def test_a_fold_does_not_see_its_own_rows(spark, features):
     """Other labels in the held-out rows leave their scores alone."""
     from pyspark.sql import functions as F
