@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _pieces(name: Column) -> Column:
-    """All substrings of a name (names are short: length squared over two)."""
+def _with_pieces(names: DataFrame, name: str, sought: DataFrame, subject: str, piece: str) -> DataFrame:
+    """Every name with those of its substrings that have a length found among ``sought``.
+
+    ``sought`` has the strings looked for as ``piece``. A name meets the lengths of its
+    subject, so it is cut into as many pieces as can match, not into all there are.
+    """
+    lengths = sought.where(F.length(piece) > 0).groupBy(subject).agg(F.collect_set(F.length(piece)).alias("_widths"))
     n = F.length(name)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     cut = F.transform(
-        starts,
-        lambda a: F.transform(F.sequence(F.lit(1), n - a + 1), lambda w: F.substr(name, a, w)),
+        F.filter("_widths", lambda w: w <= n),
+        lambda w: F.transform(F.sequence(F.lit(1), n - w + 1), lambda a: F.substr(F.col(name), a, w)),
     )
-    return F.array_distinct(F.flatten(cut))
+    pieces = F.explode(F.array_distinct(F.flatten(cut)))
+    return names.join(lengths, subject).withColumn(piece, pieces).drop("_widths")
 
 
 def _without_extension(name: Column) -> Column:
@@ -30,16 +35,14 @@ def match_recordings(
     without its extension occurs in the stem, or when the stem starts with that name
     stripped of trailing dashes. Containment becomes equality with the substrings of
     the longer name, so only matching pairs are ever formed. An empty annotated name
-    matches every recording of its subject.
+    matches every recording of its subject. Tables of substrings are merged, never sent
+    whole to the driver: Spark judges them by the size of the names they come from.
     """
     stems = recordings.select(subject, "stem").distinct()
     names = annotated.select(subject, "recording").distinct()
     bare = _without_extension(F.col("recording"))
     keyed = names.withColumns({"bare": bare, "lead": F.rtrim(bare, F.lit("-"))})
-    in_name = stems.join(
-        names.withColumn("stem", F.explode(_pieces(F.col("recording")))), [subject, "stem"]
-    )
-    pieces = stems.withColumn("piece", F.explode(_pieces(F.col("stem"))))
+    in_name = stems.join(_with_pieces(names, "recording", stems, subject, "stem").hint("merge"), [subject, "stem"])
     # A leading piece of a stem also occurs in it, so one exploded side serves both tests.
     as_piece = keyed.select(
         subject,
@@ -51,7 +54,8 @@ def match_recordings(
             )
         ).alias("p"),
     ).select(subject, "recording", "p.*")
-    in_stem = pieces.join(as_piece, [subject, "piece"]).where(
+    pieces = _with_pieces(stems, "stem", as_piece, subject, "piece")
+    in_stem = pieces.hint("merge").join(as_piece, [subject, "piece"]).where(
         ~F.col("leading") | F.startswith("stem", F.col("piece"))
     )
     anywhere = stems.join(keyed.where("lead = ''").select(subject, "recording"), subject)

@@ -141,6 +141,17 @@ def test_fuzzy_match_pairs(spark):
     assert got == {(stem, name) for stem, found in expected.items() for name in found}
 
 
+def test_names_are_cut_into_pieces_that_can_match_and_merged(spark):
+    """Not into all substrings, and their table is never broadcast."""
+    names = spark.createDataFrame([("s", "x" * 20 + "abc" * 7)], "subject string, stem string")
+    sought = spark.createDataFrame([("s", "abc"), ("s", ""), ("t", "a")], "subject string, piece string")
+    assert {len(r["piece"]) for r in matching._with_pieces(names, "stem", sought, "subject", "piece").collect()} == {3}
+    pairs = matching.match_recordings(names, sought.withColumnRenamed("piece", "recording"))
+    assert {r["recording"] for r in pairs.collect()} == {"abc", ""}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [subject") >= 2
+
+
 def test_exact_match_is_default(spark):
     left = spark.createDataFrame([("s", "PN00-1"), ("s", "PN00-10")], "subject string, stem string")
     right = spark.createDataFrame([("s", "PN00-1.edf", 1.0)], "subject string, recording string, onset_sec double")
