@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 
 from paroxys.session import shared_folder
 
-# Rows of a block, and distances held at once while two blocks meet.
+# Training rows compared at once, and distances held at once while two blocks meet.
 BLOCK_ROWS = 4096
 CELLS = 1 << 22
 MAX_PIVOTS = 1024
 CELL_ROWS = 1024
-#: Test rows that meet one block in one task.
-VISITORS = 16_384
+#: Training rows and test rows that meet in one task. Small tables are cut into up to
+#: ``UNITS`` units, if each has ``LEAST_ROWS`` rows.
+UNIT_ROWS = 65_536
+VISITORS = 65_536
+UNITS, LEAST_ROWS = 16, 4096
+#: Test rows of a batch that are copied to their units at once.
+_SENT = 1 << 15
 
 
 def _squared(test: np.ndarray, train: np.ndarray) -> np.ndarray:
@@ -39,49 +44,124 @@ def _finite(x: str) -> Column:
     return F.when(sound, values).otherwise(broken.cast("array<double>"))
 
 
-def _k_best(dist: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k smallest values of each row, equal ones in column order."""
-    if dist.shape[1] <= k:
-        return np.argsort(dist, axis=1, kind="stable")
-    best = np.argpartition(dist, k - 1, axis=1)[:, :k]
-    found = np.take_along_axis(dist, best, axis=1)
-    order = np.lexsort((best, found), axis=1)
-    best = np.take_along_axis(best, order, axis=1)
-    # Where more than k values reach the k-th, the choice among equal ones may be wrong.
-    tied = (dist <= found.max(axis=1, keepdims=True)).sum(axis=1) > k
-    if tied.any():
-        best[tied] = np.argsort(dist[tied], axis=1, kind="stable")[:, :k]
-    return best
-
-
-def _k_nearest(a: pd.DataFrame, b: pd.DataFrame, k: int, apart: bool) -> pd.DataFrame:
-    """``(id, neighbour, label, d2)`` of the k nearest rows of ``b`` for each row of ``a``."""
-    found = []
-    if len(a) and len(b):
-        b = b.sort_values("t_id", ignore_index=True)
-        vectors = np.stack(b["t_x"].to_numpy())
-        keys, labels = b["t_id"].to_numpy(), b["t_label"].to_numpy()
-        step = max(1, CELLS // len(b))
-        for at in range(0, len(a), step):
-            part = a.iloc[at : at + step]
-            dist = _squared(np.stack(part["x"].to_numpy()), vectors)
-            if apart:
-                same = part["part"].to_numpy()[:, None] == b["t_part"].to_numpy()[None, :]
-                dist[same] = np.inf
-            best = _k_best(dist, k)
-            found.append(
-                pd.DataFrame(
-                    {
-                        "id": np.repeat(part["id"].to_numpy(), best.shape[1]),
-                        "neighbour": keys[best].ravel(),
-                        "label": labels[best].ravel(),
-                        "d2": np.take_along_axis(dist, best, axis=1).ravel(),
-                    }
-                )
-            )
-    out = pd.concat(found) if found else pd.DataFrame({"id": [], "neighbour": [], "label": [], "d2": []})
-    # Infinite are only the rows that must stay apart; inputs are finite.
-    return out[np.isfinite(out["d2"].astype(float))]
+class _Best:
+    """The k nearest rows found so far for each row of a block, by distance, then place."""
+
+    def __init__(self, rows: int, k: int) -> None:
+        self.d2, self.place = np.full((rows, k), np.inf), np.full((rows, k), -1)
+
+    def add(self, row: np.ndarray, place: np.ndarray, d2: np.ndarray) -> None:
+        k = self.d2.shape[1]
+        better = d2 <= self.d2[row, -1]
+        better &= np.isfinite(d2)
+        row, place, d2 = row[better], place[better], d2[better]
+        if not len(row):
+            return
+        own, at = np.unique(row, return_inverse=True)
+        at = np.concatenate([np.repeat(np.arange(len(own)), k), at])
+        place = np.concatenate([self.place[own].ravel(), place])
+        d2 = np.concatenate([self.d2[own].ravel(), d2])
+        order = np.lexsort((place, d2, at))
+        at, place, d2 = at[order], place[order], d2[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        first = rank < k
+        self.d2[own[at[first]], rank[first]] = d2[first]
+        self.place[own[at[first]], rank[first]] = place[first]
+
+
+def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of rows ``a[i]`` and ``b[j]``, summed as ``_squared`` does."""
+    out = np.zeros(len(i))
+    for c in range(a.shape[1]):
+        out += (a[i, c] - b[j, c]) ** 2
+    return out
+
+
+def _meet(
+    a: np.ndarray, b: np.ndarray, place: np.ndarray, rows: np.ndarray, bound: np.ndarray, best: _Best, same
+) -> None:
+    """Compare rows ``a[rows]`` with the rows ``b``, whose places are ``place``.
+
+    A matrix product gives distances up to rounding; only pairs that may be among the k
+    nearest are then summed without cancellation. ``same(i, place)`` tells pairs that must
+    stay apart, ``bound`` a squared distance beyond which nothing is looked for.
+    """
+    k = best.d2.shape[1]
+    mine = a[rows]
+    aa, bb = (mine * mine).sum(axis=1), (b * b).sum(axis=1)
+    slack = (a.shape[1] + 8) * 1e-15 * (aa + bb.max())
+    most = np.minimum(bound[rows], best.d2[rows, -1])
+    if np.isfinite(slack).all():
+        free = ~np.isfinite(most)
+        if free.any():
+            # Nothing known yet: the k-th smallest of these distances is the bound.
+            at = np.flatnonzero(free)
+            near = aa[at, None] + bb - 2 * (mine[at] @ b.T)
+            near[same(rows[at][:, None], place)] = np.inf
+            if len(b) > k:
+                most[at] = np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * slack[at]
+            i, j = np.nonzero(near <= np.minimum(most[at], np.finfo(float).max)[:, None])
+            i = at[i]
+            best.add(rows[i], place[j], _exact(mine, b, i, j))
+            if free.all():
+                return
+            rows, mine, aa, slack, most = (v[~free] for v in (rows, mine, aa, slack, most))
+        # Distance less bound in one product.
+        left = np.column_stack([-2 * mine, aa - most * (1 + 1e-12) - 2 * slack, np.ones(len(mine))])
+        i, j = np.nonzero(left @ np.column_stack([b, np.ones(len(b)), bb]).T <= 0)
+    else:
+        i, j = (v.ravel() for v in np.indices((len(mine), len(b))))
+    apart = ~same(rows[i], place[j])
+    i, j = i[apart], j[apart]
+    best.add(rows[i], place[j], _exact(mine, b, i, j))
+
+
+def _first_copies(x: np.ndarray, part: np.ndarray, k: int) -> np.ndarray:
+    """Whether a row is one of the first k with its vector and part: no other copy can be
+    among k nearest rows."""
+    whole = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+    code = np.unique(whole, return_inverse=True)[1]
+    if code.max() + 1 == len(x):
+        return np.ones(len(x), bool)
+    return (pd.DataFrame({"x": code, "part": part}).groupby(["x", "part"], dropna=False).cumcount() < k).to_numpy()
+
+
+def _k_nearest(a: pd.DataFrame, b: pd.DataFrame, k: int, apart: bool, cells: Cells, block_rows: int) -> pd.DataFrame:
+    """``(id, neighbour, label, d2)`` of the k nearest rows of ``b`` for each row of ``a``, among
+    the cells it has to meet; where ``bound`` is given only rows up to it."""
+    if not len(a) or not len(b):
+        return pd.DataFrame({"id": [], "neighbour": [], "label": [], "d2": []})
+    b = b.sort_values("t_id", ignore_index=True)
+    x, vectors = np.stack(a["x"].to_numpy()), np.stack(b["t_x"].to_numpy())
+    kept = np.flatnonzero(_first_copies(vectors, b["t_part"].to_numpy(), k))
+    b, vectors = b.iloc[kept], vectors[kept]
+    part, t_part = a["part"].to_numpy(), b["t_part"].to_numpy()
+    same = (lambda i, j: part[i] == t_part[j]) if apart else (lambda i, j: np.zeros(np.broadcast(i, j).shape, bool))
+    home, reach = a["home"].to_numpy(), a["bound"].to_numpy(dtype=float)
+    first = bool(a["first"].iloc[0])
+    bound = np.full(len(a), np.inf) if first else np.where(np.isnan(reach), np.inf, reach)
+    best = _Best(len(a), k)
+    cell = b["cell"].to_numpy()
+    for own in np.unique(cell):
+        rows = np.flatnonzero(home == own) if first else np.flatnonzero(
+            (home != own) & cells.only(own).reachable(cells.only(own).distances(x), bound)[:, 0]
+        )
+        places = np.flatnonzero(cell == own)
+        for begin in range(0, len(places), block_rows):
+            block = places[begin : begin + block_rows]
+            step = max(1, CELLS // len(block))
+            for at in range(0, len(rows), step):
+                _meet(x, vectors[block], block, rows[at : at + step], bound * bound, best, same)
+    row, rank = np.nonzero(best.place >= 0)
+    place = best.place[row, rank]
+    return pd.DataFrame(
+        {
+            "id": a["id"].to_numpy()[row],
+            "neighbour": b["t_id"].to_numpy()[place],
+            "label": b["t_label"].to_numpy()[place],
+            "d2": best.d2[row, rank],
+        }
+    )
 
 
 class Cells:
@@ -103,10 +183,27 @@ class Cells:
         least = np.maximum(dist - self.high, self.low - dist)
         return (least <= bound[:, None] + slack) & (self.rows > 0)
 
-
-def _spread(cells: Cells, block_rows: int) -> np.ndarray:
-    """Blocks of each cell; a cell of any size is met block by block."""
-    return np.maximum(-(-cells.rows // block_rows), 1)
+    def only(self, cell: int) -> Cells:
+        return Cells(*(v[cell : cell + 1] for v in (self.pivots, self.rows, self.low, self.high)))
+
+
+def _units(cells: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """First unit and number of units of each cell. Small cells share a unit, those near the
+    same pivot first; a large cell is spread over units of its own."""
+    total = int(cells.rows.sum())
+    size = -(-total // max(1, min(UNITS, total // LEAST_ROWS), -(-total // UNIT_ROWS))) or 1
+    centres = cells.pivots[:: max(1, math.isqrt(len(cells.pivots)))]
+    pieces = np.maximum(-(-cells.rows // size), 1)
+    first, unit, filled = np.zeros(len(cells.rows), np.int64), 0, 0
+    for c in np.argsort(_squared(cells.pivots, centres).argmin(axis=1), kind="stable"):
+        if filled and (filled + cells.rows[c] > size or pieces[c] > 1):
+            unit, filled = unit + 1, 0
+        first[c] = unit
+        if pieces[c] > 1:
+            unit += int(pieces[c])
+        else:
+            filled += int(cells.rows[c])
+    return first, pieces
 
 
 def _arrays(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -139,8 +236,10 @@ def nearest(
     all cells that the triangle inequality puts farther away, and only the others are
     met. Pivots are the training rows with the smallest key hashes, about the root of
     their number, at most ``MAX_PIVOTS`` and one per ``CELL_ROWS`` rows; they decide the work, not the result. Cells
-    are met in blocks of ``block_rows``, so copies of one vector do not gather in a task,
-    and a task hands on only its k best per test row. The first round runs now.
+    travel in units of at most about ``UNIT_ROWS`` rows: a test row is sent once to each unit
+    that has a cell it must meet. There it meets these cells ``block_rows`` rows at a time.
+    Copies of one vector do not gather in a task, and a task hands on only its k best per
+    test row. The first round runs now.
 
     ``apart`` names a column whose equal values must not be neighbours (the held-out
     subject). ``report`` receives the number of compared pairs and of all pairs.
@@ -179,54 +278,65 @@ def nearest(
     for r in sizes.collect():  # one row per pivot
         counts[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["low"], r["high"]
     cells = Cells(points, counts, low, high)
-    blocks = _spread(cells, block_rows)
-    block_of = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-    placed = settled.withColumn("block", F.pmod(F.xxhash64("t_id"), block_of))
+    first_unit, pieces = _units(cells)
+    n_units = int((first_unit + pieces).max())
+    ints = lambda values: F.array(*[F.lit(int(v)) for v in values])
+    of_cell = lambda values: F.element_at(ints(values), F.col("cell") + 1)
+    placed = settled.withColumn("unit", of_cell(first_unit) + F.pmod(F.xxhash64("t_id"), of_cell(pieces)).cast("int"))
+    # Rows of each cell in each unit.
+    shares = np.zeros((len(points), n_units))
+    for c, (begin, times) in enumerate(zip(first_unit, pieces)):
+        shares[c, begin : begin + times] = max(counts[c], 1) / times
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Test rows for every block of the cells they have to meet."""
+        """Test rows for every unit of the cells they have to meet."""
         for batch in batches:
             if not batch.num_rows:
                 continue
             dist = cells.distances(_arrays(batch, "x"))
             home = np.where(cells.rows > 0, dist, np.inf).argmin(axis=1)
-            if "bound" in batch.schema.names:
+            again = "bound" in batch.schema.names
+            if again:
                 bound = batch.column("bound").to_numpy(zero_copy_only=False)
                 goes = cells.reachable(dist, np.where(np.isnan(bound), np.inf, bound))
                 goes[np.arange(len(home)), home] = False
             else:
+                bound = np.full(len(home), np.nan)
                 goes = np.zeros(dist.shape, bool)
                 goes[np.arange(len(home)), home] = True
-            row, cell = np.nonzero(goes)
-            times = blocks[cell]
-            row, cell = np.repeat(row, times), np.repeat(cell, times)
-            first = np.repeat(np.cumsum(times) - times, times)
-            block = np.arange(len(row)) - first
-            taken = batch.select(["id", "part", "x"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(cell, pa.int32()), pa.array(block, pa.int64())],
-                ["id", "part", "x", "cell", "block"],
-            )
+            pairs = goes @ shares
+            rows, units = np.nonzero(pairs)
+            for begin in range(0, len(rows), _SENT):
+                row, unit = rows[begin : begin + _SENT], units[begin : begin + _SENT]
+                taken = batch.select(["id", "part", "x"]).take(pa.array(row))
+                made = [pa.array(home[row], pa.int32()), pa.array(bound[row]), pa.array(np.full(len(row), not again))]
+                made += [pa.array(unit, pa.int32()), pa.array(pairs[row, unit])]
+                yield pa.RecordBatch.from_arrays(
+                    [*taken.columns, *made], ["id", "part", "x", "home", "bound", "first", "unit", "pairs"]
+                )
 
     test_kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
-    visiting = ", ".join(f"{n} {t}" for n, t in test_kinds.items()) + ", cell int, block bigint"
+    visiting = ", ".join(f"{n} {t}" for n, t in test_kinds.items())
+    visiting += ", home int, bound double, first boolean, unit int, pairs double"
     outputs = f"id {kind}, neighbour {kind}, label int, d2 double"
 
     def met(rows: DataFrame) -> DataFrame:
-        """The k best of every visit; a cell has as many copies as its visitors need tasks."""
+        """The k best of every visit; a unit has as many copies as its visitors need tasks."""
         visits = _stored(rows.mapInArrow(visit, visiting), "visits")
-        visitors = np.zeros(len(points), np.int64)
-        for r in visits.where("block = 0").groupBy("cell").agg(F.count("*").alias("m")).collect():  # one row per pivot
-            visitors[r["cell"]] = r["m"]
+        visitors, pairs = np.zeros(n_units, np.int64), 0.0
+        for r in visits.groupBy("unit").agg(F.count("*").alias("m"), F.sum("pairs").alias("p")).collect():  # one row per unit
+            visitors[r["unit"]] = r["m"]
+            pairs += r["p"]
         if report is not None:
-            report["pairs"] = report.get("pairs", 0) + int((visitors * counts).sum())
-        salts = F.element_at(F.array(*[F.lit(int(-(-m // VISITORS)) or 1) for m in visitors]), F.col("cell") + 1)
+            report["pairs"] = report.get("pairs", 0) + round(pairs)
+        salts = F.element_at(ints(-(-m // VISITORS) or 1 for m in visitors), F.col("unit") + 1)
         copies = F.explode(F.sequence(F.lit(0), salts - 1))
-        meet = lambda a, b: _k_nearest(a, b, k, apart is not None)
+        meet = lambda a, b: _k_nearest(a, b, k, apart is not None, cells, block_rows)
         return (
-            visits.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
-            .groupBy("cell", "block", "salt")
-            .cogroup(placed.withColumn("salt", copies).groupBy("cell", "block", "salt"))
+            visits.drop("pairs")
+            .withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
+            .groupBy("unit", "salt")
+            .cogroup(placed.drop("radius").withColumn("salt", copies).groupBy("unit", "salt"))
             .applyInPandas(meet, outputs)
         )
 

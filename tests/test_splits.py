@@ -173,6 +173,32 @@ def test_far_cells_are_not_met(spark):
     assert report["all"] == 360_000 and report["pairs"] < 0.5 * report["all"]
 
 
+@pytest.mark.parametrize(("pivots", "block_rows"), [(5, 3), (12, 40)])
+def test_a_test_row_travels_once_to_a_unit(spark, pivots, block_rows, monkeypatch):
+    """However small the blocks; results are those of all pairs, with ties, copies and far values."""
+    for name, value in (("UNIT_ROWS", 32), ("LEAST_ROWS", 16), ("VISITORS", 50), ("CELLS", 64)):
+        monkeypatch.setattr(neighbours, name, value)
+    paths = {}
+    fresh = neighbours.shared_folder
+    monkeypatch.setattr(neighbours, "shared_folder", lambda s, p: paths.setdefault((p, len(paths)), fresh(s, p)))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(160, 6)).round(1) + 1e4
+    x[40:80] = x[3]
+    rows = [(i, i % 3, i % 2, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "window_id bigint, subject int, y int, x array<double>")
+    got = neighbours.nearest(df, df, k=3, apart="subject", pivots=pivots, block_rows=block_rows).collect()
+    want = set()
+    for i in range(160):
+        near = sorted((((x[i] - x[j]) ** 2).sum(), j) for j in range(160) if j % 3 != i % 3)[:3]
+        want |= {(i, j, r + 1) for r, (_, j) in enumerate(near)}
+    found = {(r["window_id"], r["neighbour"], r["rank"]) for r in got}
+    assert found == want
+    for (purpose, _), path in paths.items():
+        if purpose == "visits":
+            visits = spark.read.parquet(path)
+            assert visits.count() == visits.select("id", "unit").distinct().count()
+
+
 def test_no_training_rows(spark):
     df = spark.createDataFrame([(1, 0, [1.0])], "window_id bigint, y int, x array<double>")
     got = neighbours.knn_vote(df, df.limit(0), k=3).collect()
