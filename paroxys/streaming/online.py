@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,8 +97,8 @@ class Ordering:
 class _Sequence(StatefulProcessor):
     """Feeds one recording's rows, in time order, to ``step``.
 
-    Rows wait by slot; a timer at the end of each slot answers all slots the watermark
-    has passed. After ``idle`` seconds without rows ``finish`` answers what is open; rows
+    Rows wait as they came; a timer at the end of the earliest slot answers all slots the
+    watermark has passed, so calls for state follow recordings and micro-batches, not slots. After ``idle`` seconds without rows ``finish`` answers what is open; rows
     that come later go on with the numbering, as a new stretch.
     """
 
@@ -110,9 +111,8 @@ class _Sequence(StatefulProcessor):
         self.kept = handle.getValueState("kept", self.state_schema)
         # Last slot answered, time of the last row answered.
         self.clock = handle.getValueState("clock", "slot bigint, last bigint")
-        self.waiting = handle.getMapState(
-            "waiting", "slot bigint", "at array<bigint>, event_id array<bigint>, value array<double>"
-        )
+        # Rows of slots not yet answered, one entry per micro-batch that brought some.
+        self.waiting = handle.getListState("waiting", "at array<bigint>, event_id array<bigint>, value array<double>")
         self.slot_us = int(self.order.slot * 1_000_000)
         # Recordings whose due slots were answered at the present watermark.
         self.seen_at, self.seen_keys = None, set()
@@ -123,21 +123,22 @@ class _Sequence(StatefulProcessor):
         if not len(batch):
             return
         slots = batch["at"] // self.slot_us
-        answered = self.clock.get()[0] if self.clock.exists() else None
-        if answered is not None:
-            behind = slots <= answered
+        clock = self.clock.get()
+        if clock is not None:
+            behind = slots <= clock[0]
             if behind.any():
                 yield self._marked(key, batch[behind])
             batch, slots = batch[~behind], slots[~behind]
-        for slot, own in batch.groupby(slots):
-            at, event, value = (own[c].tolist() for c in ("at", "event_id", "value"))
-            name = (int(slot),)
-            if self.waiting.containsKey(name):
-                before = self.waiting.getValue(name)
-                at, event, value = [*before[0], *at], [*before[1], *event], [*before[2], *value]
-            else:
-                self.handle.registerTimer((int(slot) + 1) * self.slot_us // 1000)
-            self.waiting.updateValue(name, (at, event, value))
+        timed = slots.notna()
+        if timed.any():
+            own = batch[timed]
+            rows = own["at"].astype("int64").tolist(), own["event_id"].tolist(), own["value"].tolist()
+            self.waiting.appendList([rows])
+            self._wake(int(slots.min()))
+
+    def _wake(self, slot: int) -> None:
+        """Come back when the watermark has passed the earliest slot that waits; it tells the next one then."""
+        self.handle.registerTimer((slot + 1) * self.slot_us // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
@@ -146,27 +147,38 @@ class _Sequence(StatefulProcessor):
         if key[0] in self.seen_keys:  # timers come after the rows of a micro-batch: nothing new is due
             return
         self.seen_keys.add(key[0])
-        due = sorted(slot for (slot,) in self.waiting.keys() if (slot + 1) * self.slot_us <= now)
-        if due:
-            parts = [pd.DataFrame(dict(zip(("at", "event_id", "value"), self.waiting.getValue((s,))))) for s in due]
-            batch = pd.concat(parts).sort_values(["at", "event_id"], ignore_index=True)
-            for slot in due:
-                self.waiting.removeKey((slot,))
-            last = int(batch["at"].iloc[-1])
-            self.clock.update((due[-1], last))
-            self.handle.registerTimer((last + int(self.order.idle * 1_000_000)) // 1000 + 1)
-            out, state = self.step(batch, self._state())
-            self.kept.update(state)
-            yield self._answered(key, out)
-        if self.clock.exists():
-            last = self.clock.get()[1]
-            if last + self.order.idle * 1_000_000 <= now and next(iter(self.waiting.keys()), None) is None:
+        waiting = list(self.waiting.get())
+        clock, left = None, []
+        if waiting:
+            at, event, value = (np.array([v for row in waiting for v in row[i]]) for i in range(3))
+            order = np.lexsort((event, at))
+            at, event, value = at[order], event[order], value[order]
+            slots = at // self.slot_us
+            n_due = int(np.searchsorted((slots + 1) * self.slot_us, now, side="right"))
+            left = at[n_due:]
+            if n_due:
+                if len(left):
+                    self.waiting.put([(left.tolist(), event[n_due:].tolist(), value[n_due:].tolist())])
+                else:
+                    self.waiting.clear()
+                clock = (int(slots[n_due - 1]), int(at[n_due - 1]))
+                self.clock.update(clock)
+                self.handle.registerTimer((clock[1] + int(self.order.idle * 1_000_000)) // 1000 + 1)
+                batch = pd.DataFrame({"at": at[:n_due], "event_id": event[:n_due], "value": value[:n_due]})
+                out, state = self.step(batch, self._state())
+                self.kept.update(state)
+                yield self._answered(key, out)
+            if len(left):
+                self._wake(int(left[0]) // self.slot_us)
+        if not len(left):
+            clock = clock or self.clock.get()
+            if clock is not None and clock[1] + self.order.idle * 1_000_000 <= now:
                 out, state = self.finish(self._state())
                 self.kept.update(state)
                 yield self._answered(key, out)
 
     def _state(self):
-        return self.kept.get() if self.kept.exists() else None
+        return self.kept.get()
 
     def finish(self, state) -> tuple[pd.DataFrame, tuple]:
         """What is open when a recording ends, and the state to go on with."""

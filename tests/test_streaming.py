@@ -185,3 +185,19 @@ def test_a_second_run_in_the_same_folder_goes_on(stream, sequences, tmp_path):
     again, late = ordered(stream, online.online_ema, folder=folder)
     assert some < again.count() == sequences.count() and late.count() == 0
     assert table(again, "ema") == pytest.approx(table(alarms.ema_smooth(sequences), "ema"))
+
+
+def test_state_calls_follow_micro_batches_not_slots():
+    """Rows of thirty slots wait as one entry behind one timer."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    handle = MagicMock()
+    handle.getValueState.return_value.get.return_value = None
+    processor = online.OnlineEma(0.3, 0.5, "user_id", online.Ordering(late=1.0, slot=1.0))
+    processor.init(handle)
+    rows = pd.DataFrame({"at": [s * 1_000_000 for s in range(29, -1, -1)], "event_id": range(30), "value": 0.5, online.FLUSH: False})
+    assert list(processor.handleInputRows((1,), iter([rows]), None)) == []
+    handle.registerTimer.assert_called_once_with(1000)
+    assert handle.getListState.return_value.appendList.call_count == 1
