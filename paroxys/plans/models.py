@@ -40,8 +40,10 @@ DEFAULTS: dict[str, dict] = {
 SEED = 42
 #: Models whose folds are fitted together.
 BOOSTED = ("xgboost", "lightgbm")
-#: Training rows a task of a fit has at least, if there are that many.
-TASK_ROWS = 20_000
+#: Training rows a task of a fit has at least, if there are that many, and at most.
+TASK_ROWS, MOST_TASK_ROWS = 20_000, 400_000
+#: Fits that run side by side at least.
+FITS = 4
 COLUMNS = {"featuresCol": "vec", "labelCol": "y", "weightCol": "w"}
 
 
@@ -108,6 +110,24 @@ def boosted_scores(
     return boosting.held_out_scores(margins, names, features.schema[subject].dataType.simpleString())
 
 
+def fit_tasks(name: str, n_train: int, cores: int, beside: int = 1) -> int:
+    """Tasks of a fit. Iterative fits run many small jobs: no more tasks than there are rows for.
+
+    A gradient of the SVMs is a job of a few milliseconds, thousands of times: ``beside`` such
+    fits share the cores with two tasks per core. The draws of a forest depend on its tasks,
+    which follow the rows alone.
+    """
+    tasks = -(-n_train // TASK_ROWS) or 1
+    if not name.startswith("svm"):
+        return tasks
+    return max(min(tasks, -(-2 * cores // beside)), -(-n_train // MOST_TASK_ROWS))
+
+
+def fits_at_once(cores: int, fits: int) -> int:
+    """Fits that run side by side: one per core, so that fits of single tasks leave none idle."""
+    return min(max(FITS, cores), fits)
+
+
 def fit_score(
     name: str,
     train: DataFrame,
@@ -115,10 +135,11 @@ def fit_score(
     n_pos: int,
     n_neg: int,
     overrides: Mapping | None = None,
+    beside: int = 1,
 ) -> DataFrame:
     """Fit on ``train`` and return ``test`` with ``prob`` and ``pred`` (fitting runs now).
 
-    ``svm_rbf`` expects both sides mapped by ``model_inputs``.
+    ``svm_rbf`` expects both sides mapped by ``model_inputs``; ``beside`` fits share the cores.
     """
     if name == "knn":
         p = parameters(name, overrides)
@@ -134,8 +155,8 @@ def fit_score(
         return test.drop("features").join(scores, F.col("window_id").eqNullSafe(F.col("_key"))).drop("_key")
     vector = array_to_vector(F.col("features").cast("array<double>"))
     rows = train.withColumns({"vec": vector, "w": weight(name, n_pos, n_neg)})
-    # Iterative fits run many small jobs: no more tasks than there are rows for.
-    fitted = rows.select("vec", "y", "w").coalesce(-(-(n_pos + n_neg) // TASK_ROWS) or 1)
+    tasks = fit_tasks(name, n_pos + n_neg, train.sparkSession.sparkContext.defaultParallelism, beside)
+    fitted = rows.select("vec", "y", "w").coalesce(tasks)
     model = build_estimator(name, n_pos + n_neg, overrides).fit(fitted)
     scored = model.transform(test.withColumn("vec", vector))
     if name.startswith("svm"):
@@ -167,13 +188,14 @@ def loso_scores(
     features: DataFrame,
     models: Sequence[str],
     overrides: Mapping[str, Mapping] | None = None,
-    parallel: int = 4,
+    parallel: int | None = None,
 ) -> DataFrame:
     """Scores of every window by models fitted without its subject.
 
     ``features`` holds ``(window_id, subject, y, features)`` and should be a stored
     table. The driver sees one row of counts per subject; fits of different folds run
-    side by side, those of boosted trees in the same jobs; scoring stays one lazy union.
+    side by side, one per core if ``parallel`` does not say otherwise, those of boosted
+    trees in the same jobs; scoring stays one lazy union.
     """
     for name in models:
         parameters(name)
@@ -181,6 +203,8 @@ def loso_scores(
     jobs = [(n, f) for n in models if n not in BOOSTED for f in folds]
     jobs += [(n, None) for n in models if n in BOOSTED and folds]
     inputs = {n: model_inputs(features, n, (overrides or {}).get(n)) for n in models if folds}
+    cores = features.sparkSession.sparkContext.defaultParallelism
+    parallel = min(parallel or fits_at_once(cores, len(jobs)), len(jobs))
 
     def run(job) -> DataFrame:
         name, fold = job
@@ -190,7 +214,7 @@ def loso_scores(
         train, test = loso_split(inputs[name], fold["fold"])
         n_pos = fold["pos_train"]
         scored = fit_score(
-            name, train, test, n_pos, fold["n_train"] - n_pos, (overrides or {}).get(name)
+            name, train, test, n_pos, fold["n_train"] - n_pos, (overrides or {}).get(name), parallel
         )
         return scored.select(
             F.lit(name).alias("model"),
@@ -206,8 +230,8 @@ def loso_scores(
             [], "model string, fold int, window_id bigint, y int, prob double, pred int"
         )
     target = inheritable_thread_target(features.sparkSession)(run)
-    with ThreadPool(min(parallel, len(jobs))) as pool:
-        parts = pool.map(target, jobs)
+    with ThreadPool(parallel) as pool:
+        parts = pool.map(target, jobs, chunksize=1)
     return reduce(DataFrame.unionByName, parts)
 
 
