@@ -274,12 +274,13 @@ def search(
     space: Mapping[str, Mapping],
     trials: int = 10,
     fold: str = "fold",
-    parallel: int = 4,
+    parallel: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """Mean recall over the given folds of randomly drawn settings, best first.
 
-    ``fold`` numbers the folds from 0 (``splits.stratified_kfold``).
+    ``fold`` numbers the folds from 0 (``splits.stratified_kfold``). The settings of a fold
+    are fitted side by side, one per core if ``parallel`` does not say otherwise.
     """
     counts = features.agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).first()
     n_pos, n_neg = int(counts["p"]), int(counts["n"] - counts["p"])
@@ -304,7 +305,7 @@ def search(
         evaluator=recall,
         numFolds=n_folds,
         foldCol=fold,
-        parallelism=parallel,
+        parallelism=parallel or fits_at_once(features.sparkSession.sparkContext.defaultParallelism, trials),
         seed=seed,
     )
     return _ranked(features.sparkSession, drawn, validator.fit(rows).avgMetrics)
