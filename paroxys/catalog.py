@@ -1033,7 +1033,9 @@ def stored_annotations(spark, sf_dir):
     """Seizure lists as text files with several blocks each, found by folder."""
     path = shared_folder(spark, "annotations")
     texts = fx.siena_texts(spark, sf_dir)
-    texts.repartition("subject").sortWithinPartitions("subject", "path").select(
+    # A file per subject: the files cost the time, not their few bytes, by which Spark would merge the tasks.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    texts.repartition(tasks, "subject").sortWithinPartitions("subject", "path").select(
         "subject", "txt"
     ).write.partitionBy("subject").text(path)
     found = records.read_texts(spark, path, "*.txt")
