@@ -19,7 +19,8 @@ similar sets share one of their first shingles. These are the keys. Members of a
 compared by size and by a bitmap of shingle parities, which never rule out a similar pair.
 Under the first keys of each text, those that most texts have, members meet with their texts
 and are verified on the spot: such a part hands out only verified links that span its groups, fewer than it has
-members, and a pair that fails leaves no row. Pairs that share no first key, or have a long
+members, and a pair that fails leaves no row. Sizes and bitmaps are compared before: texts move only to members
+with a pair that these allow. Pairs that share no first key, or have a long
 text, are then compared under all keys and verified afterwards. Large keys are compared in
 blocks.
 """
@@ -438,6 +439,26 @@ def _pairs(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
+def open_parts(parts: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``parts(key, node, root)`` whose sizes and bitmaps allow the similarity
+    to another root's row of the part. All others are in no similar pair there."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, _ in sorted_runs(batches):
+            paired = np.zeros(len(cols["key"]), bool)
+
+            def note(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                paired[a] = paired[b] = True
+                return paired[a]
+
+            _meetings(cols["key"], cols["size"], cols["root"], _bitmaps(cols), similarity, False, settled=note)
+            if paired.any():
+                names = ["key", "node", "root"]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[n][paired]) for n in names], names=names)
+
+    return _sides(parts, sigs).mapInArrow(meet, "key bigint, node bigint, root bigint")
+
+
 def verified_parts(
     parts: DataFrame, sigs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 ) -> DataFrame:
@@ -637,15 +658,17 @@ def drop_near(
     within = nodes.join(firsts, "fp").select(F.col("node").alias("x"), F.col("first").alias("y"))
     links = verified(written(close(pairs_of(written(across.unionAll(within), "print-pairs"))), "pairs"))
     # What is left, exactly, by keys that several nodes have: the nodes at the ends of each key.
-    index = written(nodes.select("node", F.posexplode("keys").alias("place", "key")), "index")
-    ends = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
-    ends = written(ends.where("low < high"), "ends")
-    shared = written(index.join(ends, "key"), "shared")
+    # A node names a key once. Most keys have one node: those are counted and go no further.
+    index = nodes.select("node", F.posexplode("keys").alias("place", "key"))
+    several = written(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    shared = written(index.join(several, "key"), "shared")
+    ends = written(shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")), "ends")
     # First one link of each node per key to either end, which gathers large groups by
     # a linear number of comparisons; of nodes that are still apart.
     roots = written(components(links), "roots")
     of = lambda name, own: roots.select(F.col("node").alias(name), F.col("root").alias(own))
-    hubs = shared.where(F.col("place") < HUB_KEYS).select(F.col("node").alias("x"), F.explode(F.array("low", "high")).alias("y"))
+    hubs = shared.where(F.col("place") < HUB_KEYS).join(ends, "key")
+    hubs = hubs.select(F.col("node").alias("x"), F.explode(F.array("low", "high")).alias("y"))
     hubs = written(pairs_of(hubs), "hubs").join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left")
     hubs = hubs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     links = links.unionAll(verified(written(close(hubs), "pairs")))
@@ -661,9 +684,11 @@ def drop_near(
     brief = sigs.where(F.col("size") <= first_shingles).select("node")
     live = rooted(first.join(brief, "node").select("node", F.explode("first").alias("key")))
     parts = written(_spread(live, run_limit).withColumnRenamed("part", "key"), "parts")
+    parts = written(open_parts(parts, sigs, similarity), "open-parts")
     asked = written(nodes.select("node", "sha").join(parts.select("node").distinct(), "node"), "asked")
+    # Not stored: these rows lie by node already when the parts ask for them.
     bodies = slim.select("sha", "text").join(small(asked), "sha").groupBy("node")
-    bodies = written(bodies.agg(F.first(F.coalesce("text", F.lit(""))).alias("text")), "bodies")
+    bodies = bodies.agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
     links = links.unionAll(written(verified_parts(parts, sigs, bodies, shingle, similarity), "alike"))
     roots = written(components(links), "roots")
     # At last every other pair of different groups, so that none is lost.

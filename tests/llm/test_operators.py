@@ -411,6 +411,41 @@ def test_parts_hand_out_verified_links_only(spark):
     assert made[1] <= 2.2 * made[0] and made[2] <= 2.2 * made[1]
 
 
+def test_texts_move_only_to_members_with_a_possible_pair(spark):
+    """Unlike texts that share a key stay out; every member of a similar pair stays in."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(40):
+        ws = [f"own{i}x{j}" for j in range(120)]
+        rows.append((0, 2 * i, " ".join(ws)))
+        if i % 4 == 0:
+            ws[int(rng.integers(0, 120))] = f"new{i}"
+            rows.append((0, 2 * i + 1, " ".join(ws)))
+    sets = {node: np.unique(simhash.shingle_hashes(t.encode(), 5)) for _, node, t in rows}
+    sigs = spark.createDataFrame(
+        [(n, len(g), simhash._parity(g).tolist()) for n, g in sets.items()], "node bigint, size bigint, sig array<bigint>"
+    )
+    # The same pairs under another key have one root already.
+    members = [(0, n, n) for n in sets] + [(1, n, n // 2) for n in sets if n % 8 < 2]
+    parts = spark.createDataFrame(members, "key bigint, node bigint, root bigint")
+    got = [tuple(r) for r in simhash.open_parts(parts, sigs, 0.8).collect()]
+    assert sorted(got) == [(0, n, n) for n in sorted(sets) if n % 8 < 2]
+
+
+def test_near_texts_and_keys_of_one_text_are_not_stored(spark, monkeypatch):
+    """Texts with one passage in common, not near each other, leave neither texts nor an index of all keys."""
+    common = " ".join(f"c{j}" for j in range(30))
+    rows = [(i, common + " " + " ".join(f"own{i}x{j}" for j in range(90))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    stored, write = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, purpose: stored.append((purpose, write(df, purpose))) or stored[-1][1])
+    assert simhash.drop_near(docs).count() == len(rows)
+    assert not [purpose for purpose, df in stored if "text" in df.columns]
+    every = sum(len(r["keys"]) for r in dict(stored)["nodes"].select("keys").collect())
+    most = max(df.count() for _, df in stored if {"node", "key"} <= set(df.columns))
+    assert most < every / 2
+
+
 def test_pairs_that_span_grow_with_the_members():
     """Of borderline copies under one key a part hands on less than its members; twice as
     many copies give at most 2.2 times as many pairs."""
