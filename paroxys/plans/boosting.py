@@ -26,6 +26,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -52,6 +53,13 @@ MIN_GAIN = 1e-6
 EQUAL_GAIN = 1e-10
 #: Training rows a task has at least, if there are that many.
 TASK_ROWS = 20_000
+#: Rows per cell of two features' joint bins from which sums take two features at once, and
+#: rows whose sums are taken together below that.
+PAIRED = 2
+SUMMED = 512
+#: Where both sides of a split need at least this weight and no more than a row, weights tell
+#: an empty side from others and rows are not counted by bin.
+LEAST_WEIGHT = 1e-3
 
 
 @dataclass(frozen=True)
@@ -94,18 +102,89 @@ class Tree:
     right: np.ndarray
     value: np.ndarray
 
-    def leaf(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf each row of bin numbers falls into."""
-        at = np.zeros(len(bins), np.int64)
-        rows = np.flatnonzero(self.feature[at] >= 0)
-        while len(rows):
-            node = at[rows]
-            right = bins[rows, self.feature[node]] > self.cut[node]
-            at[rows] = np.where(right, self.right[node], self.left[node])
-            rows = rows[self.feature[at[rows]] >= 0]
+    def leaf(self, columns: np.ndarray) -> np.ndarray:
+        """The leaf each row falls into; ``columns`` has a row of bin numbers per feature."""
+        at = np.zeros(columns.shape[1], np.int64)
+        todo = [(0, np.arange(len(at)))]
+        while todo:
+            node, rows = todo.pop()
+            feature = self.feature[node]
+            if feature < 0:
+                at[rows] = node
+            elif len(rows):
+                sides = _sides(rows, columns[feature].take(rows) > self.cut[node])
+                todo += zip((self.left[node], self.right[node]), sides)
         return at
 
 
+def _sides(rows: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that go left and those that go right."""
+    return rows.take(np.flatnonzero(~right)), rows.take(np.flatnonzero(right))
+
+
+def _paired(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Gradient and curvature as one complex number."""
+    values = np.empty(len(g), complex)
+    values.real, values.imag = g, h
+    return values
+
+
+@dataclass
+class Bins:
+    """Bin numbers of rows, and sums over them. ``by_row`` has a row per row, a column per feature."""
+
+    by_row: np.ndarray
+    number: int
+
+    @cached_property
+    def columns(self) -> np.ndarray:
+        return np.ascontiguousarray(self.by_row.T)
+
+    def sums(self, rows: np.ndarray, values: np.ndarray, features: np.ndarray, counted: bool) -> np.ndarray:
+        """Gradient, curvature and, if ``counted``, rows by feature and bin, for some rows.
+
+        ``values`` are gradient and curvature of all rows as one complex number: one pass adds up
+        both. Many rows are summed over the joint bins of two features, which the sums of each follow from.
+        """
+        own = values if len(rows) == len(values) else values.take(rows)
+        if len(rows) < PAIRED * self.number**2:
+            total, counts = self._few(rows, own, features, counted)
+        else:
+            total, counts = self._many(rows, own, features, counted)
+        return np.stack([total.real, total.imag, counts] if counted else [total.real, total.imag])
+
+    def _few(self, rows, own, features, counted):
+        shape, offsets = (len(features), self.number), np.arange(len(features)) * self.number
+        total, counts = np.zeros(shape, complex), np.zeros(shape)
+        for begin in range(0, len(rows), SUMMED):
+            part = slice(begin, begin + SUMMED)
+            cells = (self.by_row.take(rows[part], axis=0).take(features, axis=1) + offsets).ravel()
+            np.add.at(total.reshape(-1), cells, np.repeat(own[part], len(features)))
+            if counted:
+                counts += np.bincount(cells, minlength=counts.size).reshape(shape)
+        return total, counts
+
+    def _many(self, rows, own, features, counted):
+        shape, square = (len(features), self.number), (self.number, self.number)
+        total, counts = np.zeros(shape, complex), np.zeros(shape)
+        whole = len(rows) == self.columns.shape[1]
+        for at in range(0, len(features), 2):
+            first, *second = [self.columns[f] if whole else self.columns[f].take(rows) for f in features[at : at + 2]]
+            cells = first * np.int64(self.number)
+            if second:
+                cells += second[0]
+            joint = np.zeros(square, complex)
+            np.add.at(joint.reshape(-1), cells, own)
+            parts = [(total, joint)]
+            if counted:
+                parts.append((counts, np.bincount(cells, minlength=joint.size).reshape(square)))
+            for out, sums in parts:
+                sums.sum(axis=1, out=out[at], dtype=out.dtype)
+                if second:
+                    sums.sum(axis=0, out=out[at + 1], dtype=out.dtype)
+        return total, counts
+
+
 def _tree(nodes: Sequence[Node], split: set[int], params: Boosting) -> Tree:
     """The tree in which exactly the nodes of ``split`` are split."""
     n = len(nodes)
@@ -249,11 +328,11 @@ def _unpacked(batch: pa.RecordBatch, n_features: int, n_folds: int) -> tuple[np.
     return bins, margins
 
 
-def _moved(margins: np.ndarray, fold: int, bins: np.ndarray, pending: Sequence[Sequence[Tree]]) -> np.ndarray:
+def _moved(margins: np.ndarray, fold: int, columns: np.ndarray, pending: Sequence[Sequence[Tree]]) -> np.ndarray:
     """One fold's margins with the trees grown since they were stored."""
     out = margins[:, fold].copy()
     for trees in pending:
-        out += trees[fold].value[trees[fold].leaf(bins)]
+        out += trees[fold].value[trees[fold].leaf(columns)]
     return out
 
 
@@ -268,14 +347,18 @@ _SPLIT_NAMES = tuple(c.split()[0] for c in _SPLIT.split(", "))[1:]
 
 def best_split(total: np.ndarray, params: Boosting) -> tuple:
     """``(gain, feature, bin, g, h, n of the left side, g, h, n of all)`` of sums by feature
-    and bin. The largest gain wins, among equal ones the first feature, then the lowest cut."""
-    g, h, n = np.cumsum(total, axis=2)
+    and bin. The largest gain wins, among equal ones the first feature, then the lowest cut.
+    Where rows are not counted, all features hold the same rows and both ``n`` are 0."""
+    g, h, *counts = np.cumsum(total, axis=2)
     # All features hold the same rows, but for those not drawn.
-    some = int(np.argmax(n[:, -1] > 0))
-    all_g, all_h, all_n = g[some, -1], h[some, -1], n[some, -1]
-    gl, hl, nl = g[:, :-1], h[:, :-1], n[:, :-1]
+    some = int(np.argmax(counts[0][:, -1] > 0)) if counts else 0
+    all_g, all_h = g[some, -1], h[some, -1]
+    gl, hl = g[:, :-1], h[:, :-1]
     sound = (hl >= params.min_weight) & (all_h - hl >= params.min_weight)
-    sound &= (nl >= params.min_rows) & (all_n - nl >= params.min_rows) & (n[:, -1:] > 0)
+    if counts:
+        n, all_n = counts[0], counts[0][some, -1]
+        nl = n[:, :-1]
+        sound &= (nl >= params.min_rows) & (all_n - nl >= params.min_rows) & (n[:, -1:] > 0)
     l2 = params.l2
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = gl * gl / (hl + l2) + (all_g - gl) * (all_g - gl) / (all_h - hl + l2) - all_g * all_g / (all_h + l2)
@@ -283,73 +366,63 @@ def best_split(total: np.ndarray, params: Boosting) -> tuple:
     top = gain.max()
     near = gain >= top - EQUAL_GAIN * max(abs(top), 1.0) if np.isfinite(top) else gain == top
     f, b = np.unravel_index(int(np.argmax(near)), gain.shape)
-    return float(gain[f, b]), int(f), int(b), gl[f, b], hl[f, b], nl[f, b], all_g, all_h, all_n
-
-
-def cell_sums(cells: np.ndarray, g: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
-    """Gradient, curvature and rows by cell; ``cells`` has a row per row and a column per feature."""
-    at, times = cells.ravel(), cells.shape[1]
-    return np.stack(
-        [
-            np.bincount(at, np.repeat(g, times), width),
-            np.bincount(at, np.repeat(h, times), width),
-            np.bincount(at, minlength=width),
-        ]
-    )
+    left = nl[f, b] if counts else 0.0
+    return float(gain[f, b]), int(f), int(b), gl[f, b], hl[f, b], left, all_g, all_h, all_n if counts else 0.0
 
 
-def grow_leaf(bins: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, columns: np.ndarray, params: Boosting) -> list[tuple]:
-    """All that grows below one leaf, as rows of ``_SPLIT`` without their key.
+def grow_leaf(
+    bins: Bins, every: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, columns: np.ndarray, params: Boosting
+) -> list[tuple]:
+    """All that grows below one leaf with the rows ``every``, as rows of ``_SPLIT`` without their
+    key; ``g`` and ``h`` go with all rows of ``bins``.
 
     With a limit of leaves, the leaf's own best splits up to that limit: no more of them
     can be among the best of the whole tree.
     """
-    cells = bins[:, columns].astype(np.int64) + np.arange(len(columns)) * params.bins
+    values = _paired(g, h)
+    counted = params.min_rows > 1 or params.min_weight < LEAST_WEIGHT
     tree = Growing(params)
     found: list[tuple] = []
-    rows_of: list[np.ndarray] = []
     queue: list[tuple] = []
-    #: Sums of the nodes that may still be split; a node's larger side is what its smaller one leaves.
-    sums_of: dict[int, np.ndarray] = {}
-
-    def sums(rows: np.ndarray) -> np.ndarray:
-        return cell_sums(cells.take(rows, axis=0), g[rows], h[rows], len(columns) * params.bins)
+    #: Rows of both sides and sums of the nodes that may still be split; a node's larger side is
+    #: what its smaller one leaves.
+    open_nodes: dict[int, tuple] = {}
 
     def look(rows: np.ndarray, total: np.ndarray | None, node: Node) -> None:
         place = len(found)
-        rows_of.append(rows)
         tree.nodes.append(node)
         if total is None:
             found.append((-1, -np.inf, -1, -1, 0.0, 0.0, 0.0, node.g, node.h, node.n))
             return
-        best = best_split(total.reshape(3, len(columns), params.bins), params)
-        worthy = best[0] > MIN_GAIN
-        found.append((-1, best[0] if worthy else -np.inf, int(columns[best[1]]), *best[2:]))
-        if worthy:
-            sums_of[place] = total
-            heapq.heappush(queue, (-best[0], place, best[1]))
+        gain, feature, cut, gl, hl, _, all_g, all_h, _ = best_split(total, params)
+        feature, left = int(columns[feature]), 0.0
+        if gain > MIN_GAIN:
+            sides = _sides(rows, bins.columns[feature].take(rows) > cut)
+            left = float(len(sides[0]))
+            open_nodes[place] = (sides, total)
+            heapq.heappush(queue, (-gain, place))
+        else:
+            gain = -np.inf
+        found.append((-1, gain, feature, cut, gl, hl, left, all_g, all_h, node.n))
 
     def node_of(rows: np.ndarray, at_depth: int) -> Node:
         return Node(float(g[rows].sum()), float(h[rows].sum()), float(len(rows)), at_depth)
 
-    every = np.arange(len(bins))
     root = node_of(every, depth)
-    look(every, sums(every) if tree.can_split(root) else None, root)
+    look(every, bins.sums(every, values, columns, counted) if tree.can_split(root) else None, root)
     splits = 0
     while queue and (params.leaves is None or splits < params.leaves - 1):
-        _, place, column = heapq.heappop(queue)
-        rows, cut, total = rows_of[place], found[place][3], sums_of.pop(place)
-        right = cells[rows, column] - column * params.bins > cut
+        _, place = heapq.heappop(queue)
+        sides, total = open_nodes.pop(place)
         found[place] = (len(found), *found[place][1:])
         splits += 1
         below = tree.nodes[place].depth + 1
-        sides = [rows[~right], rows[right]]
         nodes = [node_of(side, below) for side in sides]
         open_ = [tree.can_split(node) for node in nodes]
         totals: list[np.ndarray | None] = [None, None]
         if any(open_):
             less = int(len(sides[1]) < len(sides[0]))
-            totals[less] = sums(sides[less])
+            totals[less] = bins.sums(sides[less], values, columns, counted)
             totals[1 - less] = total - totals[less]
         for side, node, own, may in zip(sides, nodes, totals, open_):
             look(side, own if may else None, node)
@@ -409,6 +482,7 @@ def _sums(
             own = batch.column("fold").to_numpy()
             y = batch.column("y").to_numpy()
             hashes = batch.column("hash").to_numpy()
+            every = Bins(bins, bins_n)
             for fold in range(n_folds):
                 if not level.slots[fold]:
                     continue
@@ -416,13 +490,14 @@ def _sums(
                 use = np.flatnonzero((own != fold) & drawn(hashes, params.rows, level.round_ * n_folds + fold))
                 slot_of = np.full(len(tree.feature), -1)
                 slot_of[list(level.slots[fold])] = list(level.slots[fold].values())
-                slot = slot_of[tree.leaf(bins[use])]
+                slot = slot_of[tree.leaf(every.columns)[use]]
                 use, slot = use[slot >= 0], slot[slot >= 0]
                 mine = bins[use]
-                chance = 1 / (1 + np.exp(-_moved(margins[use], fold, mine, pending)))
+                chance = 1 / (1 + np.exp(-_moved(margins, fold, every.columns, pending)[use]))
                 weight = np.where(y[use] == 1, weights[fold][1], weights[fold][0])
                 g, h = weight * (chance - y[use]), weight * chance * (1 - chance)
                 columns = level.columns[fold]
+                cells, values = Bins(mine, bins_n), _paired(g, h)
                 small = []
                 for s in np.unique(slot):
                     at = slot == s
@@ -430,10 +505,8 @@ def _sums(
                         key = fold << 40 | int(s) << 16 | _LOCAL
                         small.append((key, mine[at].tobytes(), np.stack([g[at], h[at]]).tobytes()))
                         continue
-                    cells = mine[at][:, columns].astype(np.int64) + columns * bins_n
-                    total = cell_sums(cells, g[at], h[at], width)
-                    before = held.get((fold, int(s)))
-                    held[fold, int(s)] = total if before is None else before + total
+                    total = held.setdefault((fold, int(s)), np.zeros((3, width))).reshape(3, n_features, bins_n)
+                    total[:, columns] += cells.sums(np.flatnonzero(at), values, columns, True)
                 if small:
                     yield batch_of(small)
                 if len(held) * width * 24 > HELD_BYTES:
@@ -454,7 +527,8 @@ def _best(partial: DataFrame, params: Boosting, n_features: int, level: Level) -
             fold, slot = key >> 40, (key >> 16) & 0xFFFFFF
             bins = np.frombuffer(b"".join(p[0] for p in parts), np.uint8).reshape(-1, n_features)
             g, h = np.concatenate([np.frombuffer(p[1]).reshape(2, -1) for p in parts], axis=1)
-            for row in grow_leaf(bins, g, h, level.depths[fold][slot], level.columns[fold], params):
+            depth, leaf = level.depths[fold][slot], Bins(bins, params.bins)
+            for row in grow_leaf(leaf, np.arange(len(g)), g, h, depth, level.columns[fold], params):
                 yield key, *row
             return
         size = min(BLOCK, n_features - block * BLOCK)
@@ -491,7 +565,8 @@ def _with_trees(rows: DataFrame, pending: Sequence[Sequence[Tree]], n_features:
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins, margins = _unpacked(batch, n_features, n_folds)
-            new = np.stack([_moved(margins, f, bins, pending) for f in range(n_folds)], axis=1)
+            columns = np.ascontiguousarray(bins.T)
+            new = np.stack([_moved(margins, f, columns, pending) for f in range(n_folds)], axis=1)
             ends = np.arange(0, new.size + 1, n_folds, dtype=np.int32)
             keep = [batch.column(c) for c in ("key", "y", "fold", "hash", "bins")]
             yield pa.RecordBatch.from_arrays(
@@ -539,7 +614,7 @@ def grow_folds(
 
     def trees(fold: int, batches: list[pa.RecordBatch]) -> Iterator[Tree]:
         joined = b"".join(blob for batch in batches for blob in batch.column("bins").to_pylist())
-        bins = np.frombuffer(joined, np.uint8).reshape(-1, n_features)
+        bins = Bins(np.frombuffer(joined, np.uint8).reshape(-1, n_features), params.bins)
         y, hashes = (np.concatenate([batch.column(c).to_numpy() for batch in batches]) for c in ("y", "hash"))
         weight = np.where(y == 1, weights[fold][1], weights[fold][0])
         margin = np.zeros(len(y))
@@ -547,13 +622,13 @@ def grow_folds(
             use = np.flatnonzero(drawn(hashes, params.rows, round_ * n_folds + fold))
             growing = Growing(params, [Node(0.0, 0.0, float(len(use)), 0)])
             if len(use):
-                chance = 1 / (1 + np.exp(-margin[use]))
-                g, h = weight[use] * (chance - y[use]), weight[use] * chance * (1 - chance)
+                chance = 1 / (1 + np.exp(-margin))
+                g, h = weight * (chance - y), weight * chance * (1 - chance)
                 columns = _drawn_columns(params, n_features, n_folds, round_)[fold]
-                found = grow_leaf(bins[use], g, h, 0, columns, params)
+                found = grow_leaf(bins, use, g, h, 0, columns, params)
                 _attach(growing, 0, [dict(zip(_SPLIT_NAMES, row)) for row in found])
             tree = growing.final()
-            margin += tree.value[tree.leaf(bins)]
+            margin += tree.value[tree.leaf(bins.columns)]
             yield tree
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
