@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -110,6 +110,24 @@ def boosted_scores(
     return boosting.held_out_scores(margins, names, features.schema[subject].dataType.simpleString())
 
 
+def neighbour_scores(features: DataFrame, folds: Sequence, overrides: Mapping | None = None) -> DataFrame:
+    """Held-out scores of the neighbour vote, all folds at once: rows of other subjects vote.
+
+    Windows of different subjects need different keys (``shared_keys``).
+    """
+    rows = features.where("subject is not null")
+    held_out = rows.where(F.col("subject").isin([f["fold"] for f in folds]))
+    p = parameters("knn", overrides)
+    votes = knn_vote(held_out, rows, keep=["subject", "y"], x="features", apart="subject", **p)
+    return votes.withColumnRenamed("subject", "fold")
+
+
+def shared_keys(features: DataFrame) -> bool:
+    """Whether windows of different subjects have one key."""
+    ends = features.groupBy("window_id").agg(F.min("subject").alias("first"), F.max("subject").alias("last"))
+    return bool(ends.where("first <> last").limit(1).count())
+
+
 def fit_tasks(name: str, n_train: int, cores: int, beside: int = 1) -> int:
     """Tasks of a fit. Iterative fits run many small jobs: no more tasks than there are rows for.
 
@@ -128,6 +146,17 @@ def fits_at_once(cores: int, fits: int) -> int:
     return min(max(FITS, cores), fits)
 
 
+def side_by_side(spark: SparkSession, run: Callable, jobs: Sequence, parallel: int) -> list:
+    """What ``run`` returns for each job, ``parallel`` of them at a time.
+
+    Every job gets local properties of its own: threads that share them take away each
+    other's execution id, and a fit fails.
+    """
+    tasks = [inheritable_thread_target(spark)(partial(run, job)) for job in jobs]
+    with ThreadPool(parallel) as pool:
+        return pool.map(lambda task: task(), tasks, chunksize=1)
+
+
 def fit_score(
     name: str,
     train: DataFrame,
@@ -195,13 +224,16 @@ def loso_scores(
     ``features`` holds ``(window_id, subject, y, features)`` and should be a stored
     table. The driver sees one row of counts per subject; fits of different folds run
     side by side, one per core if ``parallel`` does not say otherwise, those of boosted
-    trees in the same jobs; scoring stays one lazy union.
+    trees and of the neighbour vote in the same jobs; scoring stays one lazy union.
     """
     for name in models:
         parameters(name)
     folds = trainable(loso_folds(features)).orderBy("fold").collect()
-    jobs = [(n, f) for n in models if n not in BOOSTED for f in folds]
-    jobs += [(n, None) for n in models if n in BOOSTED and folds]
+    together = {n for n in models if n in BOOSTED}
+    if "knn" in models and folds and not shared_keys(features):
+        together.add("knn")
+    jobs = [(n, f) for n in models if n not in together for f in folds]
+    jobs += [(n, None) for n in models if n in together and folds]
     inputs = {n: model_inputs(features, n, (overrides or {}).get(n)) for n in models if folds}
     cores = features.sparkSession.sparkContext.defaultParallelism
     parallel = min(parallel or fits_at_once(cores, len(jobs)), len(jobs))
@@ -209,7 +241,8 @@ def loso_scores(
     def run(job) -> DataFrame:
         name, fold = job
         if fold is None:
-            scored = boosted_scores(inputs[name], name, folds, (overrides or {}).get(name))
+            own = (overrides or {}).get(name)
+            scored = neighbour_scores(inputs[name], folds, own) if name == "knn" else boosted_scores(inputs[name], name, folds, own)
             return scored.select(F.lit(name).alias("model"), "fold", "window_id", "y", "prob", "pred")
         train, test = loso_split(inputs[name], fold["fold"])
         n_pos = fold["pos_train"]
@@ -229,10 +262,7 @@ def loso_scores(
         return features.sparkSession.createDataFrame(
             [], "model string, fold int, window_id bigint, y int, prob double, pred int"
         )
-    target = inheritable_thread_target(features.sparkSession)(run)
-    with ThreadPool(parallel) as pool:
-        parts = pool.map(target, jobs, chunksize=1)
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, side_by_side(features.sparkSession, run, jobs, parallel))
 
 
 def fold_metrics(scores: DataFrame, by: Sequence[str] = ("model", "fold")) -> DataFrame:
