@@ -309,8 +309,9 @@ def search(
 ) -> DataFrame:
     """Mean recall over the given folds of randomly drawn settings, best first.
 
-    ``fold`` numbers the folds from 0 (``splits.stratified_kfold``). The settings of a fold
-    are fitted side by side, one per core if ``parallel`` does not say otherwise.
+    ``fold`` numbers the folds from 0 (``splits.stratified_kfold``). All settings and folds
+    are fitted side by side, one per core if ``parallel`` does not say otherwise; a setting
+    drawn again is not fitted again.
     """
     counts = features.agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).first()
     n_pos, n_neg = int(counts["p"]), int(counts["n"] - counts["p"])
@@ -320,25 +321,38 @@ def search(
         F.col(fold).cast("int").alias(fold),
         weight(name, n_pos, n_neg).alias("w"),
     )
-    n_folds = int(rows.agg(F.max(fold)).first()[0]) + 1
     drawn = draw_parameters(space, trials, seed)
     if name in BOOSTED:
         return _ranked(features.sparkSession, drawn, _boosted_recalls(features, name, drawn, fold))
     estimator = build_estimator(name, n_pos + n_neg)
-    grid = [{estimator.getParam(k): v for k, v in setting.items()} for setting in drawn]
     recall = MulticlassClassificationEvaluator(
         labelCol="y", metricName="recallByLabel", metricLabel=1.0
     )
-    validator = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=grid,
-        evaluator=recall,
-        numFolds=n_folds,
-        foldCol=fold,
-        parallelism=parallel or fits_at_once(features.sparkSession.sparkContext.defaultParallelism, trials),
-        seed=seed,
-    )
-    return _ranked(features.sparkSession, drawn, validator.fit(rows).avgMetrics)
+    spark = features.sparkSession
+    different = {json.dumps(setting, sort_keys=True): setting for setting in drawn}
+    rows.persist()
+    n_folds = int(rows.agg(F.max(fold)).first()[0]) + 1
+    kept = CrossValidator(numFolds=n_folds, foldCol=fold)._kFold(rows)
+    # Deep forests take longest and are begun first.
+    jobs = [(i, setting) for setting in sorted(different, key=lambda s: -_work(different[s])) for i in range(n_folds)]
+
+    def run(job) -> float:
+        train, validation = kept[job[0]]
+        grid = {estimator.getParam(k): v for k, v in different[job[1]].items()}
+        return recall.evaluate(estimator.fit(train, grid).transform(validation))
+
+    parallel = parallel or fits_at_once(spark.sparkContext.defaultParallelism, len(jobs))
+    try:
+        found = dict(zip(jobs, side_by_side(spark, run, jobs, parallel)))
+    finally:
+        rows.unpersist()
+    means = {s: float(np.mean([found[i, s] for i in range(n_folds)])) for s in different}
+    return _ranked(spark, drawn, [means[json.dumps(setting, sort_keys=True)] for setting in drawn])
+
+
+def _work(setting: Mapping) -> float:
+    """What the levels of a forest's trees amount to, in no unit."""
+    return setting.get("maxDepth", 0) * setting.get("numTrees", 1)
 
 
 def _boosted_recalls(features: DataFrame, name: str, drawn: Sequence[Mapping], fold: str) -> list[float]:
